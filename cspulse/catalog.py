@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import rules
 from .functions.dates import age_month_part, month_trunc
 from .functions.numeric import pct_change
+from .functions.sql import lit, named
 from .operators import periods, windows
 from .operators.enrich import enrich as enrich_with
 from .operators.enrich import top_k
@@ -30,9 +30,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def as_reported(df: DataFrame) -> DataFrame:
     """Cast exact decimals to double for reporting; other types unchanged."""
-    return df.select([F.col(f.name).cast("double").alias(f.name)
-                      if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-                      for f in df.schema.fields])
+    return df.selectExpr(*[f"CAST(`{f.name}` AS DOUBLE) AS `{f.name}`"
+                           if isinstance(f.dataType, T.DecimalType) else f"`{f.name}`"
+                           for f in df.schema.fields])
 
 
 _REGISTRY: dict[str, Query] = {}
@@ -94,7 +94,7 @@ def _filter_status_in(cust, act):
 def _cohort_min_size(cust, act):
     base = cohorts.cohort_base(cust)
     return (cohorts.cohort_metrics(base, AS_OF)
-            .filter(F.col("cohort_size") >= 5).select("cohort_month", "cohort_size"))
+            .filter("cohort_size >= 5").select("cohort_month", "cohort_size"))
 
 
 # -------------------------------------------------------------------- J: joins
@@ -225,25 +225,22 @@ def _topk(cust, act):
 
 @query("scalar_month_trunc")
 def _month_trunc(cust, act):
-    return cust.select("customer_id", "signup_date",
-                       month_trunc(F.col("signup_date")).alias("cohort_month"))
+    return cust.selectExpr("customer_id", "signup_date",
+                           named(month_trunc("signup_date"), "cohort_month"))
 
 
 @query("scalar_age_month_part")
 def _age_month_part(cust, act):
-    return cust.select("customer_id", "signup_date",
-                       age_month_part(F.lit(AS_OF), F.col("signup_date"))
-                       .alias("months_as_customer"))
+    return cust.selectExpr("customer_id", "signup_date",
+                           named(age_month_part(lit(AS_OF), "signup_date"), "months_as_customer"))
 
 
 @query("scalar_pct_change")
 def _pct_change(cust, act):
-    t = periods.usage_trend_60d(act, AS_OF)
-    return t.select("customer_id",
-                    pct_change(F.col("recent_usage"), F.col("prior_usage"), "notnull")
-                    .alias("usage_growth_pct"),
-                    pct_change(F.col("recent_logins"), F.col("prior_logins"))
-                    .alias("login_growth_pct"))
+    return periods.usage_trend_60d(act, AS_OF).selectExpr(
+        "customer_id",
+        named(pct_change("recent_usage", "prior_usage", "notnull"), "usage_growth_pct"),
+        named(pct_change("recent_logins", "prior_logins"), "login_growth_pct"))
 
 
 # ------------------------------------------------------------- scoring stages
@@ -257,11 +254,9 @@ def _health_dimensions(cust, act):
 @query("health_score")
 def _health_score(cust, act):
     s = health.health_scores(health.health_dimensions(periods.recent_activity(act, AS_OF)))
-    overall = F.col("overall_health_score")
-    return s.select("customer_id", "overall_health_score", "usage_health_score",
-                    "support_health_score", "engagement_health_score",
-                    rules.at_least(overall, rules.HEALTH_GRADES).alias("health_grade"),
-                    rules.at_least(overall, rules.HEALTH_ACTIONS).alias("recommended_action"))
+    return s.selectExpr("customer_id", "overall_health_score", "usage_health_score",
+                        "support_health_score", "engagement_health_score",
+                        *health.grade_and_action())
 
 
 @query("risk_signals")
@@ -389,7 +384,7 @@ def _trend_rollup_full(cust, act):
 @query("cohort_compare_by_industry")
 def _cohort_compare(cust, act):
     table = cohorts.cohort_table(cust, act, AS_OF, by=["industry"])
-    return rollups.cohort_compare_by(table.filter(F.col("cohort_size") >= 5), "industry")
+    return rollups.cohort_compare_by(table.filter("cohort_size >= 5"), "industry")
 
 
 @query("best_cohorts")

@@ -1,10 +1,12 @@
-"""Column-level building blocks: exact numerics, dates and scoring rules."""
+"""Expression building blocks (Spark SQL text): numerics, dates, scoring rules."""
 
 from .dates import age_month_part, age_total_months, month_trunc
-from .numeric import AVG_TYPE, avg_exact, dec, mean_of, pct_change, pct_of, ratio_pct
-from .rules import ladder, flag
+from .numeric import AVG_TYPE, avg_exact, mean_of, pct_change, pct_of, ratio_pct, round_num
+from .rules import flag, ladder
+from .sql import col, cols, decimal, lit, named
 
 __all__ = [
-    "AVG_TYPE", "age_month_part", "age_total_months", "avg_exact", "dec", "flag", "ladder",
-    "mean_of", "month_trunc", "pct_change", "pct_of", "ratio_pct",
+    "AVG_TYPE", "age_month_part", "age_total_months", "avg_exact", "col", "cols", "decimal",
+    "flag", "ladder", "lit", "mean_of", "month_trunc", "named", "pct_change", "pct_of",
+    "ratio_pct", "round_num",
 ]

@@ -1,4 +1,4 @@
-"""Date helpers: month truncation and PostgreSQL-style AGE month fields.
+"""Date expressions: month truncation and PostgreSQL-style AGE month fields.
 
 ``EXTRACT(MONTH FROM AGE(a, b))`` is the *month field* of the interval
 (0..11, negative when ``a < b``), not the total number of months.  Spark has
@@ -14,25 +14,22 @@ and the month field is ``t`` modulo 12 with the sign of ``t``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def month_trunc(d: Column) -> Column:
+def month_trunc(d: str) -> str:
     """DATE_TRUNC('month', d) as a DATE."""
-    return F.trunc(d, "MM")
+    return f"trunc({d}, 'MM')"
 
 
-def _forward_months(a: Column, b: Column) -> Column:
-    borrow = F.when(F.dayofmonth(a) < F.dayofmonth(b), 1).otherwise(0)
-    return ((F.year(a) - F.year(b)) * 12 + (F.month(a) - F.month(b)) - borrow)
+def _forward_months(a: str, b: str) -> str:
+    return (f"((year({a}) - year({b})) * 12 + (month({a}) - month({b}))"
+            f" - CASE WHEN dayofmonth({a}) < dayofmonth({b}) THEN 1 ELSE 0 END)")
 
 
-def age_total_months(a: Column, b: Column) -> Column:
+def age_total_months(a: str, b: str) -> str:
     """Whole months of AGE(a, b), signed."""
-    return F.when(a >= b, _forward_months(a, b)).otherwise(-_forward_months(b, a))
+    return f"(CASE WHEN {a} >= {b} THEN {_forward_months(a, b)} ELSE -{_forward_months(b, a)} END)"
 
 
-def age_month_part(a: Column, b: Column) -> Column:
+def age_month_part(a: str, b: str) -> str:
     """EXTRACT(MONTH FROM AGE(a, b)): the 0..11 month field (sign of a - b)."""
-    return age_total_months(a, b) % 12
+    return f"({age_total_months(a, b)} % 12)"

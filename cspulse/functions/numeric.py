@@ -1,4 +1,4 @@
-"""Exact numeric helpers.
+"""Exact numeric expressions (Spark SQL text).
 
 PostgreSQL averages integers as exact NUMERIC and rounds half away from
 zero.  Spark's ``avg`` on integers returns a double, whose low bits depend on
@@ -15,68 +15,56 @@ precision, which would round a ratio before it is multiplied by 100.
 
 from __future__ import annotations
 
-from decimal import Decimal
+AVG_TYPE = "DECIMAL(18,6)"
+_OPERAND = "DECIMAL(20,6)"
+_SUM = "DECIMAL(38,6)"
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-AVG_TYPE = "decimal(18,6)"
-_OPERAND = "decimal(20,6)"
-_SUM = "decimal(38,6)"
+def fix6(expr: str) -> str:
+    return f"CAST({expr} AS {AVG_TYPE})"
 
 
-def dec(value) -> Column:
-    """Decimal literal (never a double)."""
-    return F.lit(Decimal(str(value)))
-
-
-def fix6(expr: Column) -> Column:
-    return expr.cast(AVG_TYPE)
-
-
-def mean_of(total: Column, count: Column) -> Column:
+def mean_of(total: str, count: str) -> str:
     """``total / count`` as DECIMAL(18,6); NULL when count is 0 or NULL.
 
     ``total`` and ``count`` may be partial sums merged across a join, which is
     how row-weighted averages are pre-aggregated before a shuffle.
     """
-    return fix6(total.cast(_SUM) / F.nullif(count, F.lit(0)))
+    return fix6(f"CAST({total} AS {_SUM}) / NULLIF({count}, 0)")
 
 
-def avg_exact(col: Column) -> Column:
-    """Aggregate: exact average of an integer/decimal column (NULLs ignored)."""
-    return mean_of(F.sum(col), F.count(col))
+def avg_exact(expr: str) -> str:
+    """Aggregate: exact average of an integer/decimal expression (NULLs ignored)."""
+    return mean_of(f"SUM({expr})", f"COUNT({expr})")
 
 
-def pct_change(cur: Column, prev: Column, guard: str = "positive") -> Column:
+def pct_change(cur: str, prev: str, guard: str = "positive") -> str:
     """ROUND((cur - prev) / prev * 100, 1).
 
     guard="positive": NULL unless prev > 0 (trend analysis).
     guard="notnull":  NULL when prev is NULL; prev = 0 also gives NULL
                       where the reference would raise a division error.
     """
-    num = (cur.cast(_OPERAND) - prev.cast(_OPERAND)) * dec(100)
-    value = F.round(fix6(num / F.nullif(prev.cast(_OPERAND), dec(0))), 1)
-    if guard == "positive":
-        return F.when(prev > 0, value)
-    return F.when(prev.isNotNull(), value)
+    num = f"(CAST({cur} AS {_OPERAND}) - CAST({prev} AS {_OPERAND})) * 100"
+    value = f"ROUND({fix6(f'{num} / NULLIF(CAST({prev} AS {_OPERAND}), 0)')}, 1)"
+    cond = f"{prev} > 0" if guard == "positive" else f"{prev} IS NOT NULL"
+    return f"CASE WHEN {cond} THEN {value} END"
 
 
-def ratio_pct(part: Column, whole: Column) -> Column:
+def ratio_pct(part: str, whole: str) -> str:
     """100.0 * part / whole at DECIMAL(18,6), unrounded; NULL if whole = 0."""
-    return fix6(dec("100.0") * part.cast(_OPERAND)
-                / F.nullif(whole.cast(_OPERAND), dec(0)))
+    return fix6(f"100.0 * CAST({part} AS {_OPERAND}) / NULLIF(CAST({whole} AS {_OPERAND}), 0)")
 
 
-def pct_of(part: Column, whole: Column) -> Column:
+def pct_of(part: str, whole: str) -> str:
     """ROUND(100.0 * part / whole, 1)."""
-    return F.round(ratio_pct(part, whole), 1)
+    return f"ROUND({ratio_pct(part, whole)}, 1)"
 
 
-def round_num(expr: Column, scale: int) -> Column:
+def round_num(expr: str, scale: int) -> str:
     """ROUND(x, scale) returning a decimal even for integer input.
 
     PostgreSQL's ROUND(int, n) yields NUMERIC (100 -> 100.0); Spark would keep
     the integer type.
     """
-    return F.round(expr.cast(_OPERAND), scale)
+    return f"ROUND(CAST({expr} AS {_OPERAND}), {scale})"

@@ -1,19 +1,17 @@
-"""Scoring rules as pure Column functions.
+"""Scoring rules as Spark SQL ``CASE`` expressions.
 
 Every rule is an ordered ladder: the first true condition wins, and a NULL
 condition falls through to the next step (so a NULL trend ends in the ELSE
-branch, as in SQL ``CASE``).  Thresholds live in the tables below so callers
-can pass their own; the defaults are the reference's values.
+branch).  Rule functions take SQL expressions (usually column names) and
+return SQL text for ``selectExpr``.  Thresholds live in the tables below so
+callers can pass their own; the defaults are the reference's values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .numeric import dec
+from .sql import decimal, lit
 
 # ---------------------------------------------------------------------------
 # Thresholds, points and label texts that must equal the
@@ -99,28 +97,32 @@ STATUSES = ["Active", "At Risk", "Churned"]
 # ---------------------------------------------------------------------------
 
 
-def _lit(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def _value(v) -> str:
+    return v.sql if isinstance(v, Raw) else lit(v)
+
+
+class Raw:
+    """An SQL expression used as a ladder value (instead of a literal)."""
+
+    def __init__(self, sql: str):
+        self.sql = sql
 
 
-def ladder(steps: Sequence[tuple[Column, object]], default=None) -> Column:
-    """Searched CASE: ``steps`` are ``(condition, value)`` tried in order."""
-    expr = None
-    for cond, value in steps:
-        expr = F.when(cond, _lit(value)) if expr is None else expr.when(cond, _lit(value))
-    if expr is None:
-        return _lit(default)
-    return expr.otherwise(_lit(default)) if default is not None else expr
+def ladder(steps: Sequence[tuple[str, object]], default=None) -> str:
+    """Searched CASE: ``steps`` are ``(condition_sql, value)`` tried in order."""
+    whens = " ".join(f"WHEN {cond} THEN {_value(v)}" for cond, v in steps)
+    tail = f" ELSE {_value(default)}" if default is not None else ""
+    return f"CASE {whens}{tail} END"
 
 
-def at_least(x: Column, table: dict) -> Column:
+def at_least(x: str, table: dict) -> str:
     """x >= t1 -> v1, x >= t2 -> v2, ..., else."""
-    return ladder([(x >= t, v) for t, v in table["steps"]], table["else"])
+    return ladder([(f"{x} >= {t}", v) for t, v in table["steps"]], table["else"])
 
 
-def flag(signal: Column, text: str) -> Column:
+def flag(signal: str, text: str) -> str:
     """Text when the signal fired, NULL otherwise."""
-    return F.when(signal > 0, F.lit(text))
+    return f"CASE WHEN {signal} > 0 THEN {lit(text)} END"
 
 
 # ---------------------------------------------------------------------------
@@ -128,27 +130,25 @@ def flag(signal: Column, text: str) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def support_health(tickets: Column, table: dict = SUPPORT_HEALTH) -> Column:
-    steps = [(tickets == n, v) for n, v in table["exact"]]
-    steps.append((tickets >= table["at_least"][0], table["at_least"][1]))
+def support_health(tickets: str, table: dict = SUPPORT_HEALTH) -> str:
+    steps = [(f"{tickets} = {n}", v) for n, v in table["exact"]]
+    steps.append((f"{tickets} >= {table['at_least'][0]}", table["at_least"][1]))
     return ladder(steps, table["else"])
 
 
-def engagement_health(avg_logins: Column, avg_nps: Column,
-                      logins: dict = LOGIN_ENGAGEMENT, nps: dict = NPS_ENGAGEMENT) -> Column:
-    login_part = at_least(avg_logins, logins)
+def engagement_health(avg_logins: str, avg_nps: str,
+                      logins: dict = LOGIN_ENGAGEMENT, nps: dict = NPS_ENGAGEMENT) -> str:
     last = nps["steps"][-1][0]
-    nps_steps = [(avg_nps >= t, v) for t, v in nps["steps"]]
-    nps_steps.append((avg_nps < last, nps["below_last"]))
-    return login_part + ladder(nps_steps, nps["else"])
+    nps_steps = [(f"{avg_nps} >= {t}", v) for t, v in nps["steps"]]
+    nps_steps.append((f"{avg_nps} < {last}", nps["below_last"]))
+    return f"({at_least(avg_logins, logins)} + {ladder(nps_steps, nps['else'])})"
 
 
-def weighted_health(usage: Column, support: Column, engagement: Column,
-                    weights: dict = HEALTH_WEIGHTS) -> Column:
+def weighted_health(usage: str, support: str, engagement: str,
+                    weights: dict = HEALTH_WEIGHTS) -> str:
     """ROUND(w_u*usage + w_s*support + w_e*engagement, 1) on unrounded inputs."""
-    total = (usage * dec(weights["usage"]) + support * dec(weights["support"])
-             + engagement * dec(weights["engagement"]))
-    return F.round(total, 1)
+    return (f"ROUND(({usage} * {decimal(weights['usage'])}) + ({support} * {decimal(weights['support'])})"
+            f" + ({engagement} * {decimal(weights['engagement'])}), 1)")
 
 
 # ---------------------------------------------------------------------------
@@ -156,41 +156,39 @@ def weighted_health(usage: Column, support: Column, engagement: Column,
 # ---------------------------------------------------------------------------
 
 
-def usage_decline_risk(cur: Column, prior: Column, table: dict = USAGE_DECLINE) -> Column:
-    steps = [(prior.isNotNull() & (cur < prior * dec(r)), v) for r, v in table["ratio_steps"]]
-    steps.append((cur < table["floor"][0], table["floor"][1]))
+def usage_decline_risk(cur: str, prior: str, table: dict = USAGE_DECLINE) -> str:
+    steps = [(f"{prior} IS NOT NULL AND {cur} < {prior} * {decimal(r)}", v)
+             for r, v in table["ratio_steps"]]
+    steps.append((f"{cur} < {table['floor'][0]}", table["floor"][1]))
     return ladder(steps, table["else"])
 
 
-def support_burden_risk(tickets: Column, table: dict = SUPPORT_BURDEN) -> Column:
-    steps = [(tickets >= table["at_least"][0], table["at_least"][1])]
-    steps += [(tickets == n, v) for n, v in table["exact"]]
+def support_burden_risk(tickets: str, table: dict = SUPPORT_BURDEN) -> str:
+    steps = [(f"{tickets} >= {table['at_least'][0]}", table["at_least"][1])]
+    steps += [(f"{tickets} = {n}", v) for n, v in table["exact"]]
     return ladder(steps, table["else"])
 
 
-def nps_decline_risk(cur: Column, prior: Column, table: dict = NPS_DECLINE) -> Column:
-    steps = [(cur.isNotNull() & (cur < t), v) for t, v in table["below"]]
+def nps_decline_risk(cur: str, prior: str, table: dict = NPS_DECLINE) -> str:
+    steps = [(f"{cur} IS NOT NULL AND {cur} < {t}", v) for t, v in table["below"]]
     drop, points = table["drop"]
-    steps.append((prior.isNotNull() & (cur < prior - drop), points))
+    steps.append((f"{prior} IS NOT NULL AND {cur} < {prior} - {drop}", points))
     return ladder(steps, table["else"])
 
 
-def login_decline_risk(cur: Column, prior: Column, table: dict = LOGIN_DECLINE) -> Column:
-    steps = [(cur < t, v) for t, v in table["below"]]
+def login_decline_risk(cur: str, prior: str, table: dict = LOGIN_DECLINE) -> str:
+    steps = [(f"{cur} < {t}", v) for t, v in table["below"]]
     ratio, points = table["ratio"]
-    steps.append((prior.isNotNull() & (cur < prior * dec(ratio)), points))
+    steps.append((f"{prior} IS NOT NULL AND {cur} < {prior} * {decimal(ratio)}", points))
     return ladder(steps, table["else"])
 
 
-def inactivity_risk(weeks: Column, table: dict = INACTIVITY) -> Column:
-    return ladder([(weeks < table["below"][0], table["below"][1])], table["else"])
+def inactivity_risk(weeks: str, table: dict = INACTIVITY) -> str:
+    return ladder([(f"{weeks} < {table['below'][0]}", table["below"][1])], table["else"])
 
 
-def capped_sum(parts: Sequence[Column], cap: int = CHURN_CAP) -> Column:
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return F.least(total, F.lit(cap))
+def capped_sum(parts: Sequence[str], cap: int = CHURN_CAP) -> str:
+    return f"LEAST({' + '.join(parts)}, {cap})"
 
 
 # ---------------------------------------------------------------------------
@@ -198,37 +196,38 @@ def capped_sum(parts: Sequence[Column], cap: int = CHURN_CAP) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def plan_ceiling_signal(plan: Column, usage: Column, table: dict = PLAN_CEILING) -> Column:
+def plan_ceiling_signal(plan: str, usage: str, table: dict = PLAN_CEILING) -> str:
     steps = []
     for name in ("Starter", "Professional"):
-        steps += [((plan == name) & (usage >= t), v) for t, v in table[name]]
+        steps += [(f"{plan} = {lit(name)} AND {usage} >= {t}", v) for t, v in table[name]]
     return ladder(steps, table["else"])
 
 
-def growth_signal(recent: Column, prior: Column, table: dict = GROWTH) -> Column:
-    return ladder([(prior.isNotNull() & (recent > prior * dec(r)), v)
+def growth_signal(recent: str, prior: str, table: dict = GROWTH) -> str:
+    return ladder([(f"{prior} IS NOT NULL AND {recent} > {prior} * {decimal(r)}", v)
                    for r, v in table["ratio_steps"]], table["else"])
 
 
-def mastery_signal(tickets: Column, usage: Column, table: dict = MASTERY) -> Column:
+def mastery_signal(tickets: str, usage: str, table: dict = MASTERY) -> str:
     """tickets = t0 and usage above the bar, then tickets <= t1 and usage above."""
     (t0, v0), (t1, v1) = table["tickets"]
-    busy = usage > table["usage_above"]
-    return ladder([((tickets == t0) & busy, v0), ((tickets <= t1) & busy, v1)], table["else"])
+    busy = f"{usage} > {table['usage_above']}"
+    return ladder([(f"{tickets} = {t0} AND {busy}", v0), (f"{tickets} <= {t1} AND {busy}", v1)],
+                  table["else"])
 
 
-def expansion_opportunity(plan: Column, ceiling: Column, adoption: Column, growth: Column,
-                          table: dict = EXPANSION_OPPORTUNITY) -> Column:
-    steps = [((plan == p) & (ceiling >= t), text) for p, t, text in table["upgrade"]]
-    steps.append((adoption >= table["adoption"][0], table["adoption"][1]))
-    steps.append((growth >= table["growth"][0], table["growth"][1]))
+def expansion_opportunity(plan: str, ceiling: str, adoption: str, growth: str,
+                          table: dict = EXPANSION_OPPORTUNITY) -> str:
+    steps = [(f"{plan} = {lit(p)} AND {ceiling} >= {t}", text) for p, t, text in table["upgrade"]]
+    steps.append((f"{adoption} >= {table['adoption'][0]}", table["adoption"][1]))
+    steps.append((f"{growth} >= {table['growth'][0]}", table["growth"][1]))
     return ladder(steps, table["else"])
 
 
-def estimated_expansion_mrr(plan: Column, mrr: Column, table: dict = EXPANSION_MRR) -> Column:
-    return ladder([(plan == "Starter", dec(table["Starter"])),
-                   (plan == "Professional", dec(table["Professional"]))],
-                  mrr * dec(table["else_factor"]))
+def estimated_expansion_mrr(plan: str, mrr: str, table: dict = EXPANSION_MRR) -> str:
+    return ladder([(f"{plan} = 'Starter'", Raw(decimal(table["Starter"]))),
+                   (f"{plan} = 'Professional'", Raw(decimal(table["Professional"])))],
+                  Raw(f"{mrr} * {decimal(table['else_factor'])}"))
 
 
 # ---------------------------------------------------------------------------
@@ -236,9 +235,9 @@ def estimated_expansion_mrr(plan: Column, mrr: Column, table: dict = EXPANSION_M
 # ---------------------------------------------------------------------------
 
 
-def trend_points(pct: Column, table: dict) -> Column:
+def trend_points(pct: str, table: dict) -> str:
     """pct > t1 -> v1, ...; NULL falls to the ELSE value (worst)."""
-    return ladder([(pct > t, v) for t, v in table["above"]], table["else"])
+    return ladder([(f"{pct} > {t}", v) for t, v in table["above"]], table["else"])
 
 
 # ---------------------------------------------------------------------------
@@ -246,5 +245,5 @@ def trend_points(pct: Column, table: dict) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def lifecycle_stage(age: Column, table: dict = LIFECYCLE_STAGES) -> Column:
-    return ladder([(age <= t, text) for t, text in table["at_most"]], table["else"])
+def lifecycle_stage(age: str, table: dict = LIFECYCLE_STAGES) -> str:
+    return ladder([(f"{age} <= {t}", text) for t, text in table["at_most"]], table["else"])

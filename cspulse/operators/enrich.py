@@ -13,7 +13,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from ..functions.sql import lit
 
 KEY = "customer_id"
 PROFILE = ["company_name", "plan_type", "mrr", "account_owner", "signup_date", "status",
@@ -25,9 +26,8 @@ def enrich(per_customer: DataFrame, customers: DataFrame, columns: Sequence[str]
     """Attach customer attributes; optionally keep only some statuses."""
     dim = customers
     if statuses is not None:
-        dim = dim.filter(F.col("status").isin(list(statuses)))
-    wanted = [KEY] + [c for c in columns if c not in per_customer.columns]
-    return per_customer.join(dim.select(*wanted), KEY, how)
+        dim = dim.filter(f"status IN ({', '.join(lit(s) for s in statuses)})")
+    return per_customer.join(dim.select(KEY, *columns), KEY, how)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Date-bounded filters and per-customer period aggregates.
 
-All bounds are Python ``date`` literals computed from ``as_of``, so they reach
-the Parquet scan as pushed filters (or partition pruning when the fact table
-is partitioned by ``activity_date``).  Aggregates are algebraic (sum and
+All bounds are date literals computed from ``as_of``, so they reach the
+Parquet scan as pushed filters (or partition pruning when the fact table is
+partitioned by ``activity_date``).  Aggregates are algebraic (sum and
 count), so Spark runs them as partial + final hash aggregation: a customer
 holding a large share of the rows is reduced map-side before the shuffle.
 """
@@ -12,9 +12,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.numeric import avg_exact
+from ..functions.sql import col, lit
 
 DATE = "activity_date"
 KEY = "customer_id"
@@ -24,50 +24,55 @@ def days_before(as_of: dt.date, days: int) -> dt.date:
     return as_of - dt.timedelta(days=days)
 
 
+def since(as_of: dt.date, days: int) -> str:
+    return f"{DATE} >= {lit(days_before(as_of, days))}"
+
+
+def before(as_of: dt.date, days: int) -> str:
+    return f"{DATE} < {lit(days_before(as_of, days))}"
+
+
 # --------------------------------------------------------------------- filters
 
 
 def trailing_window(act: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """``activity_date >= as_of - days``; no upper bound (later rows included)."""
-    return act.filter(F.col(DATE) >= F.lit(days_before(as_of, days)))
+    return act.filter(since(as_of, days))
 
 
 def half_open_period(act: DataFrame, as_of: dt.date, start_days: int, end_days: int) -> DataFrame:
     """``as_of - start_days <= activity_date < as_of - end_days``."""
-    return act.filter((F.col(DATE) >= F.lit(days_before(as_of, start_days)))
-                      & (F.col(DATE) < F.lit(days_before(as_of, end_days))))
+    return act.filter(f"{since(as_of, start_days)} AND {before(as_of, end_days)}")
 
 
 def status_in(df: DataFrame, statuses=("Active", "At Risk")) -> DataFrame:
-    return df.filter(F.col("status").isin(list(statuses)))
+    return df.filter(f"status IN ({', '.join(lit(s) for s in statuses)})")
 
 
 # ------------------------------------------------------------------ aggregates
 
+_MEASURES = {"usage": "feature_usage_score", "logins": "logins_count",
+             "tickets": "support_tickets_opened", "nps": "nps_score"}
+
 
-def _only(cond: Column | None, name: str) -> Column:
-    col = F.col(name)
-    return col if cond is None else F.when(cond, col)
+def _only(cond: str | None, column: str) -> str:
+    return column if cond is None else f"CASE WHEN {cond} THEN {column} END"
 
 
-def measure_aggs(names: dict[str, str], cond: Column | None = None) -> list[Column]:
+def measure_aggs(names: dict[str, str], cond: str | None = None) -> list[Column]:
     """Per-customer measures over the rows where ``cond`` holds.
 
     ``names`` maps a measure (usage, logins, tickets, nps, rows) to its output
-    column; measures not in ``names`` are skipped.
+    column, in output order.
     """
     out = []
-    if "usage" in names:
-        out.append(avg_exact(_only(cond, "feature_usage_score")).alias(names["usage"]))
-    if "logins" in names:
-        out.append(avg_exact(_only(cond, "logins_count")).alias(names["logins"]))
-    if "tickets" in names:
-        out.append(F.sum(_only(cond, "support_tickets_opened")).alias(names["tickets"]))
-    if "nps" in names:
-        out.append(avg_exact(_only(cond, "nps_score")).alias(names["nps"]))
-    if "rows" in names:
-        rows = F.lit(1) if cond is None else F.when(cond, 1)
-        out.append(F.count(rows).alias(names["rows"]))
+    for measure, name in names.items():
+        if measure == "rows":
+            out.append(col(f"COUNT({_only(cond, '1')})", name))
+        elif measure == "tickets":
+            out.append(col(f"SUM({_only(cond, _MEASURES[measure])})", name))
+        else:
+            out.append(col(avg_exact(_only(cond, _MEASURES[measure])), name))
     return out
 
 
@@ -116,20 +121,16 @@ def churn_period_metrics(act: DataFrame, as_of: dt.date, weeks: int = 4) -> Data
     customers with at least one current row reproduces the left join from
     the current period (a customer silent in the current period is absent).
     """
-    split = F.lit(days_before(as_of, 7 * weeks))
-    cur = F.col(DATE) >= split
-    prior = F.col(DATE) < split
+    cur, prior = since(as_of, 7 * weeks), before(as_of, 7 * weeks)
     return (half_open_period(act, as_of, 14 * weeks, 0)
             .groupBy(KEY)
             .agg(*measure_aggs(CURRENT_NAMES, cur), *measure_aggs(PRIOR_NAMES, prior))
-            .filter(F.col("current_weeks_active") > 0))
+            .filter("current_weeks_active > 0"))
 
 
 def usage_trend_60d(act: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Recent (>= as_of-30d) vs prior ([as_of-60d, as_of-30d)) usage and logins."""
-    split = F.lit(days_before(as_of, days))
-    recent = F.col(DATE) >= split
-    prior = F.col(DATE) < split
+    recent, prior = since(as_of, days), before(as_of, days)
     return (trailing_window(act, as_of, 2 * days).groupBy(KEY)
             .agg(*measure_aggs({"logins": "recent_logins"}, recent),
                  *measure_aggs({"logins": "prior_logins"}, prior),
@@ -144,14 +145,12 @@ def expansion_period_metrics(act: DataFrame, as_of: dt.date, days: int = 30) ->
     at least one recent row (the inner side of the reference's join); the
     trend side always matches because its rows include the recent ones.
     """
-    split = F.lit(days_before(as_of, days))
-    recent = F.col(DATE) >= split
-    prior = F.col(DATE) < split
+    recent, prior = since(as_of, days), before(as_of, days)
     return (trailing_window(act, as_of, 2 * days).groupBy(KEY)
             .agg(*measure_aggs(EXPANSION_RECENT_NAMES, recent),
                  *measure_aggs({"usage": "recent_usage"}, recent),
                  *measure_aggs({"usage": "prior_usage"}, prior))
-            .filter(F.col("weeks_active") > 0))
+            .filter("weeks_active > 0"))
 
 
 def activity_partials(act: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
@@ -161,10 +160,9 @@ def activity_partials(act: DataFrame, as_of: dt.date, days: int = 30) -> DataFra
     computed from one small row per customer: the fact table is reduced
     before it is joined, so a heavy customer never travels as raw rows.
     """
-    def pair(name: str, col: str) -> list[Column]:
-        return [F.sum(col).alias(f"{name}_sum"), F.count(col).alias(f"{name}_n")]
-
-    return (trailing_window(act, as_of, days).groupBy(KEY)
-            .agg(*pair("logins", "logins_count"), *pair("usage", "feature_usage_score"),
-                 *pair("nps", "nps_score"),
-                 F.sum("support_tickets_opened").alias("tickets_sum")))
+    aggs = []
+    for name, column in (("logins", "logins_count"), ("usage", "feature_usage_score"),
+                         ("nps", "nps_score")):
+        aggs += [col(f"SUM({column})", f"{name}_sum"), col(f"COUNT({column})", f"{name}_n")]
+    aggs.append(col("SUM(support_tickets_opened)", "tickets_sum"))
+    return trailing_window(act, as_of, days).groupBy(KEY).agg(*aggs)

@@ -24,71 +24,67 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.numeric import mean_of
-from .periods import KEY, days_before
+from ..functions.sql import col, named
+from .periods import KEY, since
 
 RECENT_ROWS = 8
-
-
-def latest_first() -> Window:
-    return Window.partitionBy(KEY).orderBy(F.col("activity_date").desc(),
-                                           F.col("activity_id").desc())
+LATEST_FIRST = f"PARTITION BY {KEY} ORDER BY activity_date DESC, activity_id DESC"
+ROLLING_4 = f"{LATEST_FIRST} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING"
 
 
 def trend_rows(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
     """Rows inside the trend horizon (applied before any window)."""
-    return act.filter(F.col("activity_date") >= F.lit(days_before(as_of, 7 * weeks)))
+    return act.filter(since(as_of, 7 * weeks))
 
 
-def _rolling_mean(col: str, frame: Window) -> Column:
-    return mean_of(F.sum(col).over(frame), F.count(col).over(frame))
+def _rolling_mean(column: str) -> str:
+    return mean_of(f"SUM({column}) OVER ({ROLLING_4})", f"COUNT({column}) OVER ({ROLLING_4})")
 
 
 def weekly_window_metrics(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
-    w = latest_first()
-    rolling = w.rowsBetween(Window.currentRow, 3)
-    return (trend_rows(act, as_of, weeks)
-            .select(KEY, "activity_date", "activity_id", "logins_count", "feature_usage_score",
-                    "support_tickets_opened", "nps_score",
-                    F.lead("logins_count", 1).over(w).alias("prev_week_logins"),
-                    F.lead("feature_usage_score", 1).over(w).alias("prev_week_usage"),
-                    F.lag("logins_count", 1).over(w).alias("next_week_logins"),
-                    F.lag("feature_usage_score", 1).over(w).alias("next_week_usage"),
-                    _rolling_mean("logins_count", rolling).alias("rolling_4wk_logins"),
-                    _rolling_mean("feature_usage_score", rolling).alias("rolling_4wk_usage"),
-                    F.row_number().over(w).alias("weeks_ago")))
+    return trend_rows(act, as_of, weeks).selectExpr(
+        KEY, "activity_date", "activity_id", "logins_count", "feature_usage_score",
+        "support_tickets_opened", "nps_score",
+        named(f"lead(logins_count, 1) OVER ({LATEST_FIRST})", "prev_week_logins"),
+        named(f"lead(feature_usage_score, 1) OVER ({LATEST_FIRST})", "prev_week_usage"),
+        named(f"lag(logins_count, 1) OVER ({LATEST_FIRST})", "next_week_logins"),
+        named(f"lag(feature_usage_score, 1) OVER ({LATEST_FIRST})", "next_week_usage"),
+        named(_rolling_mean("logins_count"), "rolling_4wk_logins"),
+        named(_rolling_mean("feature_usage_score"), "rolling_4wk_usage"),
+        named(f"CAST(row_number() OVER ({LATEST_FIRST}) AS BIGINT)", "weeks_ago"))
 
 
 def recent_rows(act: DataFrame, as_of: dt.date, weeks: int = 12,
                 keep: int = RECENT_ROWS) -> DataFrame:
     """The ``keep`` latest rows per customer with their ``weeks_ago`` rank."""
     return (trend_rows(act, as_of, weeks)
-            .select(KEY, "logins_count", "feature_usage_score",
-                    F.row_number().over(latest_first()).alias("weeks_ago"))
-            .filter(F.col("weeks_ago") <= keep))
+            .selectExpr(KEY, "logins_count", "feature_usage_score",
+                        named(f"row_number() OVER ({LATEST_FIRST})", "weeks_ago"))
+            .filter(f"weeks_ago <= {keep}"))
 
 
-def recent_trends(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
-    """Current / previous week, 4-row averages at weeks_ago 1 and 5, rows in last 8."""
-    k = F.col("weeks_ago")
+def _at(n: int, column: str) -> str:
+    return f"MAX(CASE WHEN weeks_ago = {n} THEN {column} END)"
+
 
-    def at(n: int, col: str) -> Column:
-        return F.max(F.when(k == n, F.col(col)))
+def _mean_between(lo: int, hi: int, column: str) -> str:
+    picked = f"CASE WHEN weeks_ago BETWEEN {lo} AND {hi} THEN {column} END"
+    return mean_of(f"SUM({picked})", f"COUNT({picked})")
 
-    def mean_between(lo: int, hi: int, col: str) -> Column:
-        picked = F.when(k.between(lo, hi), F.col(col))
-        return mean_of(F.sum(picked), F.count(picked))
 
+def recent_trends(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
+    """Current / previous week, 4-row averages at weeks_ago 1 and 5, rows in last 8."""
     return (recent_rows(act, as_of, weeks).groupBy(KEY)
-            .agg(at(1, "logins_count").alias("current_logins"),
-                 at(1, "feature_usage_score").alias("current_usage"),
-                 mean_between(1, 4, "logins_count").alias("current_4wk_avg_logins"),
-                 mean_between(1, 4, "feature_usage_score").alias("current_4wk_avg_usage"),
-                 at(2, "logins_count").alias("prev_logins"),
-                 at(2, "feature_usage_score").alias("prev_usage"),
-                 mean_between(5, 8, "logins_count").alias("baseline_4wk_logins"),
-                 mean_between(5, 8, "feature_usage_score").alias("baseline_4wk_usage"),
-                 F.count(F.when(k <= RECENT_ROWS, 1)).alias("active_weeks_count")))
+            .agg(col(_at(1, "logins_count"), "current_logins"),
+                 col(_at(1, "feature_usage_score"), "current_usage"),
+                 col(_mean_between(1, 4, "logins_count"), "current_4wk_avg_logins"),
+                 col(_mean_between(1, 4, "feature_usage_score"), "current_4wk_avg_usage"),
+                 col(_at(2, "logins_count"), "prev_logins"),
+                 col(_at(2, "feature_usage_score"), "prev_usage"),
+                 col(_mean_between(5, 8, "logins_count"), "baseline_4wk_logins"),
+                 col(_mean_between(5, 8, "feature_usage_score"), "baseline_4wk_usage"),
+                 col(f"COUNT(CASE WHEN weeks_ago <= {RECENT_ROWS} THEN 1 END)",
+                     "active_weeks_count")))

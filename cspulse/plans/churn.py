@@ -14,34 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.numeric import dec
+from ..functions.sql import named
 from ..operators.enrich import enrich, top_k
 from ..operators.periods import churn_period_metrics
 
 SIGNALS = ["usage_decline_risk", "support_burden_risk", "nps_decline_risk",
            "login_decline_risk", "inactivity_risk"]
+FLAGS = ["usage_flag", "support_flag", "nps_flag", "login_flag", "activity_flag"]
 METRICS = ["current_avg_usage", "prior_avg_usage", "current_avg_logins", "prior_avg_logins",
            "current_tickets", "current_avg_nps"]
 
 
 def risk_signals(periods: DataFrame) -> DataFrame:
-    c = F.col
-    return periods.select(
+    return periods.selectExpr(
         "customer_id",
-        rules.usage_decline_risk(c("current_avg_usage"), c("prior_avg_usage"))
-        .alias("usage_decline_risk"),
-        rules.support_burden_risk(c("current_tickets")).alias("support_burden_risk"),
-        rules.nps_decline_risk(c("current_avg_nps"), c("prior_avg_nps")).alias("nps_decline_risk"),
-        rules.login_decline_risk(c("current_avg_logins"), c("prior_avg_logins"))
-        .alias("login_decline_risk"),
-        rules.inactivity_risk(c("current_weeks_active")).alias("inactivity_risk"),
+        named(rules.usage_decline_risk("current_avg_usage", "prior_avg_usage"),
+              "usage_decline_risk"),
+        named(rules.support_burden_risk("current_tickets"), "support_burden_risk"),
+        named(rules.nps_decline_risk("current_avg_nps", "prior_avg_nps"), "nps_decline_risk"),
+        named(rules.login_decline_risk("current_avg_logins", "prior_avg_logins"),
+              "login_decline_risk"),
+        named(rules.inactivity_risk("current_weeks_active"), "inactivity_risk"),
         *METRICS)
 
 
 def risk_scores(signals: DataFrame, cap: int = rules.CHURN_CAP) -> DataFrame:
-    return signals.select(
-        "customer_id",
-        rules.capped_sum([F.col(s) for s in SIGNALS], cap).alias("churn_risk_score"),
+    return signals.selectExpr(
+        "customer_id", named(rules.capped_sum(SIGNALS, cap), "churn_risk_score"),
         *SIGNALS, *METRICS)
 
 
@@ -49,26 +48,24 @@ def churn_risk(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                limit: int | None = 100, weeks: int = 4,
                statuses=("Active", "At Risk")) -> DataFrame:
     scores = risk_scores(risk_signals(churn_period_metrics(activity, as_of, weeks)))
-    score = F.col("churn_risk_score")
-    joined = enrich(scores.filter(score > 0), customers,
+    score = "churn_risk_score"
+    joined = enrich(scores.filter(f"{score} > 0"), customers,
                     ["company_name", "plan_type", "mrr", "account_owner", "signup_date"],
                     statuses=list(statuses))
-    flags = [rules.flag(F.col(s), text).alias(name) for s, text, name in zip(
-        SIGNALS, rules.CHURN_FLAGS,
-        ["usage_flag", "support_flag", "nps_flag", "login_flag", "activity_flag"])]
-    out = joined.select(
+    out = joined.selectExpr(
         "customer_id", "company_name", "plan_type", "mrr", "account_owner", "signup_date",
-        "churn_risk_score",
-        rules.at_least(score, rules.RISK_CATEGORIES).alias("risk_category"),
-        *flags,
-        F.col("mrr").alias("monthly_revenue_at_risk"),
-        (F.col("mrr") * dec(12)).alias("annual_revenue_at_risk"),
-        F.round("current_avg_usage", 1).alias("current_usage"),
-        F.round("prior_avg_usage", 1).alias("prior_usage"),
-        F.round("current_avg_logins", 1).alias("current_logins"),
-        F.round("prior_avg_logins", 1).alias("prior_logins"),
-        F.col("current_tickets").alias("tickets_last_4wks"),
-        F.round("current_avg_nps", 1).alias("current_nps"),
-        rules.at_least(score, rules.CHURN_ACTIONS).alias("recommended_action"))
-    return top_k(out, [score.desc(), F.col("mrr").desc_nulls_first(),
+        score,
+        named(rules.at_least(score, rules.RISK_CATEGORIES), "risk_category"),
+        *[named(rules.flag(s, text), name)
+          for s, text, name in zip(SIGNALS, rules.CHURN_FLAGS, FLAGS)],
+        "mrr AS monthly_revenue_at_risk",
+        "mrr * 12 AS annual_revenue_at_risk",
+        "ROUND(current_avg_usage, 1) AS current_usage",
+        "ROUND(prior_avg_usage, 1) AS prior_usage",
+        "ROUND(current_avg_logins, 1) AS current_logins",
+        "ROUND(prior_avg_logins, 1) AS prior_logins",
+        "current_tickets AS tickets_last_4wks",
+        "ROUND(current_avg_nps, 1) AS current_nps",
+        named(rules.at_least(score, rules.CHURN_ACTIONS), "recommended_action"))
+    return top_k(out, [F.col(score).desc(), F.col("mrr").desc_nulls_first(),
                        F.col("customer_id").asc()], limit)

@@ -22,83 +22,79 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dates import age_month_part, age_total_months, month_trunc
 from ..functions.numeric import avg_exact, mean_of, pct_of, ratio_pct
+from ..functions.sql import col, lit, named
 from ..operators.enrich import top_k
 from ..operators.periods import activity_partials
 
 COHORT = "cohort_month"
+BASE_COLUMNS = ["customer_id", "company_name", COHORT, "signup_date", "industry", "status",
+                "current_plan", "current_mrr"]
 
 
 def cohort_base(customers: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    base = customers.select(
-        "customer_id", "company_name", month_trunc(F.col("signup_date")).alias(COHORT),
-        "signup_date", "industry", "status",
-        F.col("plan_type").alias("current_plan"), F.col("mrr").alias("current_mrr"))
+    base = customers.selectExpr(
+        "customer_id", "company_name", named(month_trunc("signup_date"), COHORT),
+        "signup_date", "industry", "status", "plan_type AS current_plan", "mrr AS current_mrr")
     if baseline is None:
-        return base.select("*", F.col("current_plan").alias("starting_plan"),
-                           F.col("current_mrr").alias("starting_mrr"))
-    snap = baseline.select("customer_id", F.col("starting_plan").alias("_sp"),
-                           F.col("starting_mrr").alias("_sm"))
+        return base.selectExpr("*", "current_plan AS starting_plan",
+                               "current_mrr AS starting_mrr")
+    snap = baseline.selectExpr("customer_id", "starting_plan AS _sp", "starting_mrr AS _sm")
     return (base.join(snap, "customer_id", "left")
-            .select(*base.columns,
-                    F.coalesce("_sp", "current_plan").alias("starting_plan"),
-                    F.coalesce("_sm", "current_mrr").alias("starting_mrr")))
+            .selectExpr(*BASE_COLUMNS,
+                        "COALESCE(_sp, current_plan) AS starting_plan",
+                        "COALESCE(_sm, current_mrr) AS starting_mrr"))
 
 
-def _count_if(cond: Column) -> Column:
-    return F.count(F.when(cond, 1))
+def _count_if(cond: str) -> str:
+    return f"COUNT(CASE WHEN {cond} THEN 1 END)"
 
 
 def cohort_metrics(base: DataFrame, as_of: dt.date, by: Sequence[str] = ()) -> DataFrame:
     """Starting mix, status, MRR and upgrades per cohort (one aggregate)."""
-    c = F.col
-    active = c("status") == "Active"
-    keys = [COHORT, *by]
-    return (base.filter(c(COHORT).isNotNull())
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("cohort_size"),
-                 _count_if(c("starting_plan") == "Starter").alias("starter_count"),
-                 _count_if(c("starting_plan") == "Professional").alias("professional_count"),
-                 _count_if(c("starting_plan") == "Enterprise").alias("enterprise_count"),
-                 F.sum("starting_mrr").alias("starting_mrr"),
-                 avg_exact(c("starting_mrr")).alias("avg_starting_mrr"),
-                 _count_if(active).alias("active_customers"),
-                 _count_if(c("status") == "At Risk").alias("at_risk_customers"),
-                 _count_if(c("status") == "Churned").alias("churned_customers"),
-                 F.sum("current_mrr").alias("current_mrr"),
-                 F.sum(F.when(active, c("current_mrr")).otherwise(F.lit(0))).alias("active_mrr"),
-                 _count_if((c("starting_plan") == "Starter") & (c("current_plan") == "Professional"))
-                 .alias("starter_to_pro_upgrades"),
-                 _count_if((c("starting_plan") == "Professional")
-                           & (c("current_plan") == "Enterprise"))
-                 .alias("pro_to_enterprise_upgrades"))
-            .withColumn("cohort_age_months", age_month_part(F.lit(as_of), c(COHORT))))
+    return (base.filter(f"{COHORT} IS NOT NULL")
+            .groupBy(COHORT, *by)
+            .agg(col("COUNT(1)", "cohort_size"),
+                 col(_count_if("starting_plan = 'Starter'"), "starter_count"),
+                 col(_count_if("starting_plan = 'Professional'"), "professional_count"),
+                 col(_count_if("starting_plan = 'Enterprise'"), "enterprise_count"),
+                 col("SUM(starting_mrr)", "starting_mrr"),
+                 col(avg_exact("starting_mrr"), "avg_starting_mrr"),
+                 col(_count_if("status = 'Active'"), "active_customers"),
+                 col(_count_if("status = 'At Risk'"), "at_risk_customers"),
+                 col(_count_if("status = 'Churned'"), "churned_customers"),
+                 col("SUM(current_mrr)", "current_mrr"),
+                 col("SUM(CASE WHEN status = 'Active' THEN current_mrr ELSE 0 END)", "active_mrr"),
+                 col(_count_if("starting_plan = 'Starter' AND current_plan = 'Professional'"),
+                     "starter_to_pro_upgrades"),
+                 col(_count_if("starting_plan = 'Professional' AND current_plan = 'Enterprise'"),
+                     "pro_to_enterprise_upgrades"))
+            .withColumn("cohort_age_months", col(age_month_part(lit(as_of), COHORT))))
 
 
 def cohort_engagement(base: DataFrame, activity: DataFrame, as_of: dt.date, days: int = 30,
                       by: Sequence[str] = ()) -> DataFrame:
     """Row-weighted 30-day engagement of Active customers per cohort."""
-    members = base.filter((F.col("status") == "Active") & F.col(COHORT).isNotNull()) \
-        .select("customer_id", COHORT, *by)
+    members = (base.filter(f"status = 'Active' AND {COHORT} IS NOT NULL")
+               .select("customer_id", COHORT, *by))
     per_customer = activity_partials(activity, as_of, days)
-    s = F.sum
     return (per_customer.join(members, "customer_id", "inner")
             .groupBy(COHORT, *by)
-            .agg(mean_of(s("logins_sum"), s("logins_n")).alias("avg_logins"),
-                 mean_of(s("usage_sum"), s("usage_n")).alias("avg_usage_score"),
-                 mean_of(s("nps_sum"), s("nps_n")).alias("avg_nps"),
-                 s("tickets_sum").alias("total_tickets")))
+            .agg(col(mean_of("SUM(logins_sum)", "SUM(logins_n)"), "avg_logins"),
+                 col(mean_of("SUM(usage_sum)", "SUM(usage_n)"), "avg_usage_score"),
+                 col(mean_of("SUM(nps_sum)", "SUM(nps_n)"), "avg_nps"),
+                 col("SUM(tickets_sum)", "total_tickets")))
 
 
 def cohort_age(base: DataFrame, as_of: dt.date) -> DataFrame:
     """Month field of AGE(as_of, cohort_month) per distinct cohort."""
-    return (base.select(COHORT).filter(F.col(COHORT).isNotNull()).distinct()
-            .withColumn("cohort_age_months", age_month_part(F.lit(as_of), F.col(COHORT))))
+    return (base.select(COHORT).filter(f"{COHORT} IS NOT NULL").distinct()
+            .withColumn("cohort_age_months", col(age_month_part(lit(as_of), COHORT))))
 
 
 def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
@@ -108,40 +104,37 @@ def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
     base = cohort_base(customers, baseline)
     metrics = cohort_metrics(base, as_of, by)
     engagement = cohort_engagement(base, activity, as_of, days, by)
-    c = F.col
-    joined = metrics.join(engagement, [COHORT, *by], "left")
-    revenue_ratio = ratio_pct(c("current_mrr"), c("starting_mrr"))
-    return joined.select(
+    revenue_ratio = ratio_pct("current_mrr", "starting_mrr")
+    return metrics.join(engagement, [COHORT, *by], "left").selectExpr(
         COHORT, *by, "cohort_age_months", "cohort_size", "starter_count", "professional_count",
         "enterprise_count",
-        "active_customers", pct_of(c("active_customers"), c("cohort_size"))
-        .alias("customer_retention_rate"),
-        "at_risk_customers", pct_of(c("at_risk_customers"), c("cohort_size")).alias("at_risk_rate"),
-        "churned_customers", pct_of(c("churned_customers"), c("cohort_size")).alias("churn_rate"),
-        F.round("starting_mrr", 2).alias("starting_mrr"),
-        F.round("current_mrr", 2).alias("current_mrr"),
-        F.round(revenue_ratio, 1).alias("revenue_retention_rate"),
-        F.round(c("current_mrr") - c("starting_mrr"), 2).alias("net_mrr_change"),
+        "active_customers", named(pct_of("active_customers", "cohort_size"),
+                                  "customer_retention_rate"),
+        "at_risk_customers", named(pct_of("at_risk_customers", "cohort_size"), "at_risk_rate"),
+        "churned_customers", named(pct_of("churned_customers", "cohort_size"), "churn_rate"),
+        "ROUND(starting_mrr, 2) AS starting_mrr",
+        "ROUND(current_mrr, 2) AS current_mrr",
+        named(f"ROUND({revenue_ratio}, 1)", "revenue_retention_rate"),
+        "ROUND(current_mrr - starting_mrr, 2) AS net_mrr_change",
         "starter_to_pro_upgrades", "pro_to_enterprise_upgrades",
-        pct_of(c("starter_to_pro_upgrades") + c("pro_to_enterprise_upgrades"), c("cohort_size"))
-        .alias("upgrade_rate"),
-        F.round("avg_logins", 1).alias("avg_weekly_logins"),
-        F.round("avg_usage_score", 1).alias("avg_usage_score"),
-        F.round("avg_nps", 1).alias("avg_nps"),
-        F.col("total_tickets").alias("total_support_tickets_30d"),
-        F.round("avg_starting_mrr", 2).alias("avg_starting_mrr_per_customer"),
-        F.round(mean_of(c("active_mrr"), c("active_customers")), 2)
-        .alias("avg_current_mrr_per_active_customer"),
-        rules.at_least(revenue_ratio, rules.COHORT_HEALTH).alias("cohort_health"),
-        rules.lifecycle_stage(c("cohort_age_months")).alias("lifecycle_stage"))
+        named(pct_of("starter_to_pro_upgrades + pro_to_enterprise_upgrades", "cohort_size"),
+              "upgrade_rate"),
+        "ROUND(avg_logins, 1) AS avg_weekly_logins",
+        "ROUND(avg_usage_score, 1) AS avg_usage_score",
+        "ROUND(avg_nps, 1) AS avg_nps",
+        "total_tickets AS total_support_tickets_30d",
+        "ROUND(avg_starting_mrr, 2) AS avg_starting_mrr_per_customer",
+        named(f"ROUND({mean_of('active_mrr', 'active_customers')}, 2)",
+              "avg_current_mrr_per_active_customer"),
+        named(rules.at_least(revenue_ratio, rules.COHORT_HEALTH), "cohort_health"),
+        named(rules.lifecycle_stage("cohort_age_months"), "lifecycle_stage"))
 
 
 def cohort_retention(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                      min_size: int = 5, limit: int | None = 24,
                      baseline: DataFrame | None = None, days: int = 30) -> DataFrame:
     table = cohort_table(customers, activity, as_of, baseline, days=days)
-    kept = table.filter(F.col("cohort_size") >= min_size)
-    return top_k(kept, [F.col(COHORT).desc()], limit)
+    return top_k(table.filter(f"cohort_size >= {min_size}"), [F.col(COHORT).desc()], limit)
 
 
 def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
@@ -157,9 +150,9 @@ def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
     visits = activity.select("customer_id", "activity_date").distinct()
     months = age_total_months if total_months else age_month_part
     joined = visits.join(customers.select("customer_id", "signup_date"), "customer_id", "inner")
-    return (joined.select(month_trunc(F.col("signup_date")).alias(COHORT),
-                          months(F.col("activity_date"), F.col("signup_date"))
-                          .alias("months_since_signup"),
-                          "customer_id")
+    return (joined.selectExpr(named(month_trunc("signup_date"), COHORT),
+                              named(months("activity_date", "signup_date"),
+                                    "months_since_signup"),
+                              "customer_id")
             .groupBy(COHORT, "months_since_signup")
-            .agg(F.count_distinct("customer_id").alias("active_customers")))
+            .agg(col("COUNT(DISTINCT customer_id)", "active_customers")))

@@ -17,64 +17,58 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.dates import age_month_part
 from ..functions.numeric import pct_change
+from ..functions.sql import lit, named
 from ..operators.enrich import enrich, top_k
 from ..operators.periods import expansion_period_metrics
 
 SIGNALS = ["plan_ceiling_signal", "adoption_signal", "growth_signal", "satisfaction_signal",
            "mastery_signal"]
+FLAGS = ["ceiling_flag", "adoption_flag", "growth_flag", "satisfaction_flag", "mastery_flag"]
 CARRIED = ["avg_logins", "avg_usage_score", "total_tickets", "avg_nps", "recent_usage",
            "prior_usage", "plan_type", "mrr", "company_name", "account_owner", "signup_date"]
 
 
 def expansion_signals(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                       days: int = 30) -> DataFrame:
-    c = F.col
     joined = enrich(expansion_period_metrics(activity, as_of, days), customers,
                     ["plan_type", "mrr", "company_name", "account_owner", "signup_date"],
                     statuses=["Active"])
-    return joined.select(
+    return joined.selectExpr(
         "customer_id",
-        rules.plan_ceiling_signal(c("plan_type"), c("avg_usage_score")).alias("plan_ceiling_signal"),
-        rules.at_least(c("avg_usage_score"), rules.ADOPTION).alias("adoption_signal"),
-        rules.growth_signal(c("recent_usage"), c("prior_usage")).alias("growth_signal"),
-        rules.at_least(c("avg_nps"), rules.SATISFACTION).alias("satisfaction_signal"),
-        rules.mastery_signal(c("total_tickets"), c("avg_usage_score")).alias("mastery_signal"),
+        named(rules.plan_ceiling_signal("plan_type", "avg_usage_score"), "plan_ceiling_signal"),
+        named(rules.at_least("avg_usage_score", rules.ADOPTION), "adoption_signal"),
+        named(rules.growth_signal("recent_usage", "prior_usage"), "growth_signal"),
+        named(rules.at_least("avg_nps", rules.SATISFACTION), "satisfaction_signal"),
+        named(rules.mastery_signal("total_tickets", "avg_usage_score"), "mastery_signal"),
         *CARRIED)
 
 
 def expansion_scores(signals: DataFrame) -> DataFrame:
-    total = F.col(SIGNALS[0])
-    for s in SIGNALS[1:]:
-        total = total + F.col(s)
-    return signals.select("customer_id", total.alias("expansion_score"), *SIGNALS, *CARRIED)
+    return signals.selectExpr("customer_id", named(" + ".join(SIGNALS), "expansion_score"),
+                              *SIGNALS, *CARRIED)
 
 
 def expansion_opportunities(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                             limit: int | None = 100, days: int = 30,
                             min_score: int = 20, exclude_plan: str = "Enterprise") -> DataFrame:
     scores = expansion_scores(expansion_signals(customers, activity, as_of, days))
-    score = F.col("expansion_score")
-    plan = F.col("plan_type")
-    flags = [rules.flag(F.col(s), text).alias(name) for s, text, name in zip(
-        SIGNALS, rules.EXPANSION_FLAGS,
-        ["ceiling_flag", "adoption_flag", "growth_flag", "satisfaction_flag", "mastery_flag"])]
-    out = scores.filter((score >= min_score) & (plan != exclude_plan)).select(
-        "customer_id", "company_name",
-        plan.alias("current_plan"), F.col("mrr").alias("current_mrr"),
+    score = "expansion_score"
+    out = scores.filter(f"{score} >= {min_score} AND plan_type != {lit(exclude_plan)}").selectExpr(
+        "customer_id", "company_name", "plan_type AS current_plan", "mrr AS current_mrr",
         "account_owner", "signup_date",
-        age_month_part(F.lit(as_of), F.col("signup_date")).alias("months_as_customer"),
-        "expansion_score",
-        rules.at_least(score, rules.EXPANSION_READINESS).alias("expansion_readiness"),
-        rules.expansion_opportunity(plan, F.col("plan_ceiling_signal"), F.col("adoption_signal"),
-                                    F.col("growth_signal")).alias("expansion_opportunity"),
-        rules.estimated_expansion_mrr(plan, F.col("mrr")).alias("estimated_expansion_mrr"),
-        *flags,
-        F.round("avg_usage_score", 1).alias("avg_usage_score"),
-        F.round("avg_logins", 1).alias("avg_weekly_logins"),
-        F.col("total_tickets").alias("tickets_last_30d"),
-        F.round("avg_nps", 1).alias("nps_score"),
-        pct_change(F.col("recent_usage"), F.col("prior_usage"), guard="notnull")
-        .alias("usage_growth_pct"),
-        rules.at_least(score, rules.TALKING_POINTS).alias("sales_talking_points"))
-    return top_k(out, [score.desc(), F.col("current_mrr").desc_nulls_first(),
+        named(age_month_part(lit(as_of), "signup_date"), "months_as_customer"),
+        score,
+        named(rules.at_least(score, rules.EXPANSION_READINESS), "expansion_readiness"),
+        named(rules.expansion_opportunity("plan_type", "plan_ceiling_signal", "adoption_signal",
+                                          "growth_signal"), "expansion_opportunity"),
+        named(rules.estimated_expansion_mrr("plan_type", "mrr"), "estimated_expansion_mrr"),
+        *[named(rules.flag(s, text), name)
+          for s, text, name in zip(SIGNALS, rules.EXPANSION_FLAGS, FLAGS)],
+        "ROUND(avg_usage_score, 1) AS avg_usage_score",
+        "ROUND(avg_logins, 1) AS avg_weekly_logins",
+        "total_tickets AS tickets_last_30d",
+        "ROUND(avg_nps, 1) AS nps_score",
+        named(pct_change("recent_usage", "prior_usage", guard="notnull"), "usage_growth_pct"),
+        named(rules.at_least(score, rules.TALKING_POINTS), "sales_talking_points"))
+    return top_k(out, [F.col(score).desc(), F.col("current_mrr").desc_nulls_first(),
                        F.col("customer_id").asc()], limit)

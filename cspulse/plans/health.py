@@ -1,7 +1,7 @@
 """Customer health scoring (weighted usage / support / engagement score).
 
 Plan: one scan of the trailing 30 days -> per-customer partial+final
-aggregate -> Column rules -> join with Active customers -> top-k.
+aggregate -> rule expressions -> join with Active customers -> top-k.
 """
 
 from __future__ import annotations
@@ -12,48 +12,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.numeric import dec, round_num
+from ..functions.numeric import round_num
+from ..functions.sql import named
 from ..operators.enrich import enrich, top_k
 from ..operators.periods import recent_activity
 
+RAW = ["avg_usage_score", "avg_logins", "total_tickets", "avg_nps"]
+
 
 def health_dimensions(recent: DataFrame) -> DataFrame:
     """Unrounded usage, support and engagement health per customer."""
-    return recent.select(
+    return recent.selectExpr(
         "customer_id",
-        F.coalesce(F.col("avg_usage_score"), dec(0)).alias("usage_health"),
-        rules.support_health(F.col("total_tickets")).alias("support_health"),
-        rules.engagement_health(F.col("avg_logins"), F.col("avg_nps")).alias("engagement_health"),
-        "avg_usage_score", "avg_logins", "total_tickets", "avg_nps")
+        "COALESCE(avg_usage_score, 0) AS usage_health",
+        named(rules.support_health("total_tickets"), "support_health"),
+        named(rules.engagement_health("avg_logins", "avg_nps"), "engagement_health"),
+        *RAW)
 
 
 def health_scores(dims: DataFrame, weights: dict = rules.HEALTH_WEIGHTS) -> DataFrame:
     """Rounded dimensions and the weighted overall score (from unrounded inputs)."""
-    return dims.select(
+    return dims.selectExpr(
         "customer_id",
-        F.round("usage_health", 1).alias("usage_health_score"),
-        round_num(F.col("support_health"), 1).alias("support_health_score"),
-        round_num(F.col("engagement_health"), 1).alias("engagement_health_score"),
-        rules.weighted_health(F.col("usage_health"), F.col("support_health"),
-                              F.col("engagement_health"), weights).alias("overall_health_score"),
-        "avg_usage_score", "avg_logins", "total_tickets", "avg_nps")
+        "ROUND(usage_health, 1) AS usage_health_score",
+        named(round_num("support_health", 1), "support_health_score"),
+        named(round_num("engagement_health", 1), "engagement_health_score"),
+        named(rules.weighted_health("usage_health", "support_health", "engagement_health",
+                                    weights), "overall_health_score"),
+        *RAW)
+
+
+def grade_and_action(score: str = "overall_health_score") -> list[str]:
+    return [named(rules.at_least(score, rules.HEALTH_GRADES), "health_grade"),
+            named(rules.at_least(score, rules.HEALTH_ACTIONS), "recommended_action")]
 
 
 def customer_health(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                     limit: int | None = 100, days: int = 30,
                     weights: dict = rules.HEALTH_WEIGHTS) -> DataFrame:
     scores = health_scores(health_dimensions(recent_activity(activity, as_of, days)), weights)
-    overall = F.col("overall_health_score")
     out = enrich(scores, customers, ["company_name", "plan_type", "mrr", "account_owner"],
-                 statuses=["Active"]).select(
+                 statuses=["Active"]).selectExpr(
         "customer_id", "company_name", "plan_type", "mrr", "account_owner",
         "overall_health_score", "usage_health_score", "support_health_score",
-        "engagement_health_score",
-        rules.at_least(overall, rules.HEALTH_GRADES).alias("health_grade"),
-        rules.at_least(overall, rules.HEALTH_ACTIONS).alias("recommended_action"),
-        F.round("avg_usage_score", 1).alias("avg_feature_usage"),
-        F.round("avg_logins", 1).alias("avg_weekly_logins"),
-        F.col("total_tickets").alias("tickets_last_30d"),
-        F.round("avg_nps", 1).alias("avg_nps_score"))
-    return top_k(out, [overall.asc(), F.col("mrr").desc_nulls_first(),
+        "engagement_health_score", *grade_and_action(),
+        "ROUND(avg_usage_score, 1) AS avg_feature_usage",
+        "ROUND(avg_logins, 1) AS avg_weekly_logins",
+        "total_tickets AS tickets_last_30d",
+        "ROUND(avg_nps, 1) AS avg_nps_score")
+    return top_k(out, [F.col("overall_health_score").asc(), F.col("mrr").desc_nulls_first(),
                        F.col("customer_id").asc()], limit)

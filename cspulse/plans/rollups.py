@@ -15,37 +15,38 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.numeric import avg_exact
+from ..functions.sql import col, named
 from ..operators.enrich import top_k
 
 
 def churn_risk_rollup(churn: DataFrame) -> DataFrame:
     return (churn.groupBy("risk_category")
-            .agg(F.count(F.lit(1)).alias("customer_count"),
-                 F.sum("monthly_revenue_at_risk").alias("total_mrr_at_risk"),
-                 avg_exact(F.col("churn_risk_score")).alias("avg_risk_score")))
+            .agg(col("COUNT(1)", "customer_count"),
+                 col("SUM(monthly_revenue_at_risk)", "total_mrr_at_risk"),
+                 col(avg_exact("churn_risk_score"), "avg_risk_score")))
 
 
 def expansion_pipeline_rollup(expansion: DataFrame) -> DataFrame:
     return (expansion.groupBy("expansion_readiness")
-            .agg(F.count(F.lit(1)).alias("opportunity_count"),
-                 F.sum("estimated_expansion_mrr").alias("total_pipeline_mrr"),
-                 avg_exact(F.col("expansion_score")).alias("avg_readiness_score")))
+            .agg(col("COUNT(1)", "opportunity_count"),
+                 col("SUM(estimated_expansion_mrr)", "total_pipeline_mrr"),
+                 col(avg_exact("expansion_score"), "avg_readiness_score")))
 
 
 def trend_portfolio_rollup(trends: DataFrame) -> DataFrame:
     return (trends.groupBy("trend_category")
-            .agg(F.count(F.lit(1)).alias("customer_count"),
-                 F.round(avg_exact(F.col("overall_trend_score")), 1).alias("avg_trend_score"),
-                 F.sum("mrr").alias("total_mrr"),
-                 F.round(avg_exact(F.col("usage_trend_4wk")), 1).alias("avg_usage_trend_pct")))
+            .agg(col("COUNT(1)", "customer_count"),
+                 col(f"ROUND({avg_exact('overall_trend_score')}, 1)", "avg_trend_score"),
+                 col("SUM(mrr)", "total_mrr"),
+                 col(f"ROUND({avg_exact('usage_trend_4wk')}, 1)", "avg_usage_trend_pct")))
 
 
 def cohort_compare_by(cohorts: DataFrame, dim: str) -> DataFrame:
     """Average retention per segment over a (cohort_month, dim) cohort table."""
     return (cohorts.groupBy(dim)
-            .agg(avg_exact(F.col("customer_retention_rate")).alias("avg_retention"),
-                 avg_exact(F.col("revenue_retention_rate")).alias("avg_revenue_retention"),
-                 F.count(F.lit(1)).alias("cohort_count")))
+            .agg(col(avg_exact("customer_retention_rate"), "avg_retention"),
+                 col(avg_exact("revenue_retention_rate"), "avg_revenue_retention"),
+                 col("COUNT(1)", "cohort_count")))
 
 
 _COHORT_PICK = ["cohort_month", "revenue_retention_rate", "customer_retention_rate",
@@ -53,29 +54,28 @@ _COHORT_PICK = ["cohort_month", "revenue_retention_rate", "customer_retention_ra
 
 
 def best_cohorts(cohorts: DataFrame, n: int = 5) -> DataFrame:
-    rate = F.col("revenue_retention_rate")
     return top_k(cohorts.select(*_COHORT_PICK),
-                 [rate.desc_nulls_first(), F.col("cohort_month").desc()], n)
+                 [F.col("revenue_retention_rate").desc_nulls_first(),
+                  F.col("cohort_month").desc()], n)
 
 
 def worst_cohorts(cohorts: DataFrame, n: int = 5) -> DataFrame:
-    rate = F.col("revenue_retention_rate")
     return top_k(cohorts.select(*_COHORT_PICK),
-                 [rate.asc_nulls_last(), F.col("cohort_month").desc()], n)
+                 [F.col("revenue_retention_rate").asc_nulls_last(),
+                  F.col("cohort_month").desc()], n)
 
 
 def cohort_exec_summary(cohorts: DataFrame, min_age: int = 6) -> DataFrame:
     """Board-level metrics over mature cohorts (``cohort_age_months >= min_age``)."""
-    c = F.col
-    return (cohorts.filter(c("cohort_age_months") >= min_age)
-            .agg(avg_exact(c("customer_retention_rate")).alias("avg_customer_retention"),
-                 avg_exact(c("revenue_retention_rate")).alias("avg_revenue_retention"),
-                 F.sum("current_mrr").alias("total_mrr"),
-                 F.max("revenue_retention_rate").alias("best_cohort_retention"),
-                 F.min("revenue_retention_rate").alias("worst_cohort_retention"),
-                 avg_exact(c("upgrade_rate")).alias("avg_upgrade_rate"),
-                 F.sum(c("starter_to_pro_upgrades") + c("pro_to_enterprise_upgrades"))
-                 .alias("total_upgrades_last_period")))
+    return (cohorts.filter(f"cohort_age_months >= {min_age}")
+            .agg(col(avg_exact("customer_retention_rate"), "avg_customer_retention"),
+                 col(avg_exact("revenue_retention_rate"), "avg_revenue_retention"),
+                 col("SUM(current_mrr)", "total_mrr"),
+                 col("MAX(revenue_retention_rate)", "best_cohort_retention"),
+                 col("MIN(revenue_retention_rate)", "worst_cohort_retention"),
+                 col(avg_exact("upgrade_rate"), "avg_upgrade_rate"),
+                 col("SUM(starter_to_pro_upgrades + pro_to_enterprise_upgrades)",
+                     "total_upgrades_last_period")))
 
 
 # Segment ladder for the trend analysis.  The reference names the segments
@@ -85,17 +85,17 @@ SEGMENTS = {"high_usage": 70, "consistent_weeks": 7, "inconsistent_below": 5}
 
 
 def segment_customers(trends: DataFrame, table: dict = SEGMENTS) -> DataFrame:
-    c = F.col
-    category = c("trend_category")
-    weeks = c("active_weeks_last_8")
+    weeks = "active_weeks_last_8"
     segment = rules.ladder([
-        ((category == "Strong Growth") & (weeks >= table["consistent_weeks"]), "ACCELERATING"),
-        ((category == "Sharp Decline") & (weeks < table["inconsistent_below"]), "ABANDONING"),
-        (category.isin("Declining", "Sharp Decline"), "DECLINING"),
-        (weeks < table["inconsistent_below"], "VOLATILE"),
-        ((c("four_week_avg_usage") >= table["high_usage"])
-         & category.isin("Stable", "Improving", "Strong Growth"), "STABLE POWER USERS"),
+        (f"trend_category = 'Strong Growth' AND {weeks} >= {table['consistent_weeks']}",
+         "ACCELERATING"),
+        (f"trend_category = 'Sharp Decline' AND {weeks} < {table['inconsistent_below']}",
+         "ABANDONING"),
+        ("trend_category IN ('Declining', 'Sharp Decline')", "DECLINING"),
+        (f"{weeks} < {table['inconsistent_below']}", "VOLATILE"),
+        (f"four_week_avg_usage >= {table['high_usage']} "
+         "AND trend_category IN ('Stable', 'Improving', 'Strong Growth')", "STABLE POWER USERS"),
     ], "UNSEGMENTED")
-    return trends.select("customer_id", "company_name", "mrr", "overall_trend_score",
-                         "trend_category", "engagement_consistency", "four_week_avg_usage",
-                         "active_weeks_last_8", segment.alias("segment"))
+    return trends.selectExpr("customer_id", "company_name", "mrr", "overall_trend_score",
+                             "trend_category", "engagement_consistency", "four_week_avg_usage",
+                             weeks, named(segment, "segment"))

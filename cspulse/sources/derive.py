@@ -16,9 +16,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.numeric import dec
+from ..functions.rules import Raw, ladder
+from ..functions.sql import col, lit
 from ..operators.pricing import assign_mrr
 
 # Fixed values of the fixture derivation (FIXTURES.md section 2).
@@ -34,67 +34,70 @@ FIXTURE_AS_OF = dt.date(2024, 7, 29)
 
 
 def derive_customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    bal = F.col("c_acctbal")
-    plan = (F.when(bal < PLAN_BALANCE_CUTS[0][0], PLAN_BALANCE_CUTS[0][1])
-            .when(bal < PLAN_BALANCE_CUTS[1][0], PLAN_BALANCE_CUTS[1][1])
-            .otherwise("Enterprise"))
-    bucket = k % 20
-    status = (F.when(bucket < STATUS_CUTS[0][0], STATUS_CUTS[0][1])
-              .when(bucket < STATUS_CUTS[1][0], STATUS_CUTS[1][1])
-              .otherwise("Churned"))
+    plan = ladder([(f"c_acctbal < {cut}", name) for cut, name in PLAN_BALANCE_CUTS],
+                  "Enterprise")
+    status = ladder([(f"c_custkey % 20 < {cut}", name) for cut, name in STATUS_CUTS], "Churned")
     base = (customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
-            .select(k.cast("int").alias("customer_id"),
-                    F.col("c_name").alias("company_name"),
-                    F.date_add(F.lit(SIGNUP_ORIGIN), ((k * SIGNUP_STEP) % SIGNUP_SPAN).cast("int"))
-                    .alias("signup_date"),
-                    plan.alias("plan_type"),
-                    F.col("c_mktsegment").alias("industry"),
-                    F.col("n_name").alias("account_owner"),
-                    status.alias("status"),
-                    _fixture_variance(k, plan).alias("_variance")))
-    return assign_mrr(base, F.col("_variance")).drop("_variance")
-
-
-def _fixture_variance(k, plan) -> F.Column:
+            .selectExpr("CAST(c_custkey AS INT) AS customer_id",
+                        "c_name AS company_name",
+                        f"date_add({lit(SIGNUP_ORIGIN)}, CAST((c_custkey * {SIGNUP_STEP}) % "
+                        f"{SIGNUP_SPAN} AS INT)) AS signup_date",
+                        f"{plan} AS plan_type",
+                        "c_mktsegment AS industry",
+                        "n_name AS account_owner",
+                        f"{status} AS status",
+                        f"{_fixture_variance('c_custkey', plan)} AS _variance"))
+    return assign_mrr(base, "_variance").drop("_variance")
+
+
+def _fixture_variance(k: str, plan: str) -> str:
     """Deterministic stand-in for RANDOM(): a per-customer value in [0, 1].
 
     ``(k*7919) % span / (span-1)`` times the plan's range lands on whole cents,
     so ``assign_mrr`` yields ``base + ((k*7919) % span) / 100`` exactly.
     """
-    scaled = k * MRR_MULTIPLIER
-    out = None
-    for name, span in MRR_VARIANCE_SPAN.items():
-        value = (scaled % span).cast("decimal(20,0)") / dec(span - 1)
-        out = F.when(plan == name, value) if out is None else out.when(plan == name, value)
-    return out
+    steps = [(f"{plan} = {lit(name)}",
+              Raw(f"CAST(({k} * {MRR_MULTIPLIER}) % {span} AS DECIMAL(20,0)) / {span - 1}"))
+             for name, span in MRR_VARIANCE_SPAN.items()]
+    return ladder(steps)
 
 
 def derive_activity(events: DataFrame) -> DataFrame:
-    day = F.to_date("ts")
-    i = F.datediff(day, F.lit(ACTIVITY_ORIGIN))
-    usage = F.avg("value").cast("decimal(18,6)")
-    capped = F.when(usage > 100, dec(100)).otherwise(usage)
-    top_view = F.max(F.when(F.col("event_type") == "view", F.col("value")))
-    nps = (F.when(top_view.isNull(), F.lit(None))
-           .when(top_view >= 100, F.lit(10))
-           .otherwise(F.floor(top_view / 10)))
-    return (events.select("user_id", "event_type", "value", i.alias("i"))
+    usage = "CAST(avg(value) AS DECIMAL(18,6))"
+    top_view = "max(CASE WHEN event_type = 'view' THEN value END)"
+    return (events.selectExpr("user_id", "event_type", "value",
+                              f"datediff(to_date(ts), {lit(ACTIVITY_ORIGIN)}) AS i")
             .groupBy("user_id", "i")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.round(capped, 0).cast("int").alias("feature_usage_score"),
-                 F.count(F.when(F.col("event_type") == "error", 1)).cast("int")
-                 .alias("support_tickets_opened"),
-                 nps.cast("int").alias("nps_score"))
-            .select((F.col("user_id") * 100 + F.col("i")).cast("bigint").alias("activity_id"),
-                    F.col("user_id").cast("int").alias("customer_id"),
-                    F.date_add(F.lit(ACTIVITY_ORIGIN), F.col("i") * 7).alias("activity_date"),
-                    (F.col("n") * LOGINS_PER_EVENT).cast("int").alias("logins_count"),
-                    "feature_usage_score", "support_tickets_opened", "nps_score"))
+            .agg(col("count(1)", "n"),
+                 col(f"CAST(round(CASE WHEN {usage} > 100 THEN 100 ELSE {usage} END, 0) AS INT)",
+                     "feature_usage_score"),
+                 col("CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS INT)",
+                     "support_tickets_opened"),
+                 col(f"CAST(CASE WHEN {top_view} IS NULL THEN NULL WHEN {top_view} >= 100 THEN 10 "
+                     f"ELSE floor({top_view} / 10) END AS INT)", "nps_score"))
+            .selectExpr("CAST(user_id * 100 + i AS BIGINT) AS activity_id",
+                        "CAST(user_id AS INT) AS customer_id",
+                        f"date_add({lit(ACTIVITY_ORIGIN)}, i * 7) AS activity_date",
+                        f"CAST(n * {LOGINS_PER_EVENT} AS INT) AS logins_count",
+                        "feature_usage_score", "support_tickets_opened", "nps_score"))
+
+
+# Declared schemas of the driver tables that feed the derivation: reading with
+# a schema skips footer-based inference (the same at every scale factor).
+DRIVER_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+}
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in DRIVER_SCHEMAS:
+        reader = reader.schema(DRIVER_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
