@@ -7,10 +7,21 @@ on the same date so row numbers are deterministic.
 Two shapes are provided:
 
 * ``weekly_window_metrics`` returns every row with LAG, 4-row rolling
-  averages and ``weeks_ago``.  It uses ONE descending window spec (LAG over
-  ascending order is LEAD over descending order; ``3 PRECEDING .. CURRENT``
-  ascending is ``CURRENT .. 3 FOLLOWING`` descending), so the plan has one
-  sort and one exchange instead of two.
+  averages and ``weeks_ago``.  Two strategies:
+
+  - ``"window"``: ONE descending window spec (LAG over ascending order is
+    LEAD over descending order; ``3 PRECEDING .. CURRENT`` ascending is
+    ``CURRENT .. 3 FOLLOWING`` descending): one sort, one exchange.  A
+    customer's rows inside the horizon go to one task, which is right when
+    the table keeps its weekly grain (at most 12 rows per customer).
+  - ``"range"`` (default): no task ever holds a whole customer.  Rows are
+    range-partitioned on (customer, date desc, id desc), numbered inside each
+    partition, and shifted by the row counts of the same customer in earlier
+    partitions (a table of at most one row per partition and customer); the
+    ranged rows are written once to ``spark.checkpoint.dir``.  LAG,
+    LEAD and the 4-row frame are then an equi-aggregation on (customer, row
+    number): each row is sent to the 5 row numbers whose frame contains it,
+    so every group has at most 5 rows however large the customer is.
 * ``recent_trends`` needs only the 8 most recent rows of each customer.  It
   filters ``weeks_ago <= 8`` right after the row number, which Spark turns
   into a partial ``WindowGroupLimit`` *before* the shuffle: every map task
@@ -25,8 +36,10 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_of
+from ..session import materialize
 from ..functions.sql import col, named
 from .periods import KEY, since
 
@@ -44,7 +57,12 @@ def _rolling_mean(column: str) -> str:
     return mean_of(f"SUM({column}) OVER ({ROLLING_4})", f"COUNT({column}) OVER ({ROLLING_4})")
 
 
-def weekly_window_metrics(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
+def weekly_window_metrics(act: DataFrame, as_of: dt.date, weeks: int = 12,
+                          strategy: str = "range") -> DataFrame:
+    if strategy == "range":
+        return _ranged_window_metrics(trend_rows(act, as_of, weeks))
+    if strategy != "window":
+        raise ValueError(f"unknown strategy {strategy!r}")
     return trend_rows(act, as_of, weeks).selectExpr(
         KEY, "activity_date", "activity_id", "logins_count", "feature_usage_score",
         "support_tickets_opened", "nps_score",
@@ -57,6 +75,63 @@ def weekly_window_metrics(act: DataFrame, as_of: dt.date, weeks: int = 12) -> Da
         named(f"CAST(row_number() OVER ({LATEST_FIRST}) AS BIGINT)", "weeks_ago"))
 
 
+_ROW_COLUMNS = ["activity_date", "activity_id", "logins_count", "feature_usage_score",
+                "support_tickets_opened", "nps_score"]
+
+
+def _ranged_window_metrics(rows: DataFrame) -> DataFrame:
+    """Skew-proof LAG / LEAD / 4-row frame / row number (see module doc)."""
+    # Written once to the shared checkpoint folder: the partition ids and
+    # positions below come from a sampled range partitioning, and both
+    # branches (offsets and rows) must see the same assignment, also when a
+    # stage is retried after an executor loss.
+    ordered = materialize(
+        rows.repartitionByRange(F.col(KEY), F.col("activity_date").desc(),
+                                F.col("activity_id").desc())
+        .sortWithinPartitions(F.col(KEY), F.col("activity_date").desc(),
+                              F.col("activity_id").desc())
+        .selectExpr("*", "spark_partition_id() AS _part",
+                    "monotonically_increasing_id() AS _pos"),
+        "weekly-window-rows")
+    # per (partition, customer): row count and first position.  At most one
+    # row per partition and customer, so the running sum over a customer's
+    # earlier partitions spans at most #partitions rows.
+    offsets = (ordered.groupBy("_part", KEY)
+               .agg(col("COUNT(1)", "_n"), col("MIN(_pos)", "_first"))
+               .selectExpr("_part", KEY, "_first",
+                           f"COALESCE(SUM(_n) OVER (PARTITION BY {KEY} ORDER BY _part "
+                           "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset"))
+    # positions increase in sorted order inside a partition, so the row number
+    # is the distance from the customer's first row there plus the offset
+    numbered = (ordered.join(offsets, ["_part", KEY])
+                .selectExpr(KEY, *_ROW_COLUMNS, "_pos - _first + 1 + _offset AS weeks_ago"))
+    # row w's frame holds rows w..w+3 (older weeks), LAG is row w+1 and LEAD
+    # row w-1: send each row to targets w-1 .. w+3 from its own position
+    spread = numbered.selectExpr("*", "explode(sequence(-3, 1)) AS _k") \
+        .selectExpr("*", "weeks_ago + _k AS _target").filter("_target >= 1")
+
+    def own(column: str) -> str:
+        return f"MAX(CASE WHEN _k = 0 THEN {column} END)"
+
+    def frame(column: str) -> str:
+        picked = f"CASE WHEN _k BETWEEN -3 AND 0 THEN {column} END"
+        return mean_of(f"SUM({picked})", f"COUNT({picked})")
+
+    return (spread.groupBy(KEY, "_target")
+            .agg(*[col(own(c), c) for c in _ROW_COLUMNS],
+                 col("MAX(CASE WHEN _k = -1 THEN logins_count END)", "prev_week_logins"),
+                 col("MAX(CASE WHEN _k = -1 THEN feature_usage_score END)", "prev_week_usage"),
+                 col("MAX(CASE WHEN _k = 1 THEN logins_count END)", "next_week_logins"),
+                 col("MAX(CASE WHEN _k = 1 THEN feature_usage_score END)", "next_week_usage"),
+                 col(frame("logins_count"), "rolling_4wk_logins"),
+                 col(frame("feature_usage_score"), "rolling_4wk_usage"),
+                 col("COUNT(CASE WHEN _k = 0 THEN 1 END)", "_self"))
+            .filter("_self = 1")
+            .selectExpr(KEY, *_ROW_COLUMNS, "prev_week_logins", "prev_week_usage",
+                        "next_week_logins", "next_week_usage", "rolling_4wk_logins",
+                        "rolling_4wk_usage", "CAST(_target AS BIGINT) AS weeks_ago"))
+
+
 def recent_rows(act: DataFrame, as_of: dt.date, weeks: int = 12,
                 keep: int = RECENT_ROWS) -> DataFrame:
     """The ``keep`` latest rows per customer with their ``weeks_ago`` rank."""

@@ -88,3 +88,31 @@ def test_top_list_is_subset_of_portfolio(fx, analysis):
     full = analysis(cust, act, AS_OF, limit=None)
     assert top.count() == min(100, full.count())
     assert top.exceptAll(full).count() == 0
+
+
+def test_ranged_windows_equal_plain_windows(fx):
+    _, act = fx
+    plain = windows.weekly_window_metrics(act, AS_OF, strategy="window")
+    ranged = windows.weekly_window_metrics(act, AS_OF, strategy="range")
+    same_rows(ranged, plain)
+
+
+def test_ranged_windows_split_a_hot_customer(spark):
+    """One customer holding most rows still gets exact row numbers and frames."""
+    import datetime as dt
+
+    from cspulse import schemas
+    rows = [(i, 1, AS_OF - dt.timedelta(days=i % 80), i % 50, i % 100, 0, None) for i in range(3000)]
+    rows += [(100000 + i, 2, AS_OF - dt.timedelta(days=7 * i), 10, 20, 0, 5) for i in range(6)]
+    act = spark.createDataFrame(rows, schemas.ACTIVITY).repartition(7)
+    # 16 real range partitions: customer 1 is split across all of them
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = windows.weekly_window_metrics(act, AS_OF, strategy="range")
+        plain = windows.weekly_window_metrics(act, AS_OF, strategy="window")
+        same_rows(ranged, plain)
+        assert ranged.filter("customer_id = 1").agg({"weeks_ago": "max"}).first()[0] == 3000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
