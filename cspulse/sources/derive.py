@@ -62,24 +62,34 @@ def _fixture_variance(k: str, plan: str) -> str:
     return ladder(steps)
 
 
-def derive_activity(events: DataFrame) -> DataFrame:
+def activity_aggs() -> list:
+    """Per (user, day) aggregates shared by the batch and streaming derivations."""
     usage = "CAST(avg(value) AS DECIMAL(18,6))"
     top_view = "max(CASE WHEN event_type = 'view' THEN value END)"
+    return [col("count(1)", "n"),
+            col(f"CAST(round(CASE WHEN {usage} > 100 THEN 100 ELSE {usage} END, 0) AS INT)",
+                "feature_usage_score"),
+            col("CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS INT)",
+                "support_tickets_opened"),
+            col(f"CAST(CASE WHEN {top_view} IS NULL THEN NULL WHEN {top_view} >= 100 THEN 10 "
+                f"ELSE floor({top_view} / 10) END AS INT)", "nps_score")]
+
+
+def activity_columns(day_index: str = "i") -> list[str]:
+    """Map (user_id, day index, aggregates) to the customer_activity schema."""
+    return [f"CAST(user_id * 100 + {day_index} AS BIGINT) AS activity_id",
+            "CAST(user_id AS INT) AS customer_id",
+            f"date_add({lit(ACTIVITY_ORIGIN)}, {day_index} * 7) AS activity_date",
+            f"CAST(n * {LOGINS_PER_EVENT} AS INT) AS logins_count",
+            "feature_usage_score", "support_tickets_opened", "nps_score"]
+
+
+def derive_activity(events: DataFrame) -> DataFrame:
     return (events.selectExpr("user_id", "event_type", "value",
                               f"datediff(to_date(ts), {lit(ACTIVITY_ORIGIN)}) AS i")
             .groupBy("user_id", "i")
-            .agg(col("count(1)", "n"),
-                 col(f"CAST(round(CASE WHEN {usage} > 100 THEN 100 ELSE {usage} END, 0) AS INT)",
-                     "feature_usage_score"),
-                 col("CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS INT)",
-                     "support_tickets_opened"),
-                 col(f"CAST(CASE WHEN {top_view} IS NULL THEN NULL WHEN {top_view} >= 100 THEN 10 "
-                     f"ELSE floor({top_view} / 10) END AS INT)", "nps_score"))
-            .selectExpr("CAST(user_id * 100 + i AS BIGINT) AS activity_id",
-                        "CAST(user_id AS INT) AS customer_id",
-                        f"date_add({lit(ACTIVITY_ORIGIN)}, i * 7) AS activity_date",
-                        f"CAST(n * {LOGINS_PER_EVENT} AS INT) AS logins_count",
-                        "feature_usage_score", "support_tickets_opened", "nps_score"))
+            .agg(*activity_aggs())
+            .selectExpr(*activity_columns()))
 
 
 # Declared schemas of the driver tables that feed the derivation: reading with

@@ -1,0 +1,5 @@
+"""Structured Streaming: incremental maintenance of the activity table."""
+
+from .activity import activity_stream, write_activity_stream
+
+__all__ = ["activity_stream", "write_activity_stream"]
