@@ -3,9 +3,11 @@
 Runs each headline query of the catalog on ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) with ``local[$BENCH_CPUS]`` and prints ONE JSON line:
 {"metric": ..., "value": total seconds, "unit": "sec", "queries": {...}, "sf": ...}.
-Each query runs once to warm up, then ``$BENCH_RUNS`` (default 3) timed runs;
-the median is reported.  A run executes the whole plan into Spark's no-op
-sink, so nothing is collected to the driver.
+All queries first run once to warm the JVM, then ``$BENCH_RUNS`` (default 3)
+interleaved timed rounds follow; the median per query is reported.  A run
+builds the DataFrame (derivation from the driver tables included) and
+executes the whole plan into Spark's no-op sink, so nothing is collected to
+the driver.
 """
 
 from __future__ import annotations
@@ -36,16 +38,20 @@ def main() -> None:
                           shuffle_partitions=cpus,
                           extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "8g")})
     catalog = queries()
-    timings: dict[str, float] = {}
-    for key in only or HEADLINE:
-        fn = catalog[key]
-        samples = []
-        for i in range(runs + 1):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:
-                samples.append(time.perf_counter() - t0)
-        timings[key] = round(statistics.median(samples), 4)
+    keys = only or HEADLINE
+
+    def run(key: str) -> float:
+        t0 = time.perf_counter()
+        catalog[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    for key in keys:
+        run(key)
+    samples: dict[str, list[float]] = {key: [] for key in keys}
+    for _ in range(runs):
+        for key in keys:
+            samples[key].append(run(key))
+    timings = {key: round(statistics.median(v), 4) for key, v in samples.items()}
     match = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_query_median_total", "value": round(sum(timings.values()), 4),
                       "unit": "sec", "queries": timings,
