@@ -21,7 +21,7 @@ from .functions.sql import lit, named
 from .operators import periods, windows
 from .operators.enrich import enrich as enrich_with
 from .operators.enrich import top_k
-from .plans import churn, cohorts, expansion, health, rollups, trends
+from .plans import churn, cohorts, expansion, health, portfolio, rollups, trends
 from .sources.derive import FIXTURE_AS_OF, fixture_tables
 
 AS_OF = FIXTURE_AS_OF
@@ -139,6 +139,11 @@ def _usage_trend_60d(cust, act):
     return periods.usage_trend_60d(act, AS_OF)
 
 
+@query("customer_metrics")
+def _customer_metrics(cust, act):
+    return portfolio.customer_metrics(act, AS_OF)
+
+
 @query("recent_trends")
 def _recent_trends(cust, act):
     return windows.recent_trends(act, AS_OF)

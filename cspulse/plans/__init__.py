@@ -5,6 +5,7 @@ from .cohorts import (cohort_age, cohort_base, cohort_engagement, cohort_metrics
                       cohort_retention, cohort_retention_curve, cohort_table)
 from .expansion import expansion_opportunities, expansion_scores, expansion_signals
 from .health import customer_health, health_dimensions, health_scores
+from .portfolio import customer_metrics, portfolio_report
 from .rollups import (best_cohorts, churn_risk_rollup, cohort_compare_by, cohort_exec_summary,
                       expansion_pipeline_rollup, segment_customers, trend_portfolio_rollup,
                       worst_cohorts)
@@ -16,6 +17,6 @@ __all__ = [
     "cohort_retention", "cohort_retention_curve", "cohort_table", "customer_health",
     "expansion_opportunities", "expansion_pipeline_rollup", "expansion_scores",
     "expansion_signals", "health_dimensions", "health_scores", "risk_scores", "risk_signals",
-    "segment_customers", "trend_analysis", "trend_portfolio_rollup", "trend_scores",
+    "segment_customers", "customer_metrics", "portfolio_report", "trend_analysis", "trend_portfolio_rollup", "trend_scores",
     "usage_trends", "worst_cohorts",
 ]

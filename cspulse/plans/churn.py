@@ -47,7 +47,13 @@ def risk_scores(signals: DataFrame, cap: int = rules.CHURN_CAP) -> DataFrame:
 def churn_risk(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                limit: int | None = 100, weeks: int = 4,
                statuses=("Active", "At Risk")) -> DataFrame:
-    scores = risk_scores(risk_signals(churn_period_metrics(activity, as_of, weeks)))
+    return churn_report(customers, churn_period_metrics(activity, as_of, weeks), limit, statuses)
+
+
+def churn_report(customers: DataFrame, periods: DataFrame, limit: int | None = 100,
+                 statuses=("Active", "At Risk")) -> DataFrame:
+    """Churn analysis from per-customer current/prior measures (customers with a current row)."""
+    scores = risk_scores(risk_signals(periods))
     score = "churn_risk_score"
     joined = enrich(scores.filter(f"{score} > 0"), customers,
                     ["company_name", "plan_type", "mrr", "account_owner", "signup_date"],

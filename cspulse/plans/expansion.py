@@ -30,7 +30,12 @@ CARRIED = ["avg_logins", "avg_usage_score", "total_tickets", "avg_nps", "recent_
 
 def expansion_signals(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                       days: int = 30) -> DataFrame:
-    joined = enrich(expansion_period_metrics(activity, as_of, days), customers,
+    return signals_from_metrics(customers, expansion_period_metrics(activity, as_of, days))
+
+
+def signals_from_metrics(customers: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Expansion signals from per-customer measures (``expansion_period_metrics`` shape)."""
+    joined = enrich(metrics, customers,
                     ["plan_type", "mrr", "company_name", "account_owner", "signup_date"],
                     statuses=["Active"])
     return joined.selectExpr(
@@ -51,7 +56,15 @@ def expansion_scores(signals: DataFrame) -> DataFrame:
 def expansion_opportunities(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                             limit: int | None = 100, days: int = 30,
                             min_score: int = 20, exclude_plan: str = "Enterprise") -> DataFrame:
-    scores = expansion_scores(expansion_signals(customers, activity, as_of, days))
+    return expansion_report(customers, expansion_period_metrics(activity, as_of, days), as_of,
+                            limit, min_score, exclude_plan)
+
+
+def expansion_report(customers: DataFrame, metrics: DataFrame, as_of: dt.date,
+                     limit: int | None = 100, min_score: int = 20,
+                     exclude_plan: str = "Enterprise") -> DataFrame:
+    """Expansion analysis from per-customer measures (``expansion_period_metrics`` shape)."""
+    scores = expansion_scores(signals_from_metrics(customers, metrics))
     score = "expansion_score"
     out = scores.filter(f"{score} >= {min_score} AND plan_type != {lit(exclude_plan)}").selectExpr(
         "customer_id", "company_name", "plan_type AS current_plan", "mrr AS current_mrr",

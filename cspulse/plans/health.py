@@ -50,7 +50,13 @@ def grade_and_action(score: str = "overall_health_score") -> list[str]:
 def customer_health(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                     limit: int | None = 100, days: int = 30,
                     weights: dict = rules.HEALTH_WEIGHTS) -> DataFrame:
-    scores = health_scores(health_dimensions(recent_activity(activity, as_of, days)), weights)
+    return health_report(customers, recent_activity(activity, as_of, days), limit, weights)
+
+
+def health_report(customers: DataFrame, recent: DataFrame, limit: int | None = 100,
+                  weights: dict = rules.HEALTH_WEIGHTS) -> DataFrame:
+    """Health analysis from per-customer 30-day measures (``recent_activity`` shape)."""
+    scores = health_scores(health_dimensions(recent), weights)
     out = enrich(scores, customers, ["company_name", "plan_type", "mrr", "account_owner"],
                  statuses=["Active"]).selectExpr(
         "customer_id", "company_name", "plan_type", "mrr", "account_owner",

@@ -53,16 +53,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     (local tests) a private folder is created and registered, so cluster runs
     always land on the shared storage the cluster names.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="cspulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = _LOCAL_ROOTS.get(id(sc)) or tempfile.mkdtemp(prefix="cspulse-ckpt-")
+        _LOCAL_ROOTS[id(sc)] = root
+        try:
+            spark.conf.set("spark.checkpoint.dir", root)
+        except Exception:  # some sessions refuse runtime changes of core settings
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 

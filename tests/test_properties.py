@@ -116,3 +116,14 @@ def test_ranged_windows_split_a_hot_customer(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_portfolio_report_equals_standalone_analyses(fx):
+    from cspulse.plans import portfolio_report
+    cust, act = fx
+    reports = portfolio_report(cust, act, AS_OF, limit=None, include_trends=False,
+                               include_cohorts=False)
+    same_rows(reports["customer_health"], customer_health(cust, act, AS_OF, limit=None))
+    same_rows(reports["churn_risk"], churn_risk(cust, act, AS_OF, limit=None))
+    same_rows(reports["expansion_opportunities"],
+              expansion_opportunities(cust, act, AS_OF, limit=None))
