@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.sql import named
+from ..functions.sql import col, lit, named
 from ..operators.enrich import enrich, top_k
 from ..operators.periods import churn_period_metrics
 
@@ -46,8 +46,21 @@ def risk_scores(signals: DataFrame, cap: int = rules.CHURN_CAP) -> DataFrame:
 
 def churn_risk(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                limit: int | None = 100, weeks: int = 4,
-               statuses=("Active", "At Risk")) -> DataFrame:
-    return churn_report(customers, churn_period_metrics(activity, as_of, weeks), limit, statuses)
+               statuses=("Active", "At Risk"), include_silent: bool = False) -> DataFrame:
+    """Churn risk of customers active in the current period.
+
+    As in the reference, a customer with no row in the current period is
+    absent.  ``include_silent=True`` keeps such customers (of the given
+    statuses) with zero current weeks, so their inactivity signal fires.
+    """
+    periods = churn_period_metrics(activity, as_of, weeks)
+    if include_silent:
+        keys = customers.filter(f"status IN ({', '.join(lit(s) for s in statuses)})") \
+            .select("customer_id")
+        periods = (keys.join(periods, "customer_id", "left")
+                   .withColumn("current_weeks_active",
+                               col("COALESCE(current_weeks_active, 0)")))
+    return churn_report(customers, periods, limit, statuses)
 
 
 def churn_report(customers: DataFrame, periods: DataFrame, limit: int | None = 100,

@@ -55,8 +55,14 @@ def _count_if(cond: str) -> str:
     return f"COUNT(CASE WHEN {cond} THEN 1 END)"
 
 
-def cohort_metrics(base: DataFrame, as_of: dt.date, by: Sequence[str] = ()) -> DataFrame:
-    """Starting mix, status, MRR and upgrades per cohort (one aggregate)."""
+def cohort_metrics(base: DataFrame, as_of: dt.date, by: Sequence[str] = (),
+                   total_months: bool = False) -> DataFrame:
+    """Starting mix, status, MRR and upgrades per cohort (one aggregate).
+
+    ``cohort_age_months`` is the AGE month field like the reference (0..11);
+    ``total_months=True`` gives the whole months since the cohort started.
+    """
+    age = age_total_months if total_months else age_month_part
     return (base.filter(f"{COHORT} IS NOT NULL")
             .groupBy(COHORT, *by)
             .agg(col("COUNT(1)", "cohort_size"),
@@ -74,7 +80,7 @@ def cohort_metrics(base: DataFrame, as_of: dt.date, by: Sequence[str] = ()) -> D
                      "starter_to_pro_upgrades"),
                  col(_count_if("starting_plan = 'Professional' AND current_plan = 'Enterprise'"),
                      "pro_to_enterprise_upgrades"))
-            .withColumn("cohort_age_months", col(age_month_part(lit(as_of), COHORT))))
+            .withColumn("cohort_age_months", col(age(lit(as_of), COHORT))))
 
 
 def cohort_engagement(base: DataFrame, activity: DataFrame, as_of: dt.date, days: int = 30,
@@ -99,10 +105,10 @@ def cohort_age(base: DataFrame, as_of: dt.date) -> DataFrame:
 
 def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                  baseline: DataFrame | None = None, by: Sequence[str] = (),
-                 days: int = 30) -> DataFrame:
+                 days: int = 30, total_months: bool = False) -> DataFrame:
     """All 27 cohort columns for every cohort (no size filter, no limit)."""
     base = cohort_base(customers, baseline)
-    metrics = cohort_metrics(base, as_of, by)
+    metrics = cohort_metrics(base, as_of, by, total_months)
     engagement = cohort_engagement(base, activity, as_of, days, by)
     revenue_ratio = ratio_pct("current_mrr", "starting_mrr")
     return metrics.join(engagement, [COHORT, *by], "left").selectExpr(
@@ -132,13 +138,15 @@ def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
 
 def cohort_retention(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                      min_size: int = 5, limit: int | None = 24,
-                     baseline: DataFrame | None = None, days: int = 30) -> DataFrame:
-    table = cohort_table(customers, activity, as_of, baseline, days=days)
+                     baseline: DataFrame | None = None, days: int = 30,
+                     total_months: bool = False) -> DataFrame:
+    table = cohort_table(customers, activity, as_of, baseline, days=days,
+                         total_months=total_months)
     return top_k(table.filter(f"cohort_size >= {min_size}"), [F.col(COHORT).desc()], limit)
 
 
 def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
-                           total_months: bool = False) -> DataFrame:
+                           total_months: bool = False, approximate: bool = False) -> DataFrame:
     """Distinct active customers per cohort and month since signup.
 
     The reference uses the month *field* of AGE (wraps after 12 months);
@@ -146,6 +154,9 @@ def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
     reduced to distinct (customer, date) pairs (partial aggregation removes
     duplicates map-side), so the join with customers carries at most one row
     per customer per activity date whatever the raw volume.
+    ``approximate=True`` counts with a HyperLogLog++ sketch instead of the
+    exact two-phase distinct.  The result (cohorts x months) is small and is
+    returned ordered like the reference.
     """
     visits = activity.select("customer_id", "activity_date").distinct()
     months = age_total_months if total_months else age_month_part
@@ -155,4 +166,6 @@ def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
                                     "months_since_signup"),
                               "customer_id")
             .groupBy(COHORT, "months_since_signup")
-            .agg(col("COUNT(DISTINCT customer_id)", "active_customers")))
+            .agg(col("approx_count_distinct(customer_id)" if approximate
+                     else "COUNT(DISTINCT customer_id)", "active_customers"))
+            .orderBy(COHORT, "months_since_signup"))

@@ -1,7 +1,8 @@
 """Portfolio rollups over a finished analysis DataFrame.
 
 Each function takes the analysis result (the reference's ``[this query]``)
-and groups it by its label column.  With the default ``limit`` the analysis
+and groups it by its label column; the few result rows come back in the
+reference's order.  With the default ``limit`` the analysis
 is a top-100 list and the rollup summarises that list, exactly like the
 reference; pass the analysis with ``limit=None`` for the whole portfolio.
 Label columns have a handful of values, so these are partial+final
@@ -23,14 +24,16 @@ def churn_risk_rollup(churn: DataFrame) -> DataFrame:
     return (churn.groupBy("risk_category")
             .agg(col("COUNT(1)", "customer_count"),
                  col("SUM(monthly_revenue_at_risk)", "total_mrr_at_risk"),
-                 col(avg_exact("churn_risk_score"), "avg_risk_score")))
+                 col(avg_exact("churn_risk_score"), "avg_risk_score"))
+            .orderBy(F.col("avg_risk_score").desc_nulls_first()))
 
 
 def expansion_pipeline_rollup(expansion: DataFrame) -> DataFrame:
     return (expansion.groupBy("expansion_readiness")
             .agg(col("COUNT(1)", "opportunity_count"),
                  col("SUM(estimated_expansion_mrr)", "total_pipeline_mrr"),
-                 col(avg_exact("expansion_score"), "avg_readiness_score")))
+                 col(avg_exact("expansion_score"), "avg_readiness_score"))
+            .orderBy(F.col("avg_readiness_score").desc_nulls_first()))
 
 
 def trend_portfolio_rollup(trends: DataFrame) -> DataFrame:
@@ -38,7 +41,8 @@ def trend_portfolio_rollup(trends: DataFrame) -> DataFrame:
             .agg(col("COUNT(1)", "customer_count"),
                  col(f"ROUND({avg_exact('overall_trend_score')}, 1)", "avg_trend_score"),
                  col("SUM(mrr)", "total_mrr"),
-                 col(f"ROUND({avg_exact('usage_trend_4wk')}, 1)", "avg_usage_trend_pct")))
+                 col(f"ROUND({avg_exact('usage_trend_4wk')}, 1)", "avg_usage_trend_pct"))
+            .orderBy(F.col("avg_trend_score").desc_nulls_first()))
 
 
 def cohort_compare_by(cohorts: DataFrame, dim: str) -> DataFrame:

@@ -148,3 +148,27 @@ def test_health_dimensions_keep_raw_metrics(spark, tables):
     c, a = tables([customer(1)], [activity(1, weeks_ago(1), logins=33, usage=71, tickets=3, nps=6)])
     r = health_dimensions(recent_activity(a, AS_OF)).first()
     assert (r.support_health, r.engagement_health, r.usage_health) == (50, 75, Decimal("71.000000"))
+
+
+def test_churn_include_silent_flags_inactivity(spark, tables):
+    c, a = tables([customer(1), customer(2), customer(3, status="Churned")],
+                  [activity(1, weeks_ago(1), usage=80, logins=45, nps=9)])
+    default = rows_by_id(churn_risk(c, a, AS_OF, limit=None))
+    assert set(default) == {1}
+    silent = rows_by_id(churn_risk(c, a, AS_OF, limit=None, include_silent=True))
+    assert set(silent) == {1, 2}
+    assert silent[2]["activity_flag"] == "⚠ Low Activity" and silent[2]["churn_risk_score"] == 15
+
+
+def test_cohort_total_months_and_approximate_curve(spark, tables):
+    cust = [customer(i, signup=dt.date(2023, 5, 10)) for i in range(5)]
+    rows = [activity(i, weeks_ago(1)) for i in range(5)]
+    c, a = tables(cust, rows)
+    field = cohort_retention(c, a, AS_OF).first()
+    total = cohort_retention(c, a, AS_OF, total_months=True).first()
+    assert field.cohort_age_months == 2 and total.cohort_age_months == 14
+    assert total.lifecycle_stage.startswith("Established")
+    from cspulse.plans import cohort_retention_curve
+    exact = [tuple(r) for r in cohort_retention_curve(c, a).collect()]
+    approx = [tuple(r) for r in cohort_retention_curve(c, a, approximate=True).collect()]
+    assert exact == approx == [(dt.date(2023, 5, 1), 2, 5)]
