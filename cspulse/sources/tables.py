@@ -47,3 +47,31 @@ def write_activity(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .repartitionByRange("activity_date", "customer_id")
      .sortWithinPartitions("activity_date", "customer_id")
      .write.mode(mode).partitionBy("activity_date").parquet(path))
+
+
+def save_bucketed(customers: DataFrame, activity: DataFrame, location: str, buckets: int,
+                  customers_table: str = "customers",
+                  activity_table: str = "customer_activity",
+                  mode: str = "overwrite") -> tuple[str, str]:
+    """Store both tables bucketed and sorted by ``customer_id`` (same bucket count).
+
+    Every analysis aggregates the fact table per customer and joins the result
+    to the dimension.  With both tables bucketed on the key, Spark reads
+    matching buckets in the same task: the per-customer aggregation, the
+    trend window and the join need no exchange at all, so the fact table is
+    never shuffled.  The fact table stays partitioned by date for pruning.
+    ``repartition(buckets, customer_id)`` before the write gives each task
+    exactly one bucket, so a task writes one file per date it holds.
+    Tables are external (data under ``location``) and registered in the
+    session catalog; read them back with ``spark.table(name)``.
+    """
+    (conform(customers, schemas.CUSTOMERS)
+     .repartition(buckets, "customer_id")
+     .write.mode(mode).bucketBy(buckets, "customer_id").sortBy("customer_id")
+     .option("path", f"{location}/{customers_table}").saveAsTable(customers_table))
+    (conform(activity, schemas.ACTIVITY)
+     .repartition(buckets, "customer_id")
+     .write.mode(mode).partitionBy("activity_date")
+     .bucketBy(buckets, "customer_id").sortBy("customer_id")
+     .option("path", f"{location}/{activity_table}").saveAsTable(activity_table))
+    return customers_table, activity_table

@@ -47,3 +47,23 @@ def test_stored_tables_prune_dates_and_columns(spark):
     a = cohort_retention(stored_cust, stored, AS_OF)
     b = cohort_retention(cust, act, AS_OF)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_bucketed_tables_remove_fact_shuffles(spark):
+    from cspulse.plans import churn_risk, customer_health
+    from cspulse.sources import save_bucketed
+
+    cust, act = fixture_tables(spark, SF001)
+    root = tempfile.mkdtemp(prefix="cspulse-bucketed-")
+    names = save_bucketed(cust, act, root, buckets=4, customers_table="t_customers",
+                          activity_table="t_activity")
+    bc, ba = spark.table(names[0]), spark.table(names[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # behave like large tables
+    try:
+        for analysis in (customer_health, churn_risk, usage_trends):
+            df = analysis(bc, ba, AS_OF, limit=None)
+            assert "Exchange" not in plan_text(df), analysis.__name__
+            expected = analysis(cust, act, AS_OF, limit=None)
+            assert df.exceptAll(expected).count() == 0 and expected.exceptAll(df).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
