@@ -4,20 +4,25 @@ Health scoring, churn risk, expansion readiness, usage trends and signup
 cohort retention over a ``customers`` dimension and a weekly
 ``customer_activity`` fact table, plus portfolio rollups.  Every analysis is
 a function ``(customers, activity, as_of, ...) -> DataFrame`` built from
-built-in Spark SQL expressions, windows and aggregations.
+Spark SQL expressions, windows, aggregations and joins.
 """
 
 from .plans import (best_cohorts, churn_risk, churn_risk_rollup, cohort_compare_by,
                     cohort_exec_summary, cohort_retention, cohort_retention_curve,
-                    customer_health, expansion_opportunities, expansion_pipeline_rollup,
-                    segment_customers, trend_portfolio_rollup, usage_trends, worst_cohorts)
+                    cohort_table, customer_health, customer_metrics, expansion_opportunities,
+                    expansion_pipeline_rollup, portfolio_report, segment_customers,
+                    trend_portfolio_rollup, usage_trends, worst_cohorts)
 from .session import build_session, materialize
-from .sources import load_activity, load_customers
+from .sources import (load_activity, load_baseline, load_customers, save_bucketed,
+                      write_activity, write_customers)
+from .streaming import activity_stream, write_activity_stream
 
 __all__ = [
-    "best_cohorts", "build_session", "churn_risk", "churn_risk_rollup", "cohort_compare_by",
-    "cohort_exec_summary", "cohort_retention", "cohort_retention_curve", "customer_health",
-    "expansion_opportunities", "expansion_pipeline_rollup", "load_activity", "load_customers",
-    "materialize", "segment_customers", "trend_portfolio_rollup", "usage_trends",
-    "worst_cohorts",
+    "activity_stream", "best_cohorts", "build_session", "churn_risk", "churn_risk_rollup",
+    "cohort_compare_by", "cohort_exec_summary", "cohort_retention", "cohort_retention_curve",
+    "cohort_table", "customer_health", "customer_metrics", "expansion_opportunities",
+    "expansion_pipeline_rollup", "load_activity", "load_baseline", "load_customers",
+    "materialize", "portfolio_report", "save_bucketed", "segment_customers",
+    "trend_portfolio_rollup", "usage_trends", "worst_cohorts", "write_activity",
+    "write_activity_stream", "write_customers",
 ]

@@ -172,3 +172,17 @@ def test_cohort_total_months_and_approximate_curve(spark, tables):
     exact = [tuple(r) for r in cohort_retention_curve(c, a).collect()]
     approx = [tuple(r) for r in cohort_retention_curve(c, a, approximate=True).collect()]
     assert exact == approx == [(dt.date(2023, 5, 1), 2, 5)]
+
+
+def test_null_nps_adds_nothing_anywhere(spark, tables):
+    cust = [customer(1), customer(2, plan="Starter")]
+    # 1: low usage, so churn has a score (> 0) and shows up; 2: expansion candidate
+    rows = [activity(i, weeks_ago(k), usage=u, logins=30, tickets=0, nps=None)
+            for i, u in ((1, 30), (2, 75)) for k in (1, 2, 5, 6)]
+    c, a = tables(cust, rows)
+    churn = rows_by_id(churn_risk(c, a, AS_OF, limit=None))
+    assert churn[1]["churn_risk_score"] == 10                 # usage floor only, NPS adds 0
+    assert churn[1]["nps_flag"] is None and churn[1]["current_nps"] is None
+    exp = rows_by_id(expansion_opportunities(c, a, AS_OF, limit=None))
+    assert exp[2]["satisfaction_flag"] is None and exp[2]["nps_score"] is None
+    assert exp[2]["expansion_score"] == 20 + 15 + 10          # ceiling + adoption + mastery
