@@ -186,3 +186,28 @@ def test_null_nps_adds_nothing_anywhere(spark, tables):
     exp = rows_by_id(expansion_opportunities(c, a, AS_OF, limit=None))
     assert exp[2]["satisfaction_flag"] is None and exp[2]["nps_score"] is None
     assert exp[2]["expansion_score"] == 20 + 15 + 10          # ceiling + adoption + mastery
+
+
+def test_age_formula_matches_duckdb_on_random_pairs(spark):
+    """Month field and total months of AGE(a, b) for 3,000 seeded random date pairs."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(7)
+    days = [dt.date(1990, 1, 1) + dt.timedelta(days=rng.randrange(0, 18_000)) for _ in range(2_400)]
+    month_ends = [dt.date(y, m, 1) - dt.timedelta(days=1) for y in (2023, 2024, 2025)
+                  for m in range(1, 13)]
+    days += month_ends * 16 + [dt.date(2024, 2, 29)] * 24
+    pairs = [(rng.choice(days), rng.choice(days)) for _ in range(3_000)]
+    df = spark.createDataFrame(pairs, "a DATE, b DATE")
+    got = sorted(tuple(r) for r in df.selectExpr(
+        "a", "b", f"{age_month_part('a', 'b')} AS m", f"{age_total_months('a', 'b')} AS t").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (a DATE, b DATE)")
+    con.executemany("INSERT INTO p VALUES (?, ?)", pairs)
+    want = sorted(con.execute(
+        "SELECT a, b, CAST(date_part('month', age(a::TIMESTAMP, b::TIMESTAMP)) AS INTEGER), "
+        "CAST(date_part('year', age(a::TIMESTAMP, b::TIMESTAMP)) * 12 "
+        "+ date_part('month', age(a::TIMESTAMP, b::TIMESTAMP)) AS INTEGER) FROM p").fetchall())
+    assert got == want

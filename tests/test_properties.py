@@ -56,9 +56,13 @@ def test_bounded_trends_equal_full_windows(fx):
 def test_rolling_average_within_frame_bounds(fx):
     _, act = fx
     w = windows.weekly_window_metrics(act, AS_OF)
-    bad = w.filter("rolling_4wk_logins < 0 OR rolling_4wk_logins > 1000 OR "
-                   "(weeks_ago = 1 AND prev_week_logins IS NULL AND "
-                   "rolling_4wk_logins != logins_count)")
+    frame = f"({windows.ROLLING_4})"
+    bounds = windows.trend_rows(act, AS_OF).selectExpr(
+        "customer_id", "activity_date", f"MIN(logins_count) OVER {frame} AS lo",
+        f"MAX(logins_count) OVER {frame} AS hi")
+    bad = (w.join(bounds, ["customer_id", "activity_date"])
+           .filter("rolling_4wk_logins < lo OR rolling_4wk_logins > hi OR "
+                   "(prev_week_logins IS NULL AND rolling_4wk_logins != logins_count)"))
     assert bad.count() == 0
 
 
