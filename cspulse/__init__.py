@@ -10,7 +10,8 @@ Spark SQL expressions, windows, aggregations and joins.
 from .plans import (best_cohorts, churn_risk, churn_risk_rollup, cohort_compare_by,
                     cohort_exec_summary, cohort_retention, cohort_retention_curve,
                     cohort_table, customer_health, customer_metrics, expansion_opportunities,
-                    expansion_pipeline_rollup, portfolio_report, segment_customers,
+                    expansion_pipeline_rollup, portfolio_report, register_views,
+                    segment_customers,
                     trend_portfolio_rollup, usage_trends, worst_cohorts)
 from .session import build_session, materialize
 from .sources import (load_activity, load_baseline, load_customers, save_bucketed,
@@ -22,7 +23,7 @@ __all__ = [
     "cohort_compare_by", "cohort_exec_summary", "cohort_retention", "cohort_retention_curve",
     "cohort_table", "customer_health", "customer_metrics", "expansion_opportunities",
     "expansion_pipeline_rollup", "load_activity", "load_baseline", "load_customers",
-    "materialize", "portfolio_report", "save_bucketed", "segment_customers",
+    "materialize", "portfolio_report", "register_views", "save_bucketed", "segment_customers",
     "trend_portfolio_rollup", "usage_trends", "worst_cohorts", "write_activity",
     "write_activity_stream", "write_customers",
 ]

@@ -10,6 +10,7 @@ from .rollups import (best_cohorts, churn_risk_rollup, cohort_compare_by, cohort
                       expansion_pipeline_rollup, segment_customers, trend_portfolio_rollup,
                       worst_cohorts)
 from .trends import trend_analysis, trend_scores, usage_trends
+from .views import register_views
 
 __all__ = [
     "best_cohorts", "churn_risk", "churn_risk_rollup", "cohort_age", "cohort_base",
@@ -18,5 +19,5 @@ __all__ = [
     "expansion_opportunities", "expansion_pipeline_rollup", "expansion_scores",
     "expansion_signals", "health_dimensions", "health_scores", "risk_scores", "risk_signals",
     "segment_customers", "customer_metrics", "portfolio_report", "trend_analysis", "trend_portfolio_rollup", "trend_scores",
-    "usage_trends", "worst_cohorts",
+    "usage_trends", "worst_cohorts", "register_views",
 ]

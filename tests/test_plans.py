@@ -67,3 +67,19 @@ def test_bucketed_tables_remove_fact_shuffles(spark):
             assert df.exceptAll(expected).count() == 0 and expected.exceptAll(df).count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_command_line_run_writes_the_analysis(spark):
+    from cspulse.__main__ import main
+    from cspulse.plans import churn_risk, churn_risk_rollup
+
+    cust, act = fixture_tables(spark, SF001)
+    root = tempfile.mkdtemp(prefix="cspulse-cli-")
+    write_customers(cust, os.path.join(root, "customers"))
+    write_activity(act, os.path.join(root, "activity"))
+    main(["run", "churn_risk_rollup", "--customers", os.path.join(root, "customers"),
+          "--activity", os.path.join(root, "activity"), "--as-of", AS_OF.isoformat(), "--all",
+          "--out", os.path.join(root, "out")])
+    written = spark.read.parquet(os.path.join(root, "out"))
+    expected = churn_risk_rollup(churn_risk(cust, act, AS_OF, limit=None))
+    assert written.exceptAll(expected).count() == 0 and expected.exceptAll(written).count() == 0

@@ -131,3 +131,17 @@ def test_portfolio_report_equals_standalone_analyses(fx):
     same_rows(reports["churn_risk"], churn_risk(cust, act, AS_OF, limit=None))
     same_rows(reports["expansion_opportunities"],
               expansion_opportunities(cust, act, AS_OF, limit=None))
+
+
+def test_sql_views_answer_follow_up_queries(spark, fx):
+    from cspulse.plans import churn_risk_rollup, register_views
+    cust, act = fx
+    names = register_views(spark, cust, act, AS_OF, prefix="v_")
+    assert "v_churn_risk" in names and "v_customer_segments" in names
+    via_sql = spark.sql("""
+        SELECT risk_category, COUNT(*) AS customer_count,
+               SUM(monthly_revenue_at_risk) AS total_mrr_at_risk
+        FROM v_churn_risk GROUP BY risk_category""")
+    via_api = churn_risk_rollup(churn_risk(cust, act, AS_OF)).drop("avg_risk_score")
+    same_rows(via_sql, via_api)
+    assert spark.sql("SELECT COUNT(*) FROM v_customer_health").first()[0] == 100
