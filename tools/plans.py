@@ -12,7 +12,9 @@ large dimension table gets.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
 import os
 import re
 import sys
@@ -37,8 +39,10 @@ ANALYSES = {
 
 
 def tree(df) -> str:
-    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    head, _, details = text.partition("\n\n\n")
+    buffer = io.StringIO()
+    with contextlib.redirect_stdout(buffer):
+        df.explain("formatted")
+    head, _, details = buffer.getvalue().partition("\n\n\n")
     scans = [re.sub(r"#\d+", "", line).strip() for line in details.splitlines()
              if line.startswith(("PartitionFilters", "PushedFilters", "ReadSchema"))]
     head = re.sub(r" \(\d+\)", "", head)
