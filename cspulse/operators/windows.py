@@ -7,14 +7,17 @@ on the same date so row numbers are deterministic.
 Two shapes are provided:
 
 * ``weekly_window_metrics`` returns every row with LAG, 4-row rolling
-  averages and ``weeks_ago``.  Two strategies:
+  averages and ``weeks_ago``.  ``strategy="auto"`` (default) first measures
+  the largest customer inside the horizon (one partial+final count, a single
+  number to the driver) and uses ``"window"`` while that customer fits one
+  task (``max_group_rows``), ``"range"`` beyond it:
 
   - ``"window"``: ONE descending window spec (LAG over ascending order is
     LEAD over descending order; ``3 PRECEDING .. CURRENT`` ascending is
     ``CURRENT .. 3 FOLLOWING`` descending): one sort, one exchange.  A
     customer's rows inside the horizon go to one task, which is right when
     the table keeps its weekly grain (at most 12 rows per customer).
-  - ``"range"`` (default): no task ever holds a whole customer.  Rows are
+  - ``"range"``: no task ever holds a whole customer.  Rows are
     range-partitioned on (customer, date desc, id desc), numbered inside each
     partition, and shifted by the row counts of the same customer in earlier
     partitions (a table of at most one row per partition and customer); the
@@ -57,13 +60,26 @@ def _rolling_mean(column: str) -> str:
     return mean_of(f"SUM({column}) OVER ({ROLLING_4})", f"COUNT({column}) OVER ({ROLLING_4})")
 
 
+MAX_GROUP_ROWS = 1_000_000
+
+
+def largest_customer_rows(rows: DataFrame) -> int:
+    """Row count of the largest customer (partial aggregation; one number returned)."""
+    top = rows.groupBy(KEY).agg(col("COUNT(1)", "_n")).agg(col("MAX(_n)", "_top")).first()
+    return top["_top"] or 0
+
+
 def weekly_window_metrics(act: DataFrame, as_of: dt.date, weeks: int = 12,
-                          strategy: str = "range") -> DataFrame:
+                          strategy: str = "auto",
+                          max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    rows = trend_rows(act, as_of, weeks)
+    if strategy == "auto":
+        strategy = "window" if largest_customer_rows(rows) <= max_group_rows else "range"
     if strategy == "range":
-        return _ranged_window_metrics(trend_rows(act, as_of, weeks))
+        return _ranged_window_metrics(rows)
     if strategy != "window":
         raise ValueError(f"unknown strategy {strategy!r}")
-    return trend_rows(act, as_of, weeks).selectExpr(
+    return rows.selectExpr(
         KEY, "activity_date", "activity_id", "logins_count", "feature_usage_score",
         "support_tickets_opened", "nps_score",
         named(f"lead(logins_count, 1) OVER ({LATEST_FIRST})", "prev_week_logins"),

@@ -117,6 +117,11 @@ def test_ranged_windows_split_a_hot_customer(spark):
         plain = windows.weekly_window_metrics(act, AS_OF, strategy="window")
         same_rows(ranged, plain)
         assert ranged.filter("customer_id = 1").agg({"weeks_ago": "max"}).first()[0] == 3000
+        # auto: 3,000 rows exceed a 1,000-row bound -> the ranged plan
+        assert windows.largest_customer_rows(windows.trend_rows(act, AS_OF)) == 3000
+        auto = windows.weekly_window_metrics(act, AS_OF, max_group_rows=1000)
+        assert "_target" in auto._jdf.queryExecution().analyzed().toString()
+        same_rows(auto, plain)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
