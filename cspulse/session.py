@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a laptop / CI run.  On a cluster the submitter sets these.
@@ -29,18 +30,28 @@ def build_session(master: str | None = None, app_name: str = "cspulse",
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Return a SparkSession with analytics-friendly defaults.
 
-    ``master`` and ``shuffle_partitions`` are only applied when given; a
-    spark-submit launched job keeps whatever the cluster configured.
+    Settings are only filled where nobody set them: a running session (e.g.
+    created by spark-submit or a notebook) is returned as is, apart from
+    runtime SQL settings it leaves unset, and a new session keeps everything
+    spark-submit / spark-defaults configured (``master`` included).
     """
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
     conf = dict(_LOCAL_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        for key, value in conf.items():
+            if key.startswith("spark.sql.") and active.conf.get(key, None) is None:
+                active.conf.set(key, value)
+        return active
+    preset = SparkConf()  # spark-submit and spark-defaults settings
+    builder = SparkSession.builder.appName(app_name)
+    if master and not preset.contains("spark.master"):
+        builder = builder.master(master)
     for key, value in conf.items():
-        builder = builder.config(key, value)
+        if not preset.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     return spark
