@@ -1,6 +1,6 @@
 """Command line: run one analysis (or rollup) over stored tables.
 
-    python -m cspulse run churn_risk --customers PATH --activity PATH --as-of 2024-07-29
+    python -m cspulse run churn_risk --customers PATH --activity PATH [--as-of 2024-07-29]
     python -m cspulse run churn_risk_rollup ... --all --out s3://bucket/reports/churn
     python -m cspulse derive --sf-dir /root/testdata/sf0.1 --out /shared/cspulse
 
@@ -61,7 +61,8 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("analysis", choices=NAMES)
     run.add_argument("--customers", required=True)
     run.add_argument("--activity", required=True)
-    run.add_argument("--as-of", required=True, type=dt.date.fromisoformat)
+    run.add_argument("--as-of", type=dt.date.fromisoformat, default=None,
+                     help="reference date, YYYY-MM-DD (default: today, like CURRENT_DATE)")
     run.add_argument("--all", action="store_true", help="whole portfolio instead of the top list")
     run.add_argument("--out", help="write the result as Parquet here instead of showing it")
     derive = sub.add_parser("derive", help="derive and store both tables from driver tables")
@@ -77,7 +78,8 @@ def main(argv: list[str] | None = None) -> None:
         return
     customers = load_customers(spark, args.customers)
     activity = load_activity(spark, args.activity)
-    result = build(args.analysis, customers, activity, args.as_of, None if args.all else 100)
+    as_of = args.as_of or dt.date.today()
+    result = build(args.analysis, customers, activity, as_of, None if args.all else 100)
     if args.out:
         result.write.mode("overwrite").parquet(args.out)
     else:
