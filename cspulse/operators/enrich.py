@@ -42,3 +42,13 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
     if n is None:
         return df
     return df.orderBy(*order).limit(n)
+
+
+def sort_small(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Order a result whose size is bounded by label cardinality (rollups, curves).
+
+    One partition holds the few rows, so no range-partition sampling job is
+    needed; ``repartition(1)`` (unlike ``coalesce(1)``) keeps the upstream
+    aggregation parallel.  Never use it on per-customer results.
+    """
+    return df.repartition(1).sortWithinPartitions(*order)

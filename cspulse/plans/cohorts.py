@@ -29,7 +29,7 @@ from ..functions import rules
 from ..functions.dates import age_month_part, age_total_months, month_trunc
 from ..functions.numeric import avg_exact, mean_of, pct_of, ratio_pct
 from ..functions.sql import col, lit, named
-from ..operators.enrich import top_k
+from ..operators.enrich import sort_small, top_k
 from ..operators.periods import activity_partials
 
 COHORT = "cohort_month"
@@ -168,4 +168,4 @@ def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
             .groupBy(COHORT, "months_since_signup")
             .agg(col("approx_count_distinct(customer_id)" if approximate
                      else "COUNT(DISTINCT customer_id)", "active_customers"))
-            .orderBy(COHORT, "months_since_signup"))
+            .transform(sort_small, [F.col(COHORT), F.col("months_since_signup")]))

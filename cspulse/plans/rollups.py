@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.numeric import avg_exact
 from ..functions.sql import col, named
-from ..operators.enrich import top_k
+from ..operators.enrich import sort_small, top_k
 
 
 def churn_risk_rollup(churn: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def churn_risk_rollup(churn: DataFrame) -> DataFrame:
             .agg(col("COUNT(1)", "customer_count"),
                  col("SUM(monthly_revenue_at_risk)", "total_mrr_at_risk"),
                  col(avg_exact("churn_risk_score"), "avg_risk_score"))
-            .orderBy(F.col("avg_risk_score").desc_nulls_first()))
+            .transform(sort_small, [F.col("avg_risk_score").desc_nulls_first()]))
 
 
 def expansion_pipeline_rollup(expansion: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def expansion_pipeline_rollup(expansion: DataFrame) -> DataFrame:
             .agg(col("COUNT(1)", "opportunity_count"),
                  col("SUM(estimated_expansion_mrr)", "total_pipeline_mrr"),
                  col(avg_exact("expansion_score"), "avg_readiness_score"))
-            .orderBy(F.col("avg_readiness_score").desc_nulls_first()))
+            .transform(sort_small, [F.col("avg_readiness_score").desc_nulls_first()]))
 
 
 def trend_portfolio_rollup(trends: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def trend_portfolio_rollup(trends: DataFrame) -> DataFrame:
                  col(f"ROUND({avg_exact('overall_trend_score')}, 1)", "avg_trend_score"),
                  col("SUM(mrr)", "total_mrr"),
                  col(f"ROUND({avg_exact('usage_trend_4wk')}, 1)", "avg_usage_trend_pct"))
-            .orderBy(F.col("avg_trend_score").desc_nulls_first()))
+            .transform(sort_small, [F.col("avg_trend_score").desc_nulls_first()]))
 
 
 def cohort_compare_by(cohorts: DataFrame, dim: str) -> DataFrame:
