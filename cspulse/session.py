@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a laptop / CI run.  On a cluster the submitter sets these.
@@ -30,52 +30,65 @@ def build_session(master: str | None = None, app_name: str = "cspulse",
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Return a SparkSession with analytics-friendly defaults.
 
-    Settings are only filled where nobody set them: a running session (e.g.
-    created by spark-submit or a notebook) is returned as is, apart from
-    runtime SQL settings it leaves unset, and a new session keeps everything
-    spark-submit / spark-defaults configured (``master`` included).
+    Explicit arguments (``master``, ``shuffle_partitions``, ``extra``) are
+    applied; the library defaults only fill settings nobody set.  A running
+    session (spark-submit, notebook) is returned as is apart from runtime SQL
+    settings it leaves unset; for a new session, settings given through
+    spark-submit or ``spark-defaults.conf`` are kept.
     """
-    conf = dict(_LOCAL_DEFAULTS)
+    explicit = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+        explicit["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     active = SparkSession.getActiveSession()
     if active is not None:
-        for key, value in conf.items():
+        for key, value in {**_LOCAL_DEFAULTS, **explicit}.items():
             if key.startswith("spark.sql.") and active.conf.get(key, None) is None:
                 active.conf.set(key, value)
         return active
-    preset = SparkConf()  # spark-submit and spark-defaults settings
+    preset = _preset_conf()
     builder = SparkSession.builder.appName(app_name)
-    if master and not preset.contains("spark.master"):
+    if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        if not preset.contains(key):
+    for key, value in _LOCAL_DEFAULTS.items():
+        if key not in explicit and not preset.contains(key):
             builder = builder.config(key, value)
+    for key, value in explicit.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     return spark
 
 
+def _preset_conf() -> SparkConf:
+    """Settings from spark-submit / spark-defaults.conf (visible once the JVM is up)."""
+    try:
+        SparkContext._ensure_initialized()
+    except Exception:  # no gateway yet: nothing can have been preset
+        pass
+    return SparkConf()
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut-lineage tables.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) a private folder is created and registered, so cluster runs
-    always land on the shared storage the cluster names.
+    ``spark.checkpoint.dir`` (set by the cluster when the session is created;
+    Spark refuses to change it later) wins, then a checkpoint folder already
+    set on the SparkContext.  Only when neither exists (local tests) a
+    private folder is created, once per context, and registered with the
+    context so ``DataFrame.checkpoint()`` uses it too.
     """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = _LOCAL_ROOTS.get(id(sc)) or tempfile.mkdtemp(prefix="cspulse-ckpt-")
-        _LOCAL_ROOTS[id(sc)] = root
-        try:
-            spark.conf.set("spark.checkpoint.dir", root)
-        except Exception:  # some sessions refuse runtime changes of core settings
-            pass
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root
+    key = id(sc)
+    if key not in _LOCAL_ROOTS:
+        existing = sc.getCheckpointDir()
+        root = existing or tempfile.mkdtemp(prefix="cspulse-ckpt-")
+        if not existing:
+            sc.setCheckpointDir(root)
+        _LOCAL_ROOTS[key] = root
+    return _LOCAL_ROOTS[key]
 
 
 _LOCAL_ROOTS: dict[int, str] = {}

@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+def _load(spark: SparkSession, path: str, schema) -> DataFrame:
+    # partition columns (activity_date) come back last; restore the declared order
+    return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])
+
+
 def load_customers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CUSTOMERS).parquet(path)
+    return _load(spark, path, schemas.CUSTOMERS)
 
 
 def load_activity(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ACTIVITY).parquet(path)
+    return _load(spark, path, schemas.ACTIVITY)
 
 
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.BASELINE).parquet(path)
+    return _load(spark, path, schemas.BASELINE)
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
