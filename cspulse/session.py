@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+import pyspark
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +46,12 @@ def build_session(master: str | None = None, app_name: str = "cspulse",
             if key.startswith("spark.sql.") and active.conf.get(key, None) is None:
                 active.conf.set(key, value)
         return active
-    preset = _preset_conf()
+    preset = _preset_keys()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in _LOCAL_DEFAULTS.items():
-        if key not in explicit and not preset.contains(key):
+        if key not in explicit and key not in preset:
             builder = builder.config(key, value)
     for key, value in explicit.items():
         builder = builder.config(key, value)
@@ -59,13 +60,28 @@ def build_session(master: str | None = None, app_name: str = "cspulse",
     return spark
 
 
-def _preset_conf() -> SparkConf:
-    """Settings from spark-submit / spark-defaults.conf (visible once the JVM is up)."""
-    try:
+def _preset_keys() -> set[str]:
+    """Keys set by spark-submit or ``spark-defaults.conf``.
+
+    When a JVM already runs (spark-submit, notebook) its SparkConf is read.
+    Otherwise the JVM must not be started here: settings such as
+    ``spark.driver.memory`` only apply at launch, so the defaults files the
+    launcher would load are read instead.
+    """
+    if SparkContext._jvm is not None or os.environ.get("PYSPARK_GATEWAY_PORT"):
         SparkContext._ensure_initialized()
-    except Exception:  # no gateway yet: nothing can have been preset
-        pass
-    return SparkConf()
+        return {key for key, _ in SparkConf().getAll()}
+    keys: set[str] = set()
+    folders = [os.environ.get("SPARK_CONF_DIR"),
+               os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__),
+                            "conf")]
+    for folder in filter(None, folders):
+        path = os.path.join(folder, "spark-defaults.conf")
+        if os.path.isfile(path):
+            with open(path) as fh:
+                keys |= {line.split()[0] for line in fh
+                         if line.strip() and not line.lstrip().startswith("#")}
+    return keys
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -1,10 +1,11 @@
 """Table sources: declared-schema Parquet readers/writers and fixture derivation."""
 
 from .derive import derive_activity, derive_customers, fixture_tables
-from .tables import (conform, load_activity, load_baseline, load_customers, save_bucketed,
+from .tables import (conform, load_activity, load_baseline, load_bucketed, load_customers,
+                     save_bucketed,
                      write_activity, write_customers)
 
 __all__ = [
     "conform", "derive_activity", "derive_customers", "fixture_tables", "load_activity",
-    "load_baseline", "load_customers", "save_bucketed", "write_activity", "write_customers",
+    "load_baseline", "load_bucketed", "load_customers", "save_bucketed", "write_activity", "write_customers",
 ]

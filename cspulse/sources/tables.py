@@ -80,3 +80,10 @@ def save_bucketed(customers: DataFrame, activity: DataFrame, location: str, buck
      .bucketBy(buckets, "customer_id").sortBy("customer_id")
      .option("path", f"{location}/{activity_table}").saveAsTable(activity_table))
     return customers_table, activity_table
+
+
+def load_bucketed(spark: SparkSession, customers_table: str = "customers",
+                  activity_table: str = "customer_activity") -> tuple[DataFrame, DataFrame]:
+    """Read the tables stored by ``save_bucketed`` in the declared column order."""
+    return (spark.table(customers_table).select(*schemas.CUSTOMER_COLUMNS),
+            spark.table(activity_table).select(*schemas.ACTIVITY_COLUMNS))

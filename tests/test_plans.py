@@ -57,7 +57,9 @@ def test_bucketed_tables_remove_fact_shuffles(spark):
     root = tempfile.mkdtemp(prefix="cspulse-bucketed-")
     names = save_bucketed(cust, act, root, buckets=4, customers_table="t_customers",
                           activity_table="t_activity")
-    bc, ba = spark.table(names[0]), spark.table(names[1])
+    from cspulse.sources import load_bucketed
+    bc, ba = load_bucketed(spark, *names)
+    assert ba.columns == act.columns
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # behave like large tables
     try:
         for analysis in (customer_health, churn_risk, usage_trends):
