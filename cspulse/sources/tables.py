@@ -40,9 +40,14 @@ def write_customers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     conform(df, schemas.CUSTOMERS).write.mode(mode).parquet(path)
 
 
-def write_activity(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_activity(df: DataFrame, path: str, mode: str = "overwrite",
+                   replace: str = "dates") -> None:
     """Write the fact table, one directory per activity date.
 
+    With ``mode="overwrite"`` only the dates present in ``df`` are replaced
+    (dynamic partition overwrite), so reloading a week never drops the rest
+    of the history; ``replace="all"`` overwrites the whole table.
+
     Range partitioning on (date, customer) gives each task a contiguous slice
     of dates, so a task writes few files, while a date holding a large share
     of rows is still split across several tasks (a hash on the date alone
@@ -51,7 +56,9 @@ def write_activity(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (conform(df, schemas.ACTIVITY)
      .repartitionByRange("activity_date", "customer_id")
      .sortWithinPartitions("activity_date", "customer_id")
-     .write.mode(mode).partitionBy("activity_date").parquet(path))
+     .write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic" if replace == "dates" else "static")
+     .partitionBy("activity_date").parquet(path))
 
 
 def save_bucketed(customers: DataFrame, activity: DataFrame, location: str, buckets: int,

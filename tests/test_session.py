@@ -44,3 +44,17 @@ def test_write_activity_makes_one_directory_per_date(spark):
     assert len(dirs) == len(dates)
     back = load_activity(spark, path)
     assert back.exceptAll(act).count() == 0 and act.exceptAll(back).count() == 0
+
+
+def test_rewriting_some_dates_keeps_the_others(spark):
+    _, act = fixture_tables(spark, SF001)
+    path = os.path.join(tempfile.mkdtemp(prefix="cspulse-reload-"), "activity")
+    write_activity(act, path)
+    last = act.agg({"activity_date": "max"}).first()[0]
+    reload = act.filter(act.activity_date == last).withColumn("logins_count", act.logins_count * 0)
+    write_activity(reload, path)                      # replaces only the last date
+    back = load_activity(spark, path)
+    assert back.count() == act.count()
+    assert back.filter(back.activity_date == last).agg({"logins_count": "max"}).first()[0] == 0
+    older = act.filter(act.activity_date < last)
+    assert back.filter(back.activity_date < last).exceptAll(older).count() == 0
