@@ -33,3 +33,13 @@ def test_matches_oracle(spark, duck, key):
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(rows) == len(expected)
     assert digest(df.columns, rows) == digest(rel.columns, expected)
+
+
+def test_entry_schema_is_stable(spark):
+    assert entry.entry(spark).schema == entry.entry(spark).schema
+
+
+def test_every_query_has_unique_column_names(spark):
+    for key, fn in entry.queries().items():
+        columns = fn(spark, SF001).columns
+        assert len(columns) == len(set(columns)), key
