@@ -211,3 +211,26 @@ def test_age_formula_matches_duckdb_on_random_pairs(spark):
         "CAST(date_part('year', age(a::TIMESTAMP, b::TIMESTAMP)) * 12 "
         "+ date_part('month', age(a::TIMESTAMP, b::TIMESTAMP)) AS INTEGER) FROM p").fetchall())
     assert got == want
+
+
+def test_segment_ladder_branches_and_precedence(spark):
+    from cspulse.plans import segment_customers
+    rows = [  # (id, trend_category, active weeks, four_week_avg_usage) -> expected segment
+        (1, "Strong Growth", 7, "50.0", "ACCELERATING"),
+        (2, "Strong Growth", 6, "80.0", "STABLE POWER USERS"),
+        (3, "Sharp Decline", 4, "90.0", "ABANDONING"),
+        (4, "Sharp Decline", 5, "90.0", "DECLINING"),
+        (5, "Declining", 8, "75.0", "DECLINING"),
+        (6, "Stable", 4, "95.0", "VOLATILE"),
+        (7, "Stable", 8, "70.0", "STABLE POWER USERS"),
+        (8, "Improving", 8, "69.9", "UNSEGMENTED"),
+        (9, "Stable", 8, None, "UNSEGMENTED"),
+    ]
+    df = spark.createDataFrame(
+        [(i, f"Co{i}", Decimal("10.00"), 0, cat, "x", None if u is None else Decimal(u), w)
+         for i, cat, w, u, _ in rows],
+        "customer_id INT, company_name STRING, mrr DECIMAL(10,2), overall_trend_score INT, "
+        "trend_category STRING, engagement_consistency STRING, four_week_avg_usage DECIMAL(20,1), "
+        "active_weeks_last_8 BIGINT")
+    got = {r.customer_id: r.segment for r in segment_customers(df).collect()}
+    assert got == {i: seg for i, _, _, _, seg in rows}
