@@ -3,8 +3,8 @@
 Usage: python -m verify.compare [sf_dir] [key ...]
 
 Per key: row counts, column names, a coarse type class per column, and an
-order-insensitive hash of the values (floats rounded to 9 significant
-digits, dates as ISO text).  Prints one line per key and a summary.
+order-insensitive hash of the values (floats compared bit for bit, dates as
+ISO text).  Prints one line per key and a summary.
 """
 
 from __future__ import annotations
@@ -25,9 +25,7 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return float(f"{v:.9g}")
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, (dt.date, dt.datetime)):
         return v.isoformat()
     if hasattr(v, "item"):
