@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pieces, simhash, tokens
+from . import fingerprints, langid, mixing, pieces, simhash, tokens, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document's whole text, and whether they decode to it."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +37,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded", "round_trip")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +50,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with their likenesses."""
+    found = fingerprints.edited_fingerprints(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.text_of(F.col("sketch")).alias("fingerprint"),
+        fingerprints.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "contained", "shingles")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.identify(_read(spark, sf_dir, "documents")).select(
@@ -45,8 +67,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_sentencepiece, op8_token_counts,
-                            op10_language_id)}
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mix, op3_sentencepiece,
+                            op4_url_filter, op8_token_counts, op9_document_fingerprints, op10_language_id)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
