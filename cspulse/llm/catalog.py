@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, html_text, langid, mixing, pieces, simhash, tokens, urls
+from . import ann, fingerprints, html_text, langid, mixing, pieces, quality, simhash, tokens, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,6 +43,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.classify(docs, labels).select("doc_id", "score", "accepted")
+
+
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -78,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mix, op3_sentencepiece,
-                            op4_url_filter, op6_html_main_text,
+                            op4_url_filter, op5_quality_cotraining, op6_html_main_text,
                             op7_nearest_vectors, op8_token_counts, op9_document_fingerprints, op10_language_id)}
 
 
