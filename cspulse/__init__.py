@@ -11,19 +11,18 @@ from .plans import (best_cohorts, churn_risk, churn_risk_rollup, cohort_compare_
                     cohort_exec_summary, cohort_retention, cohort_retention_curve,
                     cohort_table, customer_health, customer_metrics, expansion_opportunities,
                     expansion_pipeline_rollup, portfolio_report, register_views,
-                    segment_customers,
-                    trend_portfolio_rollup, usage_trends, worst_cohorts)
-from .session import build_session, materialize
-from .sources import (load_activity, load_baseline, load_customers, save_bucketed,
+                    percentile_metrics, segment_customers, trend_portfolio_rollup,
+                    usage_trends, worst_cohorts)
+from .session import build_session, materialize, release
+from .sources import (domain_faults, load_activity, load_baseline, load_customers,
                       write_activity, write_customers)
-from .streaming import activity_stream, write_activity_stream
 
 __all__ = [
-    "activity_stream", "best_cohorts", "build_session", "churn_risk", "churn_risk_rollup",
-    "cohort_compare_by", "cohort_exec_summary", "cohort_retention", "cohort_retention_curve",
-    "cohort_table", "customer_health", "customer_metrics", "expansion_opportunities",
+    "best_cohorts", "build_session", "churn_risk", "churn_risk_rollup", "cohort_compare_by",
+    "cohort_exec_summary", "cohort_retention", "cohort_retention_curve", "cohort_table",
+    "customer_health", "customer_metrics", "domain_faults", "expansion_opportunities",
     "expansion_pipeline_rollup", "load_activity", "load_baseline", "load_customers",
-    "materialize", "portfolio_report", "register_views", "save_bucketed", "segment_customers",
-    "trend_portfolio_rollup", "usage_trends", "worst_cohorts", "write_activity",
-    "write_activity_stream", "write_customers",
+    "materialize", "percentile_metrics", "portfolio_report", "register_views", "release",
+    "segment_customers", "trend_portfolio_rollup", "usage_trends", "worst_cohorts",
+    "write_activity", "write_customers",
 ]

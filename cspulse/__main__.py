@@ -1,11 +1,13 @@
 """Command line: run one analysis (or rollup) over stored tables.
 
     python -m cspulse run churn_risk --customers PATH --activity PATH [--as-of 2024-07-29]
-    python -m cspulse run churn_risk_rollup ... --all --out s3://bucket/reports/churn
+    python -m cspulse run churn_risk_rollup ... --out s3://bucket/reports/churn
     python -m cspulse derive --sf-dir /root/testdata/sf0.1 --out /shared/cspulse
 
-``run`` shows the result (the reports are top lists) or, with ``--out``,
-writes it as Parquet from the executors.  ``derive`` builds both tables from
+``run`` prints the result, every row of it, or with ``--out`` writes it as
+Parquet from the executors.  The customer lists are the top 100 and the cohort
+table the latest 24 unless ``--all`` is given; rollups, segments and follow-ups
+always cover every customer and cohort.  ``derive`` builds both tables from
 the benchmark driver tables and stores them (date-partitioned fact table).
 Session settings come from spark-submit / the cluster; nothing is overridden.
 """
@@ -41,17 +43,17 @@ NAMES = sorted([*LISTS, *ROLLUPS, *COHORT_FOLLOW_UPS, "cohort_retention",
 
 
 def build(name: str, customers, activity, as_of: dt.date, limit: int | None):
+    """The analysis; ``limit`` cuts the lists only: rollups and follow-ups cover everyone."""
     if name in LISTS:
         return LISTS[name](customers, activity, as_of, limit)
     if name in ROLLUPS:
         analysis, rollup = ROLLUPS[name]
-        return rollup(analysis(customers, activity, as_of, limit))
+        return rollup(analysis(customers, activity, as_of, None))
     if name == "cohort_retention":
-        return plans.cohort_retention(customers, activity, as_of,
-                                      limit=24 if limit is not None else None)
+        return plans.cohort_retention(customers, activity, as_of, limit=plans.cohort_limit(limit))
     if name == "cohort_retention_curve":
         return plans.cohort_retention_curve(customers, activity)
-    return COHORT_FOLLOW_UPS[name](plans.cohort_retention(customers, activity, as_of))
+    return COHORT_FOLLOW_UPS[name](plans.cohort_retention(customers, activity, as_of, limit=None))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -82,8 +84,10 @@ def main(argv: list[str] | None = None) -> None:
     result = build(args.analysis, customers, activity, as_of, None if args.all else 100)
     if args.out:
         result.write.mode("overwrite").parquet(args.out)
-    else:
-        result.show(100, truncate=False)
+    else:  # every row, a partition at a time
+        print("\t".join(result.columns))
+        for row in result.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
 
 
 if __name__ == "__main__":

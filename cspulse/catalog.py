@@ -9,6 +9,7 @@ value-for-value with the DuckDB oracle.
 
 from __future__ import annotations
 
+import datetime as dt
 import weakref
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ from .operators import periods, windows
 from .operators.enrich import enrich as enrich_with
 from .operators.enrich import top_k
 from .plans import churn, cohorts, expansion, health, portfolio, rollups, trends
-from .sources.derive import FIXTURE_AS_OF, fixture_tables
+from .sources.derive import FIXTURE_AS_OF, fixture_baseline, fixture_tables
 
 AS_OF = FIXTURE_AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,23 +41,26 @@ _REGISTRY: dict[str, Query] = {}
 _TABLES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
-def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The derived (customers, customer_activity) plans, built once per session and folder.
+def tables(spark: SparkSession, sf_dir: str, days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The derived (customers, customer_activity) plans, built once per session, folder and bound.
 
     Like views: the DataFrames are lazy, so every query still reads and
     derives the data when it runs; only the driver-side plan construction
-    (file listing, analysis) is shared between queries.
+    (file listing, analysis) is shared between queries.  ``days`` bounds the
+    activity to that many days before the report date, at the scan.
     """
     per_session = _TABLES.setdefault(spark, {})
-    if sf_dir not in per_session:
-        per_session[sf_dir] = fixture_tables(spark, sf_dir)
-    return per_session[sf_dir]
+    if (sf_dir, days) not in per_session:
+        since = None if days is None else AS_OF - dt.timedelta(days=days)
+        per_session[sf_dir, days] = fixture_tables(spark, sf_dir, since)
+    return per_session[sf_dir, days]
 
 
-def query(name: str):
+def query(name: str, days: int | None = None):
+    """Register a query; ``days`` is the longest look-back of its filters."""
     def deco(fn: Callable[[DataFrame, DataFrame], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            customers, activity = tables(spark, sf_dir)
+            customers, activity = tables(spark, sf_dir, days)
             return as_reported(fn(customers, activity))
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -65,6 +69,18 @@ def query(name: str):
     return deco
 
 
+def baseline_query(name: str, days: int | None = None):
+    """Register a query that also takes the derived baseline snapshot."""
+    def deco(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return as_reported(fn(*tables(spark, sf_dir, days), fixture_baseline(spark, sf_dir)))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        _REGISTRY[name] = run
+        return fn
+    return deco
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
@@ -90,12 +106,12 @@ def _assign_mrr(cust, act):
 # ----------------------------------------------------------------- F: filters
 
 
-@query("filter_trailing_30d")
+@query("filter_trailing_30d", days=30)
 def _filter_trailing(cust, act):
     return periods.trailing_window(act, AS_OF, 30)
 
 
-@query("filter_half_open_period")
+@query("filter_half_open_period", days=56)
 def _filter_half_open(cust, act):
     return periods.half_open_period(act, AS_OF, 56, 28)
 
@@ -115,13 +131,13 @@ def _cohort_min_size(cust, act):
 # -------------------------------------------------------------------- J: joins
 
 
-@query("join_enrich_customers")
+@query("join_enrich_customers", days=30)
 def _join_enrich(cust, act):
     return enrich_with(periods.recent_activity(act, AS_OF), cust,
                          ["company_name", "plan_type", "mrr", "status"])
 
 
-@query("join_period_over_period")
+@query("join_period_over_period", days=56)
 def _join_pop(cust, act):
     return periods.period_over_period(act, AS_OF)
 
@@ -129,37 +145,37 @@ def _join_pop(cust, act):
 # --------------------------------------------------------------- G: aggregates
 
 
-@query("recent_activity")
+@query("recent_activity", days=30)
 def _recent_activity(cust, act):
     return periods.recent_activity(act, AS_OF)
 
 
-@query("current_metrics")
+@query("current_metrics", days=28)
 def _current_metrics(cust, act):
     return periods.current_metrics(act, AS_OF)
 
 
-@query("prior_metrics")
+@query("prior_metrics", days=56)
 def _prior_metrics(cust, act):
     return periods.prior_metrics(act, AS_OF)
 
 
-@query("recent_usage")
+@query("recent_usage", days=30)
 def _recent_usage(cust, act):
     return periods.recent_activity(act, AS_OF, names=periods.EXPANSION_RECENT_NAMES)
 
 
-@query("usage_trend_60d")
+@query("usage_trend_60d", days=60)
 def _usage_trend_60d(cust, act):
     return periods.usage_trend_60d(act, AS_OF)
 
 
-@query("customer_metrics")
+@query("customer_metrics", days=60)
 def _customer_metrics(cust, act):
     return portfolio.customer_metrics(act, AS_OF)
 
 
-@query("recent_trends")
+@query("recent_trends", days=84)
 def _recent_trends(cust, act):
     return windows.recent_trends(act, AS_OF)
 
@@ -179,7 +195,7 @@ def _cohort_status(cust, act):
                     "pro_to_enterprise_upgrades"))
 
 
-@query("cohort_engagement")
+@query("cohort_engagement", days=30)
 def _cohort_engagement(cust, act):
     return cohorts.cohort_engagement(cohorts.cohort_base(cust), act, AS_OF)
 
@@ -197,31 +213,31 @@ def _cohort_curve(cust, act):
 # ------------------------------------------------------------------ W: windows
 
 
-@query("window_lag")
+@query("window_lag", days=84)
 def _window_lag(cust, act):
     return windows.weekly_window_metrics(act, AS_OF).select(
         "customer_id", "activity_date", "logins_count", "prev_week_logins", "prev_week_usage")
 
 
-@query("window_lead")
+@query("window_lead", days=84)
 def _window_lead(cust, act):
     return windows.weekly_window_metrics(act, AS_OF).select(
         "customer_id", "activity_date", "logins_count", "next_week_logins", "next_week_usage")
 
 
-@query("window_rolling_avg")
+@query("window_rolling_avg", days=84)
 def _window_rolling(cust, act):
     return windows.weekly_window_metrics(act, AS_OF).select(
         "customer_id", "activity_date", "rolling_4wk_logins", "rolling_4wk_usage")
 
 
-@query("window_row_number")
+@query("window_row_number", days=84)
 def _window_rn(cust, act):
     return windows.weekly_window_metrics(act, AS_OF).select(
         "customer_id", "activity_date", "weeks_ago")
 
 
-@query("weekly_window_metrics")
+@query("weekly_window_metrics", days=84)
 def _weekly_window_metrics(cust, act):
     return windows.weekly_window_metrics(act, AS_OF).select(
         "customer_id", "activity_date", "logins_count", "feature_usage_score",
@@ -232,7 +248,7 @@ def _weekly_window_metrics(cust, act):
 # -------------------------------------------------------------- T: sort/limit
 
 
-@query("topk_mixed_order")
+@query("topk_mixed_order", days=30)
 def _topk(cust, act):
     joined = enrich_with(periods.recent_activity(act, AS_OF), cust, ["company_name", "mrr"])
     return top_k(joined.select("customer_id", "company_name", "mrr", "avg_usage_score"),
@@ -255,7 +271,7 @@ def _age_month_part(cust, act):
                            named(age_month_part(lit(AS_OF), "signup_date"), "months_as_customer"))
 
 
-@query("scalar_pct_change")
+@query("scalar_pct_change", days=60)
 def _pct_change(cust, act):
     return periods.usage_trend_60d(act, AS_OF).selectExpr(
         "customer_id",
@@ -266,12 +282,12 @@ def _pct_change(cust, act):
 # ------------------------------------------------------------- scoring stages
 
 
-@query("health_dimensions")
+@query("health_dimensions", days=30)
 def _health_dimensions(cust, act):
     return health.health_dimensions(periods.recent_activity(act, AS_OF))
 
 
-@query("health_score")
+@query("health_score", days=30)
 def _health_score(cust, act):
     s = health.health_scores(health.health_dimensions(periods.recent_activity(act, AS_OF)))
     return s.selectExpr("customer_id", "overall_health_score", "usage_health_score",
@@ -279,12 +295,12 @@ def _health_score(cust, act):
                         *health.grade_and_action())
 
 
-@query("risk_signals")
+@query("risk_signals", days=56)
 def _risk_signals(cust, act):
     return churn.risk_signals(periods.churn_period_metrics(act, AS_OF))
 
 
-@query("risk_scores")
+@query("risk_scores", days=56)
 def _risk_scores(cust, act):
     return churn.risk_scores(churn.risk_signals(periods.churn_period_metrics(act, AS_OF)))
 
@@ -293,23 +309,23 @@ _EXP_COLS = ["customer_id", *expansion.SIGNALS, "avg_logins", "avg_usage_score",
              "avg_nps", "recent_usage", "prior_usage", "plan_type", "mrr"]
 
 
-@query("expansion_signals")
+@query("expansion_signals", days=60)
 def _expansion_signals(cust, act):
     return expansion.expansion_signals(cust, act, AS_OF).select(*_EXP_COLS)
 
 
-@query("expansion_scores")
+@query("expansion_scores", days=60)
 def _expansion_scores(cust, act):
     return (expansion.expansion_scores(expansion.expansion_signals(cust, act, AS_OF))
             .select("expansion_score", *_EXP_COLS))
 
 
-@query("trend_analysis")
+@query("trend_analysis", days=84)
 def _trend_analysis(cust, act):
     return trends.trend_analysis(windows.recent_trends(act, AS_OF))
 
 
-@query("trend_scores")
+@query("trend_scores", days=84)
 def _trend_scores(cust, act):
     return trends.trend_scores(trends.trend_analysis(windows.recent_trends(act, AS_OF)))
 
@@ -317,111 +333,109 @@ def _trend_scores(cust, act):
 # --------------------------------------------------------------- composites
 
 
-@query("customer_health")
+@query("customer_health", days=30)
 def _customer_health(cust, act):
     return health.customer_health(cust, act, AS_OF)
 
 
-@query("customer_health_full")
+@query("customer_health_full", days=30)
 def _customer_health_full(cust, act):
     return health.customer_health(cust, act, AS_OF, limit=None)
 
 
-@query("churn_risk")
+@query("churn_risk", days=56)
 def _churn_risk(cust, act):
     return churn.churn_risk(cust, act, AS_OF)
 
 
-@query("churn_risk_full")
+@query("churn_risk_full", days=56)
 def _churn_risk_full(cust, act):
     return churn.churn_risk(cust, act, AS_OF, limit=None)
 
 
-@query("expansion_opportunities")
+@query("expansion_opportunities", days=60)
 def _expansion(cust, act):
     return expansion.expansion_opportunities(cust, act, AS_OF)
 
 
-@query("expansion_opportunities_full")
+@query("expansion_opportunities_full", days=60)
 def _expansion_full(cust, act):
     return expansion.expansion_opportunities(cust, act, AS_OF, limit=None)
 
 
-@query("usage_trends")
+@query("usage_trends", days=84)
 def _usage_trends(cust, act):
     return trends.usage_trends(cust, act, AS_OF)
 
 
-@query("usage_trends_full")
+@query("usage_trends_full", days=84)
 def _usage_trends_full(cust, act):
     return trends.usage_trends(cust, act, AS_OF, limit=None)
 
 
-@query("cohort_retention")
+@query("cohort_retention", days=30)
 def _cohort_retention(cust, act):
     return cohorts.cohort_retention(cust, act, AS_OF)
 
 
-@query("cohort_retention_full")
+@query("cohort_retention_full", days=30)
 def _cohort_retention_full(cust, act):
     return cohorts.cohort_retention(cust, act, AS_OF, limit=None)
 
 
 # ------------------------------------------------------------------ rollups
+# The plain names cover the whole portfolio (the ``_full`` ones are the same);
+# ``_top100`` and ``_latest24`` summarise the limited reports.
 
 
-@query("churn_risk_rollup")
-def _churn_rollup(cust, act):
-    return rollups.churn_risk_rollup(churn.churn_risk(cust, act, AS_OF))
-
-
-@query("churn_risk_rollup_full")
-def _churn_rollup_full(cust, act):
-    return rollups.churn_risk_rollup(churn.churn_risk(cust, act, AS_OF, limit=None))
-
+def _churn_rollup(limit):
+    return lambda cust, act: rollups.churn_risk_rollup(churn.churn_risk(cust, act, AS_OF, limit))
 
-@query("expansion_pipeline_rollup")
-def _expansion_rollup(cust, act):
-    return rollups.expansion_pipeline_rollup(expansion.expansion_opportunities(cust, act, AS_OF))
 
+def _expansion_rollup(limit):
+    return lambda cust, act: rollups.expansion_pipeline_rollup(
+        expansion.expansion_opportunities(cust, act, AS_OF, limit))
 
-@query("expansion_pipeline_rollup_full")
-def _expansion_rollup_full(cust, act):
-    return rollups.expansion_pipeline_rollup(
-        expansion.expansion_opportunities(cust, act, AS_OF, limit=None))
 
+def _trend_rollup(limit):
+    return lambda cust, act: rollups.trend_portfolio_rollup(
+        trends.usage_trends(cust, act, AS_OF, limit))
 
-@query("trend_portfolio_rollup")
-def _trend_rollup(cust, act):
-    return rollups.trend_portfolio_rollup(trends.usage_trends(cust, act, AS_OF))
 
+for _suffix, _limit in (("", None), ("_full", None), ("_top100", 100)):
+    query(f"churn_risk_rollup{_suffix}", days=56)(_churn_rollup(_limit))
+    query(f"expansion_pipeline_rollup{_suffix}", days=60)(_expansion_rollup(_limit))
+    query(f"trend_portfolio_rollup{_suffix}", days=84)(_trend_rollup(_limit))
 
-@query("trend_portfolio_rollup_full")
-def _trend_rollup_full(cust, act):
-    return rollups.trend_portfolio_rollup(trends.usage_trends(cust, act, AS_OF, limit=None))
 
-
-@query("cohort_compare_by_industry")
+@query("cohort_compare_by_industry", days=30)
 def _cohort_compare(cust, act):
     table = cohorts.cohort_table(cust, act, AS_OF, by=["industry"])
     return rollups.cohort_compare_by(table.filter("cohort_size >= 5"), "industry")
 
 
-@query("best_cohorts")
-def _best_cohorts(cust, act):
-    return rollups.best_cohorts(cohorts.cohort_retention(cust, act, AS_OF))
+def _cohort_follow_up(rollup, limit):
+    return lambda cust, act, baseline=None: rollup(
+        cohorts.cohort_retention(cust, act, AS_OF, limit=limit, baseline=baseline))
+
+
+for _name in ("best_cohorts", "worst_cohorts", "cohort_exec_summary"):
+    _rollup = getattr(rollups, _name)
+    query(_name, days=30)(_cohort_follow_up(_rollup, None))
+    query(f"{_name}_latest24", days=30)(_cohort_follow_up(_rollup, cohorts.LATEST_COHORTS))
+    baseline_query(f"{_name}_baseline", days=30)(_cohort_follow_up(_rollup, None))
 
 
-@query("worst_cohorts")
-def _worst_cohorts(cust, act):
-    return rollups.worst_cohorts(cohorts.cohort_retention(cust, act, AS_OF))
+@baseline_query("cohort_retention_baseline", days=30)
+def _cohort_retention_baseline(cust, act, baseline):
+    return cohorts.cohort_retention(cust, act, AS_OF, limit=None, baseline=baseline)
 
 
-@query("cohort_exec_summary")
-def _cohort_exec(cust, act):
-    return rollups.cohort_exec_summary(cohorts.cohort_retention(cust, act, AS_OF))
+@query("percentile_metrics")
+def _percentiles(cust, act):
+    return rollups.percentile_metrics(cust, act)
 
 
-@query("segment_customers")
+@query("segment_customers", days=84)
 def _segments(cust, act):
     return rollups.segment_customers(trends.usage_trends(cust, act, AS_OF, limit=None))

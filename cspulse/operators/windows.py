@@ -4,27 +4,16 @@ Frames are row based: a missing week is skipped, not zero-filled, so
 "4-week" means "the last 4 rows".  ``activity_id`` breaks ties between rows
 on the same date so row numbers are deterministic.
 
-Two shapes are provided:
+Two forms are provided:
 
 * ``weekly_window_metrics`` returns every row with LAG, 4-row rolling
-  averages and ``weeks_ago``.  ``strategy="auto"`` (default) first measures
-  the largest customer inside the horizon (one partial+final count, a single
-  number to the driver) and uses ``"window"`` while that customer fits one
-  task (``max_group_rows``), ``"range"`` beyond it:
-
-  - ``"window"``: ONE descending window spec (LAG over ascending order is
-    LEAD over descending order; ``3 PRECEDING .. CURRENT`` ascending is
-    ``CURRENT .. 3 FOLLOWING`` descending): one sort, one exchange.  A
-    customer's rows inside the horizon go to one task, which is right when
-    the table keeps its weekly grain (at most 12 rows per customer).
-  - ``"range"``: no task ever holds a whole customer.  Rows are
-    range-partitioned on (customer, date desc, id desc), numbered inside each
-    partition, and shifted by the row counts of the same customer in earlier
-    partitions (a table of at most one row per partition and customer); the
-    ranged rows are written once to ``spark.checkpoint.dir``.  LAG,
-    LEAD and the 4-row frame are then an equi-aggregation on (customer, row
-    number): each row is sent to the 5 row numbers whose frame contains it,
-    so every group has at most 5 rows however large the customer is.
+  averages and ``weeks_ago``, by one plan whatever a customer's size.  A row's
+  number is the count of the customer's rows on later dates (from per-date
+  counts, at most one row per customer and calendar date) plus its place
+  within its own date.  LAG, LEAD and the 4-row frame then run inside blocks
+  of BLOCK_ROWS consecutive row numbers; the few rows at a block's edge that
+  its neighbours' frames reach are copied there.  No task holds more of a
+  customer than one date or one block.
 * ``recent_trends`` needs only the 8 most recent rows of each customer.  It
   filters ``weeks_ago <= 8`` right after the row number, which Spark turns
   into a partial ``WindowGroupLimit`` *before* the shuffle: every map task
@@ -39,16 +28,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_of
 from ..functions.sql import col, named
-from ..session import materialize
 from .periods import KEY, since
 
 RECENT_ROWS = 8
 LATEST_FIRST = f"PARTITION BY {KEY} ORDER BY activity_date DESC, activity_id DESC"
-ROLLING_4 = f"{LATEST_FIRST} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING"
 
 
 def trend_rows(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
@@ -56,96 +42,51 @@ def trend_rows(act: DataFrame, as_of: dt.date, weeks: int = 12) -> DataFrame:
     return act.filter(since(as_of, 7 * weeks))
 
 
-def _rolling_mean(column: str) -> str:
-    return mean_of(f"SUM({column}) OVER ({ROLLING_4})", f"COUNT({column}) OVER ({ROLLING_4})")
-
-
-MAX_GROUP_ROWS = 1_000_000
+#: Consecutive rows of a customer that one window partition holds.
+BLOCK_ROWS = 4096
+_ROW_COLUMNS = ["activity_date", "activity_id", "logins_count", "feature_usage_score",
+                "support_tickets_opened", "nps_score"]
 
 
-def largest_customer_rows(rows: DataFrame) -> int:
-    """Row count of the largest customer (partial aggregation; one number returned)."""
-    top = rows.groupBy(KEY).agg(col("COUNT(1)", "_n")).agg(col("MAX(_n)", "_top")).first()
-    return top["_top"] or 0
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``weeks_ago``: 1 for a customer's latest row, then on."""
+    per_date = rows.groupBy(KEY, "activity_date").agg(col("COUNT(1)", "_n"))
+    later = per_date.selectExpr(
+        KEY, "activity_date",
+        f"COALESCE(SUM(_n) OVER (PARTITION BY {KEY} ORDER BY activity_date DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _later")
+    return (rows.join(later, [KEY, "activity_date"])
+            .selectExpr(KEY, *_ROW_COLUMNS,
+                        f"_later + row_number() OVER (PARTITION BY {KEY}, activity_date "
+                        "ORDER BY activity_id DESC) AS weeks_ago"))
 
 
 def weekly_window_metrics(act: DataFrame, as_of: dt.date, weeks: int = 12,
-                          strategy: str = "auto",
-                          max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    rows = trend_rows(act, as_of, weeks)
-    if strategy == "auto":
-        strategy = "window" if largest_customer_rows(rows) <= max_group_rows else "range"
-    if strategy == "range":
-        return _ranged_window_metrics(rows)
-    if strategy != "window":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return rows.selectExpr(
-        KEY, "activity_date", "activity_id", "logins_count", "feature_usage_score",
-        "support_tickets_opened", "nps_score",
-        named(f"lead(logins_count, 1) OVER ({LATEST_FIRST})", "prev_week_logins"),
-        named(f"lead(feature_usage_score, 1) OVER ({LATEST_FIRST})", "prev_week_usage"),
-        named(f"lag(logins_count, 1) OVER ({LATEST_FIRST})", "next_week_logins"),
-        named(f"lag(feature_usage_score, 1) OVER ({LATEST_FIRST})", "next_week_usage"),
-        named(_rolling_mean("logins_count"), "rolling_4wk_logins"),
-        named(_rolling_mean("feature_usage_score"), "rolling_4wk_usage"),
-        named(f"CAST(row_number() OVER ({LATEST_FIRST}) AS BIGINT)", "weeks_ago"))
-
-
-_ROW_COLUMNS = ["activity_date", "activity_id", "logins_count", "feature_usage_score",
-                "support_tickets_opened", "nps_score"]
-
-
-def _ranged_window_metrics(rows: DataFrame) -> DataFrame:
-    """Skew-proof LAG / LEAD / 4-row frame / row number (see module doc)."""
-    # Written once to the shared checkpoint folder: the partition ids and
-    # positions below come from a sampled range partitioning, and both
-    # branches (offsets and rows) must see the same assignment, also when a
-    # stage is retried after an executor loss.
-    ordered = materialize(
-        rows.repartitionByRange(F.col(KEY), F.col("activity_date").desc(),
-                                F.col("activity_id").desc())
-        .sortWithinPartitions(F.col(KEY), F.col("activity_date").desc(),
-                              F.col("activity_id").desc())
-        .selectExpr("*", "spark_partition_id() AS _part",
-                    "monotonically_increasing_id() AS _pos"),
-        "weekly-window-rows")
-    # per (partition, customer): row count and first position.  At most one
-    # row per partition and customer, so the running sum over a customer's
-    # earlier partitions spans at most #partitions rows.
-    offsets = (ordered.groupBy("_part", KEY)
-               .agg(col("COUNT(1)", "_n"), col("MIN(_pos)", "_first"))
-               .selectExpr("_part", KEY, "_first",
-                           f"COALESCE(SUM(_n) OVER (PARTITION BY {KEY} ORDER BY _part "
-                           "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset"))
-    # positions increase in sorted order inside a partition, so the row number
-    # is the distance from the customer's first row there plus the offset
-    numbered = (ordered.join(offsets, ["_part", KEY])
-                .selectExpr(KEY, *_ROW_COLUMNS, "_pos - _first + 1 + _offset AS weeks_ago"))
-    # row w's frame holds rows w..w+3 (older weeks), LAG is row w+1 and LEAD
-    # row w-1: send each row to targets w-1 .. w+3 from its own position
-    spread = numbered.selectExpr("*", "explode(sequence(-3, 1)) AS _k") \
-        .selectExpr("*", "weeks_ago + _k AS _target").filter("_target >= 1")
-
-    def own(column: str) -> str:
-        return f"MAX(CASE WHEN _k = 0 THEN {column} END)"
-
-    def frame(column: str) -> str:
-        picked = f"CASE WHEN _k BETWEEN -3 AND 0 THEN {column} END"
-        return mean_of(f"SUM({picked})", f"COUNT({picked})")
-
-    return (spread.groupBy(KEY, "_target")
-            .agg(*[col(own(c), c) for c in _ROW_COLUMNS],
-                 col("MAX(CASE WHEN _k = -1 THEN logins_count END)", "prev_week_logins"),
-                 col("MAX(CASE WHEN _k = -1 THEN feature_usage_score END)", "prev_week_usage"),
-                 col("MAX(CASE WHEN _k = 1 THEN logins_count END)", "next_week_logins"),
-                 col("MAX(CASE WHEN _k = 1 THEN feature_usage_score END)", "next_week_usage"),
-                 col(frame("logins_count"), "rolling_4wk_logins"),
-                 col(frame("feature_usage_score"), "rolling_4wk_usage"),
-                 col("COUNT(CASE WHEN _k = 0 THEN 1 END)", "_self"))
-            .filter("_self = 1")
-            .selectExpr(KEY, *_ROW_COLUMNS, "prev_week_logins", "prev_week_usage",
-                        "next_week_logins", "next_week_usage", "rolling_4wk_logins",
-                        "rolling_4wk_usage", "CAST(_target AS BIGINT) AS weeks_ago"))
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every row of the horizon with its neighbours, rolling averages and number."""
+    # Place p in block h, from 0: the block above needs rows 0-2 for its last frames and
+    # row 0 for its LAG, the block below needs the last row for its LEAD.
+    spread = (numbered_rows(trend_rows(act, as_of, weeks))
+              .selectExpr("*", f"(weeks_ago - 1) DIV {block_rows} AS _home",
+                          f"(weeks_ago - 1) % {block_rows} AS _place")
+              .selectExpr("*", "explode(array_compact(array(_home, "
+                          "CASE WHEN _place < 3 AND _home > 0 THEN _home - 1 END, "
+                          f"CASE WHEN _place = {block_rows - 1} THEN _home + 1 END))) AS _block"))
+    latest_first = f"PARTITION BY {KEY}, _block ORDER BY weeks_ago"
+    frame = f"{latest_first} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING"
+
+    def rolling(column: str) -> str:
+        return mean_of(f"SUM({column}) OVER ({frame})", f"COUNT({column}) OVER ({frame})")
+
+    return spread.selectExpr(
+        KEY, *_ROW_COLUMNS,
+        named(f"lead(logins_count, 1) OVER ({latest_first})", "prev_week_logins"),
+        named(f"lead(feature_usage_score, 1) OVER ({latest_first})", "prev_week_usage"),
+        named(f"lag(logins_count, 1) OVER ({latest_first})", "next_week_logins"),
+        named(f"lag(feature_usage_score, 1) OVER ({latest_first})", "next_week_usage"),
+        named(rolling("logins_count"), "rolling_4wk_logins"),
+        named(rolling("feature_usage_score"), "rolling_4wk_usage"),
+        "weeks_ago", "_home", "_block").filter("_block = _home").drop("_home", "_block")
 
 
 def recent_rows(act: DataFrame, as_of: dt.date, weeks: int = 12,

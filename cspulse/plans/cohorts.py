@@ -33,6 +33,7 @@ from ..operators.enrich import sort_small, top_k
 from ..operators.periods import activity_partials
 
 COHORT = "cohort_month"
+LATEST_COHORTS = 24
 BASE_COLUMNS = ["customer_id", "company_name", COHORT, "signup_date", "industry", "status",
                 "current_plan", "current_mrr"]
 
@@ -111,7 +112,10 @@ def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
     metrics = cohort_metrics(base, as_of, by, total_months)
     engagement = cohort_engagement(base, activity, as_of, days, by)
     revenue_ratio = ratio_pct("current_mrr", "starting_mrr")
-    return metrics.join(engagement, [COHORT, *by], "left").selectExpr(
+    # Null groups of ``by`` keep their engagement.
+    keyed = engagement.withColumnsRenamed({c: f"_{c}" for c in [COHORT, *by]})
+    same = " AND ".join(f"{c} <=> _{c}" for c in [COHORT, *by])
+    return metrics.join(keyed, F.expr(same), "left").selectExpr(
         COHORT, *by, "cohort_age_months", "cohort_size", "starter_count", "professional_count",
         "enterprise_count",
         "active_customers", named(pct_of("active_customers", "cohort_size"),
@@ -136,10 +140,16 @@ def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
         named(rules.lifecycle_stage("cohort_age_months"), "lifecycle_stage"))
 
 
+def cohort_limit(limit: int | None) -> int | None:
+    """Cohorts shown beside customer lists of ``limit`` rows: all where those show all."""
+    return None if limit is None else LATEST_COHORTS
+
+
 def cohort_retention(customers: DataFrame, activity: DataFrame, as_of: dt.date,
-                     min_size: int = 5, limit: int | None = 24,
+                     min_size: int = 5, limit: int | None = LATEST_COHORTS,
                      baseline: DataFrame | None = None, days: int = 30,
                      total_months: bool = False) -> DataFrame:
+    """The latest ``limit`` cohorts of at least ``min_size``; ``None``: all of them, unsorted."""
     table = cohort_table(customers, activity, as_of, baseline, days=days,
                          total_months=total_months)
     return top_k(table.filter(f"cohort_size >= {min_size}"), [F.col(COHORT).desc()], limit)
@@ -150,22 +160,22 @@ def cohort_retention_curve(customers: DataFrame, activity: DataFrame,
     """Distinct active customers per cohort and month since signup.
 
     The reference uses the month *field* of AGE (wraps after 12 months);
-    ``total_months=True`` counts whole months instead.  Activity is first
-    reduced to distinct (customer, date) pairs (partial aggregation removes
-    duplicates map-side), so the join with customers carries at most one row
-    per customer per activity date whatever the raw volume.
-    ``approximate=True`` counts with a HyperLogLog++ sketch instead of the
-    exact two-phase distinct.  The result (cohorts x months) is small and is
+    ``total_months=True`` counts whole months instead.  The fact table is
+    shuffled once: it is reduced to one row per customer with the set of its
+    dates (partial aggregation; the set is bounded by the calendar), joined to
+    the customer on the same key, and turned into the customer's distinct
+    months, so counting rows counts customers.  ``approximate=True`` counts with
+    a HyperLogLog++ sketch.  The result (cohorts x months) is small and is
     returned ordered like the reference.
     """
-    visits = activity.select("customer_id", "activity_date").distinct()
+    visits = activity.groupBy("customer_id").agg(col("collect_set(activity_date)", "_dates"))
     months = age_total_months if total_months else age_month_part
     joined = visits.join(customers.select("customer_id", "signup_date"), "customer_id", "inner")
-    return (joined.selectExpr(named(month_trunc("signup_date"), COHORT),
-                              named(months("activity_date", "signup_date"),
-                                    "months_since_signup"),
-                              "customer_id")
+    # A customer without signup date has no month since signup, but one row like any other.
+    return (joined.selectExpr(named(month_trunc("signup_date"), COHORT), "customer_id",
+                              "explode(array_distinct(transform(_dates, d -> "
+                              f"{months('d', 'signup_date')}))) AS months_since_signup")
             .groupBy(COHORT, "months_since_signup")
             .agg(col("approx_count_distinct(customer_id)" if approximate
-                     else "COUNT(DISTINCT customer_id)", "active_customers"))
+                     else "COUNT(1)", "active_customers"))
             .transform(sort_small, [F.col(COHORT), F.col("months_since_signup")]))

@@ -22,7 +22,7 @@ from ..operators.periods import (CURRENT_NAMES, PRIOR_NAMES, RECENT_NAMES, KEY,
                                  measure_aggs, since, trailing_window)
 from ..session import materialize
 from .churn import churn_report
-from .cohorts import cohort_retention
+from .cohorts import cohort_limit, cohort_retention
 from .expansion import expansion_report
 from .health import health_report
 from .trends import usage_trends
@@ -46,9 +46,15 @@ def customer_metrics(activity: DataFrame, as_of: dt.date) -> DataFrame:
 def portfolio_report(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                      limit: int | None = 100, include_trends: bool = True,
                      include_cohorts: bool = True) -> dict[str, DataFrame]:
+    """The five reports; ``limit=None`` gives every customer, unsorted, and every cohort.
+
+    Writes the per-customer table when called.  ``release(reports["customer_metrics"])``
+    deletes it once the reports are done with.
+    """
     metrics = materialize(customer_metrics(activity, as_of), "customer-metrics")
     recent = metrics.filter("weeks_with_activity > 0")
     reports = {
+        "customer_metrics": metrics,
         "customer_health": health_report(customers, recent.select(KEY, *RECENT_NAMES.values()),
                                          limit),
         "churn_risk": churn_report(
@@ -63,5 +69,6 @@ def portfolio_report(customers: DataFrame, activity: DataFrame, as_of: dt.date,
     if include_trends:
         reports["usage_trends"] = usage_trends(customers, activity, as_of, limit)
     if include_cohorts:
-        reports["cohort_retention"] = cohort_retention(customers, activity, as_of)
+        reports["cohort_retention"] = cohort_retention(customers, activity, as_of,
+                                                       limit=cohort_limit(limit))
     return reports

@@ -2,15 +2,16 @@
 
 Each function takes the analysis result (the reference's ``[this query]``)
 and groups it by its label column; the few result rows come back in the
-reference's order.  With the default ``limit`` the analysis
-is a top-100 list and the rollup summarises that list, exactly like the
-reference; pass the analysis with ``limit=None`` for the whole portfolio.
+reference's order.  Pass the analysis with ``limit=None`` for the whole
+portfolio; a limited analysis summarises its list only.
 Label columns have a handful of values, so these are partial+final
 aggregates whose shuffle carries a few rows per task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,24 +83,50 @@ def cohort_exec_summary(cohorts: DataFrame, min_age: int = 6) -> DataFrame:
                      "total_upgrades_last_period")))
 
 
-# Segment ladder for the trend analysis.  The reference names the segments
-# and describes them in prose without numbers; the cut-offs reuse its own
-# trend categories, consistency bands and the adoption bar (usage >= 70).
+# Segment ladder for the trend analysis.  The reference names five segments and
+# describes them in prose without numbers.  Cut-offs: "high consistency" is its
+# own top band (7 of 8 weeks), "low consistency" less than the second (5 weeks),
+# "high usage" its adoption bar (70).  Every customer gets one of the five: a
+# sharp decline with some consistency is still a negative trend; one that grows
+# without full consistency, or is steady below the usage bar, has habits still
+# to build, which is what the reference prescribes for VOLATILE.
 SEGMENTS = {"high_usage": 70, "consistent_weeks": 7, "inconsistent_below": 5}
 
 
 def segment_customers(trends: DataFrame, table: dict = SEGMENTS) -> DataFrame:
+    """One of the five named segments for every row of a trend analysis."""
     weeks = "active_weeks_last_8"
     segment = rules.ladder([
-        (f"trend_category = 'Strong Growth' AND {weeks} >= {table['consistent_weeks']}",
-         "ACCELERATING"),
         (f"trend_category = 'Sharp Decline' AND {weeks} < {table['inconsistent_below']}",
          "ABANDONING"),
         ("trend_category IN ('Declining', 'Sharp Decline')", "DECLINING"),
-        (f"{weeks} < {table['inconsistent_below']}", "VOLATILE"),
-        (f"four_week_avg_usage >= {table['high_usage']} "
-         "AND trend_category IN ('Stable', 'Improving', 'Strong Growth')", "STABLE POWER USERS"),
-    ], "UNSEGMENTED")
+        (f"trend_category IN ('Strong Growth', 'Improving') AND {weeks} >= {table['consistent_weeks']}",
+         "ACCELERATING"),
+        (f"four_week_avg_usage >= {table['high_usage']} AND {weeks} >= {table['inconsistent_below']}",
+         "STABLE POWER USERS"),
+    ], "VOLATILE")
     return trends.selectExpr("customer_id", "company_name", "mrr", "overall_trend_score",
                              "trend_category", "engagement_consistency", "four_week_avg_usage",
                              weeks, named(segment, "segment"))
+
+
+def percentile_metrics(customers: DataFrame, activity: DataFrame,
+                       percents: Sequence[int] = (25, 50, 75, 90)) -> DataFrame:
+    """Exact percentiles of the usage score per plan (``p<n>_usage``), and the rows counted.
+
+    A percentile is the smallest score that so many percent of the plan's rows
+    do not exceed.  Scores run from 0 to 100, so (plan, score) counts hold all:
+    no list of values is collected and no plan's rows meet in one task.
+    """
+    scores = (activity.filter("feature_usage_score IS NOT NULL")
+              .groupBy("customer_id", "feature_usage_score").agg(col("COUNT(1)", "_n")))
+    counts = (scores.join(customers.select("customer_id", "plan_type"), "customer_id")
+              .groupBy("plan_type", "feature_usage_score").agg(col("SUM(_n)", "_n")))
+    along = "PARTITION BY plan_type ORDER BY feature_usage_score"
+    ranked = counts.selectExpr("plan_type", "feature_usage_score", "_n",
+                               f"SUM(_n) OVER ({along}) AS _upto",
+                               "SUM(_n) OVER (PARTITION BY plan_type) AS _all")
+    return ranked.groupBy("plan_type").agg(
+        col("SUM(_n)", "activity_rows"),
+        *(col(f"MIN(CASE WHEN _upto * 100 >= _all * {p} THEN feature_usage_score END)", f"p{p}_usage")
+          for p in percents))

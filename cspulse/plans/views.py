@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from .churn import churn_risk
-from .cohorts import cohort_retention, cohort_retention_curve
+from .cohorts import cohort_limit, cohort_retention, cohort_retention_curve
 from .expansion import expansion_opportunities
 from .health import customer_health
 from .rollups import segment_customers
@@ -32,7 +32,7 @@ def register_views(spark: SparkSession, customers: DataFrame, activity: DataFram
     """Register ``customers``, ``customer_activity`` and one view per analysis.
 
     ``limit`` applies to the four customer lists (the reference reports the top
-    100); ``None`` publishes the whole portfolio.  Returns the view names.
+    100) and the latest 24 cohorts; ``None`` publishes every customer and cohort.  Returns the view names.
     """
     trends_full = usage_trends(customers, activity, as_of, limit=None)
     views = {
@@ -42,7 +42,8 @@ def register_views(spark: SparkSession, customers: DataFrame, activity: DataFram
         "churn_risk": churn_risk(customers, activity, as_of, limit),
         "expansion_opportunities": expansion_opportunities(customers, activity, as_of, limit),
         "usage_trends": usage_trends(customers, activity, as_of, limit),
-        "cohort_retention": cohort_retention(customers, activity, as_of),
+        "cohort_retention": cohort_retention(customers, activity, as_of,
+                                             limit=cohort_limit(limit)),
         "cohort_retention_curve": cohort_retention_curve(customers, activity),
         "customer_segments": segment_customers(trends_full),
     }

@@ -8,6 +8,7 @@ unset, so a cluster-provided ``spark.sql.shuffle.partitions`` or
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,8 +34,8 @@ def build_session(master: str | None = None, app_name: str = "cspulse",
 
     Explicit arguments (``master``, ``shuffle_partitions``, ``extra``) are
     applied; the library defaults only fill settings nobody set.  A running
-    session (spark-submit, notebook) is returned as is apart from runtime SQL
-    settings it leaves unset; for a new session, settings given through
+    session (spark-submit, notebook) is returned with the explicit arguments
+    that can change at run time and the defaults it leaves unset; for a new session, settings given through
     spark-submit or ``spark-defaults.conf`` are kept.
     """
     explicit = dict(extra or {})
@@ -42,9 +43,12 @@ def build_session(master: str | None = None, app_name: str = "cspulse",
         explicit["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     active = SparkSession.getActiveSession()
     if active is not None:
-        for key, value in {**_LOCAL_DEFAULTS, **explicit}.items():
+        for key, value in _LOCAL_DEFAULTS.items():
             if key.startswith("spark.sql.") and active.conf.get(key, None) is None:
                 active.conf.set(key, value)
+        for key, value in explicit.items():
+            if active.conf.isModifiable(key):
+                active.conf.set(key, value)
         return active
     preset = _preset_keys()
     builder = SparkSession.builder.appName(app_name)
@@ -79,35 +83,31 @@ def _preset_keys() -> set[str]:
         path = os.path.join(folder, "spark-defaults.conf")
         if os.path.isfile(path):
             with open(path) as fh:
-                keys |= {line.split()[0] for line in fh
+                keys |= {re.split(r"[\s=:]", line.strip(), maxsplit=1)[0] for line in fh
                          if line.strip() and not line.lstrip().startswith("#")}
     return keys
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for cut-lineage tables.
+    """Shared folder for tables that cut lineage.
 
-    ``spark.checkpoint.dir`` (set by the cluster when the session is created;
-    Spark refuses to change it later) wins, then a checkpoint folder already
-    set on the SparkContext.  Only when neither exists (local tests) a
-    private folder is created, once per context, and registered with the
-    context so ``DataFrame.checkpoint()`` uses it too.
+    ``spark.checkpoint.dir`` wins, then a checkpoint folder already set on the
+    SparkContext.  Without either a private folder is made, once per context,
+    and only in local mode: on a cluster executors don't share the driver's
+    disk, so the missing setting is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     sc = spark.sparkContext
-    key = id(sc)
-    if key not in _LOCAL_ROOTS:
-        existing = sc.getCheckpointDir()
-        root = existing or tempfile.mkdtemp(prefix="cspulse-ckpt-")
-        if not existing:
-            sc.setCheckpointDir(root)
-        _LOCAL_ROOTS[key] = root
-    return _LOCAL_ROOTS[key]
-
-
-_LOCAL_ROOTS: dict[int, str] = {}
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="cspulse-ckpt-")
+    sc.setCheckpointDir(root)
+    return sc.getCheckpointDir() or root
 
 
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -116,10 +116,19 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     Used when one analysis feeds several rollups: the rollups then read a
     finished Parquet table instead of re-running (or holding in executor
     memory) the whole upstream plan, and a lost executor costs a re-read, not
-    a recomputation.
+    a recomputation.  ``release`` deletes the files when they are no longer read.
     """
     spark = df.sparkSession
-    root = checkpoint_root(spark)
-    path = os.path.join(root, f"{name or 'table'}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name or 'table'}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.materialized_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,11 +1,12 @@
 """Table sources: declared-schema Parquet readers/writers and fixture derivation."""
 
-from .derive import derive_activity, derive_customers, fixture_tables
-from .tables import (conform, load_activity, load_baseline, load_bucketed, load_customers,
-                     save_bucketed,
+from .derive import (derive_activity, derive_baseline, derive_customers, fixture_baseline,
+                     fixture_tables)
+from .tables import (conform, domain_faults, load_activity, load_baseline, load_customers,
                      write_activity, write_customers)
 
 __all__ = [
-    "conform", "derive_activity", "derive_customers", "fixture_tables", "load_activity",
-    "load_baseline", "load_bucketed", "load_customers", "save_bucketed", "write_activity", "write_customers",
+    "conform", "derive_activity", "derive_baseline", "derive_customers", "domain_faults",
+    "fixture_baseline", "fixture_tables", "load_activity", "load_baseline", "load_customers",
+    "write_activity", "write_customers",
 ]

@@ -30,6 +30,7 @@ MRR_VARIANCE_SPAN = {"Starter": 3001, "Professional": 10001, "Enterprise": 50001
 MRR_MULTIPLIER = 7919                                            # variance = ((k*7919) % span) / (span-1)
 ACTIVITY_ORIGIN = dt.date(2024, 1, 1)
 LOGINS_PER_EVENT = 10
+DAYS_PER_USER = 100_000                                          # activity_id = user_id * this + i
 FIXTURE_AS_OF = dt.date(2024, 7, 29)
 
 
@@ -64,7 +65,8 @@ def _fixture_variance(k: str, plan: str) -> str:
 
 def activity_aggs() -> list:
     """Per (user, day) aggregates shared by the batch and streaming derivations."""
-    usage = "CAST(avg(value) AS DECIMAL(18,6))"
+    # Summed as decimals, so the mean does not depend on the order of the rows.
+    usage = "CAST(sum(CAST(value AS DECIMAL(18,6))) / count(value) AS DECIMAL(18,6))"
     top_view = "max(CASE WHEN event_type = 'view' THEN value END)"
     return [col("count(1)", "n"),
             col(f"CAST(round(CASE WHEN {usage} > 100 THEN 100 ELSE {usage} END, 0) AS INT)",
@@ -77,14 +79,22 @@ def activity_aggs() -> list:
 
 def activity_columns(day_index: str = "i") -> list[str]:
     """Map (user_id, day index, aggregates) to the customer_activity schema."""
-    return [f"CAST(user_id * 100 + {day_index} AS BIGINT) AS activity_id",
+    return [f"CAST(user_id * {DAYS_PER_USER} + {day_index} AS BIGINT) AS activity_id",
             "CAST(user_id AS INT) AS customer_id",
             f"date_add({lit(ACTIVITY_ORIGIN)}, {day_index} * 7) AS activity_date",
             f"CAST(n * {LOGINS_PER_EVENT} AS INT) AS logins_count",
             "feature_usage_score", "support_tickets_opened", "nps_score"]
 
 
-def derive_activity(events: DataFrame) -> DataFrame:
+def derive_activity(events: DataFrame, since: dt.date | None = None) -> DataFrame:
+    """One row per (user, event day); ``since`` keeps activity dates from then on.
+
+    The bound becomes a literal on the raw ``ts`` column, so the scan of
+    ``events`` can skip the row groups (or partitions) before it.
+    """
+    if since is not None:
+        first = ACTIVITY_ORIGIN + dt.timedelta(days=-(-(since - ACTIVITY_ORIGIN).days // 7))
+        events = events.filter(f"ts >= TIMESTAMP_NTZ '{first.isoformat()} 00:00:00'")
     return (events.selectExpr("user_id", "event_type", "value",
                               f"datediff(to_date(ts), {lit(ACTIVITY_ORIGIN)}) AS i")
             .groupBy("user_id", "i")
@@ -92,6 +102,26 @@ def derive_activity(events: DataFrame) -> DataFrame:
             .selectExpr(*activity_columns()))
 
 
+def derive_baseline(customer: DataFrame) -> DataFrame:
+    """The optional snapshot (customer_id, starting_plan, starting_mrr) for the fixtures.
+
+    Every fourth customer started one plan lower; the starting revenue is 70 to
+    149 percent of today's, by signup month; every eleventh customer is missing.
+    """
+    signup = (f"date_add({lit(SIGNUP_ORIGIN)}, CAST((c_custkey * {SIGNUP_STEP}) % {SIGNUP_SPAN}"
+              " AS INT))")
+    plan = ladder([(f"c_acctbal < {cut}", name) for cut, name in PLAN_BALANCE_CUTS], "Enterprise")
+    lower = ladder([("c_custkey % 4 <> 0", Raw(plan)), (f"{plan} = 'Enterprise'", "Professional")],
+                   "Starter")
+    percent = f"70 + ((year({signup}) * 12 + month({signup})) * 17) % 80"
+    rows = assign_mrr(customer.filter("c_custkey % 11 <> 0").selectExpr(
+        "CAST(c_custkey AS INT) AS customer_id", f"{plan} AS plan_type",
+        f"{lower} AS starting_plan", f"CAST({percent} AS DECIMAL(5,0)) AS _percent",
+        f"{_fixture_variance('c_custkey', plan)} AS _variance"), "_variance")
+    return rows.selectExpr("customer_id", "starting_plan",
+                           "CAST(ROUND(mrr * _percent / 100, 2) AS DECIMAL(10,2)) AS starting_mrr")
+
+
 # Declared schemas of the driver tables that feed the derivation: reading with
 # a schema skips footer-based inference (the same at every scale factor).
 DRIVER_SCHEMAS = {
@@ -110,9 +140,18 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(customers, customer_activity) derived from the driver tables in ``sf_dir``."""
+def fixture_tables(spark: SparkSession, sf_dir: str,
+                   since: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """(customers, customer_activity) derived from the driver tables in ``sf_dir``.
+
+    ``since`` bounds the activity dates that are read.
+    """
     customers = derive_customers(read_driver_table(spark, sf_dir, "customer"),
                                  read_driver_table(spark, sf_dir, "nation"))
-    activity = derive_activity(read_driver_table(spark, sf_dir, "events"))
+    activity = derive_activity(read_driver_table(spark, sf_dir, "events"), since)
     return customers, activity
+
+
+def fixture_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline snapshot derived from the driver tables in ``sf_dir``."""
+    return derive_baseline(read_driver_table(spark, sf_dir, "customer"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import rules
+from ..functions.sql import lit
 
 
 def _load(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -36,6 +38,41 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+# Domain of each column beyond its type: SQL that holds for every good value.
+CUSTOMER_DOMAIN = {
+    "customer_id": "customer_id IS NOT NULL",
+    "plan_type": f"plan_type IN ({', '.join(lit(p) for p in rules.PLANS)})",
+    "status": f"status IN ({', '.join(lit(s) for s in rules.STATUSES)})",
+    "mrr": "mrr >= 0",
+}
+ACTIVITY_DOMAIN = {
+    "activity_id": "activity_id IS NOT NULL",
+    "customer_id": "customer_id IS NOT NULL",
+    "activity_date": "activity_date IS NOT NULL",
+    "logins_count": "logins_count >= 0",
+    "feature_usage_score": "feature_usage_score BETWEEN 0 AND 100",
+    "support_tickets_opened": "support_tickets_opened >= 0",
+    "nps_score": "nps_score BETWEEN 0 AND 10",
+}
+
+
+def domain_faults(df: DataFrame, domain: dict[str, str], key: str) -> DataFrame:
+    """One row (column_name, faults) per column: values outside their domain, repeats of the key.
+
+    Only a key may not be null; a null elsewhere is no fault.  One scan, and
+    one shuffle of keys for the repeats.
+    """
+    counts = ", ".join(f"'{c}', COUNT(CASE WHEN {ok} THEN NULL WHEN {c} IS NULL AND "
+                       f"{lit(not ok.endswith('IS NOT NULL'))} THEN NULL ELSE 1 END)"
+                       for c, ok in domain.items())
+    outside = (df.agg(F.expr(f"map({counts})").alias("faults"))
+               .selectExpr("explode(faults) AS (column_name, faults)"))
+    repeats = (df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+               .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("faults"))
+               .selectExpr(f"'{key} repeated' AS column_name", "faults"))
+    return outside.unionByName(repeats)
+
+
 def write_customers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     conform(df, schemas.CUSTOMERS).write.mode(mode).parquet(path)
 
@@ -59,38 +96,3 @@ def write_activity(df: DataFrame, path: str, mode: str = "overwrite",
      .write.mode(mode)
      .option("partitionOverwriteMode", "dynamic" if replace == "dates" else "static")
      .partitionBy("activity_date").parquet(path))
-
-
-def save_bucketed(customers: DataFrame, activity: DataFrame, location: str, buckets: int,
-                  customers_table: str = "customers",
-                  activity_table: str = "customer_activity",
-                  mode: str = "overwrite") -> tuple[str, str]:
-    """Store both tables bucketed and sorted by ``customer_id`` (same bucket count).
-
-    Every analysis aggregates the fact table per customer and joins the result
-    to the dimension.  With both tables bucketed on the key, Spark reads
-    matching buckets in the same task: the per-customer aggregation, the
-    trend window and the join need no exchange at all, so the fact table is
-    never shuffled.  The fact table stays partitioned by date for pruning.
-    ``repartition(buckets, customer_id)`` before the write gives each task
-    exactly one bucket, so a task writes one file per date it holds.
-    Tables are external (data under ``location``) and registered in the
-    session catalog; read them back with ``spark.table(name)``.
-    """
-    (conform(customers, schemas.CUSTOMERS)
-     .repartition(buckets, "customer_id")
-     .write.mode(mode).bucketBy(buckets, "customer_id").sortBy("customer_id")
-     .option("path", f"{location}/{customers_table}").saveAsTable(customers_table))
-    (conform(activity, schemas.ACTIVITY)
-     .repartition(buckets, "customer_id")
-     .write.mode(mode).partitionBy("activity_date")
-     .bucketBy(buckets, "customer_id").sortBy("customer_id")
-     .option("path", f"{location}/{activity_table}").saveAsTable(activity_table))
-    return customers_table, activity_table
-
-
-def load_bucketed(spark: SparkSession, customers_table: str = "customers",
-                  activity_table: str = "customer_activity") -> tuple[DataFrame, DataFrame]:
-    """Read the tables stored by ``save_bucketed`` in the declared column order."""
-    return (spark.table(customers_table).select(*schemas.CUSTOMER_COLUMNS),
-            spark.table(activity_table).select(*schemas.ACTIVITY_COLUMNS))

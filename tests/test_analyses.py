@@ -223,8 +223,8 @@ def test_segment_ladder_branches_and_precedence(spark):
         (5, "Declining", 8, "75.0", "DECLINING"),
         (6, "Stable", 4, "95.0", "VOLATILE"),
         (7, "Stable", 8, "70.0", "STABLE POWER USERS"),
-        (8, "Improving", 8, "69.9", "UNSEGMENTED"),
-        (9, "Stable", 8, None, "UNSEGMENTED"),
+        (8, "Improving", 8, "69.9", "ACCELERATING"),
+        (9, "Stable", 8, None, "VOLATILE"),
     ]
     df = spark.createDataFrame(
         [(i, f"Co{i}", Decimal("10.00"), 0, cat, "x", None if u is None else Decimal(u), w)

@@ -4,9 +4,11 @@ import pytest
 from conftest import SF001
 
 import __spark_entry__ as entry
+from cspulse import catalog
+from verify import oracle
 from verify.compare import digest, duck_connection
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(catalog.queries())
 
 
 def test_entry_returns_rows(spark):
@@ -16,7 +18,8 @@ def test_entry_returns_rows(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle.build()) == set(KEYS) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +31,7 @@ def duck():
 def test_matches_oracle(spark, duck, key):
     df = entry.queries()[key](spark, SF001)
     rows = [tuple(r) for r in df.collect()]
-    rel = duck.sql(entry.oracle_sql()[key])
+    rel = duck.sql(oracle.build()[key])
     expected = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(rows) == len(expected)
@@ -40,6 +43,54 @@ def test_entry_schema_is_stable(spark):
 
 
 def test_every_query_has_unique_column_names(spark):
-    for key, fn in entry.queries().items():
-        columns = fn(spark, SF001).columns
+    for key in KEYS:
+        columns = entry.queries()[key](spark, SF001).columns
         assert len(columns) == len(set(columns)), key
+
+
+# Changing one threshold in the package must turn its query red: the oracle does not share it.
+CHANGES = [("SUPPORT_HEALTH", ["exact", 0], (0, 99), "health_dimensions"),
+           ("LOGIN_ENGAGEMENT", ["steps", 2], (21, 60), "health_dimensions"),
+           ("HEALTH_GRADES", ["steps", 1], (61, "B - Good"), "health_score"),
+           ("USAGE_DECLINE", ["floor"], (50, 10), "risk_signals"),
+           ("LOGIN_DECLINE", ["below", 1], (35, 10), "risk_signals"),
+           ("RISK_CATEGORIES", ["steps", 2], (20, "Middle Risk"), "churn_risk_full"),
+           ("ADOPTION", ["else"], 1, "expansion_signals"),
+           ("USAGE_TREND_POINTS", ["above", 2], (0, 11), "trend_scores"),
+           ("COHORT_HEALTH", ["steps", 1], (100, "Healthy"), "cohort_retention_baseline")]
+
+
+@pytest.mark.parametrize("table,path,value,key", CHANGES)
+def test_a_changed_threshold_turns_its_query_red(spark, duck, monkeypatch, table, path, value, key):
+    from cspulse.functions import rules
+    holder = getattr(rules, table)
+    for step in path[:-1]:
+        holder = holder[step]
+    if isinstance(holder, dict):
+        monkeypatch.setitem(holder, path[-1], value)
+    else:
+        old = holder[path[-1]]
+        holder[path[-1]] = value
+    try:
+        df = entry.queries()[key](spark, "/root/testdata/sf0.01")
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        if not isinstance(holder, dict):
+            holder[path[-1]] = old
+    rel = duck_connection("/root/testdata/sf0.01").sql(oracle.build()[key])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert digest(df.columns, rows) != digest(rel.columns, rel.fetchall())
+
+
+def test_the_oracle_does_not_import_the_package():
+    import pathlib
+    assert "cspulse" not in pathlib.Path(oracle.__file__).read_text()
+
+
+def test_baseline_cohorts_differ(spark):
+    rows = entry.queries()["cohort_retention_baseline"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.starter_to_pro_upgrades + r.pro_to_enterprise_upgrades for r in rows) > 0
+    assert len({r.cohort_health for r in rows}) >= 3
+    best, worst = ({r.cohort_month for r in entry.queries()[k](spark, "/root/testdata/sf0.01").collect()}
+                   for k in ("best_cohorts_baseline", "worst_cohorts_baseline"))
+    assert not best & worst

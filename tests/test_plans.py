@@ -49,26 +49,114 @@ def test_stored_tables_prune_dates_and_columns(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_bucketed_tables_remove_fact_shuffles(spark):
-    from cspulse.plans import churn_risk, customer_health
-    from cspulse.sources import save_bucketed
-
+def test_curve_shuffles_the_fact_table_once(spark):
+    """One exchange of the fact side below the join, and counting rows above it."""
+    from cspulse.plans import cohort_retention_curve
     cust, act = fixture_tables(spark, SF001)
-    root = tempfile.mkdtemp(prefix="cspulse-bucketed-")
-    names = save_bucketed(cust, act, root, buckets=4, customers_table="t_customers",
-                          activity_table="t_activity")
-    from cspulse.sources import load_bucketed
-    bc, ba = load_bucketed(spark, *names)
-    assert ba.columns == act.columns
+    root = tempfile.mkdtemp(prefix="cspulse-curve-")
+    write_activity(act, os.path.join(root, "activity"))
+    stored = load_activity(spark, os.path.join(root, "activity"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # behave like large tables
     try:
-        for analysis in (customer_health, churn_risk, usage_trends):
-            df = analysis(bc, ba, AS_OF, limit=None)
-            assert "Exchange" not in plan_text(df), analysis.__name__
-            expected = analysis(cust, act, AS_OF, limit=None)
-            assert df.exceptAll(expected).count() == 0 and expected.exceptAll(df).count() == 0
+        text = plan_text(cohort_retention_curve(cust, stored))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = text.index("SortMergeJoin")
+    fact = text[join:].split("Exchange hashpartitioning(customer_id")
+    assert len(fact) == 3                      # one for each side of the join, no more
+    assert "count(distinct" not in text
+
+
+def test_dated_queries_bound_the_raw_scan(spark):
+    from cspulse import catalog
+    undated = {"scan_customers", "scan_activity", "assign_mrr", "filter_status_in", "cohort_min_size",
+               "cohort_starting_metrics", "cohort_current_status", "cohort_age", "percentile_metrics",
+               "cohort_retention_curve", "scalar_month_trunc", "scalar_age_month_part"}
+    for key in sorted(set(catalog.queries()) - undated):
+        text = plan_text(catalog.queries()[key](spark, SF001))
+        assert "GreaterThanOrEqual(ts," in text, key
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from pyspark import SparkContext
+    from pyspark.sql.conf import RuntimeConfig
+
+    from cspulse.session import checkpoint_root
+    original = RuntimeConfig.get
+    monkeypatch.setattr(RuntimeConfig, "get", lambda self, key, *d: (
+        (d[0] if d else None) if key == "spark.checkpoint.dir" else original(self, key, *d)))
+    monkeypatch.setattr(SparkContext, "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "yarn"),
+                        raising=False)
+    monkeypatch.setitem(spark.sparkContext.__dict__, "master", "yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(spark)
+
+
+def test_release_deletes_a_materialized_table(spark):
+    from cspulse import materialize, release
+    copy = materialize(spark.range(3).toDF("id"), "released")
+    path = copy.materialized_path.split("file:")[-1]
+    assert os.path.isdir(path)
+    release(copy)
+    assert not os.path.exists(path)
+
+
+def _many_cohorts(spark, months=50):
+    import datetime as dt
+
+    from conftest import activity, customer
+    from cspulse import schemas
+    rows = []
+    for m in range(months):
+        y, k = divmod(m, 12)
+        rows += [customer(m * 10 + i, signup=dt.date(2020 + y, k + 1, 5), mrr="10.00")
+                 for i in range(5)]
+    return (spark.createDataFrame(rows, schemas.CUSTOMERS),
+            spark.createDataFrame([activity(0, AS_OF)], schemas.ACTIVITY))
+
+
+def test_no_limit_means_every_cohort(spark):
+    from decimal import Decimal
+
+    from cspulse import portfolio_report, register_views
+    from cspulse.__main__ import build
+    cust, act = _many_cohorts(spark)
+    assert build("cohort_retention", cust, act, AS_OF, None).count() == 50
+    assert build("cohort_retention", cust, act, AS_OF, 100).count() == 24
+    summary = build("cohort_exec_summary", cust, act, AS_OF, None).first()
+    mature = build("cohort_retention", cust, act, AS_OF, None).where("cohort_age_months >= 6").count()
+    assert summary.total_mrr == Decimal(50 * mature)
+    assert portfolio_report(cust, act, AS_OF, limit=None, include_trends=False)["cohort_retention"].count() == 50
+    register_views(spark, cust, act, AS_OF, limit=None, prefix="all_")
+    assert spark.sql("SELECT COUNT(*) FROM all_cohort_retention").first()[0] == 50
+
+
+def test_command_line_prints_every_row(spark, capsys):
+    from cspulse.__main__ import main
+    cust, act = _many_cohorts(spark)
+    root = tempfile.mkdtemp(prefix="cspulse-all-")
+    write_customers(cust, os.path.join(root, "customers"))
+    write_activity(act, os.path.join(root, "activity"))
+    main(["run", "cohort_retention", "--customers", os.path.join(root, "customers"), "--activity",
+          os.path.join(root, "activity"), "--as-of", AS_OF.isoformat(), "--all"])
+    assert len(capsys.readouterr().out.strip().splitlines()) == 51
+
+
+def test_domain_faults_counts_values_outside(spark):
+    import datetime as dt
+
+    from conftest import activity
+    from cspulse import schemas
+    from cspulse.sources import domain_faults
+    from cspulse.sources.tables import ACTIVITY_DOMAIN
+    good, bad = activity(1, AS_OF), activity(2, AS_OF + dt.timedelta(days=1), logins=-1, usage=101, nps=None)
+    rows = spark.createDataFrame([good, good, bad], schemas.ACTIVITY)
+    faults = {r.column_name: r.faults for r in domain_faults(rows, ACTIVITY_DOMAIN, "activity_id").collect()}
+    assert faults == {"activity_id": 0, "customer_id": 0, "activity_date": 0, "logins_count": 1,
+                      "feature_usage_score": 1, "support_tickets_opened": 0, "nps_score": 0,
+                      "activity_id repeated": 1}
 
 
 def test_command_line_run_writes_the_analysis(spark):

@@ -36,19 +36,22 @@ def test_merged_expansion_periods_equal_join(fx):
 
 
 def test_bounded_trends_equal_full_windows(fx):
+    """The trend pivot equals the full windows' rows 1, 2 and 5 joined."""
     _, act = fx
     full = windows.weekly_window_metrics(act, AS_OF)
-    literal = full.groupBy("customer_id").agg(*[
-        __import__("pyspark.sql.functions", fromlist=["expr"]).expr(e) for e in [
-            "MAX(CASE WHEN weeks_ago = 1 THEN logins_count END) AS current_logins",
-            "MAX(CASE WHEN weeks_ago = 1 THEN feature_usage_score END) AS current_usage",
-            "MAX(CASE WHEN weeks_ago = 1 THEN rolling_4wk_logins END) AS current_4wk_avg_logins",
-            "MAX(CASE WHEN weeks_ago = 1 THEN rolling_4wk_usage END) AS current_4wk_avg_usage",
-            "MAX(CASE WHEN weeks_ago = 2 THEN logins_count END) AS prev_logins",
-            "MAX(CASE WHEN weeks_ago = 2 THEN feature_usage_score END) AS prev_usage",
-            "MAX(CASE WHEN weeks_ago = 5 THEN rolling_4wk_logins END) AS baseline_4wk_logins",
-            "MAX(CASE WHEN weeks_ago = 5 THEN rolling_4wk_usage END) AS baseline_4wk_usage",
-            "COUNT(CASE WHEN weeks_ago <= 8 THEN 1 END) AS active_weeks_count"]])
+
+    def row(n, **names):
+        return full.where(f"weeks_ago = {n}").selectExpr(
+            "customer_id", *(f"{source} AS {name}" for name, source in names.items()))
+
+    first = row(1, current_logins="logins_count", current_usage="feature_usage_score",
+                current_4wk_avg_logins="rolling_4wk_logins", current_4wk_avg_usage="rolling_4wk_usage")
+    second = row(2, prev_logins="logins_count", prev_usage="feature_usage_score")
+    fifth = row(5, baseline_4wk_logins="rolling_4wk_logins", baseline_4wk_usage="rolling_4wk_usage")
+    weeks = full.where("weeks_ago <= 8").groupBy("customer_id").count().withColumnRenamed(
+        "count", "active_weeks_count")
+    literal = (first.join(second, "customer_id", "left").join(fifth, "customer_id", "left")
+               .join(weeks, "customer_id"))
     bounded = windows.recent_trends(act, AS_OF)
     same_rows(bounded.select(*literal.columns), literal)
 
@@ -56,7 +59,7 @@ def test_bounded_trends_equal_full_windows(fx):
 def test_rolling_average_within_frame_bounds(fx):
     _, act = fx
     w = windows.weekly_window_metrics(act, AS_OF)
-    frame = f"({windows.ROLLING_4})"
+    frame = f"({windows.LATEST_FIRST} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"
     bounds = windows.trend_rows(act, AS_OF).selectExpr(
         "customer_id", "activity_date", f"MIN(logins_count) OVER {frame} AS lo",
         f"MAX(logins_count) OVER {frame} AS hi")
@@ -94,37 +97,60 @@ def test_top_list_is_subset_of_portfolio(fx, analysis):
     assert top.exceptAll(full).count() == 0
 
 
-def test_ranged_windows_equal_plain_windows(fx):
+def plain_windows(act):
+    """The same columns by ordinary windows over whole customers."""
+    frame = f"({windows.LATEST_FIRST} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)"
+    order = f"({windows.LATEST_FIRST})"
+
+    def mean(column):
+        return (f"CAST(CAST(SUM({column}) OVER {frame} AS DECIMAL(38,12)) / COUNT({column}) OVER {frame}"
+                " AS DECIMAL(18,6))")
+
+    return windows.trend_rows(act, AS_OF).selectExpr(
+        "customer_id", "activity_date", "activity_id", "logins_count", "feature_usage_score",
+        "support_tickets_opened", "nps_score",
+        f"lead(logins_count) OVER {order} AS prev_week_logins",
+        f"lead(feature_usage_score) OVER {order} AS prev_week_usage",
+        f"lag(logins_count) OVER {order} AS next_week_logins",
+        f"lag(feature_usage_score) OVER {order} AS next_week_usage",
+        f"{mean('logins_count')} AS rolling_4wk_logins", f"{mean('feature_usage_score')} AS rolling_4wk_usage",
+        f"CAST(row_number() OVER {order} AS BIGINT) AS weeks_ago")
+
+
+@pytest.mark.parametrize("block_rows", [4, 5, 4096])
+def test_blocked_windows_equal_plain_windows(fx, block_rows):
     _, act = fx
-    plain = windows.weekly_window_metrics(act, AS_OF, strategy="window")
-    ranged = windows.weekly_window_metrics(act, AS_OF, strategy="range")
-    same_rows(ranged, plain)
+    same_rows(windows.weekly_window_metrics(act, AS_OF, block_rows=block_rows), plain_windows(act))
 
 
-def test_ranged_windows_split_a_hot_customer(spark):
-    """One customer holding most rows still gets exact row numbers and frames."""
+def test_blocked_windows_split_a_hot_customer(spark):
+    """One customer holding most rows gets exact numbers and frames, in bounded window partitions."""
     import datetime as dt
 
     from cspulse import schemas
     rows = [(i, 1, AS_OF - dt.timedelta(days=i % 80), i % 50, i % 100, 0, None) for i in range(3000)]
     rows += [(100000 + i, 2, AS_OF - dt.timedelta(days=7 * i), 10, 20, 0, 5) for i in range(6)]
     act = spark.createDataFrame(rows, schemas.ACTIVITY).repartition(7)
-    # 16 real range partitions: customer 1 is split across all of them
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        ranged = windows.weekly_window_metrics(act, AS_OF, strategy="range")
-        plain = windows.weekly_window_metrics(act, AS_OF, strategy="window")
-        same_rows(ranged, plain)
-        assert ranged.filter("customer_id = 1").agg({"weeks_ago": "max"}).first()[0] == 3000
-        # auto: 3,000 rows exceed a 1,000-row bound -> the ranged plan
-        assert windows.largest_customer_rows(windows.trend_rows(act, AS_OF)) == 3000
-        auto = windows.weekly_window_metrics(act, AS_OF, max_group_rows=1000)
-        assert "_target" in auto._jdf.queryExecution().analyzed().toString()
-        same_rows(auto, plain)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    blocked = windows.weekly_window_metrics(act, AS_OF, block_rows=64)
+    same_rows(blocked, plain_windows(act))
+    assert blocked.filter("customer_id = 1").agg({"weeks_ago": "max"}).first()[0] == 3000
+    text = blocked._jdf.queryExecution().optimizedPlan().toString()
+    window_keys = [line for line in text.splitlines() if "Window [" in line]
+    assert window_keys and not any("[customer_id#" in line.split("],")[-2] and
+                                   "_block" not in line and "activity_date" not in line
+                                   for line in window_keys)
+
+
+def test_percentiles_equal_a_sorted_list(fx):
+    from cspulse.plans import percentile_metrics
+    cust, act = fx
+    got = {r.plan_type: r for r in percentile_metrics(cust, act).collect()}
+    rows = act.join(cust, "customer_id").select("plan_type", "feature_usage_score").collect()
+    for plan in {r.plan_type for r in rows}:
+        scores = sorted(r.feature_usage_score for r in rows if r.plan_type == plan)
+        assert got[plan].activity_rows == len(scores)
+        for p in (25, 50, 75, 90):
+            assert got[plan][f"p{p}_usage"] == scores[-(-len(scores) * p // 100) - 1]
 
 
 def test_portfolio_report_equals_standalone_analyses(fx):

@@ -67,12 +67,14 @@ def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     only = set(argv[1:])
     sys.path.insert(0, ".")
-    import __spark_entry__ as entry
     from cspulse.session import build_session
 
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck_connection(sf_dir)
-    qs, sqls = entry.queries(), entry.oracle_sql()
+    from cspulse import catalog
+    from verify import oracle
+
+    qs, sqls = catalog.queries(), oracle.build()
     bad = 0
     for key, fn in qs.items():
         if only and key not in only:
