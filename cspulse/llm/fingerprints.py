@@ -131,16 +131,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = rows.select("doc_id", *key, F.length("text").cast("long").alias("n_chars")).distinct()
     pairs = scratch.table(followers(ids, key, scratch), "pairs").drop("doc_id")
     # The next document's part: its start and its sketch, once for repeated rows.
-    nxt = rows.select(*key, "doc_id", "text").join(
+    texts = rows.select(*key, "text")
+    nxt = texts.join(
         pairs.withColumnsRenamed({c: f"own_{c}" for c in key} | {f"next_{c}": c for c in key}), key)
     nxt = nxt.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("own_h")))
     nxt = nxt.where("_n = 1").select(
         *(F.col(f"own_{c}").alias(c) for c in key), "n_chars",
         F.expr("substring(text, 1, CAST(n_chars DIV 4 AS INT))").alias("start"),
         sketch(F.col("text"), k).alias("next_sketch"))
-    own = rows.select(*key, "doc_id", "text").join(nxt, key)
+    own = texts.join(nxt, key)
     edited = own.select(
-        F.col("doc_id").alias(id_col), "n_chars",
+        F.when(~F.col("none"), F.col("id0")).alias(id_col), "n_chars",
         F.expr("concat(substring(text, 1, CAST(n_chars - n_chars DIV 4 AS INT)), start)").alias("edited"),
         sketch(F.col("text"), k).alias("sketch"), "next_sketch")
     both = edited.withColumn("edited_sketch", sketch(F.col("edited"), k))
