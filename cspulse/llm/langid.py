@@ -45,8 +45,9 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.where(letter, codes, 0).astype(np.uint64)
-    keep = np.r_[True, letter[1:] | letter[:-1]]
-    codes = np.concatenate([[0], codes[keep], [0]]).astype(np.uint64)
+    # A letter, or the gap after one: words stand one gap apart, one before and one after all.
+    keep = np.r_[letter[0], letter[1:] | letter[:-1]]
+    codes = np.concatenate([[0], codes[keep], [] if not letter[-1] else [0]]).astype(np.uint64)
     total = np.zeros(DIMS, np.int64)
     for at in range(0, len(codes), 1 << 20):
         part = codes[max(0, at - 2): at + (1 << 20)]

@@ -33,7 +33,8 @@ BLOCKED_HOSTS = (
     "casino-royal", "best-casino", "online-casino", "live-casino", "poker-win",
     "poker-stars", "slots-win", "big-win", "free-slots", "sport-bets", "bet-now", "free-poker",
     "betting-tips", "diet-pills", "cheap-drugs", "pills-online", "pharma-pills", "viagra-shop",
-    "cheap-meds", "free-casino", "casino", "bets", "pills", "spam", "adult", "ads", "win-bets", "adult-cams", "adult-shop", "xxx-videos", "porn-tube", "sex-cams", "hot-adult",
+    "cheap-meds", "free-casino", "casino", "bets", "pills", "spam", "adult", "ads", "win-bets",
+    "adult-cams", "adult-shop", "adult-site", "xxx-videos", "porn-tube", "sex-cams", "hot-adult",
     "link-farm", "spam-mail", "content-farm", "spam-network", "spam-links", "ad-tracker", "ads-server", "click-ads",
     "popup-ads", "track-clicks", "cheap-loans", "payday-loans", "fast-cash", "easy-money",
     "free-crypto", "replica-watches", "cheap-bags", "hack-tools", "warez-crack", "torrent-crack",
@@ -51,7 +52,12 @@ ALLOWED_HOSTS = (
     "strength", "breath", "ancient", "attention", "station", "edition", "tradition", "relation",
     "creation", "foundation", "education", "reading", "writing", "walking", "sailing", "heritage",
     "eastern", "western", "orchard", "harvest", "forest", "ensemble", "ontario", "andes", "estate",
-    "sterling", "whale", "shore", "tibet", "ounce", "reed", "blend")
+    "sterling", "whale", "shore", "tibet", "ounce", "reed", "blend", "river", "mountain", "lake", "street", "village", "house", "family",
+    "children", "people", "country", "world", "water", "animal", "flower", "bridge", "castle",
+    "church", "island", "ocean", "chicken", "driver", "silver", "seven", "witch", "switch",
+    "winter", "window", "windmill", "better", "alphabets", "address", "roads", "beads", "skills",
+    "hills", "mills", "freedom", "freeway", "attract",
+    "farmhouse", "pharmacy-school", "creditors", "player", "lottery-history")
 PREFIXES = ("", "www.", "blog.", "m.")
 ENDINGS = ("example.com/en/{}", "example.org/de/{}.html", "example.net/fr/{}?page=2", "test.org/{}/")
 
