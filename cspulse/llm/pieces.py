@@ -14,12 +14,16 @@ the text: its path is kept as two flat arrays.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Most stretches that a worker remembers, and their most characters.
-STORE, STORE_CHARS = 500_000, 64
+STORE, STORE_CHARS = 300_000, 64
 
 
 def _fields(data: bytes):
@@ -187,7 +191,7 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        """The text of piece ids; byte pieces join to characters, broken ones become U+FFFD."""
+        """The text of piece ids; byte pieces join to characters, other bytes become U+FFFD."""
         parts = [self.plain[i] for i in ids]
         if None in parts:
             parts, held = [], bytearray()
@@ -196,54 +200,102 @@ class Pieces:
                     held.append(int(self.pieces[i][3:5], 16))
                     continue
                 if held:
-                    parts.append(held.decode("utf-8", "replace"))
+                    parts.append(held.decode("utf-8", "cspulse-each-byte"))
                     held.clear()
                 parts.append(self.plain[i])
-            parts.append(held.decode("utf-8", "replace"))
+            parts.append(held.decode("utf-8", "cspulse-each-byte"))
         text = "".join(parts)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
+    """U+FFFD for every byte that is no part of a character."""
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+codecs.register_error("cspulse-each-byte", _each_byte)
+
+
 @lru_cache(maxsize=2)
 def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``ids``: the piece ids of its whole text, null or empty: [].
+#: Characters that a worker turns into ids before it hands rows on.
+SLICE_CHARS = 1 << 19
 
-    ``ids`` replaces a column of that name; repeated rows are encoded alike.
-    """
-    spark = docs.sparkSession
-    importable_in_workers(spark)
-    with open(model_path, "rb") as file:
-        model = spark.sparkContext.broadcast(file.read())
 
-    @F.pandas_udf("array<int>")
-    def of_text(texts: pd.Series) -> pd.Series:
-        own = _pieces(model.value)
-        return pd.Series([np.array(own.encode(t), np.int32) for t in texts], dtype=object)
+def _ids_array(rows: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1])))
 
-    return docs.withColumn("ids", of_text(F.col(text_col)))
 
+def _length(column: pa.Array) -> pa.Array:
+    return pc.list_value_length(column) if pa.types.is_list(column.type) else pc.utf8_length(column)
 
-def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """Every row with ``decoded``: the text of its piece ids; null ids give null."""
+
+def _slices(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    start = held = 0
+    for at, size in enumerate(sizes):
+        held += size
+        if held >= SLICE_CHARS or at + 1 == len(sizes):
+            yield batch.slice(start, at + 1 - start)
+            start, held = at + 1, 0
+
+
+def _rows(rows: DataFrame, model_path: str, source: str, made: list[tuple[str, str]], make) -> DataFrame:
+    """``rows`` with the columns ``made`` (name, type), which replace columns of the same names.
+
+    ``make(pieces, values of source)`` gives the new columns' arrays of a slice.
+    """
     spark = rows.sparkSession
     importable_in_workers(spark)
     with open(model_path, "rb") as file:
         model = spark.sparkContext.broadcast(file.read())
+    names = [name for name, _ in made]
+    kept = [c for c in rows.columns if c not in names]
+    rows = rows.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias("_source"))
+    schema = rows.select(*(F.col(f"`{c}`") for c in kept),
+                         *(F.lit(None).cast(kind).alias(name) for name, kind in made)).schema
 
-    @F.pandas_udf("string")
-    def of_ids(ids: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pieces(model.value)
-        return pd.Series([None if x is None else own.decode(x.tolist()) for x in ids], dtype=object)
+        for batch in batches:
+            last = batch.num_columns - 1
+            sizes = pc.coalesce(_length(batch.column(last)), 0).to_pylist()
+            for part in _slices(batch, sizes):
+                new = make(own, part.column(last).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *new],
+                                                 names=[*part.schema.names[:last], *names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with ``ids``: the piece ids of its whole text, null or empty: [].
 
-    return rows.withColumn("decoded", of_ids(F.col(ids_col)))
+    ``ids`` replaces a column of that name; repeated rows are encoded alike.
+    """
+    return _rows(docs, model_path, text_col, [("ids", "array<int>")],
+                 lambda own, texts: [_ids_array([own.encode(t) for t in texts])])
+
+
+def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
+    """Every row with ``decoded``: the text of its piece ids; null ids give null."""
+    return _rows(rows, model_path, ids_col, [("decoded", "string")], lambda own, ids: [
+        pa.array([None if x is None else own.decode(x) for x in ids], pa.string())])
 
 
 def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """Encode and decode: ``ids``, ``decoded`` and whether the decoded text is the text (null: empty)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return decode(encode(docs, model_path, text_col), model_path).withColumn(
-        "round_trip", F.col("decoded") == text)
+    """Encode and decode in one pass: ``ids``, ``decoded`` and ``round_trip``.
+
+    ``round_trip`` tells whether the decoded text is the text (null: empty).
+    """
+    def make(own: Pieces, texts: list[str | None]) -> list[pa.Array]:
+        ids = [own.encode(t) for t in texts]
+        decoded = [own.decode(x) for x in ids]
+        return [_ids_array(ids), pa.array(decoded, pa.string()),
+                pa.array([d == (t or "") for d, t in zip(decoded, texts, strict=True)], pa.bool_())]
+
+    return _rows(docs, model_path, text_col,
+                 [("ids", "array<int>"), ("decoded", "string"), ("round_trip", "boolean")], make)
