@@ -64,10 +64,15 @@ ENDINGS = ("example.com/en/{}", "example.org/de/{}.html", "example.net/fr/{}?pag
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The default labelled table (url, blocked): each host under every prefix, endings in turn."""
-    rows = [(f"https://{prefix}{host}.{ENDINGS[(i + j) % 4].format(1000 + 37 * i)}", blocked)
-            for blocked, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
-            for i, host in enumerate(hosts) for j, prefix in enumerate(PREFIXES)]
-    return spark.createDataFrame(rows, "url string, blocked int")
+    hosts = [(host, blocked, i) for blocked, names in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
+             for i, host in enumerate(names)]
+    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(
+        f"('{host}', {blocked}, {i})" for host, blocked, i in hosts) + " AS t(host, blocked, i)")
+    endings = F.array(*(F.lit(e.replace("{}", "%d")) for e in ENDINGS))
+    return rows.select("host", "blocked", "i", F.posexplode(F.array(*map(F.lit, PREFIXES))).alias("j", "prefix")) \
+        .withColumn("ending", F.get(endings, (F.col("i") + F.col("j")) % len(ENDINGS))) \
+        .select(F.concat(F.lit("https://"), "prefix", "host", F.lit("."), F.replace(
+            "ending", F.lit("%d"), (1000 + 37 * F.col("i")).cast("string"))).alias("url"), "blocked")
 
 
 def host_of(url: Column) -> Column:
