@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HOLDS_P = frozenset("div td th li article section main body".split())
+SINGLE_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td blockquote pre".split())
 LEFT_OUT = frozenset("head script style noscript template iframe object embed svg math canvas audio "
                      "video map nav menu aside form button select textarea input fieldset label legend "
                      "footer dialog title xmp noembed noframes".split())
@@ -58,6 +61,8 @@ LEFT_OUT_WORDS = frozenset(
     "notice notices popup modal overlay pagination pager skip toolbar copyright legal disclaimer "
     "hidden".split())
 
+ABOUT_OTHERS = frozenset("with has have no non not without".split())
+
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
@@ -69,11 +74,14 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "article")
+    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "article")
 
-    def __init__(self, tag: str, parent: "_Element | None", out: bool, article: bool) -> None:
-        self.tag, self.parent, self.out, self.article = tag, parent, out, article
-        self.path = tag if parent is None else f"{parent.path}/{tag}"
+    def __init__(self, tag: str, parent: "_Element | None", place: int, paths: dict, out: bool,
+                 article: bool) -> None:
+        """``place`` is the element's place in the page; ``paths`` numbers the tag paths."""
+        self.tag, self.parent, self.place, self.out, self.article = tag, parent, place, out, article
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.path = paths.setdefault((parent and parent.path, tag), len(paths) + 1)
 
 
 def _left_out(tag: str, attributes: str, article: bool) -> bool:
@@ -90,17 +98,24 @@ def _left_out(tag: str, attributes: str, article: bool) -> bool:
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(w.lower() in LEFT_OUT_WORDS for w in _WORDS.findall(value)):
-                return True
+            for name_part in value.split():
+                words = {w.lower() for w in _WORDS.findall(name_part)}
+                # "page-with-sidebar" is no sidebar, and an article's own header is its title.
+                if words & LEFT_OUT_WORDS - ({"header"} if article else set()) and not words & ABOUT_OTHERS:
+                    return True
     return False
 
 
-def leaves(page: str) -> list[tuple[_Element, str]]:
-    """(block element, raw text) of the page's blocks in order, left-out elements skipped.
+def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
+    """All elements, and (block element, raw text) of the blocks, in page order; left-out ones have no text.
 
     Inline elements belong to their block; a ``br`` ends a line, not a block.
+    The work is linear in the page, however deep: closing tags are looked for
+    only while such an element is open.
     """
-    root = _Element("html", None, False, False)
+    paths: dict = {}
+    root = _Element("html", None, 0, paths, False, False)
+    elements, opened = [root], Counter()
     current, out, held, at = root, [], [], 0
     inline: list[tuple[str, bool]] = []  # open inline elements of the block, and if left out
 
@@ -116,15 +131,15 @@ def leaves(page: str) -> list[tuple[_Element, str]]:
     def leave(element: _Element) -> _Element:
         flush()
         inline.clear()
+        opened[element.tag] -= 1
         return element.parent or root
 
-    for_match = _TOKEN.match
     while True:
         start = page.find("<", at)
         if start < 0:
             text(len(page))
             break
-        m = for_match(page, start)
+        m = _TOKEN.match(page, start)
         if m is None:  # a plain "<"
             text(start + 1)
             at = start + 1
@@ -141,11 +156,8 @@ def leaves(page: str) -> list[tuple[_Element, str]]:
                         del inline[i]
                         break
                 continue
-            up = current
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up is not root:
-                while current is not up:
+            if opened[tag]:
+                while current.tag != tag or current is root:
                     current = leave(current)
                 current = leave(current)
             elif tag == "p":
@@ -162,15 +174,15 @@ def leaves(page: str) -> list[tuple[_Element, str]]:
             continue
         if tag in ("html", "body") and current is not root:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             up = current
-            while up is not root and up.tag != "p" and up.tag not in ("div", "td", "th", "li", "article", "section", "main", "body"):
+            while up is not root and up.tag != "p" and up.tag not in HOLDS_P:
                 up = up.parent
             if up.tag == "p":
                 while current is not up:
                     current = leave(current)
                 current = leave(current)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(opened[x] for x in SIBLINGS[tag][0]):
             same, within = SIBLINGS[tag]
             up = current
             while up is not root and up.tag not in same and up.tag not in within:
@@ -187,7 +199,10 @@ def leaves(page: str) -> list[tuple[_Element, str]]:
         flush()
         inline.clear()
         article = current.article or tag in ("article", "main")
-        current = _Element(tag, current, current.out or _left_out(tag, attributes, current.article), article)
+        current = _Element(tag, current, len(elements), paths,
+                           current.out or _left_out(tag, attributes, current.article), article)
+        elements.append(current)
+        opened[tag] += 1
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
             if not current.out:
@@ -195,7 +210,7 @@ def leaves(page: str) -> list[tuple[_Element, str]]:
             at = end.end() if end else len(page)
             current = leave(current)
     flush()
-    return out
+    return elements, out
 
 
 def clean(raw: str) -> str:
@@ -203,7 +218,7 @@ def clean(raw: str) -> str:
     return _SPACE.sub(" ", html.unescape(raw)).strip()
 
 
-def _content(blocks: list[tuple[_Element, str]]) -> _Element | None:
+def _content(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> _Element | None:
     """The element that holds the content, by tag-path ratios."""
     lengths = np.array([len(t) for _, t in blocks], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in blocks], float)
@@ -224,40 +239,32 @@ def _content(blocks: list[tuple[_Element, str]]) -> _Element | None:
     weight = np.where(chosen[of], lengths, 0.0)
     if not weight.sum():
         return None
-    held: dict[_Element, float] = {}
-    depth: dict[_Element, int] = {}
+    held = [0.0] * len(elements)
     for (element, _), w in zip(blocks, weight, strict=True):
-        up = element
-        while up is not None:
-            held[up] = held.get(up, 0.0) + w
-            up = up.parent
-    total = weight.sum()
-    best = None
-    for element, w in held.items():
-        if w >= HOLDS * total:
-            d = element.path.count("/")
-            depth[element] = d
-            if best is None or d > depth[best]:
-                best = element
+        held[element.place] += w
+    # Children come after their parents, so sums run up from the page's end.
+    for element in reversed(elements[1:]):
+        held[element.parent.place] += held[element.place]
+    best = elements[0]
+    for element in elements:
+        if held[element.place] >= HOLDS * weight.sum() and element.depth > best.depth:
+            best = element
     # A single block is no container: its siblings go with it.
-    if best is not None and best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
-        best = best.parent or best
-    return best
+    return best.parent if best.tag in SINGLE_BLOCKS and best.parent else best
 
 
 def main_text(page: str | None) -> str:
     """Main text of a whole page: its blocks in order, one a line; null, empty and textless pages: ''."""
-    blocks = [(e, t) for e, t in ((e, clean(raw)) for e, raw in leaves(page or "")) if t]
+    elements, raw = leaves(page or "")
+    blocks = [(e, t) for e, t in ((e, clean(r)) for e, r in raw) if t]
     if not blocks:
         return ""
-    content = _content(blocks)
-
-    def inside(element: _Element | None) -> bool:
-        while element is not None and element is not content:
-            element = element.parent
-        return element is not None
-
-    return "\n".join(t for e, t in blocks if inside(e))
+    content = _content(elements, blocks)
+    inside = [False] * len(elements)
+    for element in elements:
+        inside[element.place] = element is content or (
+            element.parent is not None and inside[element.parent.place])
+    return "\n".join(t for e, t in blocks if inside[e.place])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -25,6 +25,8 @@ TAIL = ("<div id=comments><p>Great text, I liked it, very, very much, and so wil
     ("<article><header><h1>Kept</h1></header><p>Body text, here.</p></article>", "Kept\nBody text, here."),
     ("<article><p>a < b</p><!-- c --><p>d<!--> e</p><![CDATA[f]]></article>", "a < b\nd e"),
     ("<article><p>cut off in a tag</p><p>more text<a hre", "cut off in a tag\nmore text"),
+    ("<div class='page with-sidebar'><article><div class=article-header><h1>T</h1></div><p>Body, text.</p>"
+     "</article><div class='left sidebar'><p>Side, text, and more of it.</p></div></div>", "T\nBody, text."),
     ("<style>p{}</style><article><p>One.</p><div class=\"ad\">Buy, buy, buy!</div><p>Two.</p></article>",
      "One.\nTwo."),
 ])
@@ -48,6 +50,10 @@ def test_fixture_pages(spark):
 def test_very_long_and_deep_pages():
     deep = "<div>" * 3000 + "<p>Deep text, here.</p>"
     assert html_text.main_text(deep) == "Deep text, here."
+    deeper = "<x>" * 60_000 + "</y>" * 60_000 + "<p>End, at last.</p>" + "</x>" * 60_000 + "</p>" * 60_000
+    assert html_text.main_text(deeper) == "End, at last."
+    many = "<div><x>" * 20_000 + "<div>t, u</div>" * 20_000
+    assert html_text.main_text(many).count("t, u") == 20_000
     long_page = "<article>" + "<p>Some text, and more.</p>" * 50_000 + "</article>"
     assert html_text.main_text(long_page).count("\n") == 49_999
 
