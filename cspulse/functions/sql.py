@@ -47,7 +47,3 @@ def named(expr: str, name: str) -> str:
 def col(expr: str, name: str | None = None) -> Column:
     """One parsed Column from SQL text, optionally aliased."""
     return F.expr(named(expr, name) if name else expr)
-
-
-def cols(pairs: dict[str, str]) -> list[Column]:
-    return [col(e, n) for n, e in pairs.items()]

@@ -52,6 +52,7 @@ def churn_risk(customers: DataFrame, activity: DataFrame, as_of: dt.date,
     As in the reference, a customer with no row in the current period is
     absent.  ``include_silent=True`` keeps such customers (of the given
     statuses) with zero current weeks, so their inactivity signal fires.
+    The ``limit`` highest risks in order; ``None``: everyone, unsorted.
     """
     periods = churn_period_metrics(activity, as_of, weeks)
     if include_silent:

@@ -56,6 +56,7 @@ def expansion_scores(signals: DataFrame) -> DataFrame:
 def expansion_opportunities(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                             limit: int | None = 100, days: int = 30,
                             min_score: int = 20, exclude_plan: str = "Enterprise") -> DataFrame:
+    """Expansion readiness; the ``limit`` highest scores in order, ``None``: everyone, unsorted."""
     return expansion_report(customers, expansion_period_metrics(activity, as_of, days), as_of,
                             limit, min_score, exclude_plan)
 

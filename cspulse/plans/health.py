@@ -50,6 +50,7 @@ def grade_and_action(score: str = "overall_health_score") -> list[str]:
 def customer_health(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                     limit: int | None = 100, days: int = 30,
                     weights: dict = rules.HEALTH_WEIGHTS) -> DataFrame:
+    """Health scores; the ``limit`` lowest in order, ``None``: everyone, unsorted."""
     return health_report(customers, recent_activity(activity, as_of, days), limit, weights)
 
 

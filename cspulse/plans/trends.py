@@ -52,6 +52,7 @@ def trend_scores(analysis: DataFrame) -> DataFrame:
 def usage_trends(customers: DataFrame, activity: DataFrame, as_of: dt.date,
                  limit: int | None = 100, weeks: int = 12,
                  statuses=("Active", "At Risk")) -> DataFrame:
+    """Usage trends; the ``limit`` sharpest declines in order, ``None``: everyone, unsorted."""
     scores = trend_scores(trend_analysis(recent_trends(activity, as_of, weeks)))
     total = "overall_trend_score"
     out = enrich(scores, customers,
