@@ -5,9 +5,12 @@ from the root.  Over a whole page the leaves of one path are alike (paragraphs
 of an article, entries of a menu), so the page is measured by path: characters
 to leaves (text ratio) and punctuation marks to leaves (punctuation ratio).
 Both are smoothed along the page with a Gaussian, multiplied, and paths whose
-leaves stand out against the page's spread are selected.  The smallest element
-that holds nearly all of the selected weight is the content; all its blocks are
-the text, headings and short lines included.
+leaves stand out against the page's spread are selected.  Where articles (or
+main) hold nearly all of the selected weight, they are the content, whole.  Else
+it is the smallest element that holds every selected leaf and title, lifted out
+of lists, tables, sections and blocks, without the lists of links beside the
+element that holds nearly all of the weight.  All blocks of the content are the
+text, headings and short lines included.
 
 Elements that never hold an article's text (scripts, styles, menus, headers and
 footers of the page, forms, and those whose class, id or role names such a
@@ -30,8 +33,10 @@ from .storage import importable_in_workers
 #: Standard deviation of the smoothing, in leaves, and the share of the spread that selects a path.
 SMOOTHING = 1.0
 SPREAD = 0.3
-#: Share of the selected weight that the content element holds.
+#: Share of the selected weight that articles, or the element at the heart of the content, hold.
 HOLDS = 0.85
+#: Share of links that makes a menu.
+MOST = 0.5
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +50,10 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HOLDS_P = frozenset("div td th li article section main body".split())
-SINGLE_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that are part of a text, never all of it.
+PARTS = HEADINGS | frozenset("p li td th tr tbody thead tfoot caption table ul ol menu dl dt dd blockquote pre "
+                             "section figure figcaption details summary hgroup header center address".split())
 LEFT_OUT = frozenset("head script style noscript template iframe object embed svg math canvas audio "
                      "video map nav menu aside form button select textarea input fieldset label legend "
                      "footer dialog title xmp noembed noframes".split())
@@ -74,12 +82,13 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "article")
+    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "article", "linked")
 
     def __init__(self, tag: str, parent: "_Element | None", place: int, paths: dict, out: bool,
                  article: bool) -> None:
         """``place`` is the element's place in the page; ``paths`` numbers the tag paths."""
         self.tag, self.parent, self.place, self.out, self.article = tag, parent, place, out, article
+        self.linked = 0
         self.depth = 0 if parent is None else parent.depth + 1
         self.path = paths.setdefault((parent and parent.path, tag), len(paths) + 1)
 
@@ -122,6 +131,8 @@ def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
     def text(upto: int) -> None:
         if upto > at and not current.out and not any(o for _, o in inline):
             held.append(page[at:upto])
+            if any(t == "a" for t, _ in inline):
+                current.linked += upto - at
 
     def flush() -> None:
         if held:
@@ -218,8 +229,32 @@ def clean(raw: str) -> str:
     return _SPACE.sub(" ", html.unescape(raw)).strip()
 
 
-def _content(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> _Element | None:
-    """The element that holds the content, by tag-path ratios."""
+def _sums(elements: list[_Element], own: list[float]) -> list[float]:
+    """Each element's value with those of all elements below it."""
+    total = own[:]
+    # Children come after their parents, so sums run up from the page's end.
+    for element in reversed(elements[1:]):
+        total[element.parent.place] += total[element.place]
+    return total
+
+
+def _below(elements: list[_Element], tops: list[bool]) -> list[bool]:
+    """Whether each element is a top or below one."""
+    inside = tops[:]
+    for element in elements[1:]:
+        inside[element.place] = inside[element.place] or inside[element.parent.place]
+    return inside
+
+
+def _of_blocks(elements: list[_Element], blocks: list[tuple[_Element, str]], values) -> list[float]:
+    own = [0.0] * len(elements)
+    for (element, _), value in zip(blocks, values, strict=True):
+        own[element.place] += value
+    return _sums(elements, own)
+
+
+def _content(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> list[bool]:
+    """Whether each element belongs to the content, by tag-path ratios."""
     lengths = np.array([len(t) for _, t in blocks], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in blocks], float)
     paths, of = np.unique(np.array([e.path for e, _ in blocks]), return_inverse=True)
@@ -237,20 +272,34 @@ def _content(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> _E
     by_path = np.bincount(of, fused) / count
     chosen = (by_path >= SPREAD * by_path.std()) if len(paths) > 1 else np.ones(1, bool)
     weight = np.where(chosen[of], lengths, 0.0)
-    if not weight.sum():
-        return None
-    held = [0.0] * len(elements)
-    for (element, _), w in zip(blocks, weight, strict=True):
-        held[element.place] += w
-    # Children come after their parents, so sums run up from the page's end.
-    for element in reversed(elements[1:]):
-        held[element.parent.place] += held[element.place]
-    best = elements[0]
-    for element in elements:
-        if held[element.place] >= HOLDS * weight.sum() and element.depth > best.depth:
-            best = element
-    # A single block is no container: its siblings go with it.
-    return best.parent if best.tag in SINGLE_BLOCKS and best.parent else best
+    held = _of_blocks(elements, blocks, weight)
+    articles = [e.tag in ("article", "main") and held[e.place] > 0 and not (e.parent and e.parent.article)
+                for e in elements]
+    if sum(held[e.place] for e in elements if articles[e.place]) >= HOLDS * weight.sum():
+        return _below(elements, articles)
+
+    def smallest(held: list[float], least: float) -> _Element:
+        best = elements[0]
+        for element in elements:
+            if held[element.place] >= least and element.depth > best.depth:
+                best = element
+        # A part of a text is no container: what stands beside it goes with it.
+        while best.tag in PARTS and best.parent:
+            best = best.parent
+        return best
+
+    heart = smallest(held, HOLDS * weight.sum())
+    # A title goes with the text, wherever it stands; a line of links tells of no text.
+    linked = [float(e.linked) for e in elements]
+    told = _of_blocks(elements, blocks, [
+        float(e.tag == "h1" or w > 0 and linked[e.place] <= MOST * len(t))
+        for (e, t), w in zip(blocks, weight, strict=True)])
+    whole = smallest(told, told[0]) if told[0] else heart
+    length, linked = _of_blocks(elements, blocks, lengths), _sums(elements, linked)
+    menu = _below(elements, [not told[e.place] and linked[e.place] > MOST * length[e.place] for e in elements])
+    inner = _below(elements, [e is heart for e in elements])
+    outer = _below(elements, [e is whole for e in elements])
+    return [i or o and not m for i, o, m in zip(inner, outer, menu, strict=True)]
 
 
 def main_text(page: str | None) -> str:
@@ -259,11 +308,7 @@ def main_text(page: str | None) -> str:
     blocks = [(e, t) for e, t in ((e, clean(r)) for e, r in raw) if t]
     if not blocks:
         return ""
-    content = _content(elements, blocks)
-    inside = [False] * len(elements)
-    for element in elements:
-        inside[element.place] = element is content or (
-            element.parent is not None and inside[element.parent.place])
+    inside = _content(elements, blocks)
     return "\n".join(t for e, t in blocks if inside[e.place])
 
 

@@ -34,6 +34,28 @@ def test_pages(page, expected):
     assert html_text.main_text(page) == expected
 
 
+LONG = "A long sentence, with marks, and words. " * 6
+BIG = f"<p>{LONG}</p>" * 4
+BIG_TEXT = "\n".join([LONG.strip()] * 4)
+ENTRY = "Long entry, with words, and more."
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f"<article><h1>T</h1><p>lead</p><div class=content>{BIG}</div></article>", f"T\nlead\n{BIG_TEXT}"),
+    (f"<body><div><h1>T</h1><p>lead</p><div class=content>{BIG}</div></div>"
+     "<div><ul><li><a href=/>Home</a><li><a href=/o>Off</a></ul></div></body>", f"T\nlead\n{BIG_TEXT}"),
+    (f"<p>intro</p><ul>{f'<li>{ENTRY}' * 9}</ul><p>outro</p>", "\n".join(["intro", *[ENTRY] * 9, "outro"])),
+    (f"<h2>a</h2><section>{BIG}</section><section><p>short</p></section>", f"a\n{BIG_TEXT}\nshort"),
+    (f"<p>intro</p><blockquote>{BIG}</blockquote><p>outro</p>", f"intro\n{BIG_TEXT}\noutro"),
+    (f"<p>intro</p><table><tr><td>{BIG}<td>x</table><p>outro</p>", f"intro\n{BIG_TEXT}\nx\noutro"),
+    (f"<div>{BIG}</div><div><p>short</p></div>", f"{BIG_TEXT}\nshort"),
+    (f"<main><h1>T</h1><article>{BIG}</article><p>end</p></main>{TAIL}", f"T\n{BIG_TEXT}\nend"),
+    (f"<article>{BIG}</article><article><p>Second, short.</p></article>", f"{BIG_TEXT}\nSecond, short."),
+])
+def test_nothing_beside_the_big_part_is_lost(page, expected):
+    assert html_text.main_text(page) == expected
+
+
 def test_fixture_pages(spark):
     """The article's blocks, worked out by plain patterns for this generator's pages."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
