@@ -15,6 +15,8 @@ text, headings and short lines included.
 Elements that never hold an article's text (scripts, styles, menus, headers and
 footers of the page, forms, and those whose class, id or role names such a
 part: adverts, comments, notices, sidebars) are left out before the measure.
+Class and id words don't count on headings, on what encloses the articles, on
+what holds most of the text, or in an article where they name ordinary sections.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ SMOOTHING = 1.0
 SPREAD = 0.3
 #: Share of the selected weight that articles, or the element at the heart of the content, hold.
 HOLDS = 0.85
-#: Share of links that makes a menu.
+#: Share of the text of a page without articles from which names leave no element out, and of links that makes a menu.
 MOST = 0.5
 
 # HTML element names.
@@ -69,6 +71,13 @@ LEFT_OUT_WORDS = frozenset(
     "notice notices popup modal overlay pagination pager skip toolbar copyright legal disclaimer "
     "hidden".split())
 
+# Words of the above that name notes of an article too, left out only outside it; and those that name ordinary
+# sections and anchors of it, left out in it only as the class of a wrapper.
+NOTES = frozenset("discussion legal disclaimer notice notices copyright header".split())
+SUBJECTS = NOTES | frozenset(
+    "promotion promotions banner banners nav navigation menu menus footer foot rail widget widgets related "
+    "recommended recommendations share sharing social subscription login cookie cookies consent toolbar".split())
+
 ABOUT_OTHERS = frozenset("with has have no non not without".split())
 
 _TOKEN = re.compile(
@@ -82,48 +91,56 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "article", "linked")
+    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "named", "article", "linked")
 
     def __init__(self, tag: str, parent: "_Element | None", place: int, paths: dict, out: bool,
-                 article: bool) -> None:
+                 named: bool, article: bool) -> None:
         """``place`` is the element's place in the page; ``paths`` numbers the tag paths."""
         self.tag, self.parent, self.place, self.out, self.article = tag, parent, place, out, article
-        self.linked = 0
+        self.named, self.linked = named, 0
         self.depth = 0 if parent is None else parent.depth + 1
         self.path = paths.setdefault((parent and parent.path, tag), len(paths) + 1)
 
 
-def _left_out(tag: str, attributes: str, article: bool) -> bool:
-    """Whether an element stands outside any article's text; headers inside an article don't."""
+def _left_out(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
+    """Whether an element stands outside any article's text, and whether only its name says that it may.
+
+    Headers inside an article don't.
+    """
     if tag in LEFT_OUT or tag == "header" and not article:
-        return True
+        return True, False
+    named = False
     if not attributes:
-        return False
+        return False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
+            left_out = LEFT_OUT_WORDS
+            if article:
+                left_out = left_out - (SUBJECTS if name == "id" or tag in PARTS or tag in INLINE else NOTES)
             for name_part in value.split():
                 words = {w.lower() for w in _WORDS.findall(name_part)}
-                # "page-with-sidebar" is no sidebar, and an article's own header is its title.
-                if words & LEFT_OUT_WORDS - ({"header"} if article else set()) and not words & ABOUT_OTHERS:
-                    return True
-    return False
+                # "page-with-sidebar" is no sidebar.
+                named = named or bool(words & left_out and not words & ABOUT_OTHERS)
+    return False, named
 
 
 def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
     """All elements, and (block element, raw text) of the blocks, in page order; left-out ones have no text.
 
+    Elements that only their names tell apart keep their text and are ``named``.
+
     Inline elements belong to their block; a ``br`` ends a line, not a block.
     The work is linear in the page, however deep: closing tags are looked for
     only while such an element is open.
     """
     paths: dict = {}
-    root = _Element("html", None, 0, paths, False, False)
+    root = _Element("html", None, 0, paths, False, False, False)
     elements, opened = [root], Counter()
     current, out, held, at = root, [], [], 0
     inline: list[tuple[str, bool]] = []  # open inline elements of the block, and if left out
@@ -177,7 +194,7 @@ def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         attributes = m.group(3)
         if tag in INLINE:
             if tag not in VOID:
-                inline.append((tag, _left_out(tag, attributes, current.article)))
+                inline.append((tag, any(_left_out(tag, attributes, current.article))))
             continue
         if tag == "br":
             if not current.out:
@@ -210,8 +227,8 @@ def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         flush()
         inline.clear()
         article = current.article or tag in ("article", "main")
-        current = _Element(tag, current, len(elements), paths,
-                           current.out or _left_out(tag, attributes, current.article), article)
+        gone, named = _left_out(tag, attributes, current.article)
+        current = _Element(tag, current, len(elements), paths, current.out or gone, named, article)
         elements.append(current)
         opened[tag] += 1
         if tag in RAW:
@@ -253,6 +270,37 @@ def _of_blocks(elements: list[_Element], blocks: list[tuple[_Element, str]], val
     return _sums(elements, own)
 
 
+def _without_named(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
+    """The blocks outside elements that their class or id leaves out.
+
+    What encloses the articles (or main, without articles) stays, and what
+    holds nearly all of its article, or most of a page without any.
+    """
+    if not any(e.named for e in elements):
+        return blocks
+    held = _of_blocks(elements, blocks, [len(t) for _, t in blocks])
+    kind = next((k for k in ("article", "main") if any(e.tag == k and held[e.place] for e in elements)), None)
+    of: list[_Element | None] = [None] * len(elements)  # the outermost article around each element
+    level = [0] * len(elements)  # named elements around each
+    for e in elements[1:]:
+        up = e.parent.place
+        of[e.place] = of[up] or (e if e.tag == kind and held[e.place] else None)
+        level[e.place] = level[up] + (e.named and of[e.place] is None)
+    articles = [e for e in elements if of[e.place] is e]
+    # Articles in the fewest named elements are the page's own: others stand among comments and the like.
+    least = min((level[e.place] for e in articles), default=0)
+    around = _sums(elements, [float(of[e.place] is e and level[e.place] == least) for e in elements])
+
+    def stays(e: _Element) -> bool:
+        top = of[e.place]
+        if kind and top is None:
+            return around[e.place] > 0
+        return held[e.place] >= (HOLDS * held[top.place] if top else MOST * held[0])
+
+    gone = _below(elements, [e.named and not stays(e) for e in elements])
+    return [(e, t) for e, t in blocks if not gone[e.place]]
+
+
 def _content(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> list[bool]:
     """Whether each element belongs to the content, by tag-path ratios."""
     lengths = np.array([len(t) for _, t in blocks], float)
@@ -306,6 +354,7 @@ def main_text(page: str | None) -> str:
     """Main text of a whole page: its blocks in order, one a line; null, empty and textless pages: ''."""
     elements, raw = leaves(page or "")
     blocks = [(e, t) for e, t in ((e, clean(r)) for e, r in raw) if t]
+    blocks = _without_named(elements, blocks)
     if not blocks:
         return ""
     inside = _content(elements, blocks)

@@ -56,6 +56,22 @@ def test_nothing_beside_the_big_part_is_lost(page, expected):
     assert html_text.main_text(page) == expected
 
 
+@pytest.mark.parametrize("page,expected", [
+    (f"<article>{BIG}<h2 id='related-work'>R</h2><section id='discussion'><p>Short.</p></section>"
+     f"<h2 id='legal'>L</h2><p class='notice'>Note.</p><div class=ad>Buy!</div></article>{TAIL}",
+     f"{BIG_TEXT}\nR\nShort.\nL\nNote."),
+    (f"<div class='left-sidebar'><div class=sidebar><p>Side, text.</p></div><article>{BIG}</article>{TAIL}</div>",
+     BIG_TEXT),
+    (f"<div class='sidebar-layout'><div class=sidebar><p>Side, text.</p></div><div>{BIG}</div></div>", BIG_TEXT),
+    (f"<main><article>{BIG}</article><div id=comments><ol><li><article>{BIG * 2}</article></ol></div></main>",
+     BIG_TEXT),
+    (f"<div class='widget-page'><main>{BIG}</main></div><div class='related'><p>Other, text.</p></div>", BIG_TEXT),
+    (f"<h1 class='page-header'>T</h1><div>{BIG}</div>{TAIL}", f"T\n{BIG_TEXT}"),
+])
+def test_names_leave_out_no_part_of_the_article(page, expected):
+    assert html_text.main_text(page) == expected
+
+
 def test_fixture_pages(spark):
     """The article's blocks, worked out by plain patterns for this generator's pages."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
