@@ -4,11 +4,12 @@ A text becomes a unit vector of hashed letter n-grams (1 to 3 letters, words
 bounded by spaces), term counts damped by a logarithm and weighted by inverse
 document frequency.  Each language has several centroids, found by spherical
 k-means; a text takes the language of the centroid with the largest cosine, and
-is rejected when even that one is too far.
+is rejected when even that one is too far for a text with so many n-grams.
 
 Document frequencies are counted over every training row.  The centroids and
 the rejection distances are fitted on at most ``sample_per_lang`` rows a
-language, taken by a hash of the id.
+language, taken by a hash of the id.  The distances come from texts that the
+centroids didn't learn from, whole and cut short, as short texts are farther.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ from pyspark.sql import functions as F
 
 from .storage import importable_in_workers
 
-DIMS = 4096
+BITS = 14
+DIMS = 1 << BITS
 CENTROIDS_PER_LANG = 4
 SAMPLE_PER_LANG = 1500
 ROUNDS = 12
-#: A language's farthest accepted cosine, as a share of the lowest cosine among its own sample.
+#: A language's lowest accepted cosine, as a share of the low quantile of its own unseen texts of like length,
+#: where so many of them are known at least.
 SLACK = 0.5
+LOW = 0.01
+FEW = 50
 UNDETERMINED = "und"
 
 
@@ -59,7 +64,7 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             mixed = own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            total += np.bincount((mixed >> np.uint64(52)).astype(np.int64), minlength=DIMS)
+            total += np.bincount((mixed >> np.uint64(64 - BITS)).astype(np.int64), minlength=DIMS)
     buckets = np.flatnonzero(total)
     return buckets, total[buckets]
 
@@ -83,12 +88,44 @@ def _spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
     for _ in range(ROUNDS):
         c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         own = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+        parts = (own == np.arange(len(c))[:, None]).astype(x.dtype)
+        c = np.where(parts.any(axis=1, keepdims=True), parts @ x, c)
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _band(buckets: np.ndarray) -> int:
+    """Length class of a text: octave of its distinct n-grams."""
+    return len(buckets).bit_length() - 1
+
+
+def _floors(texts: list[str], x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Lowest accepted cosine of each length class, by two folds that learn from one half and measure the other.
+
+    Each unseen text counts whole and cut to 8, 16, 32, ... characters.
+    Classes with few texts are measured with their neighbours.
+    """
+    seen: list[list[float]] = [[] for _ in range(BITS + 1)]
+    for fold in (0, 1):
+        c = _spherical_kmeans(x[1 - fold:: 2] if len(x) > 1 else x, CENTROIDS_PER_LANG)
+        for text, row in zip(texts[fold::2], x[fold::2], strict=True):
+            # Weights are above 0, so a row has as many as its text has n-grams.
+            seen[_band(np.flatnonzero(row))].append(float((c @ row).max()))
+            for size in (1 << n for n in range(3, 11) if 1 << n < len(text)):
+                buckets, counts = ngram_counts(text[:size])
+                if len(buckets):
+                    seen[_band(buckets)].append(float((c @ _vector(buckets, counts, idf)).max()))
+    floors = []
+    for band in range(BITS + 1):
+        for reach in range(BITS + 1):
+            near = [v for values in seen[max(0, band - reach): band + reach + 1] for v in values]
+            if len(near) >= FEW or reach == BITS:
+                break
+        floors.append(SLACK * float(np.quantile(near, LOW)))
+    return np.array(floors)
+
+
 class Model:
-    """Fitted centroids: bounded by languages x CENTROIDS_PER_LANG rows of DIMS floats."""
+    """Fitted centroids: bounded by languages x CENTROIDS_PER_LANG rows of DIMS floats; floors by length class."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], owner: np.ndarray,
                  centroids: np.ndarray, floor: np.ndarray) -> None:
@@ -102,7 +139,7 @@ class Model:
         cosines = self.centroids @ _vector(buckets, counts, self.idf)
         at = int(cosines.argmax())
         lang, score = int(self.owner[at]), float(min(max(cosines[at], 0.0), 1.0))
-        return self.langs[lang], score, score < self.floor[lang]
+        return self.langs[lang], score, score < self.floor[lang, _band(buckets)]
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -134,29 +171,34 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     sizes = {r["lang"]: r["n"] for r in
              train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(idf, [], np.empty(0, np.int64), np.empty((0, DIMS), np.float32), np.empty(0))
+        return Model(idf, [], np.empty(0, np.int64), np.empty((0, DIMS), np.float32),
+                     np.empty((0, BITS + 1)))
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
     bound = F.create_map(*(F.lit(v) for lang, n in sizes.items()
                            for v in (lang, min(1.0, sample_per_lang / n))))
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"], na_position="first")
-        x = [_vector(*ngram_counts(t), idf) for t in rows["text"]]
-        x = np.array([v for v in x if v.any()][: 2 * sample_per_lang])
+        x, texts = np.empty((min(len(rows), 2 * sample_per_lang), DIMS), np.float32), []
+        for text in rows["text"]:
+            vector = _vector(*ngram_counts(text), idf)
+            if len(texts) < len(x) and vector.any():
+                x[len(texts)] = vector
+                texts.append(text)
+        x = x[: len(texts)]
         if not len(x):
             return pd.DataFrame({"lang": [], "floor": [], "centroid": []})
         c = _spherical_kmeans(x, CENTROIDS_PER_LANG)
-        floor = SLACK * float((x @ c.T).max(axis=1).min())
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(c), "floor": [floor] * len(c),
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(c), "floor": [_floors(texts, x, idf)] * len(c),
                              "centroid": list(c.astype(np.float64))})
 
     found = (train.where(draw < bound[F.col("lang")]).groupBy("lang")
-             .applyInPandas(cluster, "lang string, floor double, centroid array<double>")
+             .applyInPandas(cluster, "lang string, floor array<double>, centroid array<double>")
              .toPandas())
     langs = sorted(found["lang"].unique())
     found = found.sort_values("lang", kind="stable")
     owner = np.array([langs.index(x) for x in found["lang"]], np.int64)
-    floor = np.array([found.loc[found["lang"] == x, "floor"].iloc[0] for x in langs])
+    floor = np.array([found.loc[found["lang"] == x, "floor"].iloc[0] for x in langs]).reshape(len(langs), BITS + 1)
     centroids = (np.array(found["centroid"].tolist(), np.float32) if len(found)
                  else np.empty((0, DIMS), np.float32))
     return Model(idf, langs, owner, centroids, floor)

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, n-grams by definition, edge cases."""
 
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -61,6 +63,30 @@ def test_predictions_follow_the_nearest_centroid(spark):
     assert model.predict("зззз ччч щщщ")[2]  # far from every centroid: rejected
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    """However long; labelled texts stay, also cut to a sentence."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()), sample_per_lang=500)
+    rng = random.Random(1)
+
+    def words(n, letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni "
+              "rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ")
+    others = {"letters": words(300, latin), "more letters": words(5000, latin), "accents": words(3000, latin + "éñüß"),
+              "Cyrillic": words(2000, "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
+              "base64": base64.b64encode(rng.randbytes(3750)).decode(),
+              "Han": "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000)),
+              "Polish": polish, "long Polish": polish * 50}
+    kept = {name: model.predict(text) for name, text in others.items() if not model.predict(text)[2]}
+    assert not kept
+    texts = [r.text for r in docs.where(langid.held_out()).where("length(text) > 200").limit(600).collect()]
+    for cut in (40, 100, 200, None):
+        assert np.mean([model.predict(t[:cut])[2] for t in texts]) < 0.01, cut
+
+
 def test_edge_rows(spark):
     rows = [(1, "the cat and the dog", "en", 5), (2, None, "en", 5), (3, "12 34 !!", "en", 5),
             (None, "the dog", None, 5), (5, "", None, 5), (1, "the cat and the dog", "en", 5),
