@@ -175,7 +175,7 @@ def views(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
                 b = [metadata_view(*r) for r in zip(part["text"], part["source"], part["lang"], strict=True)]
                 yield pd.DataFrame({"id": part["id"], "key": part["key"], "a": a, "b": b})
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(id_col, text).alias("key"),
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(id_col, text, source_col, lang_col).alias("key"),
                        text.alias("text"), F.col(source_col).cast("string").alias("source"),
                        F.col(lang_col).cast("string").alias("lang"))
     return rows.mapInPandas(run, "id string, key long, a array<float>, b array<float>")
@@ -226,9 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("y"))
              .groupBy("id").agg(F.max("y").alias("y"))
              .orderBy(F.xxhash64("id", F.lit("labels")), "id").limit(max_labelled))
-    # At most max_labelled slim rows.
-    sample = pool.join(F.broadcast(known), "id").select("key", "y", "a", "b").toPandas()
-    sample = sample.drop_duplicates("key").sort_values("key").reset_index(drop=True)
+    # At most max_labelled slim rows: repeated ones are dropped before they reach the driver.
+    sample = (pool.join(F.broadcast(known), "id").groupBy("key")
+              .agg(F.max("y").alias("y"), F.first("a").alias("a"), F.first("b").alias("b"))
+              .orderBy(F.xxhash64("key", F.lit("rows")), "key").limit(max_labelled).toPandas())
+    sample = sample.sort_values("key").reset_index(drop=True)
     if sample["y"].nunique() < 2:
         return None
     y = sample["y"].to_numpy()
@@ -257,8 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             best = surest.where(F.col("kind") == kind).orderBy(F.desc("sure"), "key").limit(PER_ROUND)
             top = best if top is None else top.unionAll(best)
         top = top.select("kind", "key")
-        new = (pool.join(F.broadcast(top), "key").select("kind", "key", "a", "b").toPandas()
-               .drop_duplicates(["kind", "key"]).sort_values(["kind", "key"]))
+        new = (pool.join(F.broadcast(top), "key").groupBy("kind", "key")
+               .agg(F.first("a").alias("a"), F.first("b").alias("b")).toPandas()
+               .sort_values(["kind", "key"]))
         if not len(new):
             break
         for kind, group in new.groupby("kind"):

@@ -50,6 +50,20 @@ def test_confident_rows_of_one_view_teach_the_other(spark):
     assert all(got[i] == (i % 3 > 0) for i in range(400))
 
 
+def test_repeated_rows_do_not_reach_the_driver(spark, monkeypatch):
+    """Neither of a labelled id nor of the surest row, however often repeated."""
+    rows = [(i, "good words here and there " * (i % 7 + 1) if i % 2 else "x!! " * (i % 5 + 3), "s", "en")
+            for i in range(40)]
+    rows += [(1, "good words here and there " * 2, "s", "en")] * 2000 + [(500, "x!! " * 9, "s", "en")] * 2000
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    sizes, plain = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: (sizes.append(len(out := plain(self))), out)[1])
+    assert quality.fit(docs, labels, rounds=1) is not None
+    assert sizes[0] == 20 and all(n <= 80 for n in sizes)
+    assert quality.fit(docs, labels, rounds=0, max_labelled=10) is None or sizes[-1] <= 10
+
+
 def test_edge_rows_and_missing_labels(spark):
     rows = [(1, "good words here", "a", "en"), (2, None, None, None), (None, "", "a", "en"),
             (1, "good words here", "a", "en"), (3, "long " * 50_000, "a", None)]
