@@ -9,7 +9,8 @@ the other.  At the end both are calibrated on labelled rows kept apart, and a
 document's score joins the two calibrated log-odds, the prior counted once.
 
 Labels are read from a sample of at most ``max_labelled`` rows, taken by a hash
-of the id, and a round adds at most ``per_round`` rows a view and class: these
+of the id, and a round adds at most ``PER_ROUND`` texts a view and class, each once
+however many copies it has: these
 bound what reaches the driver.  Scoring, in rounds and at the end, is of every
 document.
 """
@@ -164,7 +165,7 @@ class Model:
 
 
 def views(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """(id, key, a, b): the two views of every row; equal rows have equal keys."""
+    """(id, key, content, a, b): the two views of every row; equal rows have equal keys, equal texts equal content."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,12 +174,13 @@ def views(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
                 part = batch.iloc[at: at + 500]
                 a = [text_view(t) for t in part["text"]]
                 b = [metadata_view(*r) for r in zip(part["text"], part["source"], part["lang"], strict=True)]
-                yield pd.DataFrame({"id": part["id"], "key": part["key"], "a": a, "b": b})
+                yield pd.DataFrame({"id": part["id"], "key": part["key"], "content": part["content"],
+                                    "a": a, "b": b})
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(id_col, text, source_col, lang_col).alias("key"),
-                       text.alias("text"), F.col(source_col).cast("string").alias("source"),
+                       F.xxhash64(text).alias("content"), text.alias("text"), F.col(source_col).cast("string").alias("source"),
                        F.col(lang_col).cast("string").alias("lang"))
-    return rows.mapInPandas(run, "id string, key long, a array<float>, b array<float>")
+    return rows.mapInPandas(run, "id string, key long, content long, a array<float>, b array<float>")
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -186,28 +188,33 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _surest(pool: DataFrame, text: Linear, metadata: Linear, used: list[int]) -> DataFrame:
-    """(kind, key): for each view (a, b) and class (0, 1) the PER_ROUND rows it is surest of."""
+    """(kind, content, best): for each view (a, b) and class (0, 1) the PER_ROUND texts it is surest of.
+
+    Of copies only the surest row counts, ``best``: (sure, key).
+    """
     skip = np.array(sorted(used), np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, pd.DataFrame] = {}
         for batch in batches:
-            batch = batch[~np.isin(batch["key"].to_numpy(np.int64), skip)]
+            batch = batch[~np.isin(batch["content"].to_numpy(np.int64), skip)]
             if not len(batch):
                 continue
             for view, model in (("a", text), ("b", metadata)):
                 logit = model.logit(_matrix(batch[view], len(model.mean)))
                 for label, sure in ((1, logit), (0, -logit)):
                     kind = f"{view}{label}"
-                    new = pd.DataFrame({"kind": kind, "sure": sure, "key": batch["key"].to_numpy()})
+                    new = pd.DataFrame({"kind": kind, "sure": sure, "key": batch["key"].to_numpy(),
+                                        "content": batch["content"].to_numpy()})
                     new = new[new["sure"] >= np.log(CONFIDENT / (1 - CONFIDENT))]
                     new = pd.concat([held[kind], new]) if kind in held else new
-                    held[kind] = new.drop_duplicates("key").sort_values(
-                        ["sure", "key"], ascending=[False, True]).head(PER_ROUND)
+                    held[kind] = new.sort_values(["sure", "key"], ascending=False).drop_duplicates(
+                        "content").head(PER_ROUND)
         yield from held.values()
 
-    found = pool.select("key", "a", "b").mapInPandas(run, "kind string, sure double, key long")
-    return found.groupBy("kind", "key").agg(F.max("sure").alias("sure"))
+    found = pool.select("key", "content", "a", "b").mapInPandas(
+        run, "kind string, sure double, key long, content long")
+    return found.groupBy("kind", "content").agg(F.max(F.struct("sure", "key")).alias("best"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -228,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .orderBy(F.xxhash64("id", F.lit("labels")), "id").limit(max_labelled))
     # At most max_labelled slim rows: repeated ones are dropped before they reach the driver.
     sample = (pool.join(F.broadcast(known), "id").groupBy("key")
-              .agg(F.max("y").alias("y"), F.first("a").alias("a"), F.first("b").alias("b"))
+              .agg(F.max("y").alias("y"), F.first("content").alias("content"), F.first("a").alias("a"),
+                   F.first("b").alias("b"))
               .orderBy(F.xxhash64("key", F.lit("rows")), "key").limit(max_labelled).toPandas())
     sample = sample.sort_values("key").reset_index(drop=True)
     if sample["y"].nunique() < 2:
@@ -245,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         train = ~apart
     rows_a, rows_b = [(a[train], y[train])], [(b[train], y[train])]
-    used = sample["key"].tolist()
+    used = sample["content"].tolist()
 
     def trained() -> tuple[Linear, Linear]:
         return tuple(Linear.fit(np.vstack([x for x, _ in rows]), np.concatenate([t for _, t in rows]))
@@ -256,11 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         surest = scratch.table(_surest(pool, text, metadata, used), "surest")
         top = None
         for kind in ("a0", "a1", "b0", "b1"):
-            best = surest.where(F.col("kind") == kind).orderBy(F.desc("sure"), "key").limit(PER_ROUND)
+            best = surest.where(F.col("kind") == kind).orderBy(F.desc("best")).limit(PER_ROUND)
             top = best if top is None else top.unionAll(best)
-        top = top.select("kind", "key")
+        top = top.select("kind", F.col("best.key").alias("key"))
         new = (pool.join(F.broadcast(top), "key").groupBy("kind", "key")
-               .agg(F.first("a").alias("a"), F.first("b").alias("b")).toPandas()
+               .agg(F.first("content").alias("content"), F.first("a").alias("a"), F.first("b").alias("b")).toPandas()
                .sort_values(["kind", "key"]))
         if not len(new):
             break
@@ -271,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows_b.append((np.array(group["b"].tolist(), np.float32), label))
             else:
                 rows_a.append((np.array(group["a"].tolist(), np.float32), label))
-        used += new["key"].tolist()
+        used += new["content"].tolist()
         text, metadata = trained()
     prior = float(np.log((y == 1).mean() / (y == 0).mean()))
     model = Model(text, metadata, _platt(text.logit(a[apart]), y[apart]),

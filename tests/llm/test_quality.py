@@ -64,6 +64,22 @@ def test_repeated_rows_do_not_reach_the_driver(spark, monkeypatch):
     assert quality.fit(docs, labels, rounds=0, max_labelled=10) is None or sizes[-1] <= 10
 
 
+def test_copies_under_other_ids_teach_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["alpha", "beta", "gamma", "delta", "Epsilon"]
+    rows = [(i, " ".join(rng.choice(words, 30)) if i % 2 else "x!! " * (20 + i), "good" if i % 2 else "bad", "en")
+            for i in range(120)]
+    copy = " ".join(words * 6)
+    docs = spark.createDataFrame(rows + [(1000 + i, copy, "good", "en") for i in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen, plain = [], quality.Linear.fit
+    monkeypatch.setattr(quality.Linear, "fit", lambda x, y: (seen.append(x), plain(x, y))[1])
+    quality.fit(docs, labels, rounds=2)
+    view = quality.text_view(copy)
+    times = [int((x == view).all(axis=1).sum()) for x in seen if x.shape[1] == len(view)]
+    assert len(times) > 1 and max(times) == 1
+
+
 def test_edge_rows_and_missing_labels(spark):
     rows = [(1, "good words here", "a", "en"), (2, None, None, None), (None, "", "a", "en"),
             (1, "good words here", "a", "en"), (3, "long " * 50_000, "a", None)]
