@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
+"""Mixing sources to target weights by order sampling in strata, in DataFrame operations only.
 
 Targets.  A source's size is the words of its documents.  Sources weigh 5, 2, 1,
 repeating, in code point order, and share all words by weight; a target stops
@@ -9,13 +9,14 @@ floor(r) whole copies, and one more is drawn with inclusion probability near
 the rest.  Documents of a source are put in strata of nearly equal size (eighths of
 an octave), and the number to draw in each stratum is fixed from the largest
 sizes down, each stratum making up for what rounding left before it, so the
-drawn words come near the target.  Within a stratum, and across those whose
-probabilities differ, documents are ranked by Pareto's variable
+drawn words come near the target.  Within a stratum documents are ranked by
+Pareto's variable
 
     q = [u / (1 - u)] / [p / (1 - p)],    u a hash of the document in (0, 1),
 
-and the stratum's n smallest are taken: a sample of fixed size with inclusion
-probabilities p.  Ranks come from one range sort of slim rows with counts by
+and the stratum's n smallest are taken.  As p is one within a stratum, this is a
+simple random sample of fixed size; strata replace unequal probabilities, as all
+documents of a source are owed the same share.  Ranks come from one range sort of slim rows with counts by
 partition, so a source that holds a third of all rows is spread like any other.
 """
 
