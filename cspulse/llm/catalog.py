@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, html_text, langid, mixing, pieces, quality, simhash, spelling, tokens, urls
+from . import (ann, fingerprints, html_text, jaccard, langid, lexical, mixing, pieces, quality, simhash, spelling,
+               tokens, urls)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -82,6 +83,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word with its near words' number, its form and the root of its forms."""
     return spelling.variants(_read(spark, sf_dir, "documents"))
@@ -91,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mix, op3_sentencepiece,
                             op4_url_filter, op5_quality_cotraining, op6_html_main_text,
                             op7_nearest_vectors, op8_token_counts, op9_document_fingerprints, op10_language_id,
-                            op13_spelling_variants)}
+                            op11_ngram_jaccard_join, op12_ranked_search, op13_spelling_variants)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
