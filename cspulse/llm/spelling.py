@@ -234,10 +234,11 @@ def search(vectors: np.ndarray, lives: np.ndarray, visits: np.ndarray, surplus:
     ``vectors`` are the remaining levels of each row.  The budgets are those of
     each visit.  ``found(visits, lives)`` gets the rows that meet in a leaf.
     """
-    lives = lives[np.lexsort(vectors[lives].T[::-1])]
+    if vectors.shape[1]:
+        lives = lives[np.lexsort(vectors[lives].T[::-1])]
     table = vectors[lives]
     levels = table.shape[1]
-    stack = [(0, 0, len(lives), visits, surplus, deficit)]
+    stack = [(0, 0, len(lives), visits, surplus, deficit)] if len(lives) else []
     while stack:
         level, low, high, who, up, down = stack.pop()
         while high - low > LEAF_WORDS and level < levels:
@@ -275,8 +276,6 @@ def _searcher(groups: np.ndarray, depth: int):
         vectors = _matrix(words, groups)[:, depth:]
         pairs = _Pairs(words, rows["n"].to_numpy(np.int64))
         lives = np.flatnonzero(home)
-        if not len(lives):
-            return pd.DataFrame({"word": [], "near": [], "best_n": [], "best": []})
 
         def meet(a: np.ndarray, b: np.ndarray) -> None:
             once = ~home[a] | (a < b)  # words that live here meet each other once
