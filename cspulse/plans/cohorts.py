@@ -110,11 +110,14 @@ def cohort_table(customers: DataFrame, activity: DataFrame, as_of: dt.date,
     """All 27 cohort columns for every cohort (no size filter, no limit)."""
     base = cohort_base(customers, baseline)
     metrics = cohort_metrics(base, as_of, by, total_months)
-    engagement = cohort_engagement(base, activity, as_of, days, by)
     revenue_ratio = ratio_pct("current_mrr", "starting_mrr")
-    # Null groups of ``by`` keep their engagement.
-    keyed = engagement.withColumnsRenamed({c: f"_{c}" for c in [COHORT, *by]})
-    same = " AND ".join(f"{c} <=> _{c}" for c in [COHORT, *by])
+    # Null groups of ``by`` keep their engagement.  The groups are plain columns, never null, so
+    # Spark knows that they are unique and drops the join where no engagement is asked for.
+    groups = {f"_{c}": f"COALESCE(CAST({c} AS STRING), '')" for c in by} | {f"_no_{c}": f"{c} IS NULL" for c in by}
+    engagement = cohort_engagement(base.selectExpr("*", *(named(e, g) for g, e in groups.items())),
+                                   activity, as_of, days, list(groups))
+    keyed = engagement.withColumnRenamed(COHORT, f"_{COHORT}")
+    same = " AND ".join([f"{COHORT} = _{COHORT}", *(f"({e}) = {g}" for g, e in groups.items())])
     return metrics.join(keyed, F.expr(same), "left").selectExpr(
         COHORT, *by, "cohort_age_months", "cohort_size", "starter_count", "professional_count",
         "enterprise_count",

@@ -234,3 +234,12 @@ def test_segment_ladder_branches_and_precedence(spark):
         "active_weeks_last_8 BIGINT")
     got = {r.customer_id: r.segment for r in segment_customers(df).collect()}
     assert got == {i: seg for i, _, _, _, seg in rows}
+
+
+def test_null_groups_keep_their_engagement(tables):
+    """Customers without industry are a group of their own, apart from the empty text."""
+    from cspulse.plans import cohort_table
+    cust, act = tables([customer(1, industry=None), customer(2, industry=""), customer(3, industry="SaaS")],
+                       [activity(i, weeks_ago(1), logins=10 * i) for i in (1, 2, 3)])
+    rows = cohort_table(cust, act, AS_OF, by=["industry"]).collect()
+    assert {r.industry: float(r.avg_weekly_logins) for r in rows} == {None: 10.0, "": 20.0, "SaaS": 30.0}

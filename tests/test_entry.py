@@ -1,7 +1,7 @@
 """Driver contract: entry smoke check and Spark/DuckDB parity for every key."""
 
 import pytest
-from conftest import SF001
+from conftest import SF01
 
 import __spark_entry__ as entry
 from cspulse import catalog
@@ -24,12 +24,12 @@ def test_every_query_has_an_oracle():
 
 @pytest.fixture(scope="module")
 def duck():
-    return duck_connection(SF001)
+    return duck_connection(SF01)
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, duck, key):
-    df = entry.queries()[key](spark, SF001)
+    df = entry.queries()[key](spark, SF01)
     rows = [tuple(r) for r in df.collect()]
     rel = duck.sql(oracle.build()[key])
     expected = rel.fetchall()
@@ -44,7 +44,7 @@ def test_entry_schema_is_stable(spark):
 
 def test_every_query_has_unique_column_names(spark):
     for key in KEYS:
-        columns = entry.queries()[key](spark, SF001).columns
+        columns = entry.queries()[key](spark, SF01).columns
         assert len(columns) == len(set(columns)), key
 
 
@@ -63,6 +63,14 @@ CHANGES = [("SUPPORT_HEALTH", ["exact", 0], (0, 99), "health_dimensions"),
 @pytest.mark.parametrize("table,path,value,key", CHANGES)
 def test_a_changed_threshold_turns_its_query_red(spark, duck, monkeypatch, table, path, value, key):
     from cspulse.functions import rules
+
+    def result():
+        df = entry.queries()[key](spark, SF01)
+        return digest(df.columns, [tuple(r) for r in df.collect()])
+
+    rel = duck.sql(oracle.build()[key])
+    expected = digest(rel.columns, rel.fetchall())
+    assert result() == expected
     holder = getattr(rules, table)
     for step in path[:-1]:
         holder = holder[step]
@@ -72,14 +80,10 @@ def test_a_changed_threshold_turns_its_query_red(spark, duck, monkeypatch, table
         old = holder[path[-1]]
         holder[path[-1]] = value
     try:
-        df = entry.queries()[key](spark, "/root/testdata/sf0.01")
-        rows = [tuple(r) for r in df.collect()]
+        assert result() != expected
     finally:
         if not isinstance(holder, dict):
             holder[path[-1]] = old
-    rel = duck_connection("/root/testdata/sf0.01").sql(oracle.build()[key])
-    assert sorted(df.columns) == sorted(rel.columns)
-    assert digest(df.columns, rows) != digest(rel.columns, rel.fetchall())
 
 
 def test_the_oracle_does_not_import_the_package():
@@ -88,9 +92,9 @@ def test_the_oracle_does_not_import_the_package():
 
 
 def test_baseline_cohorts_differ(spark):
-    rows = entry.queries()["cohort_retention_baseline"](spark, "/root/testdata/sf0.01").collect()
+    rows = entry.queries()["cohort_retention_baseline"](spark, SF01).collect()
     assert sum(r.starter_to_pro_upgrades + r.pro_to_enterprise_upgrades for r in rows) > 0
     assert len({r.cohort_health for r in rows}) >= 3
-    best, worst = ({r.cohort_month for r in entry.queries()[k](spark, "/root/testdata/sf0.01").collect()}
+    best, worst = ({r.cohort_month for r in entry.queries()[k](spark, SF01).collect()}
                    for k in ("best_cohorts_baseline", "worst_cohorts_baseline"))
     assert not best & worst
