@@ -9,20 +9,23 @@ Spark SQL expressions, windows, aggregations and joins.
 
 from .plans import (best_cohorts, churn_risk, churn_risk_rollup, cohort_compare_by,
                     cohort_exec_summary, cohort_retention, cohort_retention_curve,
-                    cohort_table, customer_health, customer_metrics, expansion_opportunities,
-                    expansion_pipeline_rollup, portfolio_report, register_views,
+                    cohort_table, customer_health, customer_metrics, customer_segments,
+                    expansion_opportunities, expansion_pipeline_rollup, portfolio_report, ranked_list,
+                    register_views,
                     percentile_metrics, segment_customers, trend_portfolio_rollup,
                     usage_trends, worst_cohorts)
 from .session import build_session, materialize, release
-from .sources import (domain_faults, load_activity, load_baseline, load_customers,
-                      write_activity, write_customers)
+from .sources import (VersionedTable, domain_faults, load_activity, load_baseline, load_customers, publish,
+                      read_published, upsert, write_activity, write_customers)
+from .state import CohortVisits, RunningTotals
 
 __all__ = [
-    "best_cohorts", "build_session", "churn_risk", "churn_risk_rollup", "cohort_compare_by",
+    "CohortVisits", "RunningTotals", "VersionedTable", "best_cohorts", "build_session", "churn_risk", "churn_risk_rollup", "cohort_compare_by",
     "cohort_exec_summary", "cohort_retention", "cohort_retention_curve", "cohort_table",
-    "customer_health", "customer_metrics", "domain_faults", "expansion_opportunities",
+    "customer_health", "customer_metrics", "customer_segments", "domain_faults", "expansion_opportunities",
     "expansion_pipeline_rollup", "load_activity", "load_baseline", "load_customers",
-    "materialize", "percentile_metrics", "portfolio_report", "register_views", "release",
-    "segment_customers", "trend_portfolio_rollup", "usage_trends", "worst_cohorts",
+    "materialize", "percentile_metrics", "portfolio_report", "publish", "ranked_list", "read_published",
+    "register_views", "release",
+    "segment_customers", "trend_portfolio_rollup", "upsert", "usage_trends", "worst_cohorts",
     "write_activity", "write_customers",
 ]

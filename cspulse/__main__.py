@@ -5,7 +5,9 @@
     python -m cspulse derive --sf-dir /root/testdata/sf0.1 --out /shared/cspulse
 
 ``run`` prints the result, every row of it, or with ``--out`` writes it as
-Parquet from the executors.  The customer lists are the top 100 and the cohort
+Parquet from the executors: aside, then published as the next version of the
+table there, so that readers never see half a result; the folder of the version
+is printed, and the one before is kept for its readers.  The customer lists are the top 100 and the cohort
 table the latest 24 unless ``--all`` is given; rollups, segments and follow-ups
 always cover every customer and cohort.  ``derive`` builds both tables from
 the benchmark driver tables and stores them (date-partitioned fact table).
@@ -19,7 +21,8 @@ import datetime as dt
 
 from . import plans
 from .session import build_session
-from .sources import fixture_tables, load_activity, load_customers, write_activity, write_customers
+from .sources import (VersionedTable, fixture_tables, load_activity, load_customers, publish, write_activity,
+                      write_customers)
 
 LISTS = {
     "customer_health": plans.customer_health,
@@ -31,7 +34,6 @@ ROLLUPS = {
     "churn_risk_rollup": (plans.churn_risk, plans.churn_risk_rollup),
     "expansion_pipeline_rollup": (plans.expansion_opportunities, plans.expansion_pipeline_rollup),
     "trend_portfolio_rollup": (plans.usage_trends, plans.trend_portfolio_rollup),
-    "customer_segments": (plans.usage_trends, plans.segment_customers),
 }
 COHORT_FOLLOW_UPS = {
     "best_cohorts": plans.best_cohorts,
@@ -39,7 +41,7 @@ COHORT_FOLLOW_UPS = {
     "cohort_exec_summary": plans.cohort_exec_summary,
 }
 NAMES = sorted([*LISTS, *ROLLUPS, *COHORT_FOLLOW_UPS, "cohort_retention",
-                "cohort_retention_curve"])
+                "cohort_retention_curve", "customer_segments"])
 
 
 def build(name: str, customers, activity, as_of: dt.date, limit: int | None):
@@ -49,6 +51,8 @@ def build(name: str, customers, activity, as_of: dt.date, limit: int | None):
     if name in ROLLUPS:
         analysis, rollup = ROLLUPS[name]
         return rollup(analysis(customers, activity, as_of, None))
+    if name == "customer_segments":
+        return plans.customer_segments(customers, activity, as_of)
     if name == "cohort_retention":
         return plans.cohort_retention(customers, activity, as_of, limit=plans.cohort_limit(limit))
     if name == "cohort_retention_curve":
@@ -83,7 +87,10 @@ def main(argv: list[str] | None = None) -> None:
     as_of = args.as_of or dt.date.today()
     result = build(args.analysis, customers, activity, as_of, None if args.all else 100)
     if args.out:
-        result.write.mode("overwrite").parquet(args.out)
+        version = publish(result, args.out)
+        table = VersionedTable(spark, args.out, result.schema)
+        table.expire(keep=2)
+        print(f"{args.out.rstrip('/')}/{table.manifest(version)['parts']['']}")
     else:  # every row, a partition at a time
         print("\t".join(result.columns))
         for row in result.toLocalIterator():

@@ -10,6 +10,7 @@ value-for-value with the DuckDB oracle.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 import weakref
 from collections.abc import Callable
 
@@ -20,11 +21,18 @@ from pyspark.sql import types as T
 from .functions.dates import age_month_part, month_trunc
 from .functions.numeric import pct_change
 from .functions.sql import lit, named
-from .operators import periods, windows
+from .operators import consistency, periods, ranking, windows
 from .operators.enrich import enrich as enrich_with
 from .operators.enrich import top_k
-from .plans import churn, cohorts, expansion, health, portfolio, rollups, trends
-from .sources.derive import FIXTURE_AS_OF, fixture_baseline, fixture_tables
+from .plans import churn, cohorts, expansion, health, portfolio, ranked, rollups, trends
+from .session import checkpoint_root
+from .sources import blocks
+from .sources.derive import FIXTURE_AS_OF, fixture_baseline, fixture_history, fixture_tables
+from .sources.history import baseline
+from .sources.tables import ACTIVITY_DOMAIN, CUSTOMER_DOMAIN, domain_faults
+from .sources.upsert import REVISION, activity_table, upsert
+from .sources.versions import VersionedTable, publish, read_published
+from .state import CohortVisits, RunningTotals
 
 AS_OF = FIXTURE_AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,4 +446,189 @@ def _percentiles(cust, act):
 
 @query("segment_customers", days=84)
 def _segments(cust, act):
-    return rollups.segment_customers(trends.usage_trends(cust, act, AS_OF, limit=None))
+    return rollups.customer_segments(cust, act, AS_OF)
+
+
+@query("engagement_consistency", days=84)
+def _engagement_consistency(cust, act):
+    return consistency.engagement_consistency(act, AS_OF)
+
+
+# ------------------------------------------- whole lists in order, percentiles
+
+
+@query("customer_health_ranked", days=30)
+def _customer_health_ranked(cust, act):
+    return ranked.ranked_list("customer_health", cust, act, AS_OF)
+
+
+@query("churn_risk_ranked", days=56)
+def _churn_risk_ranked(cust, act):
+    return ranked.ranked_list("churn_risk", cust, act, AS_OF)
+
+
+@query("expansion_opportunities_ranked", days=60)
+def _expansion_ranked(cust, act):
+    return ranked.ranked_list("expansion_opportunities", cust, act, AS_OF)
+
+
+@query("usage_trends_ranked", days=84)
+def _usage_trends_ranked(cust, act):
+    return ranked.ranked_list("usage_trends", cust, act, AS_OF)
+
+
+@query("percentile_mrr")
+def _percentile_mrr(cust, act):
+    return ranking.exact_percentiles(cust, "plan_type", "mrr")
+
+
+# ------------------------------------------------ stored state and its tables
+
+
+def _store(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_activity(act: DataFrame) -> VersionedTable:
+    """The fact table in two loads: first revisions that are later corrected, then the corrections.
+
+    The first load lacks the last four weeks, has wrong logins in some rows and
+    others on the wrong date; it also arrives a second time, after the corrections.
+    """
+    table = activity_table(act.sparkSession, _store(act.sparkSession, "activity"))
+    first = act.where(f"activity_date < {lit(AS_OF - dt.timedelta(days=28))}").withColumns({
+        "logins_count": F.expr("logins_count + CASE WHEN activity_id % 7 = 0 THEN 1000 ELSE 0 END"),
+        "activity_date": F.expr("CASE WHEN activity_id % 41 = 0 THEN date_add(activity_date, 7) ELSE activity_date END"),
+        REVISION: F.lit(1)})
+    upsert(table, first)
+    upsert(table, act.withColumn(REVISION, F.lit(2)).where(
+        f"activity_date >= {lit(AS_OF - dt.timedelta(days=28))} OR activity_id % 7 = 0 OR activity_id % 41 = 0"))
+    upsert(table, first)
+    return table
+
+
+@query("upserted_activity")
+def _upserted_activity(cust, act):
+    return _stored_activity(act).read().drop(REVISION)
+
+
+@query("published_health", days=30)
+def _published_health(cust, act):
+    spark, root = act.sparkSession, _store(act.sparkSession, "published")
+    report = health.customer_health(cust, act, AS_OF)
+    publish(report.limit(3), root)
+    publish(report, root)
+    return read_published(spark, root, report.schema)
+
+
+@query("state_retention_curve")
+def _state_curve(cust, act):
+    """The curve from per-date bitmaps: all dates but the last week's, then a refresh by that week."""
+    spark = act.sparkSession
+    table = activity_table(spark, _store(spark, "activity"))
+    rows = act.withColumn(REVISION, F.lit(1))
+    last = lit(AS_OF - dt.timedelta(days=7))
+    visits = CohortVisits(spark, _store(spark, "visits"))
+    for part in (f"activity_date < {last}", f"activity_date >= {last}"):
+        upsert(table, rows.where(part))
+        visits.refresh(cust, table)
+    return visits.curve()
+
+
+def _totals(act: DataFrame) -> RunningTotals:
+    totals = RunningTotals(act.sparkSession, _store(act.sparkSession, "totals"))
+    totals.extend(act)
+    return totals
+
+
+@query("totals_recent_activity")
+def _totals_recent(cust, act):
+    return _totals(act).recent_activity(AS_OF)
+
+
+@query("totals_current_metrics")
+def _totals_current(cust, act):
+    return _totals(act).current_metrics(AS_OF)
+
+
+@query("totals_prior_metrics")
+def _totals_prior(cust, act):
+    return _totals(act).prior_metrics(AS_OF)
+
+
+@query("totals_usage_trend_60d")
+def _totals_trend(cust, act):
+    return _totals(act).usage_trend_60d(AS_OF)
+
+
+@query("totals_churn_risk")
+def _totals_churn(cust, act):
+    """Churn risk of everyone from the totals of four dates."""
+    return churn.churn_report(cust, _totals(act).churn_period_metrics(AS_OF), limit=None)
+
+
+@query("stored_window_metrics")
+def _stored_windows(cust, act):
+    spark = act.sparkSession
+    name = blocks.write_blocks(act, buckets=8)
+    return blocks.stored_window_metrics(spark, name, AS_OF).select(
+        "customer_id", "activity_date", "logins_count", "feature_usage_score",
+        "support_tickets_opened", "nps_score", "prev_week_logins", "prev_week_usage",
+        "rolling_4wk_logins", "rolling_4wk_usage", "weeks_ago")
+
+
+def history_query(name: str, days: int | None = None):
+    """Register a query that also takes the derived customer history."""
+    def deco(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return as_reported(fn(*tables(spark, sf_dir, days), fixture_history(spark, sf_dir)))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        _REGISTRY[name] = run
+        return fn
+    return deco
+
+
+@history_query("customer_history")
+def _customer_history(cust, act, history):
+    return history
+
+
+@history_query("baseline_at_signup")
+def _baseline_at_signup(cust, act, history):
+    return baseline(cust, history)
+
+
+@history_query("baseline_at_quarter")
+def _baseline_at_quarter(cust, act, history):
+    return baseline(cust, history, "DATE '2024-07-01'")
+
+
+@history_query("cohort_retention_at_signup", days=30)
+def _cohort_retention_at_signup(cust, act, history):
+    return cohorts.cohort_retention(cust, act, AS_OF, limit=None, baseline=baseline(cust, history))
+
+
+# ------------------------------------------------------------- domain faults
+
+
+@query("domain_faults_customers")
+def _domain_faults_customers(cust, act):
+    """Faults found in customers with seeded ones: plans, statuses, revenues, repeated rows."""
+    seeded = cust.unionByName(cust.where("customer_id % 13 = 0")).withColumns({
+        "plan_type": F.expr("CASE WHEN customer_id % 17 = 0 THEN 'Gold' WHEN customer_id % 19 <> 0 THEN plan_type END"),
+        "status": F.expr("CASE WHEN customer_id % 23 = 0 THEN 'Lost' ELSE status END"),
+        "mrr": F.expr("CASE WHEN customer_id % 29 = 0 THEN -mrr ELSE mrr END")})
+    return domain_faults(seeded, CUSTOMER_DOMAIN, "customer_id")
+
+
+@query("domain_faults_activity")
+def _domain_faults_activity(cust, act):
+    """Faults found in activity with seeded ones: scores, counts, nulls, repeated rows."""
+    seeded = act.unionByName(act.where("activity_id % 13 = 0")).withColumns({
+        "customer_id": F.expr("CASE WHEN activity_id % 17 <> 0 THEN customer_id END"),
+        "logins_count": F.expr("CASE WHEN activity_id % 19 = 0 THEN -1 ELSE logins_count END"),
+        "feature_usage_score": F.expr("feature_usage_score + CASE WHEN activity_id % 23 = 0 THEN 101 ELSE 0 END"),
+        "nps_score": F.expr("CASE WHEN activity_id % 29 = 0 THEN 11 ELSE nps_score END")})
+    return domain_faults(seeded, ACTIVITY_DOMAIN, "activity_id")

@@ -10,6 +10,7 @@ aggregates whose shuffle carries a few rows per task.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.numeric import avg_exact
 from ..functions.sql import col, named
+from ..operators.consistency import engagement_consistency
 from ..operators.enrich import sort_small, top_k
+from .trends import usage_trends
 
 
 def churn_risk_rollup(churn: DataFrame) -> DataFrame:
@@ -84,30 +87,44 @@ def cohort_exec_summary(cohorts: DataFrame, min_age: int = 6) -> DataFrame:
 
 
 # Segment ladder for the trend analysis.  The reference names five segments and
-# describes them in prose without numbers.  Cut-offs: "high consistency" is its
-# own top band (7 of 8 weeks), "low consistency" less than the second (5 weeks),
-# "high usage" its adoption bar (70).  Every customer gets one of the five: a
-# sharp decline with some consistency is still a negative trend; one that grows
-# without full consistency, or is steady below the usage bar, has habits still
-# to build, which is what the reference prescribes for VOLATILE.
-SEGMENTS = {"high_usage": 70, "consistent_weeks": 7, "inconsistent_below": 5}
+# describes them in prose without numbers; the cut-offs are ours.  Engagement is
+# inconsistent where weekly usage spreads far around its mean (a standard
+# deviation of 0.6 of it: spread 0.36), three weeks or more are missing between
+# the first and the last of the latest eight rows, or fewer than five rows exist.
+# "High consistency" is the analysis' own top band (7 of 8 weeks) without that;
+# "high usage" is its adoption bar (70).  A steady customer below that bar with
+# no clear trend fits none of the five and has no segment.
+SEGMENTS = {"high_usage": 70, "consistent_weeks": 7, "inconsistent_below": 5,
+            "inconsistent_spread": "0.36", "inconsistent_missing": 3}
 
 
-def segment_customers(trends: DataFrame, table: dict = SEGMENTS) -> DataFrame:
-    """One of the five named segments for every row of a trend analysis."""
+def segment_customers(trends: DataFrame, consistency: DataFrame, table: dict = SEGMENTS) -> DataFrame:
+    """The named segment, if any, of every row of a trend analysis.
+
+    ``consistency``: ``operators.consistency.engagement_consistency`` of the same rows.
+    """
     weeks = "active_weeks_last_8"
+    uneven = (f"(COALESCE(usage_spread, 0) >= {table['inconsistent_spread']} OR "
+              f"COALESCE(missing_weeks, 0) >= {table['inconsistent_missing']} OR "
+              f"{weeks} < {table['inconsistent_below']})")
     segment = rules.ladder([
-        (f"trend_category = 'Sharp Decline' AND {weeks} < {table['inconsistent_below']}",
-         "ABANDONING"),
+        (f"trend_category = 'Sharp Decline' AND {uneven}", "ABANDONING"),
         ("trend_category IN ('Declining', 'Sharp Decline')", "DECLINING"),
-        (f"trend_category IN ('Strong Growth', 'Improving') AND {weeks} >= {table['consistent_weeks']}",
-         "ACCELERATING"),
-        (f"four_week_avg_usage >= {table['high_usage']} AND {weeks} >= {table['inconsistent_below']}",
-         "STABLE POWER USERS"),
-    ], "VOLATILE")
-    return trends.selectExpr("customer_id", "company_name", "mrr", "overall_trend_score",
-                             "trend_category", "engagement_consistency", "four_week_avg_usage",
-                             weeks, named(segment, "segment"))
+        (f"trend_category IN ('Strong Growth', 'Improving') AND {weeks} >= {table['consistent_weeks']}"
+         f" AND NOT {uneven}", "ACCELERATING"),
+        (uneven, "VOLATILE"),
+        (f"four_week_avg_usage >= {table['high_usage']}", "STABLE POWER USERS"),
+    ])
+    return trends.join(consistency, "customer_id", "left").selectExpr(
+        "customer_id", "company_name", "mrr", "overall_trend_score", "trend_category",
+        "engagement_consistency", "four_week_avg_usage", weeks, "usage_spread", "missing_weeks",
+        named(segment, "segment"))
+
+
+def customer_segments(customers: DataFrame, activity: DataFrame, as_of: dt.date) -> DataFrame:
+    """``segment_customers`` of the whole portfolio."""
+    return segment_customers(usage_trends(customers, activity, as_of, limit=None),
+                             engagement_consistency(activity, as_of))
 
 
 def percentile_metrics(customers: DataFrame, activity: DataFrame,

@@ -23,7 +23,7 @@ from .churn import churn_risk
 from .cohorts import cohort_limit, cohort_retention, cohort_retention_curve
 from .expansion import expansion_opportunities
 from .health import customer_health
-from .rollups import segment_customers
+from .rollups import customer_segments
 from .trends import usage_trends
 
 
@@ -34,7 +34,6 @@ def register_views(spark: SparkSession, customers: DataFrame, activity: DataFram
     ``limit`` applies to the four customer lists (the reference reports the top
     100) and the latest 24 cohorts; ``None`` publishes every customer and cohort.  Returns the view names.
     """
-    trends_full = usage_trends(customers, activity, as_of, limit=None)
     views = {
         "customers": customers,
         "customer_activity": activity,
@@ -45,7 +44,7 @@ def register_views(spark: SparkSession, customers: DataFrame, activity: DataFram
         "cohort_retention": cohort_retention(customers, activity, as_of,
                                              limit=cohort_limit(limit)),
         "cohort_retention_curve": cohort_retention_curve(customers, activity),
-        "customer_segments": segment_customers(trends_full),
+        "customer_segments": customer_segments(customers, activity, as_of),
     }
     names = []
     for name, df in views.items():

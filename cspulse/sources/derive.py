@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.rules import Raw, ladder
 from ..functions.sql import col, lit
 from ..operators.pricing import assign_mrr
+from .history import versions
 
 # Fixed values of the fixture derivation (FIXTURES.md section 2).
 SIGNUP_ORIGIN = dt.date(2022, 9, 1)
@@ -122,12 +123,34 @@ def derive_baseline(customer: DataFrame) -> DataFrame:
                            "CAST(ROUND(mrr * _percent / 100, 2) AS DECIMAL(10,2)) AS starting_mrr")
 
 
+# Fixed values of the derived snapshots (FIXTURES.md section 2).
+ORDER_ORIGIN, SNAPSHOT_ORIGIN, SNAPSHOT_SPAN = dt.date(1995, 1, 1), dt.date(2022, 1, 1), 941
+PLAN_PRICE_CUTS = [(150_000, "Starter"), (300_000, "Professional")]  # else Enterprise
+
+
+def derive_snapshots(orders: DataFrame) -> DataFrame:
+    """Recorded states (customer_id, snapshot_date, recorded, plan_type, mrr) of customers, one an order.
+
+    The order's price gives the plan, its key the revenue within the plan and
+    its date a day of 2022-01-01 to 2024-07-29; ``recorded`` is the order's key,
+    so that of one customer and day the last order counts.
+    """
+    plan = ladder([(f"o_totalprice < {cut}", name) for cut, name in PLAN_PRICE_CUTS], "Enterprise")
+    rows = orders.selectExpr(
+        "CAST(o_custkey AS INT) AS customer_id",
+        f"date_add({lit(SNAPSHOT_ORIGIN)}, datediff(to_date(o_orderdate), {lit(ORDER_ORIGIN)}) % {SNAPSHOT_SPAN})"
+        " AS snapshot_date", "o_orderkey AS recorded", f"{plan} AS plan_type",
+        f"{_fixture_variance('o_orderkey', plan)} AS _variance")
+    return assign_mrr(rows, "_variance").drop("_variance")
+
+
 # Declared schemas of the driver tables that feed the derivation: reading with
 # a schema skips footer-based inference (the same at every scale factor).
 DRIVER_SCHEMAS = {
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
                 "c_mktsegment STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
               "value DOUBLE, props STRING",
 }
@@ -155,3 +178,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str,
 def fixture_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline snapshot derived from the driver tables in ``sf_dir``."""
     return derive_baseline(read_driver_table(spark, sf_dir, "customer"))
+
+
+def fixture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer versions (plan_type, mrr, valid_from, valid_to) derived from the orders in ``sf_dir``."""
+    return versions(derive_snapshots(read_driver_table(spark, sf_dir, "orders")), latest="recorded")
