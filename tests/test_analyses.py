@@ -215,25 +215,57 @@ def test_age_formula_matches_duckdb_on_random_pairs(spark):
 
 def test_segment_ladder_branches_and_precedence(spark):
     from cspulse.plans import segment_customers
-    rows = [  # (id, trend_category, active weeks, four_week_avg_usage) -> expected segment
-        (1, "Strong Growth", 7, "50.0", "ACCELERATING"),
-        (2, "Strong Growth", 6, "80.0", "STABLE POWER USERS"),
-        (3, "Sharp Decline", 4, "90.0", "ABANDONING"),
-        (4, "Sharp Decline", 5, "90.0", "DECLINING"),
-        (5, "Declining", 8, "75.0", "DECLINING"),
-        (6, "Stable", 4, "95.0", "VOLATILE"),
-        (7, "Stable", 8, "70.0", "STABLE POWER USERS"),
-        (8, "Improving", 8, "69.9", "ACCELERATING"),
-        (9, "Stable", 8, None, "VOLATILE"),
+    rows = [  # (id, trend_category, active weeks, four_week_avg_usage, spread, missing weeks) -> expected segment
+        (1, "Strong Growth", 7, "50.0", "0.359999", 2, "ACCELERATING"),
+        (2, "Strong Growth", 6, "80.0", "0.1", 0, "STABLE POWER USERS"),
+        (3, "Sharp Decline", 4, "90.0", "0.1", 0, "ABANDONING"),
+        (4, "Sharp Decline", 8, "90.0", "0.1", 0, "DECLINING"),
+        (5, "Declining", 8, "75.0", "0.9", 5, "DECLINING"),
+        (6, "Stable", 4, "95.0", "0.1", 0, "VOLATILE"),
+        (7, "Stable", 8, "70.0", "0.1", 0, "STABLE POWER USERS"),
+        (8, "Improving", 8, "69.9", "0.36", 0, "VOLATILE"),
+        (9, "Stable", 8, None, "0.1", 0, None),
+        (10, "Stable", 8, "69.9", "0.1", 0, None),       # steady, below the usage bar: none of the five
+        (11, "Stable", 7, "90.0", "0.1", 3, "VOLATILE"),
+        (12, "Sharp Decline", 8, "90.0", "0.5", 0, "ABANDONING"),
+        (13, "Stable", 8, "80.0", None, None, "STABLE POWER USERS"),
     ]
     df = spark.createDataFrame(
-        [(i, f"Co{i}", Decimal("10.00"), 0, cat, "x", None if u is None else Decimal(u), w)
-         for i, cat, w, u, _ in rows],
+        [(r[0], f"Co{r[0]}", Decimal("10.00"), 0, r[1], "x", None if r[3] is None else Decimal(r[3]), r[2])
+         for r in rows],
         "customer_id INT, company_name STRING, mrr DECIMAL(10,2), overall_trend_score INT, "
         "trend_category STRING, engagement_consistency STRING, four_week_avg_usage DECIMAL(20,1), "
         "active_weeks_last_8 BIGINT")
-    got = {r.customer_id: r.segment for r in segment_customers(df).collect()}
-    assert got == {i: seg for i, _, _, _, seg in rows}
+    even = spark.createDataFrame([(r[0], None if r[4] is None else Decimal(r[4]), r[5]) for r in rows],
+                                 "customer_id INT, usage_spread DECIMAL(18,6), missing_weeks BIGINT")
+    got = {r.customer_id: r.segment for r in segment_customers(df, even).collect()}
+    assert got == {r[0]: r[-1] for r in rows}
+
+
+def test_consistency_measures(spark, tables):
+    from cspulse.operators.consistency import (consistency_measures, consistency_partials, engagement_consistency,
+                                               merge_partials)
+    scores = {1: [50] * 8, 2: [0, 100] * 4, 3: [0] * 5, 4: [None] * 3, 5: [10, 30]}
+    rows = [activity(c, weeks_ago(k + 1 + (3 if c == 5 and k else 0)), usage=u)
+            for c, all_ in scores.items() for k, u in enumerate(all_)]
+    rows.append(activity(1, weeks_ago(9), usage=0))  # the ninth latest row does not count
+    _, act = tables([customer(1)], rows)
+    got = rows_by_id(engagement_consistency(act, AS_OF))
+    assert {c: (None if r["usage_spread"] is None else float(r["usage_spread"]), r["missing_weeks"])
+            for c, r in got.items()} == {1: (0.0, 0), 2: (1.0, 0), 3: (0.0, 0), 4: (None, 0), 5: (0.25, 3)}
+    # Parts of a customer's rows, reduced apart and merged, give the same.
+    parts = [consistency_partials(act.where(f"activity_id % 3 = {i}")) for i in range(3)]
+    merged = consistency_measures(merge_partials(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    whole = consistency_measures(consistency_partials(act))
+    assert merged.exceptAll(whole).count() == 0 and whole.exceptAll(merged).count() == 0
+
+
+def test_volatile_customers_are_the_uneven_ones(spark):
+    from cspulse import catalog
+    rows = catalog.queries()["segment_customers"](spark, "/root/testdata/sf0.1").collect()
+    steady = [r for r in rows if r.active_weeks_last_8 >= 7 and r.usage_spread < 0.36 and r.missing_weeks < 3]
+    assert steady and all(r.segment != "VOLATILE" for r in steady)
+    assert {"ACCELERATING", "VOLATILE", "DECLINING", "STABLE POWER USERS"} <= {r.segment for r in rows}
 
 
 def test_null_groups_keep_their_engagement(tables):

@@ -1,0 +1,181 @@
+"""Stored state: distinct visits and running totals against the scans, and what a refresh reads."""
+
+import datetime as dt
+import random
+
+import pytest
+from conftest import AS_OF, SF001, activity, customer, weeks_ago
+from pyspark.sql import functions as F
+
+from cspulse.operators import periods, quantiles
+from cspulse.plans import cohort_retention_curve
+from cspulse.sources import VersionedTable, activity_table, upsert
+from cspulse.sources.derive import fixture_tables
+from cspulse.sources.upsert import REVISION
+from cspulse.state import CohortVisits, RunningTotals
+
+
+def same(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+@pytest.fixture
+def reads(monkeypatch):
+    """Partition values that each read of a versioned table asks for."""
+    seen = []
+    plain = VersionedTable.read
+
+    def recording(self, version=None, values=None, since=None, until=None):
+        seen.append((self.schema.fieldNames()[0], sorted(values) if values is not None else since))
+        return plain(self, version, values, since, until)
+
+    monkeypatch.setattr(VersionedTable, "read", recording)
+    return seen
+
+
+@pytest.mark.parametrize("total", [False, True])
+def test_curve_from_state_equals_the_scan(spark, tmp_path, total):
+    cust, act = fixture_tables(spark, SF001)
+    visits = CohortVisits(spark, str(tmp_path / "v"), total_months=total)
+    visits.rebuild(cust, act)
+    assert same(visits.curve(), cohort_retention_curve(cust, act, total_months=total))
+
+
+def test_a_new_week_reads_only_itself(spark, tmp_path, reads):
+    cust, act = fixture_tables(spark, SF001)
+    act = act.withColumn(REVISION, F.lit(1)).cache()
+    table = activity_table(spark, str(tmp_path / "a"))
+    visits = CohortVisits(spark, str(tmp_path / "v"))
+    last = dt.date(2024, 7, 22)
+    upsert(table, act.where(F.col("activity_date") < last))
+    visits.refresh(cust, table)
+    assert same(visits.curve(), cohort_retention_curve(cust, act.where(F.col("activity_date") < last)))
+    upsert(table, act.where(F.col("activity_date") == last))
+    reads.clear()
+    assert visits.refresh(cust, table) == {"2024-07-22"}
+    assert reads == [("activity_id", ["2024-07-22"])]
+    assert same(visits.curve(), cohort_retention_curve(cust, act))
+    assert visits.refresh(cust, table) == set()
+    # A corrected row moves from one date to another: both are read, no other.
+    moved = act.where("activity_date = DATE '2024-03-04'").limit(1).withColumn(
+        "activity_date", F.lit(dt.date(2024, 4, 1))).withColumn(REVISION, F.lit(2))
+    upsert(table, moved)
+    reads.clear()
+    assert visits.refresh(cust, table) == {"2024-03-04", "2024-04-01"}
+    assert same(visits.curve(), cohort_retention_curve(cust, table.read()))
+
+
+def test_sketches_are_within_their_error(spark, tmp_path):
+    """60,000 customers of two cohorts over three dates; five standard errors."""
+    cust = spark.range(60_000).selectExpr(
+        "CAST(id AS INT) AS customer_id", "CAST(if(id % 3 = 0, DATE '2024-01-10', DATE '2024-02-20') AS DATE) AS signup_date")
+    act = cust.selectExpr("customer_id", "explode(array(DATE '2024-03-04', DATE '2024-03-11', DATE '2024-05-06')) "
+                          "AS activity_date").where("(customer_id + day(activity_date)) % 4 > 0")
+    exact, sketch = (CohortVisits(spark, str(tmp_path / n), exact=n == "e") for n in "es")
+    exact.rebuild(cust, act)
+    sketch.rebuild(cust, act)
+    truth = {tuple(r)[:2]: r.active_customers for r in exact.curve().collect()}
+    assert truth == {tuple(r)[:2]: r.active_customers for r in cohort_retention_curve(cust, act).collect()}
+    for r in sketch.curve().collect():
+        assert abs(r.active_customers - truth[tuple(r)[:2]]) <= 5 * 1.04 / 64 * truth[tuple(r)[:2]]
+
+
+def test_customers_without_signup_and_unknown_ones(spark, tmp_path, tables):
+    cust, act = tables([customer(1), customer(2, signup=None)],
+                       [activity(i, weeks_ago(1)) for i in (1, 2, 3)])
+    visits = CohortVisits(spark, str(tmp_path / "v"))
+    visits.rebuild(cust, act)
+    assert same(visits.curve(), cohort_retention_curve(cust, act))
+
+
+def gappy(seed, customers=12):
+    """Irregular dates, repeated rows of a date, nulls, rows on and after the report date."""
+    draw = random.Random(seed)
+    rows = []
+    for c in range(1, customers + 1):
+        for n in range(draw.randint(0, 14)):
+            date = AS_OF - dt.timedelta(days=draw.choice([0, -3, 1, 28, 29, 30, 31, 56, 57, 60, 61, 70, 100]))
+            rows.append(activity(c, date, logins=draw.randint(0, 60), usage=draw.choice([None, 5, 80]),
+                                 tickets=draw.choice([None, 0, 3]), nps=draw.choice([None, 2, 9]), seq=n % 10))
+    return rows
+
+
+PERIODS = ["recent_activity", "current_metrics", "prior_metrics", "churn_period_metrics", "usage_trend_60d",
+           "expansion_period_metrics"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bands_equal_the_scans(spark, tmp_path, tables, seed):
+    _, act = tables([customer(1)], gappy(seed))
+    totals = RunningTotals(spark, str(tmp_path / "t"))
+    totals.extend(act)
+    for name in PERIODS:
+        assert same(getattr(totals, name)(AS_OF), getattr(periods, name)(act, AS_OF)), name
+
+
+def test_bands_read_two_partitions_each(spark, tmp_path, reads):
+    _, act = fixture_tables(spark, SF001)
+    totals = RunningTotals(spark, str(tmp_path / "t"))
+    totals.extend(act)
+    reads.clear()
+    found = totals.churn_period_metrics(AS_OF)
+    assert len(reads) == 1 and len(reads[0][1]) == 3  # now and before share a date
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(customer_id") == 1
+
+
+def test_refresh_needs_the_dates_from_the_first_change(spark, tmp_path, reads):
+    _, act = fixture_tables(spark, SF001)
+    act = act.withColumn(REVISION, F.lit(1)).cache()
+    table = activity_table(spark, str(tmp_path / "a"))
+    totals = RunningTotals(spark, str(tmp_path / "t"))
+    upsert(table, act.where("activity_date < DATE '2024-07-22'"))
+    totals.refresh(table)
+    early = totals.table.manifest()["parts"]["2024-06-03"]
+    upsert(table, act.where("activity_date >= DATE '2024-07-22'"))
+    reads.clear()
+    assert totals.refresh(table) == dt.date(2024, 7, 22)
+    assert reads == [("activity_id", "2024-07-22"), ("activity_date", ["2024-07-15"])]
+    assert totals.refresh(table) is None
+    fixed = act.where("activity_date = DATE '2024-07-01'").withColumns(
+        {"logins_count": F.lit(7), REVISION: F.lit(2)})
+    upsert(table, fixed)
+    assert totals.refresh(table) == dt.date(2024, 7, 1)
+    assert totals.table.manifest()["parts"]["2024-06-03"] == early
+    for name in PERIODS:
+        assert same(getattr(totals, name)(AS_OF), getattr(periods, name)(table.read(), AS_OF)), name
+
+
+def test_no_rows_at_all(spark, tmp_path, tables):
+    cust, act = tables([customer(1)], [])
+    totals = RunningTotals(spark, str(tmp_path / "t"))
+    totals.extend(act)
+    assert totals.recent_activity(AS_OF).count() == 0
+    visits = CohortVisits(spark, str(tmp_path / "v"))
+    visits.rebuild(cust, act)
+    assert visits.curve().count() == 0
+
+
+DISTRIBUTIONS = {"even": "CAST(id % 9973 AS DECIMAL(12,2)) / 7", "skewed": "CAST(pow(1.0005, id % 20000) AS DECIMAL(18,2))",
+                 "constant": "CAST(42.5 AS DECIMAL(10,2))", "two values": "CAST(if(id % 10 = 0, 1, 1000) AS DECIMAL(10,2))"}
+
+
+@pytest.mark.parametrize("name", DISTRIBUTIONS)
+def test_quantile_sketches_are_within_their_rank_error(spark, name):
+    """Sketches of 12 parts, merged; a reported value's ranks must enclose the asked one up to the bound."""
+    rows = spark.range(120_000).selectExpr("id % 12 AS part", f"CAST({DISTRIBUTIONS[name]} AS DOUBLE) AS v",
+                                           "if(id % 3 = 0, 'a', 'b') AS g")
+    parts = quantiles.sketched(rows, ["g", "part"], "v")
+    found = quantiles.estimates(quantiles.merged(parts, ["g"]), ["g"]).collect()
+    for r in found:
+        own = rows.where(F.col("g") == r.g)
+        assert r["values"] == own.count()
+        for p in (25, 50, 75, 90):
+            low, high = own.agg(F.avg((F.col("v") < r[f"p{p}"]).cast("int")),
+                                F.avg((F.col("v") <= r[f"p{p}"]).cast("int"))).first()
+            assert low - quantiles.RANK_ERROR <= p / 100 <= high + quantiles.RANK_ERROR
+
+
+def test_quantile_sketches_leave_out_nulls(spark):
+    rows = spark.createDataFrame([("a", None), ("a", 3.0), ("b", None)], "g string, v double")
+    assert [(r.g, r["values"], r.p50) for r in quantiles.estimates(quantiles.sketched(rows, ["g"], "v"), ["g"]).collect()] \
+        == [("a", 1, 3.0)]

@@ -1,0 +1,158 @@
+"""Versioned tables: atomic publishing, pinned readers, and upserts that touch only changed dates."""
+
+import datetime as dt
+import glob
+import os
+import random
+
+import pytest
+from conftest import activity
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cspulse import schemas
+from cspulse.sources import VersionConflict, VersionedTable, activity_table, publish, read_published, upsert
+from cspulse.sources.upsert import REVISION
+
+SCHEMA = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("day", T.DateType()),
+                       T.StructField("v", T.StringType())])
+MONDAY = dt.date(2024, 7, 1)
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def day(n):
+    return MONDAY + dt.timedelta(days=7 * n)
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return VersionedTable(spark, str(tmp_path / "t"), SCHEMA, "day")
+
+
+def make(spark, *triples):
+    return spark.createDataFrame([(k, day(d), v) for k, d, v in triples], SCHEMA)
+
+
+def test_replace_touches_only_its_partitions(spark, table):
+    assert table.current() is None and table.read().count() == 0
+    table.replace(make(spark, (1, 0, "a"), (2, 1, "b"), (3, 2, "c")))
+    before = table.manifest()["parts"]
+    files = {p: os.path.getmtime(p) for p in glob.glob(f"{table.root}/load=*/*/*.parquet")}
+    table.replace(make(spark, (4, 1, "d"), (5, 3, "e")), drop=[day(2).isoformat()])
+    after = table.manifest()["parts"]
+    assert before[day(0).isoformat()] == after[day(0).isoformat()]
+    assert rows(table.read()) == [(1, day(0), "a"), (4, day(1), "d"), (5, day(3), "e")]
+    assert all(os.path.getmtime(p) == t for p, t in files.items())
+    assert table.changed(1, 2) == ({day(1).isoformat(), day(3).isoformat()}, {day(2).isoformat()})
+    # A pinned reader keeps its version.
+    assert rows(table.read(1)) == [(1, day(0), "a"), (2, day(1), "b"), (3, day(2), "c")]
+
+
+def test_reads_prune_by_manifest_and_by_filter(spark, table):
+    table.replace(make(spark, *((i, i, "x") for i in range(6))))
+    some = table.read(since=day(2).isoformat(), until=day(4).isoformat())
+    assert len(some.inputFiles()) == 2 and rows(some.select("k")) == [(2,), (3,)]
+    plan = table.read().where(F.col("day") >= day(4))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and ">= 2024-07-29" in plan
+
+
+def test_a_failed_write_leaves_the_old_version(spark, table):
+    table.replace(make(spark, (1, 0, "a")))
+    broken = make(spark, (1, 0, "b")).withColumn("v", F.expr("CAST(raise_error('no') AS STRING)"))
+    with pytest.raises(Exception, match="no"):
+        table.replace(broken)
+    assert table.versions() == [1] and rows(table.read()) == [(1, day(0), "a")]
+
+
+def test_two_writers_from_one_version_conflict(spark, table):
+    table.replace(make(spark, (1, 0, "a")))
+    table.replace(make(spark, (2, 0, "b")), base=1)
+    with pytest.raises(VersionConflict):
+        table.replace(make(spark, (3, 0, "c")), base=1)
+    assert rows(table.read()) == [(2, day(0), "b")]
+    assert not [n for n in os.listdir(f"{table.root}/_manifests") if n.startswith(".") and n.endswith("json")]
+
+
+def test_expire_keeps_what_the_last_versions_list(spark, table):
+    table.replace(make(spark, (1, 0, "a"), (2, 1, "b")))
+    table.replace(make(spark, (3, 1, "c")))
+    table.replace(make(spark, (4, 1, "d")))
+    table.expire(keep=1)
+    assert table.versions() == [3] and rows(table.read()) == [(1, day(0), "a"), (4, day(1), "d")]
+    assert len(glob.glob(f"{table.root}/load=*/day=*")) == 2
+
+
+def test_published_results(spark, tmp_path):
+    root = str(tmp_path / "p")
+    publish(spark.range(5), root)
+    pinned = read_published(spark, root, spark.range(1).schema, 1)
+    publish(spark.range(3), root)
+    assert pinned.count() == 5 and read_published(spark, root, spark.range(1).schema).count() == 3
+
+
+def facts(spark, items):
+    """Rows (id, date, logins, revision)."""
+    return spark.createDataFrame(
+        [(*activity(i, d, logins=n)[:0], i, 7, d, n, 50, 0, None, r) for i, d, n, r in items],
+        T.StructType([*schemas.ACTIVITY.fields, T.StructField(REVISION, T.LongType())]))
+
+
+def test_loads_in_any_order_give_one_table(spark, tmp_path):
+    draw = random.Random(4)
+    loads = [[(draw.randrange(12), day(draw.randrange(4)), draw.randrange(100), draw.randrange(3))
+              for _ in range(10)] for _ in range(3)]
+    results = []
+    for n, order in enumerate(([0, 1, 2], [2, 0, 1], [1, 1, 2, 0, 2])):
+        table = activity_table(spark, str(tmp_path / f"a{n}"))
+        for i in order:
+            upsert(table, facts(spark, loads[i]))
+        results.append(rows(table.read().select("activity_id", "activity_date", "logins_count", REVISION)))
+    assert results[0] == results[1] == results[2]
+    best = {}
+    for i, d, n, r in (x for load in loads for x in load):
+        best[i] = max(best.get(i, -1), r)
+    assert {i: r for i, _, _, r in results[0]} == best
+
+
+def test_unchanged_dates_keep_their_files_and_moved_rows_leave(spark, tmp_path):
+    table = activity_table(spark, str(tmp_path / "a"))
+    upsert(table, facts(spark, [(1, day(0), 5, 1), (2, day(1), 5, 1), (3, day(2), 5, 1), (4, day(2), 5, 1)]))
+    before = table.manifest()["parts"]
+    upsert(table, facts(spark, [(2, day(3), 6, 2), (3, day(2), 7, 2), (4, day(2), 9, 0)]))  # the last is outdated
+    after = table.manifest()["parts"]
+    assert after[day(0).isoformat()] == before[day(0).isoformat()] and day(1).isoformat() not in after
+    assert rows(table.read().select("activity_id", "activity_date", "logins_count")) == [
+        (1, day(0), 5), (2, day(3), 6), (3, day(2), 7), (4, day(2), 5)]
+    # What changes nothing publishes nothing.
+    assert upsert(table, facts(spark, [(2, day(1), 5, 1), (1, day(0), 5, 1)])) is None
+    assert table.current() == 2
+
+
+def test_upsert_refuses_rows_without_key_or_date(spark, tmp_path):
+    table = activity_table(spark, str(tmp_path / "a"))
+    bad = facts(spark, [(1, day(0), 5, 1)]).withColumn("activity_date", F.lit(None).cast("date"))
+    with pytest.raises(ValueError, match="activity_date"):
+        upsert(table, bad)
+    assert table.current() is None
+
+
+def test_upsert_finds_rows_by_three_columns(spark, tmp_path):
+    """Locating the keys must not read measures; nor are untouched dates read for rewriting."""
+    table = activity_table(spark, str(tmp_path / "a"))
+    upsert(table, facts(spark, [(i, day(i % 4), i, 1) for i in range(20)]))
+    read = []
+    plain = VersionedTable.read
+
+    def recording(self, version=None, values=None, **bounds):
+        read.append(values)
+        return plain(self, version, values, **bounds)
+
+    VersionedTable.read = recording
+    try:
+        upsert(table, facts(spark, [(5, day(1), 99, 2)]))
+    finally:
+        VersionedTable.read = plain
+    assert read == [None, {day(1).isoformat()}]
