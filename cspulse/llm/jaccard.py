@@ -12,14 +12,16 @@ when their sets' Jaccard similarity is at least PERCENT per cent.
    ones first, and the order is cut at its quantiles into FRAGMENTS: every set
    falls into one segment a fragment.
 3. Candidates share a shingle among the first D + 1 of both sets (those before
-   are in no other set) and pass the length and position bounds.
+   are in no other set) and pass three bounds that no similar pair exceeds: on
+   the lengths, on the shingle's positions, and on the bits in which bitmaps of
+   the two sets differ.
 4. Each fragment counts a pair's overlap in its own segments alone; the sum of
    the partial counts decides the pair.
 
 Only components are asked for, so not every pair of a large group is counted.
 First each class meets one leader of its shingles, in rounds that join what
-links; then every candidate pair whose ends are still in different components
-is counted, so no link between components is lost.
+links; then every candidate pair whose ends have not been joined is counted, so
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ PERCENT = 80
 FRAGMENTS = 8
 #: Shingles of a head beyond those that a partner may lack, in per cent of the set.
 EXTRA = 10
-#: Most leader rounds before the remaining pairs are counted.
-ROUNDS = 4
+#: Leader rounds before the remaining pairs are counted.
+ROUNDS = 3
+#: Longs of a set's signature.
+WORDS = 16
 #: Words of the bitmap that keeps other texts from being sorted; at most 16 bytes each are broadcast.
 BITMAP_WORDS = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +72,13 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of the shingles in WORDS longs: a bit that one of two sets has alone stands for a shingle of that kind."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[np.asarray(tokens, np.int64) % (64 * WORDS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
     """Shingles of a set of ``n`` that a similar set has at least."""
     return -(-n * percent // 100)
@@ -197,28 +208,45 @@ def similar(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
             .where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"))
 
 
+def _apart() -> str:
+    """At least so many shingles are in one only of the sets a and b (signatures sa and sb, own shingles oa and ob)."""
+    return "(oa + ob + " + " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(WORDS)) + ")"
+
+
 def _possible(percent: int) -> str:
     """Bounds on a pair that shares the shingle at positions pa and pb of sets of na and nb."""
     return (f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * "
-            f"(least(pa, pb) + 1 + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb)")
+            f"(least(pa, pb) + 1 + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb) AND "
+            f"{100 + percent} * {_apart()} <= {100 - percent} * (na + nb)")
+
+
+_A = ["key AS ka", "n AS na", "pos AS pa", "own AS oa", "sig AS sa", "c AS ca"]
 
 
 def _leaders(post: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One candidate pair for each class that shares a shingle with another component: with its leader.
+    """One candidate pair for each class that shares a shingle with another component: with the nearest leader.
 
-    The leader of a shingle, among sets of about one size, is that of the least
-    hash in this turn; of its shingles' leaders a class takes the least too.
+    The leader of a shingle, among sets of about one size, is in turn 0 the set
+    whose shingles are the most frequent (the middle of a group of copies),
+    later one that a hash of shingle and turn draws.  Of its shingles' leaders
+    a class takes the one whose signature differs least.
     """
     p = post.withColumns({"band": F.expr("CAST(floor(ln(n) / ln(1.25D)) AS INT)"),
-                          "rank": F.xxhash64("key", F.lit(turn))})
+                          "rank": F.expr("-weight" if turn == 0 else f"CAST(xxhash64(key, h, {turn}) AS DOUBLE)")})
     lead = p.groupBy("h", "band").agg(
-        F.min(F.struct("rank", "key", "n", "pos", "c")).alias("l"), F.min("c").alias("low"),
+        F.min(F.struct("rank", "key", "n", "pos", "own", "sig", "c")).alias("l"), F.min("c").alias("low"),
         F.max("c").alias("high")).where("low < high").select("h", "band", "l")
     met = p.join(lead, ["h", "band"]).where("c <> l.c").selectExpr(
-        "key", "n AS na", "pos AS pa", "l", "l.n AS nb", "l.pos AS pb").where(_possible(percent))
-    best = met.groupBy("key", "na").agg(F.min(F.struct("l.rank", "l.key", "l.n")).alias("l"))
-    return best.selectExpr("least(key, l.key) AS a", "greatest(key, l.key) AS b",
-                           "if(key < l.key, na, l.n) AS na", "if(key < l.key, l.n, na) AS nb").distinct()
+        *_A, "l.key AS kb", "l.n AS nb", "l.pos AS pb", "l.own AS ob", "l.sig AS sb").where(_possible(percent))
+    best = met.groupBy("ka", "na").agg(F.min(F.struct(F.expr(_apart()).alias("far"), "kb", "nb")).alias("l")).selectExpr(
+        "ka", "na", "l.kb AS kb", "l.nb AS nb")
+    return _pairs(best)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, na, nb), a below b, of (ka, kb, na, nb)."""
+    return met.selectExpr("least(ka, kb) AS a", "greatest(ka, kb) AS b", "if(ka < kb, na, nb) AS na",
+                          "if(ka < kb, nb, na) AS nb").distinct()
 
 
 def _rest(post: DataFrame, percent: int) -> DataFrame:
@@ -228,11 +256,22 @@ def _rest(post: DataFrame, percent: int) -> DataFrame:
                                   F.count("*").alias("parts")).where("parts > 1").select("h", "main")
     mixed = post.join(main, "h")
     # One end at least is outside a shingle's largest component.
-    out = mixed.where("c <> main").selectExpr("h", "key AS ka", "n AS na", "pos AS pa", "c AS ca")
-    pairs = out.join(mixed.selectExpr("h", "key AS kb", "n AS nb", "pos AS pb", "c AS cb"), "h").where(
-        f"ca <> cb AND {_possible(percent)}")
-    return pairs.selectExpr("least(ka, kb) AS a", "greatest(ka, kb) AS b", "if(ka < kb, na, nb) AS na",
-                            "if(ka < kb, nb, na) AS nb").distinct()
+    out = mixed.where("c <> main").selectExpr("h", *_A)
+    return _pairs(out.join(mixed.selectExpr(
+        "h", "key AS kb", "n AS nb", "pos AS pb", "own AS ob", "sig AS sb", "c AS cb"), "h").where(
+        f"ca <> cb AND {_possible(percent)}"))
+
+
+def _relabelled(classes: DataFrame, links: DataFrame, passes: int = 3) -> DataFrame:
+    """(key, c) after some passes in which each class takes the least label of those it links to.
+
+    Classes of one label are in one component; the reverse may need more passes.
+    """
+    both = links.selectExpr("a AS key", "b AS other").unionAll(links.selectExpr("b AS key", "a AS other"))
+    for _ in range(passes):
+        told = both.join(classes.selectExpr("key AS other", "c AS d"), "other").groupBy("key").agg(F.min("d").alias("d"))
+        classes = classes.join(told, "key", "left").selectExpr("key", "least(c, d) AS c")
+    return classes
 
 
 def class_links(prints: DataFrame, keys: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int,
@@ -243,6 +282,10 @@ def class_links(prints: DataFrame, keys: DataFrame, texts: DataFrame, scratch: S
     def tokens(part: pd.Series) -> pd.Series:
         return part.map(lambda t: shingle_set(t, shingle))
 
+    @F.pandas_udf("array<bigint>")
+    def signed(part: pd.Series) -> pd.Series:
+        return part.map(signature)
+
     same = ["id0", "none", "t"]
     chosen = scratch.table(
         prints.join(keys, "key", "left_semi").groupBy("key", "n")
@@ -253,29 +296,29 @@ def class_links(prints: DataFrame, keys: DataFrame, texts: DataFrame, scratch: S
     scratch.drop(sets)
     segments = scratch.table(segmented(orders, fragments), "segments")
     # The first D + 1 shingles; the n - size(ord) before these are in no other set.
-    post = scratch.table(orders.withColumn("own", F.expr("CAST(n - size(ord) AS INT)")).selectExpr(
-        "key", "n", "own", "posexplode(slice(ord, 1, CAST(n - ceil(n * {p} / 100) + 1 AS INT) - own)) AS (at, o)"
-        .format(p=percent)).selectExpr("key", "n", "o.h AS h", "own + at AS pos"), "post")
+    rows = orders.withColumn("own", F.expr("CAST(n - size(ord) AS INT)"))
+    classes = scratch.table(rows.select(
+        "key", "n", "own", signed("ord.h").alias("sig"),
+        F.expr("aggregate(ord, 0D, (w, o) -> w + ln(shiftright(o.g, 32))) / n").alias("weight")), "classes")
+    post = scratch.table(rows.selectExpr(
+        "key", f"posexplode(slice(ord, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT) - own)) AS (at, o)", "own")
+        .selectExpr("key", "o.h AS h", "own + at AS pos"), "post")
     scratch.drop(orders)
 
-    labels, links, checked = None, None, None
-    placed = post.withColumn("c", F.col("key"))
+    labels = scratch.table(classes.selectExpr("key", "key AS c"), "labels")
+    links = checked = None
     for turn in range(rounds + 1):
-        last = turn == rounds
-        pairs = _rest(placed, percent) if last else _leaders(placed, turn, percent)
+        placed = post.join(classes.join(labels, "key"), "key")
+        pairs = _rest(placed, percent) if turn == rounds else _leaders(placed, turn, percent)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
         good = scratch.table(similar(pairs, segments, percent), "links")
         links = good if links is None else links.unionAll(good)
         checked = pairs if checked is None else checked.unionAll(pairs)
-        if last or not good.isEmpty():
-            labels = scratch.table(components(links, scratch), "labels")
-            placed = scratch.table(post.join(labels, post.key == labels.node, "left").select(
-                "key", "n", "h", "pos", F.coalesce("component", "key").alias("c")), "placed")
-    return labels if labels is not None else components(post.selectExpr("key AS a", "key AS b"), scratch)
+        if turn < rounds:
+            labels = scratch.table(_relabelled(labels, links), "labels")
+    return components(links, scratch)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
