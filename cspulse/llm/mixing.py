@@ -5,18 +5,22 @@ repeating, in code point order, and share all words by weight; a target stops
 at ``max_copies`` times its source's size and the excess is shared again.
 
 Copies.  With r = target / size of its source, every document is certain of
-floor(r) whole copies, and one more is drawn with inclusion probability near
-the rest.  Documents of a source are put in strata of nearly equal size (eighths of
-an octave), and the number to draw in each stratum is fixed from the largest
-sizes down, each stratum making up for what rounding left before it, so the
-drawn words come near the target.  Within a stratum documents are ranked by
-Pareto's variable
+floor(r) whole copies; rest = r - floor(r) of the words are left to draw.  Each
+document has its own inclusion probability
+
+    p = rest + TILT min(rest, 1 - rest) (size - m) / m,
+
+larger for longer documents: m is the word-weighted mean size of the
+document's stratum (half an octave of sizes), so that the words drawn from a
+stratum are still rest times its words on average, whatever the tilt.
+Documents are ranked by Pareto's variable
 
     q = [u / (1 - u)] / [p / (1 - p)],    u a hash of the document in (0, 1),
 
-and the stratum's n smallest are taken.  As p is one within a stratum, this is a
-simple random sample of fixed size; strata replace unequal probabilities, as all
-documents of a source are owed the same share.  Ranks come from one range sort of slim rows with counts by
+and the n smallest of a stratum are taken: a sample of fixed size with unequal
+probabilities.  The sizes n are fixed from the longest documents down, each
+stratum making up for what rounding left before it, so the drawn words come
+near the target.  Ranks come from one range sort of slim rows with counts by
 partition, so a source that holds a third of all rows is spread like any other.
 """
 
@@ -31,7 +35,9 @@ from .storage import Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: Strata an octave of sizes.
-STRATA = 8
+STRATA = 2
+#: How far a document's probability leans to its size; 2 keeps it between 0 and 1 in half an octave.
+TILT = 2.0
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _MASK = (1 << 33) - 1
 
@@ -87,13 +93,13 @@ def targets(sources: DataFrame, max_copies: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-        weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+        weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, copies, taken, weight.
 
     ``size`` counts words, ``taken`` is copies x size.  Null and empty texts
     have size 0 and are not copied; a null source is a source of its own.
     Repeated rows are drawn apart, in any order among themselves.  Reruns
-    agree, as every draw is a hash of id and size.  No rows give no rows;
+    agree, as every draw is a hash of ``seed``, id and size.  No rows give no rows;
     other columns are not read.
     """
     spark = docs.sparkSession
@@ -107,12 +113,12 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
         "targets")
     strata = scratch.table(_draws(slim, goals), "strata")
 
-    # u in (0, 1) by id and size; p = n / N of the stratum, so q orders all its rows.
-    u = (F.pmod(F.xxhash64(F.lit("mix"), "id", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # u in (0, 1) by id and size.
+    u = (F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     drawn = slim.withColumn("stratum", _stratum()).join(
         strata.withColumnRenamed("source", "s"),
         F.col("source").eqNullSafe(F.col("s")) & (F.col("stratum") == F.col("b")), "left").drop("s", "b")
-    p = F.col("draw") / F.col("docs")
+    p = inclusion(F.col("rest"), F.col("size"), F.col("mean"))
     odds = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p))).otherwise(u / (1 - u))
     slim_drawn = drawn.select("id", "source", "size", "stratum", "source_size", "target", "whole",
                               "draw", "weight", odds.alias("q"))
@@ -138,8 +144,13 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
         copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "weight")
 
 
+def inclusion(rest, size, mean):
+    """Probability of the one more copy: ``rest``, leaning to the longer documents of a stratum."""
+    return rest + TILT * F.least(rest, 1 - rest) * (size - mean) / F.when(mean > 0, mean)
+
+
 def _stratum():
-    """Size class of a document: eighths of an octave, -1 without words."""
+    """Size class of a document: halves of an octave, -1 without words."""
     return F.when(F.col("size") > 0, F.floor(STRATA * F.log2(F.col("size").cast("double")))).otherwise(
         F.lit(-1)).cast("int")
 
@@ -151,9 +162,11 @@ def _draws(slim: DataFrame, goals: DataFrame) -> DataFrame:
     largest sizes down; a random start a stratum keeps the rounding fair.
     """
     strata = (slim.withColumn("b", _stratum()).groupBy("source", "b")
-              .agg(F.count("*").alias("docs"), F.sum("size").alias("words")))
-    by_source = strata.groupBy("source").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("b", "docs", "words")))).alias("strata"))
+              .agg(F.count("*").alias("docs"), F.sum("size").alias("words"),
+                   F.sum(F.col("size").cast("double") * F.col("size")).alias("squares")))
+    by_source = strata.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct(
+        "b", "docs", "words", (F.col("squares") / F.when(F.col("words") > 0, F.col("words"))).alias("mean"))))
+    ).alias("strata"))
     goal = goals.withColumnRenamed("source", "s")
     whole = F.when(F.col("source_size") > 0,
                    F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0))
@@ -163,7 +176,9 @@ def _draws(slim: DataFrame, goals: DataFrame) -> DataFrame:
                 F.lit(0.0), F.col("target") / F.col("source_size") - F.col("whole"))).otherwise(F.lit(0.0))))
     # The number to draw from x: what is owed by now, rounded at random, but such that the strata
     # below x can still make up for the rounding.
-    due, each = "(state.owed + rest * x.words)", "(x.words / x.docs)"
+    # A drawn document has so many words on average: its stratum's part over the sum of probabilities.
+    chances = f"(rest * x.docs + {TILT} * least(rest, 1 - rest) * (x.words / x.mean - x.docs))"
+    due, each = "(state.owed + rest * x.words)", f"if(rest > 0, rest * x.words / {chances}, x.words / x.docs)"
     below = "(state.below - x.words)"
     take = f"""CAST(CASE WHEN x.words = 0 THEN 0 ELSE greatest(0D, least(CAST(x.docs AS DOUBLE),
         greatest(ceil(({due} - (1 - rest) * {below}) / {each} - 1e-9),
@@ -174,10 +189,10 @@ def _draws(slim: DataFrame, goals: DataFrame) -> DataFrame:
     rows = rows.withColumn("done", F.expr(f"""
         aggregate(strata,
           named_struct('owed', CAST(0 AS DOUBLE), 'below', CAST(source_size AS DOUBLE),
-                       'out', CAST(array() AS ARRAY<STRUCT<b: INT, docs: BIGINT, draw: BIGINT>>)),
+                       'out', CAST(array() AS ARRAY<STRUCT<b: INT, mean: DOUBLE, draw: BIGINT>>)),
           (state, x) -> named_struct(
-            'owed', {due} - {take} * {each}, 'below', CAST({below} AS DOUBLE),
-            'out', concat(state.out, array(named_struct('b', x.b, 'docs', x.docs, 'draw', {take})))))
+            'owed', IF(x.words = 0, state.owed, {due} - {take} * {each}), 'below', CAST({below} AS DOUBLE),
+            'out', concat(state.out, array(named_struct('b', x.b, 'mean', x.mean, 'draw', {take})))))
     """))
-    return rows.select("source", "source_size", "target", "whole", "weight", F.explode("done.out").alias("x")).select(
-        "source", "source_size", "target", "whole", "weight", "x.b", "x.docs", "x.draw")
+    kept = ["source", "source_size", "target", "whole", "rest", "weight"]
+    return rows.select(*kept, F.explode("done.out").alias("x")).select(*kept, "x.b", "x.mean", "x.draw")

@@ -83,6 +83,60 @@ def test_inclusion_is_near_its_probability(spark):
     assert sorted(set(b)) == [1, 2] and abs(sum(b) - 343) <= 1
 
 
+def test_draw_rates_match_each_documents_probability(spark):
+    """Documents of one stratum of one source have different probabilities; over many seeds they are drawn at those."""
+    each, seeds = 60, 4
+    sizes = [64, 68, 72, 76, 80, 84, 88, 90] * each  # one half octave
+    rows = [(i, "a", "w " * n) for i, n in enumerate(sizes)] + [(1000 + i, "b", "w " * 64) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").cache()
+    words = sum(sizes)
+    mean = sum(n * n for n in sizes) / words
+    # a: 5/7 of all words over its own.
+    r = 5 / 7 * (words + 480 * 64) / words
+    rest = r - math.floor(r)
+    drawn = dict.fromkeys(sorted(set(sizes)), 0)
+    for seed in range(seeds):
+        for row in mixing.mix(docs, seed=f"s{seed}").collect():
+            if row.doc_id < 1000:
+                drawn[row.size] += row.copies - math.floor(r)
+    expected = {n: rest + mixing.TILT * min(rest, 1 - rest) * (n - mean) / mean for n in drawn}
+    assert max(expected.values()) - min(expected.values()) > 0.15
+    for n, count in drawn.items():
+        share = count / (each * seeds)
+        assert abs(share - expected[n]) < 4 * math.sqrt(expected[n] * (1 - expected[n]) / (each * seeds)) + 0.02
+    assert drawn[90] > drawn[64]
+
+
+def test_the_draw_is_the_smallest_of_paretos_variable(spark):
+    """Recomputed by hand from Spark's hash of each document: no document left out ranks before one taken."""
+    rows = [(i, "a", "w " * random.Random(i).randint(5, 400)) for i in range(300)]
+    rows += [(1000 + i, "b", "w " * 90) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect() if r.doc_id < 1000}
+    hashes = {r.id: r.h for r in spark.createDataFrame([(i, g.size) for i, g in got.items()], "id long, size long")
+              .selectExpr("id", "xxhash64('mix', id, size) AS h").collect()}
+    r = next(iter(got.values()))
+    rest = r.target / r.source_size - math.floor(r.target / r.source_size)
+    strata = {}
+    for i, g in got.items():
+        strata.setdefault(math.floor(mixing.STRATA * math.log2(g.size)), []).append(i)
+    checked = 0
+    for ids in strata.values():
+        mean = sum(got[i].size ** 2 for i in ids) / sum(got[i].size for i in ids)
+        q = {}
+        for i in ids:
+            u = (hashes[i] % (1 << 52) + 0.5) / (1 << 52)
+            p = rest + mixing.TILT * min(rest, 1 - rest) * (got[i].size - mean) / mean
+            assert 0 < p < 1
+            q[i] = (u / (1 - u)) / (p / (1 - p))
+        more = [i for i in ids if got[i].copies > math.floor(r.target / r.source_size)]
+        less = [i for i in ids if i not in set(more)]
+        if more and less:
+            assert max(q[i] for i in more) < min(q[i] for i in less)
+            checked += 1
+    assert checked >= 5
+
+
 def test_empty_and_wordless_tables(spark):
     schema = "doc_id long, source string, text string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
