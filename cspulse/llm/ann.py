@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard.
 
-Vectors are dealt into shards by a hash of their id.  Each shard is one
-hierarchical graph (HNSW): a vector's top level is drawn geometrically, and it
+Vectors are dealt into shards by octaves of their length and a hash.  Each shard
+is one hierarchical graph (HNSW): a vector's top level is drawn geometrically, and it
 is linked at each level to a varied choice of its nearest neighbours.  The
 graph is kept as flat arrays: at level 0 a matrix of neighbours, above it one
 small matrix a level over the vectors that reach it.  Queries go through every
@@ -9,8 +9,14 @@ shard in blocks; the shards' best are merged.
 
 Largest inner product becomes nearest neighbour by one more coordinate,
 sqrt(M^2 - |x|^2) with M the shard's largest norm (0 for queries), under which
-Euclidean order is inner product order.  Final scores are exact inner products
-of the original vectors in double precision.
+Euclidean order is inner product order.  That works well where the lengths of a
+shard are alike: beside one very long vector all others would seem to be in one
+place.  So a shard holds lengths within a factor of two, and an octave of few
+vectors has no graph: those octaves share shards that are searched exactly.
+Distances in the graphs and final scores are in double precision.
+
+The shards follow from the vectors alone, not from the cluster: at most
+SHARD_ROWS rows and SHARD_BYTES of vectors each.
 
 Equal vectors are one node.  A node needs only its smallest ids: no result
 holds more than k of them, and one may be the query itself.
@@ -32,15 +38,18 @@ from .storage import Scratch, importable_in_workers
 
 LINKS = 16
 BUILD_BEAM = 64
-SEARCH_BEAM = 96
-#: Vectors of a shard, queries of a block, and blocks that one copy of a shard's graph serves.
-SHARD_ROWS = 100_000
+SEARCH_BEAM = 192
+#: Vectors of a shard and their bytes, the fewest of an octave with graphs of its own, queries of a block,
+#: and blocks that one copy of a shard's graph serves.
+SHARD_ROWS = 8192
+SHARD_BYTES = 64 << 20
+GRAPH_ROWS = 2048
 BLOCK = 1024
 BLOCKS_PER_COPY = 64
 
 
 class Graph:
-    """HNSW over the rows of ``x`` (float32, Euclidean)."""
+    """HNSW over the rows of ``x`` (Euclidean)."""
 
     def __init__(self, x: np.ndarray, seed: int = 7) -> None:
         n = len(x)
@@ -167,18 +176,24 @@ class Graph:
 
 
 def _augmented(x: np.ndarray) -> np.ndarray:
-    norms = np.einsum("ij,ij->i", x, x, dtype=np.float64)
-    # The scale keeps squares in float32's range; order does not change.
-    scale = max(np.sqrt(norms.max(initial=0.0)), 1e-300)
-    extra = np.sqrt(np.maximum(0.0, 1.0 - norms / scale ** 2))
-    return np.hstack([x / scale, extra[:, None]]).astype(np.float32)
+    """One more coordinate, with which all rows have the length of the longest, scaled to 1."""
+    norms = _lengths(x)
+    x, norms = x / norms.max(), norms / norms.max()
+    return np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - norms * norms))[:, None]])
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Norm of each row; scaled first, so that no square leaves the range of doubles."""
+    most = np.abs(x).max(axis=1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     """The graph of one shard, with its vectors and ids, as one binary value."""
     x = np.array(rows["embedding"].tolist(), np.float64)
     order = np.lexsort((rows["low"].to_numpy(),))
-    graph = Graph(_augmented(x[order]))
+    # Octaves of few vectors share a shard without graph.
+    graph = None if "-few-" in rows["shard"].iloc[0] else Graph(_augmented(x[order]))
     ids = [np.sort(np.asarray(i, np.int64)) for i in rows["ids"].iloc[order]]
     return pd.DataFrame({"shard": [rows["shard"].iloc[0]],
                          "payload": [pickle.dumps((graph, x[order], ids), protocol=5)]})
@@ -198,9 +213,10 @@ def _searcher(k: int, beam: int):
                 queries, vectors = pickle.loads(payload)
                 out: list[tuple[int, int, float]] = []
                 for query, q in zip(queries.tolist(), vectors, strict=True):
-                    length = np.sqrt(np.dot(q, q))
-                    flat = np.append(q / length, 0.0).astype(np.float32)
-                    rows = graph.search(flat, max(beam, k + 1))
+                    if graph is None:
+                        rows = np.arange(len(x))
+                    else:
+                        rows = graph.search(np.append(q / _lengths(q[None])[0], 0.0), max(beam, k + 1))
                     scores = (x[rows] * q).sum(axis=1)
                     best: list[tuple[float, int]] = []
                     for at in np.argsort(-scores, kind="stable").tolist():
@@ -214,6 +230,11 @@ def _searcher(k: int, beam: int):
     return run
 
 
+def _parts(rows: int, dims: int, shard_rows: int) -> int:
+    """Shards of so many vectors: from rows and bytes (vectors and links) alone."""
+    return max(1, -(-rows // shard_rows), -(-rows * (16 * dims + 24 * LINKS) // SHARD_BYTES))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, embedding double[], dims) of the rows that take part."""
     x = F.col("embedding")
@@ -245,16 +266,28 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     nodes = scratch.table(
         rows.withColumn("n", F.row_number().over(low)).where(F.col("n") <= k + 1)
         .groupBy("embedding", "dims").agg(F.collect_list("vec_id").alias("ids")), "nodes")
-    sizes = {r["dims"]: r["n"] for r in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    # Octave of the length, its bounds away from 1; from the largest component, so that no square overflows.
+    most = F.array_max(F.transform("embedding", F.abs))
+    length = F.log2(most) + 0.5 * F.log2(F.aggregate(
+        F.transform("embedding", lambda v: (v / most) * (v / most)), F.lit(0.0), lambda a, v: a + v))
+    nodes = nodes.withColumn("octave", F.floor(length + 0.5).cast("int"))
+    # At most some 2,100 octaves and a row each comes to the driver for every length of vectors.
+    sizes = nodes.groupBy("dims", "octave").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # As many shards as the cluster has cores, more where a shard would grow beyond shard_rows.
-    cores = spark.sparkContext.defaultParallelism
-    shards = {d: max(1, min(cores, n // 512), -(-n // shard_rows)) for d, n in sizes.items()}
-    count = F.create_map(*(F.lit(v) for item in shards.items() for v in item))[F.col("dims")]
-    name = F.concat_ws("-", "dims", F.pmod(F.xxhash64("embedding"), count))
+    plan, few = [], {}
+    for dims, octave, n in sorted(map(tuple, sizes)):
+        if n < GRAPH_ROWS:
+            few[dims] = few.get(dims, 0) + n
+        else:
+            plan.append((dims, octave, f"{dims}-{octave}", _parts(n, dims, shard_rows)))
+    plan += [(dims, octave, f"{dims}-few", _parts(few[dims], dims, shard_rows))
+             for dims, octave, n in map(tuple, sizes) if n < GRAPH_ROWS]
+    dealt = spark.createDataFrame(plan, "dims int, octave int, family string, parts int")
     graphs = scratch.table(
-        nodes.select(name.alias("shard"), "embedding", "ids", F.array_min("ids").alias("low"))
+        nodes.join(F.broadcast(dealt), ["dims", "octave"]).select(
+            F.concat_ws("-", "family", F.pmod(F.xxhash64("embedding"), F.col("parts"))).alias("shard"),
+            "embedding", "ids", F.array_min("ids").alias("low"))
         .groupBy("shard").applyInPandas(_build, "shard string, payload binary"), "graphs")
 
     queries = rows.where(F.col("vec_id") % every == 0)
@@ -270,8 +303,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     packed = packed.groupBy("dims", "block").applyInPandas(pack, "dims int, block int, payload binary")
     copies = -(-blocks // BLOCKS_PER_COPY)
-    sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).select(
-        F.concat_ws("-", "dims", "part").alias("shard"), F.pmod("block", F.lit(copies)).alias("copy"),
+    families = dealt.select("dims", "family", "parts").distinct()
+    sent = packed.join(families, "dims").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.concat_ws("-", "family", "part").alias("shard"), F.pmod("block", F.lit(copies)).alias("copy"),
         F.lit(1).alias("kind"), "payload")
     work = sent.unionByName(graphs.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),

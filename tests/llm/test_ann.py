@@ -93,3 +93,43 @@ def test_several_shards_and_graph_copies(spark, monkeypatch):
     expected = brute_force(rows)
     hits = sum(len({i for i, _ in best} & {i for i, _ in got[q]}) for q, best in expected.items())
     assert set(got) == set(expected) and hits / (20 * len(expected)) >= 0.95
+
+
+def recall(spark, x, **options):
+    rows = [(i, [float(v) for v in vector]) for i, vector in enumerate(x)]
+    got = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options))
+    expected = brute_force(rows)
+    assert set(got) == set(expected)
+    return sum(len({i for i, _ in best} & {i for i, _ in got[q]}) for q, best in expected.items()) / sum(
+        map(len, expected.values()))
+
+
+def clustered(n=2500, dims=32, seed=11):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(10, dims))[rng.integers(0, 10, n)] + 0.4 * rng.normal(size=(n, dims)), rng
+
+
+@pytest.mark.parametrize("times", [1e3, 1e4, 1e6, 1e200])
+def test_recall_beside_a_very_long_vector(spark, times):
+    x, _ = clustered()
+    x[1234] *= times
+    assert recall(spark, x) >= 0.95
+
+
+@pytest.mark.parametrize("graph_rows", [ann.GRAPH_ROWS, 100])
+def test_recall_with_log_normal_lengths(spark, monkeypatch, graph_rows):
+    """Most octaves small, and each with graphs of its own."""
+    monkeypatch.setattr(ann, "GRAPH_ROWS", graph_rows)
+    x, rng = clustered()
+    assert recall(spark, x * rng.lognormal(sigma=2, size=(len(x), 1))) >= 0.95
+
+
+def test_shards_do_not_depend_on_the_cluster(spark):
+    """Shards come from rows and bytes; the number of cores and partitions plays no part."""
+    x, _ = clustered(n=2300, dims=8)
+    rows = [(i, [float(v) for v in vector]) for i, vector in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [collected(ann.nearest(frame.repartition(n), shard_rows=1000)) for n in (1, 7)]
+    assert found[0] == found[1]
+    assert ann._parts(100_000, 1024, 1 << 30) == -(-100_000 * (16 * 1024 + 24 * ann.LINKS) // ann.SHARD_BYTES)
+    assert "defaultParallelism" not in open(ann.__file__).read()
