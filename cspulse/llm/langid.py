@@ -21,7 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .expressions import unused
 from .storage import importable_in_workers
 
 BITS = 14
@@ -168,21 +170,24 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     df[list(n_of)] = list(n_of.values())
     idf = np.log((1 + total) / (1 + df)) + 0.1
 
-    sizes = {r["lang"]: r["n"] for r in
-             train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    # The sample_per_lang least hashes of different rows a language.  Equal rows are one, and each task
+    # keeps no more hashes of a language than the sample, so no id or row can bring more into one task.
+    hashed = train.withColumn("h", F.xxhash64("id", "text", F.lit("langid")))
+    least = Window.partitionBy("lang").orderBy("h")
+    last = {r["lang"]: r["h"] for r in
+            hashed.select("lang", "h").distinct().withColumn("place", F.row_number().over(least))
+            .where(F.col("place") <= sample_per_lang).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
         return Model(idf, [], np.empty(0, np.int64), np.empty((0, DIMS), np.float32),
                      np.empty((0, BITS + 1)))
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
-    bound = F.create_map(*(F.lit(v) for lang, n in sizes.items()
-                           for v in (lang, min(1.0, sample_per_lang / n))))
+    bound = F.create_map(*(F.lit(v) for pair in last.items() for v in pair))
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"], na_position="first")
-        x, texts = np.empty((min(len(rows), 2 * sample_per_lang), DIMS), np.float32), []
+        x, texts = np.empty((len(rows), DIMS), np.float32), []
         for text in rows["text"]:
             vector = _vector(*ngram_counts(text), idf)
-            if len(texts) < len(x) and vector.any():
+            if vector.any():
                 x[len(texts)] = vector
                 texts.append(text)
         x = x[: len(texts)]
@@ -192,7 +197,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(c), "floor": [_floors(texts, x, idf)] * len(c),
                              "centroid": list(c.astype(np.float64))})
 
-    found = (train.where(draw < bound[F.col("lang")]).groupBy("lang")
+    found = (hashed.where(F.col("h") <= bound[F.col("lang")]).groupBy("lang", "h")
+             .agg(F.first("id").alias("id"), F.first("text").alias("text")).groupBy("lang")
              .applyInPandas(cluster, "lang string, floor array<double>, centroid array<double>")
              .toPandas())
     langs = sorted(found["lang"].unique())
@@ -230,11 +236,13 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
     """Every row of ``docs`` with lang_pred, score, rejected, held_out.
 
     Learns only from rows that are not held out.  Output columns replace
-    columns of the same names.  Repeated rows are predicted alike.
+    columns of the same names, in upper or lower case.  Repeated rows are
+    predicted alike; no rows give no rows.
     """
     train = docs if train is None else train
     model = fit(train.where(~held_out(id_col)), id_col, text_col, lang_col)
-    out = docs.withColumn("_p", predict(docs, model, text_col))
-    return (out.withColumns({"held_out": held_out(id_col), "lang_pred": F.col("_p.lang_pred"),
-                             "score": F.col("_p.score"), "rejected": F.col("_p.rejected")})
-            .drop("_p"))
+    own = unused(docs.columns, "_p")[0]
+    out = docs.withColumn(own, predict(docs, model, text_col))
+    return (out.withColumns({"held_out": held_out(id_col), "lang_pred": F.col(f"{own}.lang_pred"),
+                             "score": F.col(f"{own}.score"), "rejected": F.col(f"{own}.rejected")})
+            .drop(own))

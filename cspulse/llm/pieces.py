@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import others, unused
 from .storage import importable_in_workers
 
 MARK = "▁"
@@ -253,8 +254,8 @@ def _rows(rows: DataFrame, model_path: str, source: str, made: list[tuple[str, s
     with open(model_path, "rb") as file:
         model = spark.sparkContext.broadcast(file.read())
     names = [name for name, _ in made]
-    kept = [c for c in rows.columns if c not in names]
-    rows = rows.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias("_source"))
+    kept = others(rows.columns, names)
+    rows = rows.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias(unused(rows.columns, "_source")[0]))
     schema = rows.select(*(F.col(f"`{c}`") for c in kept),
                          *(F.lit(None).cast(kind).alias(name) for name, kind in made)).schema
 
@@ -274,7 +275,8 @@ def _rows(rows: DataFrame, model_path: str, source: str, made: list[tuple[str, s
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``ids``: the piece ids of its whole text, null or empty: [].
 
-    ``ids`` replaces a column of that name; repeated rows are encoded alike.
+    ``ids`` replaces a column of that name, in upper or lower case; repeated
+    rows are encoded alike.  No rows give no rows.
     """
     return _rows(docs, model_path, text_col, [("ids", "array<int>")],
                  lambda own, texts: [_ids_array([own.encode(t) for t in texts])])
@@ -290,6 +292,9 @@ def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> Data
     """Encode and decode in one pass: ``ids``, ``decoded`` and ``round_trip``.
 
     ``round_trip`` tells whether the decoded text is the text (null: empty).
+    Null and empty texts have no ids and decode to the empty text; repeated rows
+    are encoded alike; the three columns replace columns of their names, in
+    upper or lower case.  No rows give no rows.
     """
     def make(own: Pieces, texts: list[str | None]) -> list[pa.Array]:
         ids = [own.encode(t) for t in texts]

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import unused
 from .storage import Scratch, importable_in_workers
 
 MAX_LABELLED = 6000
@@ -315,10 +316,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """Every row of ``docs`` with ``score`` (probability of good quality) and ``accepted``.
 
-    Null texts are empty.  The two columns replace columns of the same names;
-    repeated rows score alike.  Without labels of both classes every row scores
+    Null texts are empty.  The two columns replace columns of the same names, in
+    upper or lower case; repeated rows score alike; no rows give no rows.  Without labels of both classes every row scores
     0.5 and is accepted.
     """
     model = fit(docs, labels, id_col, text_col, source_col, lang_col, label_col, max_labelled, rounds)
-    out = docs.withColumn("_q", score(docs, model, text_col, source_col, lang_col))
-    return out.withColumns({"score": F.col("_q.score"), "accepted": F.col("_q.accepted")}).drop("_q")
+    own = unused(docs.columns, "_q")[0]
+    out = docs.withColumn(own, score(docs, model, text_col, source_col, lang_col))
+    return out.withColumns({"score": F.col(f"{own}.score"), "accepted": F.col(f"{own}.accepted")}).drop(own)

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import others, unused
 from .storage import Scratch, importable_in_workers
 
 CHUNK = 32_768
@@ -131,7 +132,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     The counts are those of the tokenizers library for the file, without
     added special tokens; a null text is empty: 0 and 0.  The two columns
-    replace columns of the same names; repeated rows are counted alike.
+    replace columns of the same names, in upper or lower case; repeated rows
+    are counted alike; no rows give no rows.
     ``tokenizer_path`` is read on the driver and sent to the workers.
     """
     spark = docs.sparkSession
@@ -143,28 +145,30 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series(count_tokens(spec.value, [t or "" for t in texts]), dtype="int64")
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_tokens")]
+    kept = [F.col(f"`{c}`") for c in others(docs.columns, ("n_bytes", "n_tokens"))]
+    row = unused(docs.columns, "_row")[0]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(*others, F.octet_length(text).cast("long").alias("n_bytes"))
+    sized = docs.select(*kept, F.octet_length(text).cast("long").alias("n_bytes"))
     long = F.length(text) > chunk
     short = sized.where(~long).withColumn("n_tokens", count(F.col(text_col)))
 
     scratch = Scratch(spark, "tokens")
-    huge = scratch.table(docs.where(long).select(*others).withColumn(
-        "_row", F.monotonically_increasing_id()), "huge")
+    huge = scratch.table(docs.where(long).select(*kept).withColumn(
+        row, F.monotonically_increasing_id()), "huge")
     counted = None
-    todo = huge.select("_row", F.col(text_col).alias("text"))
+    texts = huge.select(F.col(row).alias("_row"), F.col(text_col).alias("text"))
+    todo = texts
     while not todo.isEmpty():
         done = scratch.table(_in_chunks(todo, spec, chunk, overlap), "spliced")
         counted = done if counted is None else counted.unionAll(done)
         overlap *= 4
-        todo = huge.select("_row", F.col(text_col).alias("text")).join(
+        todo = texts.join(
             counted.where("n_tokens IS NOT NULL"), "_row", "left_anti")
     if counted is None:
         return short
-    found = counted.where("n_tokens IS NOT NULL")
-    return short.unionByName(huge.join(found, "_row").withColumn(
-        "n_bytes", F.octet_length(text).cast("long")).drop("_row").select(*short.columns))
+    found = counted.where("n_tokens IS NOT NULL").withColumnRenamed("_row", row)
+    return short.unionByName(huge.join(found, row).withColumn(
+        "n_bytes", F.octet_length(text).cast("long")).drop(row).select(*(F.col(f"`{c}`") for c in short.columns)))
 
 
 def _in_chunks(texts: DataFrame, spec, chunk: int, overlap: int) -> DataFrame:

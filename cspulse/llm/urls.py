@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .expressions import once
+from .expressions import once, unused
 
 DIMS = 2048
 #: Lengths of the n-grams; host and path are bounded by "^" and "$".
@@ -152,15 +152,16 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, url_col: str = "u
 
     The verdict is the longest fitting rule's, else the classifier's.  A null
     url, or one without "://", has an empty host and path and the classifier's
-    verdict.  The columns replace columns of the same names; repeated rows are
-    judged alike.
+    verdict.  The columns replace columns of the same names, in upper or lower
+    case; repeated rows are judged alike; no rows give no rows.
     """
     model = train(labelled_urls(pages.sparkSession) if labelled is None else labelled)
-    out = pages.withColumns({"_host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col))})
-    host, path = F.col("_host"), F.col("_path")
+    own = unused(pages.columns, "_host", "_path", "_score")
+    out = pages.withColumns({own[0]: host_of(F.col(url_col)), own[1]: path_of(F.col(url_col))})
+    host, path, chance = (F.col(c) for c in own)
     rule, allowed = rule_of(host, path, rules)
     score = probability(host, path, model)
-    out = out.withColumn("_score", score)
-    verdict = F.when(F.coalesce(allowed, F.col("_score") < THRESHOLD), "allow").otherwise("block")
-    return out.withColumns({"host": host, "path": path, "rule": rule, "score": F.col("_score"),
-                            "verdict": verdict}).drop("_host", "_path", "_score")
+    out = out.withColumn(own[2], score)
+    verdict = F.when(F.coalesce(allowed, chance < THRESHOLD), "allow").otherwise("block")
+    return out.withColumns({"host": host, "path": path, "rule": rule, "score": chance,
+                            "verdict": verdict}).drop(*own)
