@@ -191,12 +191,18 @@ def segmented(orders: DataFrame, fragments: int) -> DataFrame:
     """(key, fragment, part): each set's shingles by fragment of the global order."""
     cuts = orders.selectExpr("explode(ord.g) AS g").agg(F.percentile_approx(
         "g", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    number = " + ".join(["0", *(f"CAST(o.g > {c}L AS INT)" for c in cuts)])
-    return orders.selectExpr(
-        "key", f"transform(ord, o -> struct({number} AS f, o.h AS h)) AS ord",
-        f"explode(sequence(0, {len(cuts)})) AS fragment").selectExpr(
-        "key", "fragment", "transform(filter(ord, o -> o.f = fragment), o -> o.h) AS part").where("size(part) > 0")
+    cuts = np.array(sorted(set(cuts)), np.int64)
+
+    @F.pandas_udf("array<struct<fragment: int, part: array<bigint>>>")
+    def cut(g: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for order, tokens in zip(g, h, strict=True):
+            at = np.r_[0, np.searchsorted(order, cuts, "right"), len(order)]
+            out.append([{"fragment": i, "part": tokens[a:b]}
+                        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a])
+        return pd.Series(out)
+
+    return orders.select("key", F.explode(cut("ord.g", "ord.h")).alias("s")).select("key", "s.fragment", "s.part")
 
 
 def similar(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
