@@ -43,7 +43,7 @@ FRAGMENTS = 8
 #: Shingles of a head beyond those that a partner may lack, in per cent of the set.
 EXTRA = 10
 #: Leader rounds before the remaining pairs are counted.
-ROUNDS = 3
+ROUNDS = 1
 #: Longs of a set's signature.
 WORDS = 16
 #: Words of the bitmap that keeps other texts from being sorted; at most 16 bytes each are broadcast.
@@ -324,7 +324,8 @@ def class_links(prints: DataFrame, keys: DataFrame, texts: DataFrame, scratch: S
         checked = pairs if checked is None else checked.unionAll(pairs)
         if turn < rounds:
             labels = scratch.table(_relabelled(labels, links), "labels")
-    return components(links, scratch)
+    # Labels shorten the paths; ends of one label are in one component.
+    return components(links.unionAll(labels.where("key <> c").selectExpr("key AS a", "c AS b")), scratch)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
