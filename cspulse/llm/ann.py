@@ -289,6 +289,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             F.concat_ws("-", "family", F.pmod(F.xxhash64("embedding"), F.col("parts"))).alias("shard"),
             "embedding", "ids", F.array_min("ids").alias("low"))
         .groupBy("shard").applyInPandas(_build, "shard string, payload binary"), "graphs")
+    scratch.keep(graphs)
 
     queries = rows.where(F.col("vec_id") % every == 0)
     total = queries.count()

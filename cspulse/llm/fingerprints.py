@@ -129,7 +129,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                              "none": F.col("doc_id").isNull(), "h": F.xxhash64("text")})
     key = ["id0", "none", "h"]
     ids = rows.select("doc_id", *key, F.length("text").cast("long").alias("n_chars")).distinct()
-    pairs = scratch.table(followers(ids, key, scratch), "pairs").drop("doc_id")
+    pairs = scratch.table(followers(ids, key, scratch).drop("doc_id"), "pairs")
+    scratch.keep(pairs)
     # The next document's part: its start and its sketch, once for repeated rows.
     texts = rows.select(*key, "text")
     nxt = texts.join(

@@ -373,6 +373,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "key", "low", F.coalesce("component", "key").alias("component")), "members")
     lowest = scratch.table(member.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     named = scratch.table(member.join(lowest, "component").select("key", "component_id"), "named")
+    scratch.keep(prints, named)
     return rows.join(named, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -186,6 +186,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
         f"CAST(floor(1000 * ln(CAST({2 * documents + 2} AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w"))
     postings = scratch.table(lists.join(wanting, "term").select(
         "block", "items", "owner", "w", "wanting", "docs", "tfs"), "postings")
+    scratch.keep(queries, index, postings)
     heads = heads.selectExpr("block", f"explode(sequence(0, {groups - 1})) AS items", "ids", "ns")
 
     bundles = spark.createDataFrame([], _BUNDLE)

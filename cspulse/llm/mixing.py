@@ -134,6 +134,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
         .groupBy("source", "stratum")
         .agg(F.max(F.when(F.col("left") > 0, F.col("first") + F.least("left", "n") - 1)).alias("cut")),
         "cuts")
+    scratch.keep(placed, cuts)
     result = placed.join(
         cuts.withColumnsRenamed({"source": "s", "stratum": "b"}),
         F.col("source").eqNullSafe(F.col("s")) & (F.col("stratum") == F.col("b")), "left")

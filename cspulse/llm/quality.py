@@ -241,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .orderBy(F.xxhash64("key", F.lit("rows")), "key").limit(max_labelled).toPandas())
     sample = sample.sort_values("key").reset_index(drop=True)
     if sample["y"].nunique() < 2:
+        scratch.keep()
         return None
     y = sample["y"].to_numpy()
     a, b = np.array(sample["a"].tolist(), np.float32), np.array(sample["b"].tolist(), np.float32)
@@ -282,6 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows_a.append((np.array(group["a"].tolist(), np.float32), label))
         used += new["content"].tolist()
         text, metadata = trained()
+    scratch.keep()
     prior = float(np.log((y == 1).mean() / (y == 0).mean()))
     model = Model(text, metadata, _platt(text.logit(a[apart]), y[apart]),
                   _platt(metadata.logit(b[apart]), y[apart]), prior)

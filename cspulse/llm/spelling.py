@@ -332,7 +332,7 @@ def near_words(words: DataFrame, scratch: Scratch, shard_words: int = SHARD_WORD
 
 
 def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, root): where following ``form`` from ``word`` ends, by doubling the steps.
+    """(word, root, moved): where following ``form`` from ``word`` ends, by doubling the steps.
 
     ``forms`` has no circle, as n at least doubles along a form.
     """
@@ -344,7 +344,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(at)
         at = nxt
         if not at.agg(F.max("moved")).first()[0]:
-            return at.select("word", "root")
+            return at
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", typo_every: int | None = 97,
@@ -366,5 +366,6 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ty
         "CASE WHEN best_n >= 2 * n THEN best_n END AS form_n")
     near = scratch.table(near, "near")
     ends = roots(near.where("form IS NOT NULL"), scratch)
+    scratch.keep(near, ends)
     return near.join(ends, "word", "left").selectExpr(
         "word", "form", "coalesce(root, word) AS root", "n", "n_near", "form_n")

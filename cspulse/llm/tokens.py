@@ -165,6 +165,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
         todo = texts.join(
             counted.where("n_tokens IS NOT NULL"), "_row", "left_anti")
     if counted is None:
+        scratch.keep()
         return short
     found = counted.where("n_tokens IS NOT NULL").withColumnRenamed("_row", row)
     return short.unionByName(huge.join(found, row).withColumn(

@@ -1,5 +1,6 @@
 """The registered queries: contracts' columns, whole tables, agreement with plain versions."""
 
+import glob
 import hashlib
 
 import pytest
@@ -7,6 +8,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from cspulse.llm import catalog, simhash, tokens
+from cspulse.llm.storage import release
+from cspulse.session import checkpoint_root
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -31,6 +34,11 @@ COLUMNS = {
 }
 
 
+def left(spark):
+    """Parquet files in the checkpoint folder."""
+    return set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/**/*.parquet", recursive=True))
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -44,6 +52,7 @@ def test_one_query_per_operator_and_the_pipeline():
 
 @pytest.mark.parametrize("name", COLUMNS)
 def test_columns_and_rows(spark, documents, name):
+    before = left(spark)
     frame = entry.queries()[name](spark, SF)
     kinds = dict(frame.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
@@ -52,6 +61,8 @@ def test_columns_and_rows(spark, documents, name):
         assert sorted(r.doc_id for r in rows) == sorted(documents)
     elif "page_id" in kinds:
         assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
+    release(frame)
+    assert left(spark) == before
     again = entry.queries()[name](spark, SF).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
@@ -83,5 +94,10 @@ def test_edited_texts(spark, documents):
 
 
 def test_pipeline_query_runs(spark):
-    rows = entry.queries()["pipeline"](spark, SF).collect()
+    before = left(spark)
+    frame = entry.queries()["pipeline"](spark, SF)
+    rows = frame.collect()
     assert rows and all(r.round_trip for r in rows)
+    assert all("/pipeline-" in f for f in left(spark) - before)
+    release(frame)
+    assert left(spark) == before
