@@ -3,16 +3,19 @@
 A document's 64-bit fingerprint sets each bit that more than half of its
 shingle hashes set.  Fingerprints link when at most four bits differ.
 
-Links are found with covering codes.  The 64 bits are cut into three segments,
-so two linked fingerprints differ in at most one bit of some segment (threshold
-d = 1 there).  Each segment has a code: 15 of its bits take the codewords of the
-perfect Hamming code, covering radius R = 1, the others every value (R = 0).
-The codewords are the anchors.  A fingerprint is replicated to every anchor
-within R + d of it (block by block: an excess of at most d over the blocks'
-radii), about 14 a segment of 2^21 values in 2^17 anchors: if x's nearest anchor
-is within R, any y within d of x is within R + d of that anchor, so they meet.
+Links are found with covering codes.  The 64 bits are cut into six segments, and
+six triples of them are laid so that, however four differing bits fall on the
+segments, some triple holds at most one of them (threshold d = 1 there).  The 31
+to 33 bits of a triple have a code: twice 15 bits take the codewords of the
+perfect Hamming code, covering radius R = 1 each, the others every value (R = 0).
+The codewords are the anchors, 2^23 to 2^25 a triple.  A fingerprint is
+replicated to every anchor within R + d of it (block by block: an excess of at
+most d over the blocks' radii), about 16 a triple: if x's nearest anchor is
+within R, any y within d of x is within R + d of that anchor, so they meet.
 One code over all 64 bits would have to bridge d = 4 at once, which needs over
-a thousand copies of each fingerprint for anchors as selective as these.
+a thousand copies of each fingerprint for anchors as selective as these.  With
+10^9 distinct fingerprints spread evenly an anchor holds 500 to 2,000 of them,
+and with 10^10 at most about ANCHOR_ROWS.
 
 Equal fingerprints are one class before the replication, and each anchor gives
 a spanning forest of the links it sees, never its pairs.
@@ -33,8 +36,9 @@ from .storage import Scratch, importable_in_workers
 
 SEED = 42
 MAX_BITS = 4
-# (lowest bit, number of bits) of the segments; MAX_BITS // len(SEGMENTS) differ in one of them.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+# (lowest bit, number of bits) of the segments, and the triples of them that have a code.
+SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))
 HAMMING_BITS = 15
 #: Most rows of an anchor that one task compares; anchors beyond it are cut into blocks (split_anchors).
 ANCHOR_ROWS = 20_000
@@ -86,23 +90,30 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(anchor key, row of ``fps``) for every anchor that each fingerprint is replicated to."""
     keys, rows = [], []
     every = np.arange(len(fps))
-    for number, (low, width) in enumerate(SEGMENTS):
-        segment = (fps >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
-        coded, free = segment & ((1 << HAMMING_BITS) - 1), segment >> HAMMING_BITS
-        syndrome = _SYNDROMES[coded]
-        nearest = coded ^ _NEAREST[syndrome]
-
-        def put(code: np.ndarray, rest: np.ndarray, who: np.ndarray, number: int = number) -> None:
-            keys.append((number << 40) | (rest << HAMMING_BITS) | code)
+    block = (1 << HAMMING_BITS) - 1
+    for number, triple in enumerate(TRIPLES):
+        value, width = np.zeros(len(fps), np.int64), 0
+        for low, bits in (SEGMENTS[i] for i in triple):
+            value |= ((fps >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)) << width
+            width += bits
+        # The nearest anchor, and for one block at a time those one further off.
+        coded = [value >> at & block for at in (0, HAMMING_BITS)]
+        off = [_NEAREST[_SYNDROMES[c]] for c in coded]
+        nearest = value ^ off[0] ^ off[1] << HAMMING_BITS
+
+        def put(anchor: np.ndarray, who: np.ndarray, number: int = number) -> None:
+            keys.append((number << 40) | anchor)
             rows.append(who)
 
-        put(nearest, free, every)
-        for bit in range(width - HAMMING_BITS):
-            put(nearest, free ^ (1 << bit), every)
-        for s in range(1, HAMMING_BITS + 1):
-            who = np.flatnonzero(syndrome == s)
-            for mask in _SECOND[s]:
-                put(coded[who] ^ mask, free[who], who)
+        put(nearest, every)
+        for bit in range(2 * HAMMING_BITS, width):
+            put(nearest ^ (1 << bit), every)
+        for at, own, step in zip((0, HAMMING_BITS), coded, off, strict=True):
+            syndrome = _SYNDROMES[own]
+            for s in range(1, HAMMING_BITS + 1):
+                who = np.flatnonzero(syndrome == s)
+                for mask in _SECOND[s]:
+                    put(nearest[who] ^ (step[who] ^ mask) << at, who)
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -275,9 +286,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         classes.join(found, classes.fp == found.node, "left")
         .select("fp", "low", F.coalesce("component", "fp").alias("component")), "members")
     lowest = scratch.table(member.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    named = member.join(lowest, "component").select("fp", "component_id")
-    return (prints.join(scratch.table(named, "named"), "fp", "left")
-            .select(F.col("id").alias(id_col), "fp", "component_id"))
+    named = scratch.table(member.join(lowest, "component").select("fp", "component_id"), "named")
+    scratch.keep(prints, named)
+    return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):

@@ -1,5 +1,7 @@
 """SimHash near-dedup against brute force, and its edge cases."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 import xxhash
@@ -137,3 +139,21 @@ def test_operator_equals_brute_force_with_edge_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(docs).count() == 0
+
+
+def test_any_four_bits_leave_a_triple_with_at_most_one():
+    at = [i for i, (low, width) in enumerate(simhash.SEGMENTS) for _ in range(width)]
+    assert len(at) == 64 and [low for low, _ in simhash.SEGMENTS] == [at.index(i) for i in range(6)]
+    for spread in product(range(5), repeat=6):
+        if sum(spread) == simhash.MAX_BITS:
+            assert min(sum(spread[i] for i in t) for t in simhash.TRIPLES) <= 1
+
+
+def test_anchors_stay_small():
+    """Rows an anchor among even fingerprints: as many as 2^24 anchors a triple leave."""
+    fps = np.random.default_rng(11).integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    for n in (12_500, 50_000):
+        keys, rows = simhash.anchors(fps[:n])
+        copies = np.bincount(rows, minlength=n)
+        assert 90 <= copies.mean() and copies.max() <= 102
+        assert np.unique(keys, return_counts=True)[1].max() <= 6
