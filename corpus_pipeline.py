@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cspulse.llm import langid, mixing, pieces, quality, simhash
 from cspulse.llm.catalog import PIECE_MODEL
-from cspulse.llm.storage import Scratch
+from cspulse.llm.storage import Scratch, release
 
 #: Columns of documents; a stage passes on these alone.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -73,9 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents`` in ``sf_dir``."""
+    """The stages applied to ``documents`` in ``sf_dir``.
+
+    A stage's table goes when the next one is written; the last one's stays
+    until the caller calls ``release``.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        docs = scratch.table(made, name.replace(" ", "-"))
+        release(made)
     return docs
