@@ -17,6 +17,9 @@ footers of the page, forms, and those whose class, id or role names such a
 part: adverts, comments, notices, sidebars) are left out before the measure.
 Class and id words don't count on headings, on what encloses the articles, on
 what holds most of the text, or in an article where they name ordinary sections.
+There a section, list or paragraph so named goes only where two such words name
+it, where it is mostly links, or where it is short and ends the article.  A
+heading goes with the left-out part that it stands before and names.
 """
 
 from __future__ import annotations
@@ -83,42 +86,47 @@ ABOUT_OTHERS = frozenset("with has have no non not without".split())
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?",
+_ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?",
                         re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：()\"'«»„“”¿¡-]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "named", "article", "linked")
+    __slots__ = ("tag", "parent", "place", "depth", "path", "out", "named", "suspect", "article", "linked")
 
     def __init__(self, tag: str, parent: "_Element | None", place: int, paths: dict, out: bool,
-                 named: bool, article: bool) -> None:
+                 named: bool, article: bool, suspect: int = 0) -> None:
         """``place`` is the element's place in the page; ``paths`` numbers the tag paths."""
+        self.suspect = suspect
         self.tag, self.parent, self.place, self.out, self.article = tag, parent, place, out, article
         self.named, self.linked = named, 0
         self.depth = 0 if parent is None else parent.depth + 1
         self.path = paths.setdefault((parent and parent.path, tag), len(paths) + 1)
 
 
-def _left_out(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
+def _left_out(tag: str, attributes: str, article: bool) -> tuple[bool, bool, int]:
     """Whether an element stands outside any article's text, and whether only its name says that it may.
 
-    Headers inside an article don't.
+    Headers inside an article don't.  Last comes 1 for a part of an article
+    whose id could name an ordinary section, 2 if its class does.
     """
     if tag in LEFT_OUT or tag == "header" and not article:
-        return True, False
-    named = False
+        return True, False, 0
+    named, suspect = False, 0
     if not attributes:
-        return False, False
+        return False, False, 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, 0
+        if name == "style" and tag not in ("html", "body", "article", "main") and _UNSEEN.search(value):
+            return True, False, 0
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
-            return True, False
+            return True, False, 0
         if name in ("class", "id") and tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
             left_out = LEFT_OUT_WORDS
             if article:
@@ -126,8 +134,13 @@ def _left_out(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
             for name_part in value.split():
                 words = {w.lower() for w in _WORDS.findall(name_part)}
                 # "page-with-sidebar" is no sidebar.
-                named = named or bool(words & left_out and not words & ABOUT_OTHERS)
-    return False, named
+                if words & ABOUT_OTHERS:
+                    continue
+                named = named or bool(words & left_out)
+                if article and words & LEFT_OUT_WORDS - NOTES:
+                    suspect = max(suspect, 2 if name == "class" else 1)
+                    named = named or name == "class" and len(words & LEFT_OUT_WORDS) > 1
+    return False, named, suspect
 
 
 def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
@@ -194,7 +207,7 @@ def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         attributes = m.group(3)
         if tag in INLINE:
             if tag not in VOID:
-                inline.append((tag, any(_left_out(tag, attributes, current.article))))
+                inline.append((tag, any(_left_out(tag, attributes, current.article)[:2])))
             continue
         if tag == "br":
             if not current.out:
@@ -227,8 +240,8 @@ def leaves(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         flush()
         inline.clear()
         article = current.article or tag in ("article", "main")
-        gone, named = _left_out(tag, attributes, current.article)
-        current = _Element(tag, current, len(elements), paths, current.out or gone, named, article)
+        gone, named, suspect = _left_out(tag, attributes, current.article)
+        current = _Element(tag, current, len(elements), paths, current.out or gone, named, article, suspect)
         elements.append(current)
         opened[tag] += 1
         if tag in RAW:
@@ -276,7 +289,7 @@ def _without_named(elements: list[_Element], blocks: list[tuple[_Element, str]])
     What encloses the articles (or main, without articles) stays, and what
     holds nearly all of its article, or most of a page without any.
     """
-    if not any(e.named for e in elements):
+    if not any(e.named or e.suspect for e in elements):
         return blocks
     held = _of_blocks(elements, blocks, [len(t) for _, t in blocks])
     kind = next((k for k in ("article", "main") if any(e.tag == k and held[e.place] for e in elements)), None)
@@ -297,8 +310,53 @@ def _without_named(elements: list[_Element], blocks: list[tuple[_Element, str]])
             return around[e.place] > 0
         return held[e.place] >= (HOLDS * held[top.place] if top else MOST * held[0])
 
-    gone = _below(elements, [e.named and not stays(e) for e in elements])
-    return [(e, t) for e, t in blocks if not gone[e.place]]
+    tops = [e.named and not stays(e) for e in elements]
+    _add_suspects(elements, blocks, held, tops)
+    gone = _below(elements, tops)
+    kept = []
+    for at, (e, t) in enumerate(blocks):
+        if gone[e.place]:
+            continue
+        if e.tag in HEADINGS and at + 1 < len(blocks) and gone[blocks[at + 1][0].place]:
+            top = blocks[at + 1][0]
+            while gone[top.parent.place]:
+                top = top.parent
+            if top.parent is e.parent and {w.lower() for w in _WORDS.findall(t)} & LEFT_OUT_WORDS:
+                continue
+        kept.append((e, t))
+    return kept
+
+
+def _add_suspects(elements: list[_Element], blocks: list[tuple[_Element, str]], held: list[float],
+                  tops: list[bool]) -> None:
+    """Mark in ``tops`` the suspects that are mostly links, or by class, short, and the last of their article."""
+    if not any(e.suspect for e in elements):
+        return
+    linked = _sums(elements, [float(e.linked) for e in elements])
+    for e in elements:
+        if e.suspect and linked[e.place] > MOST * held[e.place]:
+            tops[e.place] = True
+    # An element's blocks stand together in the page.
+    first, last = [len(blocks)] * len(elements), [-1] * len(elements)
+    for at, (e, _) in enumerate(blocks):
+        first[e.place], last[e.place] = min(first[e.place], at), at
+    for e in reversed(elements[1:]):
+        up = e.parent.place
+        first[up], last[up] = min(first[up], first[e.place]), max(last[up], last[e.place])
+    home: list[_Element | None] = [None] * len(elements)  # the outermost article (or main) around each
+    for e in elements[1:]:
+        home[e.place] = home[e.parent.place] or (e if e.tag in ("article", "main") else None)
+    below = _below(elements, tops)
+    gone = [below[e.place] for e, _ in blocks]
+    ends = list(last)  # of each article, without what goes
+    for e in sorted((e for e in elements if e.suspect == 2 and last[e.place] >= 0),
+                    key=lambda e: (-last[e.place], e.place)):
+        top = home[e.place]
+        while ends[top.place] >= 0 and gone[ends[top.place]]:
+            ends[top.place] -= 1
+        if ends[top.place] == last[e.place] and held[e.place] < (1 - HOLDS) * held[top.place]:
+            tops[e.place] = True
+            gone[first[e.place]: last[e.place] + 1] = [True] * (last[e.place] + 1 - first[e.place])
 
 
 def _content(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> list[bool]:
@@ -364,8 +422,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Every row of ``pages`` with ``text`` and ``n_chars`` (code points) of its main text.
 
-    The two columns replace columns of the same names; repeated rows get the
-    same text.
+    The two columns replace columns of the same names, in upper or lower case;
+    repeated rows get the same text.  A null, empty or textless page has the
+    text '' of 0 characters; no rows give no rows.
     """
     importable_in_workers(pages.sparkSession)
 

@@ -72,6 +72,33 @@ def test_names_leave_out_no_part_of_the_article(page, expected):
     assert html_text.main_text(page) == expected
 
 
+LINKS = "<li><a href=/a>One other story</a><li><a href=/b>Another story</a>"
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f"<article>{BIG}<p class='cookie-notice'>We use cookies, and more.</p><p>End.</p></article>", f"{BIG_TEXT}\nEnd."),
+    (f"<article><ul class=share>{LINKS}</ul>{BIG}</article>", BIG_TEXT),
+    (f"<article>{BIG}<section class='related'><h2>Related</h2><ul>{LINKS}</ul></section><p>End.</p></article>",
+     f"{BIG_TEXT}\nEnd."),
+    (f"<article>{BIG}<h2>Related stories</h2><ul id=related>{LINKS}</ul></article>", BIG_TEXT),
+    (f"<article>{BIG}<section class='related'><p>Other, text.</p></section><p class=ad>Buy!</p></article>", BIG_TEXT),
+    (f"<article>{BIG}<p style='color: red; display : none'>Unseen.</p><b style=visibility:hidden>x</b></article>",
+     BIG_TEXT),
+    (f"<body style='display:none'><article style='display:none'>{BIG}</article></body>", BIG_TEXT),
+    (f"<div><div>{BIG}</div><h3>3 Comments</h3><ol class=commentlist><li>Good, very good.</ol></div>", BIG_TEXT),
+    (f"<div><div>{BIG}</div><h3>Results</h3><div class=ad>Buy!</div><p>Text, more.</p></div>",
+     f"{BIG_TEXT}\nResults\nText, more."),
+    (f"<main><article>{BIG}</article><section class=related><ul>{LINKS}</ul></section></main>", BIG_TEXT),
+    # An ordinary section of such a name, in the middle or long, stays.
+    (f"<article>{BIG}<section class='navigation'><p>Short.</p></section><p>End.</p></article>",
+     f"{BIG_TEXT}\nShort.\nEnd."),
+    (f"<article>{BIG}<section class='navigation'>{BIG}</section></article>", f"{BIG_TEXT}\n{BIG_TEXT}"),
+    (f"<article>{BIG}<section id='promotion'><p>Short.</p></section></article>", f"{BIG_TEXT}\nShort."),
+])
+def test_boilerplate_inside_articles_goes(page, expected):
+    assert html_text.main_text(page) == expected
+
+
 def test_fixture_pages(spark):
     """The article's blocks, worked out by plain patterns for this generator's pages."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
@@ -92,6 +119,10 @@ def test_very_long_and_deep_pages():
     assert html_text.main_text(deeper) == "End, at last."
     many = "<div><x>" * 20_000 + "<div>t, u</div>" * 20_000
     assert html_text.main_text(many).count("t, u") == 20_000
+    named = "<main>" + "<section class=share>" * 20_000 + "x, y" + "</section>" * 20_000 + f"{BIG}</main>"
+    assert html_text.main_text(named).endswith(BIG_TEXT)
+    tails = f"<main>{BIG}" + "<section class=share>x, y</section>" * 20_000 + "</main>"
+    assert html_text.main_text(tails).startswith(BIG_TEXT)
     long_page = "<article>" + "<p>Some text, and more.</p>" * 50_000 + "</article>"
     assert html_text.main_text(long_page).count("\n") == 49_999
 
