@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, gather: bool = False) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b: long); component is its smallest node.
 
     Loops and repeated edges are ignored; an edge with a null end is dropped,
-    as null names no node.  No edges give no rows.
+    as null names no node.  No edges give no rows.  ``gather`` is that of
+    ``Scratch.table``.
     """
     stars = scratch.table(
         edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(),
-        "edges")
+        "edges", gather)
     before = None
     while True:
         state = stars.agg(F.count("*").alias("n"),
@@ -34,14 +35,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = state
         both = stars.select("a", "b").unionAll(stars.selectExpr("b AS a", "a AS b"))
         lowest = scratch.table(
-            both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "large")
+            both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "large", gather)
         large = scratch.table(
-            both.join(lowest, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct(), "hung")
-        least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "small")
+            both.join(lowest, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct(), "hung", gather)
+        least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "small", gather)
         joined = large.join(least, "a")
         nxt = scratch.table(
             joined.selectExpr("explode(array(struct(b AS a, m AS b), struct(a AS a, m AS b))) AS e")
-            .selectExpr("e.a AS a", "e.b AS b").where("a <> b").distinct(), "stars")
+            .selectExpr("e.a AS a", "e.b AS b").where("a <> b").distinct(), "stars", gather)
         scratch.drop(stars, lowest, large, least)
         stars = nxt
     return stars.selectExpr("a AS node", "b AS component").unionAll(

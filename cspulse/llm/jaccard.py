@@ -295,7 +295,7 @@ def class_links(prints: DataFrame, keys: DataFrame, texts: DataFrame, scratch: S
     same = ["id0", "none", "t"]
     chosen = scratch.table(
         prints.join(keys, "key", "left_semi").groupBy("key", "n")
-        .agg(F.min(F.struct("none", "id0", "t")).alias("r")).select("key", "n", "r.*"), "chosen")
+        .agg(F.min(F.struct("none", "id0", "t")).alias("r")).select("key", "n", "r.*"), "chosen", gather=True)
     found = in_bitmap(texts, chosen, "t").dropDuplicates(same).join(chosen, same)
     sets = scratch.table(found.select("key", "n", tokens("text").alias("tokens")), "sets")
     orders = scratch.table(ordered(sets, percent), "orders")
@@ -305,27 +305,28 @@ def class_links(prints: DataFrame, keys: DataFrame, texts: DataFrame, scratch: S
     rows = orders.withColumn("own", F.expr("CAST(n - size(ord) AS INT)"))
     classes = scratch.table(rows.select(
         "key", "n", "own", signed("ord.h").alias("sig"),
-        F.expr("aggregate(ord, 0D, (w, o) -> w + ln(shiftright(o.g, 32))) / n").alias("weight")), "classes")
+        F.expr("aggregate(ord, 0D, (w, o) -> w + ln(shiftright(o.g, 32))) / n").alias("weight")), "classes", gather=True)
     post = scratch.table(rows.selectExpr(
         "key", f"posexplode(slice(ord, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT) - own)) AS (at, o)", "own")
-        .selectExpr("key", "o.h AS h", "own + at AS pos"), "post")
+        .selectExpr("key", "o.h AS h", "own + at AS pos"), "post", gather=True)
     scratch.drop(orders)
 
-    labels = scratch.table(classes.selectExpr("key", "key AS c"), "labels")
+    labels = scratch.table(classes.selectExpr("key", "key AS c"), "labels", gather=True)
     links = checked = None
     for turn in range(rounds + 1):
         placed = post.join(classes.join(labels, "key"), "key")
         pairs = _rest(placed, percent) if turn == rounds else _leaders(placed, turn, percent)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "pairs")
-        good = scratch.table(similar(pairs, segments, percent), "links")
+        pairs = scratch.table(pairs, "pairs", gather=True)
+        good = scratch.table(similar(pairs, segments, percent), "links", gather=True)
         links = good if links is None else links.unionAll(good)
         checked = pairs if checked is None else checked.unionAll(pairs)
         if turn < rounds:
-            labels = scratch.table(_relabelled(labels, links), "labels")
+            labels = scratch.table(_relabelled(labels, links), "labels", gather=True)
     # Labels shorten the paths; ends of one label are in one component.
-    return components(links.unionAll(labels.where("key <> c").selectExpr("key AS a", "c AS b")), scratch)
+    return components(links.unionAll(labels.where("key <> c").selectExpr("key AS a", "c AS b")), scratch,
+                      gather=True)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -363,16 +364,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.select(F.coalesce("id0", F.lit(0).cast(kind)).alias("id0"), F.col("id0").isNull().alias("none"),
                          F.xxhash64("text").alias("t"), "text")
     full = scratch.table(texts.withColumn("s", sketched("text")).select("id0", "none", "t", "s.*"), "heads")
-    keys = scratch.table(screened(full, percent), "screened")
-    prints = scratch.table(full.drop("head"), "prints")
+    keys = scratch.table(screened(full, percent), "screened", gather=True)
+    prints = scratch.table(full.drop("head"), "prints", gather=True)
     scratch.drop(full)
     labels = class_links(prints, keys, texts, scratch, shingle, percent, fragments, rounds)
     rows = prints.select(F.when(~F.col("none"), F.col("id0")).alias("id"), "key", "n")
-    low = scratch.table(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("low")), "classes")
+    low = scratch.table(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("low")), "classes", gather=True)
     member = scratch.table(low.join(labels, low.key == labels.node, "left").select(
-        "key", "low", F.coalesce("component", "key").alias("component")), "members")
-    lowest = scratch.table(member.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    named = scratch.table(member.join(lowest, "component").select("key", "component_id"), "named")
+        "key", "low", F.coalesce("component", "key").alias("component")), "members", gather=True)
+    lowest = scratch.table(member.groupBy("component").agg(F.min("low").alias("component_id")), "lowest", gather=True)
+    named = scratch.table(member.join(lowest, "component").select("key", "component_id"), "named", gather=True)
     scratch.keep(prints, named)
     return rows.join(named, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -27,8 +27,15 @@ class Scratch:
         self.count = 0
         self.paths: list[str] = []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it read back, its lineage cut."""
+    def table(self, df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+        """Write ``df`` and return it read back, its lineage cut.
+
+        ``gather``, for rows few beside the input: one more shuffle, and files by
+        the bytes instead of one a task.  Each file costs its task several
+        processes on a local file system (Hadoop's chmod).
+        """
+        if gather:
+            df = df.hint("rebalance", self.spark.sparkContext.defaultParallelism)
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)

@@ -174,3 +174,30 @@ def test_fragments_cover_each_ordered_set_once(spark):
         assert joined == [o.h for o in r.ord]
         assert [tuple(o) for o in r.ord] == sorted(tuple(o) for o in r.ord)
     assert len({f for p in parts.values() for f in p}) > 1
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Labels, pairs and components are not written as one file a shuffle partition; the results are the same."""
+    files = {}
+    plain = Scratch.table
+
+    def counting(self, df, name, *rest, **kind):
+        out = plain(self, df, name, *rest, **kind)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counting)
+    changed = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    rows = near_copies(11, 30, 8, 3)
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        found = got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == plain_components(rows)
+    assert {"pairs", "links", "stars", "named"} <= set(files)
+    own = {"heads", "sets", "orders", "segments"}
+    assert max(n for name, n in files.items() if name not in own) <= spark.sparkContext.defaultParallelism
