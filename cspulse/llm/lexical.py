@@ -34,6 +34,7 @@ GROUP_ITEMS = 256
 SHARES = (0.001, 0.01, 0.1)
 STAGES = len(SHARES) + 1
 #: Tasks that read the texts get the items' terms up to this size; beyond it they index every term.
+#: Tasks that read the index get the terms' weights and items up to this size; beyond it they are joined by term.
 VOCABULARY_BYTES = 8 << 20
 
 # UTF-8 bytes: digits, letters and all of non-ASCII belong to terms, A-Z lower-cased.
@@ -160,11 +161,13 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
     importable_in_workers(spark)
     scratch = Scratch(spark, "lexical")
     queries = items.select(F.col(item_col).alias("name"), F.col(item_text_col).alias("text")).distinct()
-    queries = scratch.table(queries.withColumn("item", F.xxhash64("name", "text")), "items")
-    asked = scratch.table(queries.mapInPandas(_item_terms, "item long, term string").distinct(), "asked")
-    sizes = asked.select("term").distinct().agg(F.sum(F.octet_length("term") + 64).alias("b")).first()
+    queries = scratch.table(queries.withColumn("item", F.xxhash64("name", "text")), "items", gather=True)
+    asked = scratch.table(queries.mapInPandas(_item_terms, "item long, term string").distinct(), "asked", gather=True)
+    groups = max(1, -(-queries.count() // group_items))
+    sizes = asked.groupBy("term").agg(F.count("*").alias("n")).selectExpr("n", "octet_length(term) + 64 AS b").agg(
+        F.sum("b").alias("terms"), F.sum(F.expr(f"b * least(n, {groups}) + 8 * n")).alias("wanting")).first()
     vocabulary = None
-    if (sizes.b or 0) <= vocabulary_bytes:
+    if (sizes.terms or 0) <= vocabulary_bytes:
         vocabulary = spark.sparkContext.broadcast(
             frozenset(r.term.encode() for r in asked.select("term").distinct().collect()))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
@@ -178,15 +181,20 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
 
     # Each term's weight and owner, and the items of each group that ask for it.
     df = lists.groupBy("term").agg(F.sum(F.expr("octet_length(docs) DIV 2")).alias("df"))
-    groups = max(1, -(-queries.count() // group_items))
     owner = " + ".join(f"CAST(df >= {s}D * {documents} AS INT)" for s in SHARES)
     wanting = (asked.join(df, "term").groupBy("term", "df", F.expr(f"CAST(pmod(item, {groups}) AS INT)").alias("items"))
                .agg(F.collect_list("item").alias("wanting")).selectExpr(
         "term", "items", "wanting", f"{owner} AS owner",
         f"CAST(floor(1000 * ln(CAST({2 * documents + 2} AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w"))
-    postings = scratch.table(lists.join(wanting, "term").select(
-        "block", "items", "owner", "w", "wanting", "docs", "tfs"), "postings")
-    scratch.keep(queries, index, postings)
+    columns = ["block", "items", "owner", "w", "wanting", "docs", "tfs"]
+    if (sizes.wanting or 0) <= vocabulary_bytes:
+        # Each owner picks its lists from the index itself: no list is shuffled by term or written again.
+        wanting = scratch.table(wanting, "wanting", gather=True)
+        postings = lists.join(F.broadcast(wanting), "term").select(columns)
+        scratch.keep(queries, index, wanting)
+    else:
+        postings = scratch.table(lists.join(wanting, "term").select(columns), "postings")
+        scratch.keep(queries, index, postings)
     heads = heads.selectExpr("block", f"explode(sequence(0, {groups - 1})) AS items", "ids", "ns")
 
     bundles = spark.createDataFrame([], _BUNDLE)

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from cspulse.llm import lexical
+from cspulse.llm.storage import Scratch
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -92,3 +93,33 @@ def test_every_owner_has_work(spark):
     frame = lexical.search(spark.createDataFrame(docs, "doc_id long, text string"),
                            spark.createDataFrame(items, "item_id long, text string"), block_docs=200)
     assert got(frame) == plain_search(docs, items)
+
+
+@pytest.mark.parametrize("vocabulary_bytes", [lexical.VOCABULARY_BYTES, 0])
+def test_few_items_leave_posting_lists_where_they_are(spark, monkeypatch, vocabulary_bytes):
+    """With a short item list no posting list is shuffled by term or written twice, and the items' tables are
+    few files; the results are the same."""
+    columns, files = {}, {}
+    plain = Scratch.table
+
+    def noting(self, df, name, *rest, **kind):
+        out = plain(self, df, name, *rest, **kind)
+        columns[name], files[name] = set(df.columns), len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", noting)
+    changed = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    docs, items = corpus(2)
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        found = got(lexical.search(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(items, "item_id long, text string"),
+                                   vocabulary_bytes=vocabulary_bytes, block_docs=50, group_items=4))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == plain_search(docs, items)
+    assert [n for n, c in columns.items() if "docs" in c] == (["index"] if vocabulary_bytes else ["index", "postings"])
+    assert max(n for name, n in files.items() if "docs" not in columns[name]) <= spark.sparkContext.defaultParallelism
