@@ -1,9 +1,11 @@
 """Nearest vectors: recall against brute force, exact scores and ranks, edge cases."""
 
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cspulse.llm import ann
 
@@ -133,3 +135,50 @@ def test_shards_do_not_depend_on_the_cluster(spark):
     assert found[0] == found[1]
     assert ann._parts(100_000, 1024, 1 << 30) == -(-100_000 * (16 * 1024 + 24 * ann.LINKS) // ann.SHARD_BYTES)
     assert "defaultParallelism" not in open(ann.__file__).read()
+
+
+def test_nothing_is_missed_in_several_shards(spark):
+    """Vectors without any order in space, the hardest for an index: equal to brute force, not near it."""
+    rng = np.random.default_rng(21)
+    rows = [(i, as_floats(v)) for i, v in enumerate(rng.normal(size=(6000, 64)))]
+    got = collected(ann.nearest(spark.createDataFrame(rows, SCHEMA), every=60, shard_rows=2100))
+    assert got == {q: best for q, best in brute_force(rows, every=60).items()}
+
+
+def test_lengths_ties_and_copies_over_many_shards(spark, monkeypatch):
+    """Octaves far apart, scores that are equal for many vectors, and vectors under many ids: all exact."""
+    monkeypatch.setattr(ann, "GRAPH_ROWS", 50)
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    rng = np.random.default_rng(22)
+    x = [[float(v) for v in c * 2.0 ** int(e)] for c, e in zip(
+        rng.integers(-2, 3, size=(1500, 5)), rng.choice([-300, 0, 0, 0, 1, 300], size=1500), strict=True)]
+    rows = [(i, x[i % 1400]) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert collected(ann.nearest(frame, k=9, every=7)) == brute_force(rows, k=9, every=7)
+
+
+def test_an_id_with_several_vectors_takes_its_best_score(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.75, 1.0]), (2, [0.25, 0.0]), (3, [0.5, 9.0]), (0, [-1.0, 0.0])]
+    got = collected(ann.nearest(spark.createDataFrame(rows, SCHEMA), k=4))
+    assert got == {0: [(1, 0.75), (3, 0.5), (2, 0.25)]}
+
+
+def test_more_ids_of_a_vector_than_one_query_holds(spark, monkeypatch):
+    """Each id of a common vector gets its own neighbours, without itself."""
+    monkeypatch.setattr(ann, "BLOCK", 3)
+    n = 3 * ann.QUERY_IDS + 5
+    rows = [(i, [1.0, 2.0]) for i in range(n)] + [(n, [2.0, 2.0]), (n + 1, [0.0, -1.0])]
+    got = collected(ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), k=3, every=1))
+    assert len(got) == n + 2
+    for q in (0, 1, 2, 700, n - 1):
+        assert got[q] == [(n, 6.0)] + [(i, 5.0) for i in range(3) if i != q][:2]
+    assert got[n] == [(i, 6.0) for i in range(3)]
+
+
+def test_time_over_many_vectors(spark):
+    """160,000 vectors take some 15 s; building and walking graphs over them took more than 200 s."""
+    rows = spark.range(160_000).select(
+        F.col("id").alias("vec_id"), F.array(*[F.randn(i).cast("float") for i in range(16)]).alias("embedding"))
+    began = time.monotonic()
+    assert ann.nearest(rows).agg(F.count("*"), F.countDistinct("query_id")).first()[:] == (160_000, 8_000)
+    assert time.monotonic() - began < 100
